@@ -1,9 +1,10 @@
 """Document fingerprints (operator 1): SimHash, with DataFrame functions only.
 
 Terms are the runs of three consecutive words of the whole text (the whole sequence where
-there are fewer). Each occurrence votes, so a term's weight is its frequency: two 64-bit
-hashes of the term give 128 signed votes. Two bits are counted in one long (32 bits each),
-so 64 sums, all in generated code, count the votes of a text of up to 2**31 words. A
+there are fewer; between neighbouring blanks stands an empty word). Each occurrence votes, so a term's weight is its frequency: two 64-bit
+hashes of the term give 128 signed votes. For each 127 terms, 16 longs of eight byte lanes
+count them; the lanes are then added up, two to a long (32 bits each). All sums run in
+generated code and hold for texts of up to 2**31 words. A
 fingerprint bit is set when more than half of the votes are for it.
 
 The next document is found over narrow rows: identifiers are cut into sorted ranges, each
@@ -31,43 +32,41 @@ from pyspark.sql import functions as F
 from .common import stored
 
 TERM, BITS = 3, 128
-_PAIR = 0x100000001
-BLANK = "[\\x20\\x09-\\x0D]+"
+#: Terms of a row counted together: no byte lane, the signed top one included, holds more.
+CHUNK = 127
+_LANES, _PAIR = 0x0101010101010101, 0x000000FF000000FF
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, f1, f2 and copies (rows with those keys) for each distinct keys.
+    """keys, f1, f2 for each row; the keys name one row each.
 
-    Rows with equal keys have to have equal texts. No shuffle of its own where the input
-    is already dealt by one of the keys; otherwise votes are summed before the shuffle.
+    No shuffle of its own where the input is already dealt by one of the keys; otherwise
+    votes are summed before the shuffle.
     """
-    # a blank before and behind, so that the first and the last part are always empty
-    words = F.split(F.concat(F.lit(" "), F.col(text_col), F.lit(" ")), BLANK)
-    listed = texts.select(*keys, words.alias("w"))
+    # splitting at one character needs no regular expression; a run of blanks gives empty words
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", F.col(text_col))
+    listed = texts.select(*keys, spaced.alias("s")).select(*keys, F.split("s", " ").alias("w"), (F.trim("s") == "").alias("blank"))
     n = F.size("w")
     kind = "array<struct<" + ",".join(f"t{k}:string" for k in range(TERM)) + ">>"
     whole = F.array(F.struct(F.array_join("w", " "), *[F.lit("")] * (TERM - 1)))
-    terms = F.when(n >= TERM + 2, F.arrays_zip(*[F.slice("w", k + 2, n - TERM - 1) for k in range(TERM)]).cast(kind)).otherwise(whole.cast(kind))
-    terms = listed.select(*keys, (n <= 2).alias("blank"), F.posexplode(terms).alias("nth", "t"))
+    terms = F.when(n >= TERM, F.arrays_zip(*[F.slice("w", k + 1, F.greatest(n - TERM + 1, F.lit(0))) for k in range(TERM)]).cast(kind)).otherwise(whole.cast(kind))
+    terms = listed.select(*keys, "blank", F.posexplode(terms).alias("nth", "t"))
     h1 = F.xxhash64(*[F.col(f"t.t{k}") for k in range(TERM)])
     votes = terms.select(*keys, "blank", "nth", h1.alias("h1")).withColumn("h2", F.xxhash64("h1", F.lit(1)))
-    counted = votes.groupBy(*keys).agg(
-        F.count("*").alias("_votes"),
-        F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("copies"),
-        F.max("blank").alias("blank"),
-        *[F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_PAIR))).alias(f"{h}_{k}") for h in ("h1", "h2") for k in range(32)],
-    )
+    # terms by the CHUNK: eight byte lanes of a long count eight bits, 16 sums for 128 bits
+    lanes = [F.expr(f"sum(shiftrightunsigned({h}, {i}) & {_LANES}L) AS {h}_{i}") for h in ("h1", "h2") for i in range(8)]
+    votes = votes.withColumn("chunk", F.expr(f"cast(nth / {CHUNK} AS int)"))
+    chunks = votes.groupBy(*keys, "chunk").agg(F.count("*").alias("m"), F.max("blank").alias("blank"), *lanes)
+    # then the lanes of all chunks, two to a long
+    pairs = [F.expr(f"sum(shiftrightunsigned({h}_{i}, {8 * j}) & {_PAIR}L) AS {h}_{i}_{j}") for h in ("h1", "h2") for i in range(8) for j in range(4)]
+    counted = chunks.groupBy(*keys).agg(F.sum("m").alias("_votes"), F.max("blank").alias("blank"), *pairs)
 
     def word(h: str) -> Column:
-        bits = []
-        for k in range(32):
-            low, high = F.col(f"{h}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"{h}_{k}"), 32)
-            for place, count in ((k, low), (k + 32, high)):
-                one = (1 << place) - (1 << 64 if place == 63 else 0)
-                bits.append(F.when((count * 2 > F.col("_votes")) & ~F.col("blank"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-        return reduce(lambda x, y: x.bitwiseOR(y), bits)
+        low = [f"shiftleft(cast(({h}_{i}_{j} & 4294967295L) * 2 > _votes AS bigint), {i + 8 * j})" for i in range(8) for j in range(4)]
+        high = [f"shiftleft(cast(shiftrightunsigned({h}_{i}_{j}, 32) * 2 > _votes AS bigint), {i + 8 * j + 32})" for i in range(8) for j in range(4)]
+        return F.expr(f"if(blank, 0L, {' | '.join(low + high)})")
 
-    return counted.select(*keys, word("h1").alias("f1"), word("h2").alias("f2"), "copies")
+    return counted.select(*keys, word("h1").alias("f1"), word("h2").alias("f2"))
 
 
 def hexed(f1: Column, f2: Column) -> Column:
@@ -101,23 +100,28 @@ def simhash_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(c(id_col).cast("long").alias("k"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("u", F.xxhash64("k", "text"))
-    own = stored(fingerprints(rows.withColumn("n", F.char_length("text").cast("long")), ["u", "k", "n"], "text"))
+    narrow = stored(rows.groupBy("u").agg(F.first("k").alias("k"), F.first(F.char_length("text").cast("long")).alias("n"), F.count("*").alias("copies")))
 
-    heads = own.filter("k is not null").groupBy("k").agg(F.min_by(F.struct("u", "f1", "f2"), "u").alias("head"))
+    ordered = narrow.filter("k is not null")
+    heads = ordered.groupBy("k").agg(F.min("u").alias("head"))
     order = followers(heads.select("k")).select("k", "next")
-    links = own.filter("k is not null").select("k", c("u").alias("to"), F.floor(c("n") / 4).cast("int").alias("need"))
-    links = links.join(order, "k").join(heads.select(c("k").alias("next"), "head"), "next")
-    links = stored(links.select("to", "need", c("head.u").alias("head"), c("head.f1").alias("g1"), c("head.f2").alias("g2")))
+    links = ordered.select("k", c("u").alias("to"), F.floor(c("n") / 4).cast("int").alias("need"))
+    links = stored(links.join(order, "k").join(heads.select(c("k").alias("next"), "head"), "next").select("to", "need", "head"))
 
     texts = rows.select("u", "text").repartition(parts, "u").dropDuplicates(["u"])
-    prefixes = texts.join(links.select("to", "need", "head"), c("u") == c("head")).select("to", F.substring("text", F.lit(1), c("need")).alias("prefix"))
-    met = texts.join(prefixes, c("u") == c("to"), "left")
+    prefixes = texts.join(links, c("u") == c("head")).select("to", F.substring("text", F.lit(1), c("need")).alias("prefix"))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("prefix", F.lit("")))
-    met = met.select("u", edited.alias("edited")).withColumn("sha", F.sha2(c("edited").cast("binary"), 256))
-    changed = fingerprints(met, ["u", "sha"], "edited").select("u", "sha", c("f1").alias("e1"), c("f2").alias("e2"))
-    out = changed.join(own, "u").join(links.select("to", "g1", "g2"), c("u") == c("to"), "left")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies"))))
+    both = texts.join(prefixes, c("u") == c("to"), "left").select("u", "text", edited.alias("edited"))
+    # text and edit of a row are two rows of one task
+    sides = F.array(F.struct(F.lit(False).alias("new"), F.lit("").alias("sha"), c("text").alias("t")), F.struct(F.lit(True).alias("new"), F.sha2(c("edited").cast("binary"), 256).alias("sha"), c("edited").alias("t")))
+    prints = fingerprints(both.select("u", F.inline(sides)), ["u", "new", "sha"], "t")
+    side = lambda x, new: F.max(F.when(c("new") == new, c(x)))
+    prints = stored(prints.groupBy("u").agg(side("sha", True).alias("sha"), *[side(f, new).alias(f"{'e' if new else 'f'}{f[1]}") for new in (False, True) for f in ("f1", "f2")]))
+
+    after = links.join(prints.select(c("u").alias("head"), c("f1").alias("g1"), c("f2").alias("g2")), "head").select("to", "g1", "g2")
+    out = prints.join(narrow, "u").join(after, c("u") == c("to"), "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies").cast("int"))))
     g1, g2 = F.coalesce("g1", zero), F.coalesce("g2", zero)
     return out.select(
         c("k").alias("doc_id"), c("n").alias("n_chars"), c("sha").alias("edited_sha256"),
