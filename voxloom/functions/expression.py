@@ -14,9 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(>=|<=|==|!=|[-+*/^()<>,]))")
+
+
+def _whole(f, x: Column) -> Column:
+    """floor or ceil as a double; values beyond 2**53 are whole already."""
+    return F.when(F.abs(x) < 2.0**53, f(x).cast("double")).otherwise(x)
+
+
 _CALLS = {
-    "cos": F.cos, "sin": F.sin, "tan": F.tan, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"),
-    "exp": F.exp, "round": lambda x: F.signum(x) * F.floor(F.abs(x) + 0.5), "log": lambda x: F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))),
+    "cos": F.cos, "sin": F.sin, "tan": F.tan, "ceil": lambda x: _whole(F.ceil, x), "floor": lambda x: _whole(F.floor, x),
+    "exp": F.exp, "round": lambda x: F.round(x, 0), "log": lambda x: F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))),
     "neg": lambda x: -x, "abs": F.abs, "sqrt": F.sqrt,
 }
 _BINARY = {"or": 1, "and": 2, ">": 3, ">=": 3, "==": 3, "!=": 3, "<=": 3, "<": 3, "+": 4, "-": 4, "*": 5, "/": 5, "^": 7}

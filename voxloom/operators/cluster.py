@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 from .spatial import squared_distance, within_distance
+from .sums import summed
 
 
 def center_literal(center) -> Column:
@@ -124,8 +125,7 @@ def _moments(points: DataFrame, p: str, expect: Callable, k: int, d: int, second
                     total[j, 2 + d :] += ((x * tau[:, j : j + 1]).T @ x).ravel()
         yield pd.DataFrame({"i": np.arange(k), "sums": list(total)})
 
-    rows = points.select(p).mapInPandas(run, "i int, sums array<double>").groupBy("i").agg(F.array(*[F.sum(F.get("sums", F.lit(c))) for c in range(width)]).alias("s")).orderBy("i").collect()
-    t = np.array([r.s for r in rows])
+    t = summed(points.select(p).mapInPandas(run, "i int, sums array<double>"), width)
     return t[:, 0], t[:, 2 : 2 + d], t[:, 2 + d :].reshape(k, d, d) if second else None, t[0, 1]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .sums import summed
 
 
 def _stack(batch: pd.DataFrame, column: str) -> np.ndarray:
@@ -46,8 +47,7 @@ def cross_product(rows: DataFrame, width: int, column: str = "values", other: st
         yield pd.DataFrame({"i": np.arange(width), "sums": list(total)})
 
     parts = rows.select(*dict.fromkeys((column, second))).mapInPandas(run, "i int, sums array<double>")
-    out = parts.groupBy("i").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(w2)]).alias("s")).orderBy("i").collect()
-    return np.array([r.s for r in out]).reshape(width, w2)
+    return summed(parts, w2)
 
 
 def covariance(df: DataFrame, column: str, width: int, centered: bool = True) -> np.ndarray:
@@ -225,8 +225,7 @@ def spatial_components(matrix: DataFrame, s: np.ndarray, v: np.ndarray, rounds:
                     slope += dg.sum(0)
             yield pd.DataFrame({"i": np.arange(k + 1), "sums": list(np.vstack([total, slope]))})
 
-        rows = white.select("values").mapInPandas(run, "i int, sums array<double>").groupBy("i").agg(F.array(*[F.sum(F.get("sums", F.lit(c))) for c in range(k)]).alias("s")).orderBy("i").collect()
-        sums = np.array([r.s for r in rows]) / n
+        sums = summed(white.select("values").mapInPandas(run, "i int, sums array<double>"), k) / n
         a, _, b = np.linalg.svd(sums[:k] - w * sums[k])
         new = a @ b
         close = np.abs(np.abs((new * w).sum(0)) - 1).max()

@@ -19,6 +19,7 @@ from ..functions.kernels import b3
 from ..model import Geometry, grid
 from ..session import settled
 from .spatial import interpolate
+from .sums import summed
 
 AXES = ["x", "y", "z"]
 
@@ -414,9 +415,7 @@ def bias_field(image: DataFrame, dims: tuple[int, int, int], knots: int = 4, rid
 
     rows = image.filter("v > 0").select(*AXES, F.log("v").alias("log"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"))
     mean = rows.agg(F.sum(F.col("log") * F.col("w")) / F.sum("w")).first()[0]
-    parts = rows.withColumn("log", F.col("log") - mean).mapInPandas(run, "i int, sums array<double>")
-    summed = parts.groupBy("i").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(size + 1)]).alias("s")).orderBy("i").collect()
-    m = np.array([r.s for r in summed])
+    m = summed(rows.withColumn("log", F.col("log") - mean).mapInPandas(run, "i int, sums array<double>"), size + 1)
     c = np.linalg.solve(m[:, :size] + ridge * np.trace(m[:, :size]) / size * np.eye(size), m[:, size])
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

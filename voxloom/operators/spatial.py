@@ -145,9 +145,9 @@ def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dim
             place = (F.floor(u + 0.5) + F.col(f"_c.s{i}")).cast("int")
         if weight is not None:
             total = total * weight(u - place)
-        sent = sent.withColumn(a, _bounded(place, dims[a], boundary))
+        sent = sent.withColumn(f"_s_{a}", _bounded(place, dims[a], boundary))
     sent = sent.withColumn("_w", total).filter(F.col("_w") != 0)
-    met = sent.join(image.select(*axes, F.col(value).alias("_v")), axes, "left")
+    met = sent.join(image.select(*[F.col(a).alias(f"_s_{a}") for a in axes], F.col(value).alias("_v")), [f"_s_{a}" for a in axes], "left")
     return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_w") * F.col("_v")), F.lit(0.0)).alias(value))
 
 

@@ -83,7 +83,7 @@ def read_text_image(spark: SparkSession, path: str) -> DataFrame:
     table = read_table(spark, path)
     whole = infer_type(table) != "FLOAT32"
     n = F.row_number().over(Window.orderBy("row")) - 1  # a text image is one file of moderate size
-    return table.select(n.alias("x"), F.posexplode("fields").alias("y", "f")).select("x", "y", (to_integer(F.col("f")).cast("double") if whole else to_number(F.col("f"))).alias("v"))
+    return table.select(n.alias("x"), "fields").select("x", F.posexplode("fields").alias("y", "f")).select("x", "y", (to_integer(F.col("f")).cast("double") if whole else to_number(F.col("f"))).alias("v"))
 
 
 def csv_lines(voxels: DataFrame) -> DataFrame:
