@@ -26,9 +26,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEVELS = ("domain", "lang", "source")
 #: Rows that a hash range of a leaf holds on average.
 RANGE_ROWS = 256
+#: Leaves up to which the plan is broadcast (32 bytes each).
+BROADCAST_LEAVES = 50_000
 
 
 @dataclass
@@ -108,22 +112,36 @@ def mix(docs: DataFrame, recipe: Recipe | None = None, tokens: Column | None = N
     """
     c = F.col
     recipe = recipe or Recipe()
-    plain = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text"), c("lang").cast("string").alias("lang"), c("source").cast("string").alias("source"), F.struct(*[docs[x] for x in carry] or [F.lit(0).alias("none")]).alias("carried"))
-    rows = plain.select("doc_id", (domain if domain is not None else domain_of(c("source"))).alias("domain"), "lang", "source", (tokens if tokens is not None else word_tokens(c("text"))).alias("n_tokens"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "carried")
-    leaves = rows.groupBy(*LEVELS).agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = c("text").cast("string")
+    lang, source = c("lang").cast("string"), c("source").cast("string")
+    rows = docs.select(
+        c("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"), lang.alias("lang"), source.alias("source"),
+        (tokens if tokens is not None else word_tokens(text)).alias("n_tokens"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_md5"),
+        *([F.struct(*[docs[x] for x in carry]).alias("carried")] if carry else []),
+    )
+    key = [F.coalesce(c(x), F.lit("")) for x in LEVELS]
+    rows = rows.withColumn("leaf", F.xxhash64(*key, *[c(x).isNull() for x in LEVELS]))
+    # texts are measured once; sums are taken over the narrow table
+    narrow = stored(rows.drop("carried"))
+    leaves = narrow.groupBy(*LEVELS).agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, recipe)
     width = F.greatest(F.ceil(F.log2(F.greatest(c("n_rows").cast("double") / RANGE_ROWS, F.lit(1.0)))), F.lit(0)).cast("int")
     plan = budgets.select(*LEVELS, F.when(c("tokens") > 0, F.floor(c("given") / c("tokens"))).otherwise(F.lit(0)).cast("long").alias("full"), width.alias("width"), "tokens", "given")
-    plan = plan.select(*LEVELS, "full", "width", (c("given") - c("full") * c("tokens")).alias("rest"))
-    key = [F.coalesce(c(x), F.lit("")) for x in LEVELS]
     leaf = F.xxhash64(*key, *[c(x).isNull() for x in LEVELS])
-    # leaves are few beside rows: AQE broadcasts them when they are small and splits hot leaves when they aren't
-    met = rows.withColumn("leaf", leaf).join(plan.select(leaf.alias("leaf"), "full", "width", "rest"), "leaf")
-    drawn = F.md5(F.concat_ws("|", F.lit(recipe.seed), c("full"), F.coalesce(c("doc_id").cast("string"), F.lit("")), "text_md5").cast("binary"))
-    met = met.withColumn("drawn", drawn).withColumn("range", F.expr("shiftright(cast(conv(substring(drawn, 1, 8), 16, 10) AS bigint), 32 - least(width, 31))"))
-    sums = met.groupBy("leaf", "range").agg(F.sum("n_tokens").alias("in_range"))
+    plan = stored(plan.select(leaf.alias("leaf"), "full", "width", (c("given") - c("full") * c("tokens")).alias("rest")))
+    if plan.count() <= BROADCAST_LEAVES:
+        plan = F.broadcast(plan)  # beyond that a shuffle join, whose hot leaves AQE splits
+
+    def ranged(x: DataFrame) -> DataFrame:
+        drawn = F.md5(F.concat_ws("|", F.lit(recipe.seed), c("full"), F.coalesce(c("doc_id").cast("string"), F.lit("")), "text_md5").cast("binary"))
+        return x.join(plan, "leaf").withColumn("drawn", drawn).withColumn("range", F.expr("shiftright(cast(conv(substring(drawn, 1, 8), 16, 10) AS bigint), 32 - least(width, 31))"))
+
+    sums = ranged(narrow).groupBy("leaf", "range").agg(F.sum("n_tokens").alias("in_range"))
     upto = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(c("leaf").alias("leaf2"), c("range").alias("range2"), F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("before"))
+    # dealt by leaf and range before the join and the window, so neither gathers a leaf
+    met = ranged(rows if carry else narrow).repartition(parts, "leaf", "range")
     placed = met.join(starts, (c("leaf") == c("leaf2")) & (c("range") == c("range2"))).drop("leaf2", "range2")
     inside = Window.partitionBy("leaf", "range").orderBy("drawn", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     start = c("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
