@@ -224,6 +224,7 @@ def test_pieces_equal_whole_texts(documents, name, split, monkeypatch):
         assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
     monkeypatch.setattr(tokens, "CACHE_PIECES", 50)  # a full cache starts anew, results stay
     small = Encoder(queries.tokenizer(name), split)
+    assert [x.tolist() for x in small.ids_many([t for _, t in documents[:40]])] == [own.ids(t).tolist() for _, t in documents[:40]]
     for _, text in documents[:20]:
         assert small.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, text_column
+from .common import ranges, stored, text_chunks, text_column
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -42,11 +42,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spli
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encode = encoder(tokenizer, split).ids
+            encode = encoder(tokenizer, split).ids_many
             texts = text_column(batch.column(1))
             rows, ids_of = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            found = (ids for lo, hi, _, _ in text_chunks(texts) for ids in encode(texts[lo:hi].to_pylist()))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))

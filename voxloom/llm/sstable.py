@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_column
+from .common import scratch, stored, text_chunks, text_column
 from .tokens import encoder
 
 MAGIC = b"VXSST001"
@@ -237,14 +237,16 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, split: str = "bla
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode = encoder(tokenizer, split).ids
+                encode = encoder(tokenizer, split).ids_many
                 files, path = fs.FileSystem.from_uri(f"{to}/shard-{shard:06d}.sst")
                 files.create_dir(path.rpartition("/")[0], recursive=True)
                 part = f"{path}.{task.taskAttemptId()}"
                 out = files.open_output_stream(part)
                 writer = Writer(out, zstandard.ZstdCompressor(level=1).compress)
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_column(batch.column(1)), strict=True):
-                writer.add(encode_key(doc_id), np.append(encode(text.as_py()), np.uint32(end_id)).astype(np.uint32))
+            texts = text_column(batch.column(1))
+            for lo, hi, _, _ in text_chunks(texts):
+                for doc_id, ids in zip(batch.column(0)[lo:hi].to_pylist(), encode(texts[lo:hi].to_pylist()), strict=True):
+                    writer.add(encode_key(doc_id), np.append(ids, np.uint32(end_id)).astype(np.uint32))
             n += batch.num_rows
         if writer is not None:
             writer.close()

@@ -1,22 +1,26 @@
 """Whole-text token ids through the tokenizers library, with a per-worker piece cache.
 
-A text is cut into pieces at places where the tokenizer never joins two pieces, each
-distinct piece is encoded once by the library, and the ids of a text are the
+A text is cut into pieces at places where the tokenizer never joins two pieces; a new piece
+is cut further into runs of letters and of marks, which the tokenizer never joins either.
+Each distinct run is encoded once by the library, and the ids of a text are the
 concatenation over its pieces. tests/llm/test_tokens.py holds this against encoding
 whole texts.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct pieces that a worker keeps; beyond it the cache starts anew (bounds memory, not results).
-CACHE_PIECES = 1_500_000
+#: Distinct pieces, and runs, that a worker keeps; beyond it the cache starts anew (bounds memory, not results).
+CACHE_PIECES = 1_000_000
+#: Characters of text whose new pieces are learnt together.
+TOGETHER = 1 << 20
 
 _open: dict[tuple[str, str], "Encoder"] = {}
 
@@ -37,64 +41,148 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cut: Callable[[str], list] = _blank if split == "blank" else _before
         self.blank = split == "blank"
+        self.parts, self.between = (_LOWER_PARTS, " ") if self.blank else (_PARTS, "\n")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # what ends a word, or the line break put between runs
+        for token, k in vocabulary.items():
+            self.ends[k] = token.endswith("</w>") if self.blank else token == "Ċ"
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pieces, self.runs = _Store(), _Store()
 
     def _learn(self, pieces: list) -> None:
-        if len(self.index) + len(pieces) > CACHE_PIECES:
-            raise OverflowError
-        for lo in range(0, len(pieces), 20_000):
-            some = pieces[lo : lo + 20_000]
-            texts = [x.decode() for x in some] if self.blank else some
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = found.ids
-                k = len(self.index)
-                self.index[piece] = k
-                if k >= len(self.start):
-                    self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
+        find, cut, other = self.parts.findall, [], {"\n"}
+        for x in pieces:
+            text = (x.decode().lower() if x.isascii() else x.decode()) if self.blank else _spaced(x)
+            runs = find(text)
+            if not runs or "".join(runs) != text:
+                runs = (text,)
+                other.add(text)
+            cut.append(runs)
+        flat = list(chain.from_iterable(cut))
+        if len(self.runs.index) + len(flat) > CACHE_PIECES:
+            self.runs = _Store()
+        known = self.runs.index
+        new = [run for run in dict.fromkeys(flat) if run not in known]
+        self._encode_joined([run for run in new if run not in other])
+        self._encode_each([run for run in new if run in other])
+        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        sizes = np.append(0, np.cumsum(self.runs.size[at].astype(np.int64)))
+        last = np.cumsum([len(runs) for runs in cut])
+        self.pieces.put(pieces, self.runs.gather(at), np.diff(sizes[np.append(0, last)]))
+
+    def _encode_each(self, runs: list[str]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
+        self.runs.put(runs, np.array([k for ids in found for k in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+
+    def _encode_joined(self, runs: list[str]) -> None:
+        """Runs encoded together, which the library does faster, and told apart by what ends a run."""
+        for lo in range(0, len(runs), 20_000):
+            some = runs[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            end = self.ends[ids]
+            at = np.flatnonzero(end) if self.blank else np.append(np.flatnonzero(end), len(ids))
+            if len(at) != len(some):  # not every run was a word of its own
+                self._encode_each(some)
+            elif self.blank:
+                self.runs.put(some, ids, np.diff(at, prepend=-1))
+            else:
+                self.runs.put(some, ids[~end], np.diff(at, prepend=-1) - 1)
+
+    def ids_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text."""
+        out: list[np.ndarray] = []
+        lo, collecting = 0, gc.isenabled()
+        gc.disable()  # the many small lists below hold no cycles
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TOGETHER):
+                size += len(texts[hi])
+                hi += 1
+            out += self._ids(texts[lo:hi])
+            lo = hi
+        if collecting:
+            gc.enable()
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = self.cut(text)
-        index = self.index
-        at = np.fromiter(map(index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        return self._ids([text])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.cut(t) for t in texts]
+        counts = [len(x) for x in cut]
+        flat = cut[0] if len(cut) == 1 else list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.pieces.index.get, flat, repeat(-1)), np.int64, len(flat))
         if len(at) and at.min() < 0:
-            new = list(dict.fromkeys(p for p, k in zip(pieces, at.tolist(), strict=True) if k < 0))
-            try:
-                self._learn(new)
-            except OverflowError:
-                self._clear()
-                index = self.index
-                everything = list(dict.fromkeys(pieces))
-                if len(everything) > CACHE_PIECES:  # one text with that many distinct pieces: no cache
-                    texts = b" ".join(pieces).decode() if self.blank else text
-                    return np.array(self.tokenizer.encode(texts, add_special_tokens=False).ids, np.uint32)
-                self._learn(everything)
-            at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[at]
-        total = int(size.sum())
+            new = list(dict.fromkeys(p for p, k in zip(flat, at.tolist(), strict=True) if k < 0))
+            if len(self.pieces.index) + len(new) > CACHE_PIECES:
+                self.pieces, new = _Store(), list(dict.fromkeys(flat))
+            self._learn(new)
+            at = np.fromiter(map(self.pieces.index.__getitem__, flat), np.int64, len(flat))
+        ids = self.pieces.gather(at)
+        upto = np.append(0, np.cumsum(self.pieces.size[at].astype(np.int64)))[np.append(0, np.cumsum(counts)).astype(np.int64)]
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+
+class _Store:
+    """Id arrays by key, one behind the other."""
+
+    def __init__(self):
+        self.index: dict = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def put(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New keys, their ids in one array and how many belong to each."""
+        k, n = len(self.index), len(keys)
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.index.update(zip(keys, range(k, k + n), strict=True))
+        self.start[k : k + n], self.size[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at].astype(np.int64)
         upto = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - upto + size, size) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        return self.flat[np.repeat(self.start[at] - upto + size, size) + np.arange(int(size.sum()))]
+
+
+# Runs: letters (with the space before them), marks other than the apostrophe, a line break between words.
+_L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?*$%&#()\-"
+_LOWER_PARTS = re.compile(f"[{_L}]+|[{_M}]+")
+_PARTS = re.compile(f" ?[{_L}]+|[{_M}]+|\n(?=[{_L}])")
 
 
 def _blank(text: str) -> list:
     return text.encode().split()
 
 
-_letter = re.compile(" (?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+_other = re.compile(f" (?![{_L}])")
 
 
 def _before(text: str) -> list:
-    first, *rest = _letter.split(text)
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    """Pieces that begin at a space before a letter, without that space.
+
+    Other spaces are marked by a null character, so that splitting at a space finds the
+    places; the first piece, which has no space before it, begins with one. A text that
+    holds null characters is one piece, marked by a 1.
+    """
+    if "\0" in text:
+        return ["\1" + text]
+    first, *rest = _other.sub("\0", text).split(" ")
+    rest.insert(0, "\0" + first)
+    return rest
+
+
+def _spaced(piece: str) -> str:
+    """The text of such a piece."""
+    if piece[0] == "\1":
+        return piece[1:]
+    return (piece[1:] if piece[0] == "\0" else " " + piece).replace("\0", " ")
 
 
 def encoder(path: str, split: str) -> Encoder:
