@@ -17,7 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct pieces, and runs, that a worker keeps; beyond it the cache starts anew (bounds memory, not results).
+#: Distinct pieces, and runs, that a worker keeps; beyond it rarely used pieces and all runs go (bounds memory, not results).
 CACHE_PIECES = 1_000_000
 #: Characters of text whose new pieces are learnt together.
 TOGETHER = 1 << 20
@@ -117,9 +117,11 @@ class Encoder:
         if len(at) and at.min() < 0:
             new = list(dict.fromkeys(p for p, k in zip(flat, at.tolist(), strict=True) if k < 0))
             if len(self.pieces.index) + len(new) > CACHE_PIECES:
-                self.pieces, new = _Store(), list(dict.fromkeys(flat))
+                self.pieces = self.pieces.often_used(CACHE_PIECES // 2)
+                new = [p for p in dict.fromkeys(flat) if p not in self.pieces.index]
             self._learn(new)
             at = np.fromiter(map(self.pieces.index.__getitem__, flat), np.int64, len(flat))
+        self.pieces.count(at)
         ids = self.pieces.gather(at)
         upto = np.append(0, np.cumsum(self.pieces.size[at].astype(np.int64)))[np.append(0, np.cumsum(counts)).astype(np.int64)]
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
@@ -131,13 +133,30 @@ class _Store:
     def __init__(self):
         self.index: dict = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.size, self.used_times = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def count(self, at: np.ndarray) -> None:
+        uses = np.bincount(at, minlength=1)
+        self.used_times[: len(uses)] += uses.astype(np.int32)
+
+    def often_used(self, most: int) -> "_Store":
+        """A store with at most so many of the keys: those used most often."""
+        n = len(self.index)
+        times = self.used_times[:n]
+        least = 2
+        while (times >= least).sum() > most:
+            least *= 2
+        keep = np.flatnonzero(times >= least)
+        keys, out = list(self.index), _Store()
+        out.put([keys[k] for k in keep.tolist()], self.gather(keep), self.size[keep].astype(np.int64))
+        out.used_times[: len(keep)] = times[keep] // 2
+        return out
 
     def put(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New keys, their ids in one array and how many belong to each."""
         k, n = len(self.index), len(keys)
         while k + n > len(self.start):
-            self.start, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size))
+            self.start, self.size, self.used_times = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size, self.used_times))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
