@@ -463,29 +463,36 @@ def information_metrics(spark, sf):
     return A.information(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(*[_r(c).alias(c) for c in A.METRICS])
 
 
-def _series(spark, sf) -> DataFrame:
-    """Hourly means of the users' events as packed series over one grid of hours."""
-    hour = F.floor((F.col("ts").cast("timestamp").cast("double") - 1704067200.0) / 21600).cast("int")
-    long = _t(spark, sf, "events").select((F.col("user_id") % 50).cast("int").alias("x"), hour.alias("t"), "value").filter("t between 0 and 119").groupBy("x", "t").agg(F.avg("value").alias("v"))
-    cells = spark.range(50 * 120).select(F.floor(F.col("id") / 120).cast("int").alias("x"), (F.col("id") % 120).cast("int").alias("t"))
+#: Seconds of a bin of the users' series.
+_BIN = 21600
+
+
+def _series(spark, sf) -> tuple[DataFrame, int, int]:
+    """Six-hour means of each user's events as packed series, 0 where a bin has none; the first bin and the number of bins of the whole table."""
+    bins = _t(spark, sf, "events").select(F.col("user_id").cast("long").alias("x"), F.floor(F.col("ts").cast("timestamp").cast("double") / _BIN).cast("int").alias("t"), "value").filter("x is not null and t is not null")
+    lo, hi = (int(v or 0) for v in bins.agg(F.min("t"), F.max("t")).first())
+    n = hi - lo + 1
+    long = bins.groupBy("x", (F.col("t") - lo).alias("t")).agg(F.avg("value").alias("v"))
+    cells = long.select("x").distinct().select("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
     full = cells.join(long, ["x", "t"], "left").select(F.lit("events").alias("img_id"), "x", F.lit(0).alias("y"), F.lit(0).alias("z"), "t", F.coalesce("v", F.lit(0.0)).alias("v"))
     from ..model import pack
 
-    return pack(full)
+    return pack(full), lo, n
 
 
 @query()
 def series_band_pass(spark, sf):
     from ..operators.spectral import band_pass
 
-    return band_pass(_series(spark, sf), 1.0, 0.02, 0.2).select("x", F.posexplode("ts").alias("t", "v")).withColumn("v", _r("v"))
+    return band_pass(_series(spark, sf)[0], 1.0, 0.02, 0.2).select("x", F.posexplode("ts").alias("t", "v")).withColumn("v", _r("v"))
 
 
 @query()
 def series_glm(spark, sf):
-    t = np.arange(120)
-    x = np.column_stack([np.sin(2 * np.pi * t / 4), np.cos(2 * np.pi * t / 4), np.ones(120)])
-    return R.glm(_series(spark, sf), x, ["x"]).select("x", *[_r(F.get("bhat", F.lit(k))).alias(f"b{k}") for k in range(3)], _r("rsqr").alias("rsqr"))
+    series, lo, n = _series(spark, sf)
+    t = lo % 4 + np.arange(n)  # a day is four bins: the same hours have the same phase on any table
+    x = np.column_stack([np.sin(2 * np.pi * t / 4), np.cos(2 * np.pi * t / 4), np.ones(n)])
+    return R.glm(series, x, ["x"]).select("x", *[_r(F.get("bhat", F.lit(k))).alias(f"b{k}") for k in range(3)], _r("rsqr").alias("rsqr"))
 
 
 @query()
