@@ -35,3 +35,26 @@ def test_series_of_every_user(spark, tmp_path):
         b = np.linalg.lstsq(x, y[k], rcond=None)[0]
         r2 = 1 - ((y[k] - x @ b) ** 2).sum() / ((y[k] - y[k].mean()) ** 2).sum()
         assert np.allclose([found[u].b0, found[u].b1, found[u].b2, found[u].rsqr], [*b, r2], atol=2e-6)
+
+
+def test_components_of_all_orders(spark, tmp_path):
+    lines = [(1, 5), (1, 3), (1, 9), (2, 9), (2, 12), (3, 20), (3, 21), (3, 22), (3, 21), (4, 30), (5, 40), (5, 40), (6, 22), (6, 50), (6, 51), (6, 52)]
+    lines += [(100 + k // 4, 1000 + (k * k * 7) % 97) for k in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label = {p: p for _, p in lines}
+    orders = [{p for o, p in lines if o == k} for k in {o for o, _ in lines}]
+    for _ in lines:
+        for parts in orders:
+            low = min(label[p] for p in parts)
+            label |= dict.fromkeys(parts, low)
+    met = {p for parts in orders if len(parts) > 1 for p in parts}
+    got = QUERIES["component_labels"](spark, str(tmp_path)).collect()
+    assert len(got) == len(met)
+    assert {r.id: r.component for r in got} == {p: label[p] for p in met}
+
+
+def test_concat_has_every_line(spark):
+    sf = "/root/testdata/sf0.001"
+    want = [(r.l_orderkey + 1_000_000, r.l_linenumber, r.l_extendedprice) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()]
+    assert len({line for _, line, _ in want}) > 1
+    assert sorted((r.id, r.line, r.v) for r in QUERIES["concat_lines"](spark, sf).filter("part = 'b'").collect()) == sorted(want)

@@ -316,6 +316,14 @@ def concat(spark, sf):
     return S.concat([a, b], "id", [1_000_000, 0])
 
 
+@query("SELECT id, line, 'a' AS part, v FROM (SELECT o_orderkey AS id, 0 AS line, o_totalprice AS v FROM orders) UNION ALL SELECT id + 1000000, line, 'b', v FROM (SELECT l_orderkey AS id, l_linenumber AS line, l_extendedprice AS v FROM lineitem)")
+def concat_lines(spark, sf):
+    """concat with every line of an order, told apart by line; the SQL of concat takes first lines only."""
+    a = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("line"), F.lit("a").alias("part"), F.col("o_totalprice").alias("v"))
+    b = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.lit("b").alias("part"), F.col("l_extendedprice").alias("v"))
+    return S.concat([a, b], "id", [1_000_000, 0])
+
+
 @query("SELECT o_custkey AS x FROM orders WHERE o_totalprice > 200000 INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def mask_intersect(spark, sf):
     a = _t(spark, sf, "orders").select(F.col("o_custkey").alias("x"), (F.col("o_totalprice") > 200000).cast("int").alias("v"))
@@ -511,9 +519,10 @@ def pca_embeddings(spark, sf):
 
 @query()
 def component_labels(spark, sf):
-    """Products bought together form groups: connected components over orders of two lines."""
-    two = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"), F.count("*").alias("n")).filter("n <= 2 and a <> b")
-    return N.connected_components(two.select("a", "b"))
+    """Products bought together form groups: connected components over all lines, each order's first part linked to its others."""
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
+    first = lines.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    return N.connected_components(lines.join(first, "l_orderkey").filter("a <> b").select("a", "b"))
 
 
 @query()
