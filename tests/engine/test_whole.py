@@ -58,3 +58,21 @@ def test_concat_has_every_line(spark):
     want = [(r.l_orderkey + 1_000_000, r.l_linenumber, r.l_extendedprice) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()]
     assert len({line for _, line, _ in want}) > 1
     assert sorted((r.id, r.line, r.v) for r in QUERIES["concat_lines"](spark, sf).filter("part = 'b'").collect()) == sorted(want)
+
+
+def test_trade_graph_of_all_lines(spark, tmp_path):
+    lines = [(1, 3, "R", 10.0), (1, 2, "N", 1.0), (2, 3, "A", 1.0), (2, 3, "R", 0.5)]  # customer = order = nation, supplier = nation
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for table, key, other in (("orders", "o_orderkey long", "o_custkey long"), ("customer", "c_custkey long", "c_nationkey int"), ("supplier", "s_suppkey long", "s_nationkey int")):
+        spark.createDataFrame([(k, k) for k in (1, 2, 3)], f"{key}, {other}").write.parquet(f"{tmp_path}/{table}.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.id: r.visits for r in run("betweenness")} == {1: 0, 2: 1, 3: 0}
+    assert {r.id: (r.out_strength, r.in_strength) for r in run("strengths_all")} == {1: (11.0, 0.0), 2: (1.5, 1.0), 3: (0.0, 11.5)}
+    assert {(r.src, r.dst): r.dist for r in run("all_pairs_shortest_all")} == {(1, 2): 1.0, (2, 3): 1.5, (1, 3): 2.5}
+
+
+def test_flagship_sums_all_lines(spark):
+    import __spark_entry__
+
+    total = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").agg({"l_quantity": "sum"}).first()[0]
+    assert abs(sum(r.out_strength for r in __spark_entry__.entry(spark).collect()) - total) < 1e-6 * total

@@ -6,6 +6,7 @@ Doubles are rounded on both sides, so that the order of summation doesn't show.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -413,9 +414,9 @@ _EDGES = """WITH e AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationk
 WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
 
 
-def trade_edges(spark, sf) -> DataFrame:
-    """Quantities returned by customers of a nation to suppliers of another; small sides join by AQE."""
-    lines = _t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_suppkey", "l_quantity")
+def trade_edges(spark, sf, lines: DataFrame | None = None) -> DataFrame:
+    """Quantities that customers of a nation order from suppliers of another, over lines or all of lineitem; small sides join by AQE."""
+    lines = (_t(spark, sf, "lineitem") if lines is None else lines).select("l_orderkey", "l_suppkey", "l_quantity")
     orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = _t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("src"))
     suppliers = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("dst"))
@@ -423,25 +424,30 @@ def trade_edges(spark, sf) -> DataFrame:
     return met.groupBy("src", "dst").agg(F.sum("l_quantity").alias("w"))
 
 
+def returned_edges(spark, sf) -> DataFrame:
+    """trade_edges over returned lines, as _EDGES has them."""
+    return trade_edges(spark, sf, _t(spark, sf, "lineitem").filter("l_returnflag = 'R'"))
+
+
 @query(f"{_EDGES}, b AS (SELECT src AS id, 1 AS o FROM e WHERE w <> 0 UNION ALL SELECT dst, 0 FROM e WHERE w <> 0) SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(1 - o) AS BIGINT) AS in_degree, count(*) AS degree FROM b GROUP BY id")
-def degrees(spark, sf):
-    return G.degrees(trade_edges(spark, sf)).select("id", "out_degree", "in_degree", "degree")
+def degrees(spark, sf, edges=returned_edges):
+    return G.degrees(edges(spark, sf)).select("id", "out_degree", "in_degree", "degree")
 
 
 @query(f"{_EDGES}, b AS (SELECT src AS id, w, 0.0 AS v FROM e UNION ALL SELECT dst, 0.0, w FROM e) SELECT id, round(CAST(sum(w) AS DOUBLE), 4) AS out_strength, round(CAST(sum(v) AS DOUBLE), 4) AS in_strength, round(CAST(sum(w + v) AS DOUBLE), 4) AS strength FROM b GROUP BY id")
-def strengths(spark, sf):
-    return G.degrees(trade_edges(spark, sf)).select("id", *[_r(c, 4).alias(c) for c in ("out_strength", "in_strength", "strength")])
+def strengths(spark, sf, edges=returned_edges):
+    return G.degrees(edges(spark, sf)).select("id", *[_r(c, 4).alias(c) for c in ("out_strength", "in_strength", "strength")])
 
 
 @query(f"""{_EDGES}, k AS (SELECT id, sum(w) AS k FROM (SELECT src AS id, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY id), p AS (SELECT e.w, a.k AS a, b.k AS b FROM e JOIN k a ON a.id = src JOIN k b ON b.id = dst),
 m AS (SELECT sum(w) n, sum(w * a * b) ab, sum(w * (a + b) / 2) s, sum(w * (a * a + b * b) / 2) ss FROM p) SELECT round(abs((ab / n - (s / n) * (s / n)) / (ss / n - (s / n) * (s / n))), 6) AS assortativity FROM m""")
-def assortativity(spark, sf):
-    return G.assortativity(trade_edges(spark, sf), weighted=True).select(_r("assortativity").alias("assortativity"))
+def assortativity(spark, sf, edges=returned_edges):
+    return G.assortativity(edges(spark, sf), weighted=True).select(_r("assortativity").alias("assortativity"))
 
 
 @query(f"{_EDGES} SELECT src, dst, round(w / (SELECT sum(w) FROM e), 9) AS w FROM e")
-def edge_normalize(spark, sf):
-    return G.normalize(trade_edges(spark, sf)).select("src", "dst", _r("w", 9).alias("w"))
+def edge_normalize(spark, sf, edges=returned_edges):
+    return G.normalize(edges(spark, sf)).select("src", "dst", _r("w", 9).alias("w"))
 
 
 @query(
@@ -449,8 +455,14 @@ def edge_normalize(spark, sf):
 r AS (SELECT src, dst, d, 1 AS n FROM s UNION ALL SELECT src, dst, d, n FROM (SELECT r.src, s.dst, min(r.d + s.d) AS d, r.n + 1 AS n FROM r JOIN s ON r.dst = s.src WHERE r.src <> s.dst AND r.n < 24 GROUP BY r.src, s.dst, r.n))
 SELECT src, dst, round(min(d), 4) AS dist FROM r GROUP BY 1, 2"""
 )
-def all_pairs_shortest(spark, sf):
-    return G.shortest_paths(trade_edges(spark, sf)).select("src", "dst", _r("dist", 4).alias("dist"))
+def all_pairs_shortest(spark, sf, edges=returned_edges):
+    return G.shortest_paths(edges(spark, sf)).select("src", "dst", _r("dist", 4).alias("dist"))
+
+
+#: The same over all of lineitem.
+for _f in (degrees, strengths, assortativity, edge_normalize, all_pairs_shortest):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, edges=trade_edges)
+    ORACLES[f"{_f.__name__}_all"] = ORACLES[_f.__name__].replace("WHERE l_returnflag = 'R' ", "")
 
 
 @query()
