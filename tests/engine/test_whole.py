@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 
+from voxloom.operators import spatial
 from voxloom.operators.spectral import butterworth
 from voxloom.plans.queries import QUERIES
 
@@ -76,3 +77,20 @@ def test_flagship_sums_all_lines(spark):
 
     total = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").agg({"l_quantity": "sum"}).first()[0]
     assert abs(sum(r.out_strength for r in __spark_entry__.entry(spark).collect()) - total) < 1e-6 * total
+
+
+def test_matrices_and_distances_of_all_coordinates(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, p = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    for name, want in (("cov_matrix_64", np.cov(p.T)), ("gram_matrix_64", p.T @ p)):
+        got = {(r.i, r.j): r.value for r in QUERIES[name](spark, sf).collect()}
+        assert len(got) == 64 * 64 and all(abs(got[i, j] - want[i, j]) < 2e-6 for i in range(64) for j in range(64))
+
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, p, strict=True)], "id long, p array<double>")
+    d2 = ((p[:, None] - p) ** 2).sum(2)
+    want = {(ids[i], ids[j]): d2[i, j] for i in range(len(ids)) for j in range(i + 1, len(ids)) if d2[i, j] < 1.1 * 1.1}
+    assert want
+    for size in (2048, 70):
+        found = spatial.within_blocked(points, 1.1, rows=size).collect()
+        assert len(found) == len(want) and all(abs(want[r.left_id, r.right_id] - r.dist2) < 1e-9 for r in found)

@@ -95,6 +95,45 @@ def nearest_blocked(queries: DataFrame, points: DataFrame, q_id: str = "id", p_i
     return pairs.groupBy("id").agg(F.min_by(F.struct("nearest_id", "dist2"), F.struct("dist2", "nearest_id")).alias("m")).select("id", F.col("m.nearest_id").alias("nearest_id"), F.col("m.dist2").alias("dist2"))
 
 
+def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str = "p", rows: int = 2048) -> DataFrame:
+    """(left_id, right_id, dist2) of all pairs left_id < right_id below the radius in high dimension, over all coordinates.
+
+    Blocks of about ``rows`` points meet each other once, by matrix products in Arrow batches;
+    pairs that these put near the radius or below are measured exactly.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-points.count() // rows))
+
+    def side(block: str) -> DataFrame:  # each with columns of its own: a cogroup doesn't tell shared ones apart
+        return points.select(F.col(p_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn(block, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+    left = side("qb").withColumn("pb", F.explode(F.sequence("qb", F.lit(blocks - 1)))).select("qb", "pb", "id", "p")
+    right = side("pb").withColumn("qb", F.explode(F.sequence(F.lit(0), "pb"))).select("qb", "pb", "id", "p")
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "dist2": np.zeros(0)})]
+        if len(a) and len(b):
+            x, y = np.stack(a["p"].to_numpy()), np.stack(b["p"].to_numpy())
+            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+            size = (y**2).sum(1)
+            for lo in range(0, len(x), 64):
+                part = x[lo : lo + 64]
+                own_size = (part**2).sum(1)[:, None]
+                near = own_size - 2 * part @ y.T + size < radius * radius + 1e-9 * (own_size + size)
+                if key[0] == key[1]:
+                    near &= ids[lo : lo + 64, None] < others
+                i, j = np.nonzero(near)
+                exact = ((part[i] - y[j]) ** 2).sum(1)
+                keep = (exact < radius * radius) & (ids[lo + i] != others[j])
+                i, j = ids[lo + i[keep]], others[j[keep]]
+                out.append(pd.DataFrame({"left_id": np.minimum(i, j), "right_id": np.maximum(i, j), "dist2": exact[keep]}))
+        return pd.concat(out)
+
+    return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(meet, "left_id long, right_id long, dist2 double")
+
+
 def paint_events(times: DataFrame, events: DataFrame, time: str = "t", onset: str = "onset", duration: str = "duration", value: str = "value", order: str = "row", bucket: float = 60.0) -> DataFrame:
     """times with the value of the last listed event whose closed interval holds the time, else 0.
 

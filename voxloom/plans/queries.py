@@ -302,6 +302,16 @@ def within_distance(spark, sf):
     return S.within_distance(p, p, 0.1, 3).filter("left_id < right_id").withColumn("dist2", _r("dist2"))
 
 
+#: A radius for unit vectors of 64 coordinates: random ones are 1.41 apart, the nearest of 2,000 about 0.9.
+_NEAR = 1.1
+
+
+@query(f"WITH p AS ({_P}) SELECT a.id AS left_id, b.id AS right_id, round({_D2}, 6) AS dist2 FROM p a JOIN p b ON a.id < b.id WHERE {_D2} < {_NEAR} * {_NEAR}")
+def within_distance_64(spark, sf):
+    """within_distance in the whole space; its SQL takes the first 3 coordinates."""
+    return S.within_blocked(_points(spark, sf), _NEAR).withColumn("dist2", _r("dist2"))
+
+
 @query("""WITH s AS (SELECT epoch(ts) AS onset, 600.0 AS d, value, event_id FROM events WHERE event_type = 'purchase'), g AS (SELECT CAST(range AS DOUBLE) * 1800 + epoch(TIMESTAMP '2024-01-01') AS t FROM range(1440))
 SELECT t, coalesce((SELECT arg_max(value, event_id) FROM s WHERE t >= onset AND t <= onset + d), 0) AS painted FROM g""")
 def event_paint(spark, sf):
@@ -400,6 +410,18 @@ def gram_matrix(spark, sf):
     return _matrix(spark, D.covariance(_points(spark, sf, 8), "p", 8, centered=False))
 
 
+@query(ORACLES["cov_matrix"].replace("p[1:8]", "p"))
+def cov_matrix_64(spark, sf):
+    """cov_matrix of all coordinates; its SQL takes the first 8."""
+    return _matrix(spark, D.covariance(_points(spark, sf), "p", 64))
+
+
+@query(ORACLES["gram_matrix"].replace("p[1:8]", "p"))
+def gram_matrix_64(spark, sf):
+    """gram_matrix of all coordinates; its SQL takes the first 8."""
+    return _matrix(spark, D.covariance(_points(spark, sf), "p", 64, centered=False))
+
+
 @query(f"""WITH p AS ({_P}), e AS (SELECT id AS i, unnest(p) AS v, generate_subscripts(p, 1) - 1 AS k FROM p), b AS (SELECT k.range AS k, j.range AS j, cos(k.range + 2 * j.range) AS v FROM range(64) k, range(4) j)
 SELECT e.i, b.j, round(sum(e.v * b.v), 6) AS v FROM e JOIN b USING (k) GROUP BY 1, 2""")
 def block_matmul(spark, sf):
