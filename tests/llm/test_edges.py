@@ -105,3 +105,13 @@ def test_packing(odd, make):
     out = packing.pack(docs, queries.tokenizer(BYTE), 0).collect()
     assert ids([r for r in out if r.piece == 0]) == wanted(rows)
     assert packing.pack(make([]), queries.tokenizer(BYTE), 0).count() == 0
+
+
+def test_repeated_doc_id_with_other_texts(make, prose):
+    one, two, three = (prose(200, seed) for seed in (101, 102, 103))
+    near = lambda text, k: text + f" tail{k}"
+    rows = [(5, one), (7, near(one, 7)), (5, two), (9, near(two, 9)), (3, near(three, 3)), (5, three), (5, one)]
+    out = {(r.doc_id, r.h): r.component_id for r in neardup.labelled(make(rows)).collect()}
+    assert sorted((d, c) for (d, _), c in out.items()) == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+    got = sorted((r.doc_id, r.text) for r in neardup.keep_first(make(rows, extra=True)).collect())
+    assert got == sorted([(5, one), (5, one), (5, two), (3, near(three, 3))])

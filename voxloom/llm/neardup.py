@@ -21,7 +21,9 @@ Components come from hash-to-minimum joins on stored tables; nothing is collecte
 
 Defined results: a text without words has n_shingles 0 and is linked with nothing; with
 fewer than five words the whole sequence is the one shingle; repeated rows are copies of
-each other (same doc_id: both rows stay rows, kept is doc_id = component_id); a null
+each other (same doc_id: both rows stay rows, kept is doc_id = component_id); a doc_id
+repeated with other texts has a class for each, linked by its own text only, and components
+with the same smallest doc_id show the same component_id; a null
 doc_id is reported alone (component_id null, kept true, or kept only if it isn't a copy's
 larger id: it never represents a class with other members).
 """
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, mix, prefix_hash, ranges, span_hash, stored, text_chunks, text_column, window_hash, word_spans
@@ -82,7 +84,12 @@ def signatures(value: np.ndarray, number: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat(mix(value ^ seed), begin) for seed in _SEEDS], axis=1) if len(full) else np.zeros((0, COORDS), np.uint64)
 
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"
+SKETCH = "doc_id long, h long, n_shingles long, d1 long, d2 long, sig array<long>"
+
+
+def text_hash() -> Column:
+    """Tells the texts of a repeated doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -96,9 +103,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signatures(value, number).view(np.int64)
                 places = np.append(0, np.cumsum(np.where(number > 0, COORDS, 0)))
                 lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(sig.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(number), pa.array(d1), pa.array(d2), lists], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(number), pa.array(d1), pa.array(d2), lists], ["doc_id", "h", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("h")).mapInArrow(run, SKETCH)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,14 +264,13 @@ def link_groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
     groups = components(stars.filter("a <> b"))
     # blocks: a running amount of shingles within a group, over narrow rows
     order = Window.partitionBy("grp").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = groups.select(F.col("comp").alias("grp"), "id").join(reps.select("id", "n_shingles", "sig"), "id")
+    sized = groups.select(F.col("comp").alias("grp"), "id").join(reps.select("id", "doc", "h", "n_shingles", "sig"), "id")
     upto, nth = F.sum("n_shingles").over(order), F.count("*").over(order)
     block = F.greatest(F.floor(upto / BLOCK_SHINGLES), F.floor(nth / BLOCK_MEMBERS)).cast("long")
     placed = sized.withColumn("block", block)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    members = placed.join(texts, "id")
-    # a doc_id that is repeated with other texts: the representative is the row with its digest
-    members = stored(members.dropDuplicates(["id"]).drop("h").withColumn("comp", F.col("id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    # a doc_id may be repeated with other texts: the text is the one that gave the signature; doc and h follow from id
+    members = stored(placed.join(texts, ["doc", "h"]).dropDuplicates(["id", "doc", "h"]).drop("doc", "h").withColumn("comp", F.col("id")))
 
     blocks = members.select("grp", "block").distinct()
     first = blocks.groupBy("grp").agg(F.min("block").alias("x"))
@@ -290,19 +296,35 @@ def link_groups(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return comps
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, kept for every row of docs."""
     sketches = stored(sketch(docs))
-    classes = stored(sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")))
+    found = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.min("sig").alias("sig"))
+    classes = stored(found.select("d1", "d2", "n_shingles", F.col("r.doc_id").alias("doc"), F.col("r.h").alias("h"), "sig"))
+    shared = stored(classes.groupBy("doc").agg(F.count("*").alias("n"), F.min("h").alias("first")).filter("n > 1").select("doc", "first"))
+    repeated = not shared.isEmpty()
+    if repeated:  # classes whose smallest doc_id is the same: all but one go by a hash of doc_id and text
+        classes = stored(classes.join(shared, "doc", "left").withColumn("id", F.when(F.coalesce(F.col("h") != F.col("first"), F.lit(False)), F.xxhash64("doc", "h")).otherwise(F.col("doc"))).drop("first"))
+    else:
+        classes = classes.withColumn("id", F.col("doc"))
     comps = link_groups(docs, classes)
-    named = classes.select("d1", "d2", "n_shingles", "id").join(comps, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "id").alias("comp"))
+    named = classes.select("d1", "d2", "n_shingles", "doc", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    if repeated:
+        named = stored(named)
+        named = named.join(named.groupBy("comp").agg(F.min("doc").alias("low")), "comp").withColumn("comp", F.col("low"))
+    named = named.select("d1", "d2", "n_shingles", "comp")
     # a representative that is alone in its class needs no look-up, but copies of one class may be many: the join's hot keys are split by AQE
     out = sketches.join(named, ["d1", "d2", "n_shingles"], "left")
     lowest = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", lowest.alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", lowest.alias("component_id")).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    return labelled(docs).drop("h")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that represent their component, columns unchanged (rows repeated whole stay)."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    kept = labelled(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["__h"]), "left_semi")
