@@ -421,3 +421,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == counts[-1]
     rules = {r.doc_id for r in repetition.measure_rules(docs).filter("kept").collect()}
     assert rules == {r.doc_id for r in docs.collect()}
+
+
+def test_keep_known_drops_unlearnt_and_random_text(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    profiles = queries.learn_languages(docs)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (15, 40, 200)]
+    noise.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem")
+    noise.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.")
+    strange = spark.createDataFrame([(-k, t, "en") for k, t in enumerate(noise, 1)], docs.schema)
+    short = docs.filter("size(split(text, ' ')) >= 5").withColumn("text", F.expr("array_join(slice(split(text, ' '), 1, 5), ' ')"))
+    for clean in (docs, short):
+        clean = clean.filter(F.col("text").rlike("\\p{L}"))
+        kept = langid.keep_known(clean.unionByName(strange), profiles)
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in clean.select("doc_id").collect())
