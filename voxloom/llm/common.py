@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled by one vectorised step; a longer document is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows that a key must hold before join_hot() treats it as hot, whatever the number of rows.
+HOT_ROWS = 1000
 
 _own_dir: list[str] = []
 
@@ -27,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder; a local folder only where none is configured."""
+    """A new path in the shared folder; a local folder of its own only for a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="voxloom-"))
         base = f"file://{_own_dir[0]}"
@@ -43,6 +48,39 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: Sequence[str], size: str) -> DataFrame:
+    """left joined with right on key without gathering the rows of a hot key in one task.
+
+    right holds one row a key, with the number of left's rows in column ``size``; it is read
+    several times, so it should be stored. A key is hot when it holds more than a quarter
+    of a partition's share of the rows, so there are at most four hot keys a partition:
+    their rows of right are broadcast, all others meet by a shuffle.
+    """
+    key, parts = list(key), partitions(left.sparkSession)
+    total = right.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT_ROWS, total // (4 * parts))
+    hot = right.filter(F.col(size) > least)
+    if hot.isEmpty():
+        return left.join(right, key)
+    names = [*key, *(c for c in left.columns if c not in key), *(c for c in right.columns if c not in key)]
+    many = left.join(F.broadcast(hot), key).select(*names)
+    few = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(right.filter(F.col(size) <= least), key)
+    return many.unionByName(few.select(*names))
+
+
 def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,18 +113,6 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -96,20 +122,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; span_hash() cuts spans out of it."""
-    power, _ = _power(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power, dtype=np.uint64, out=out[1:])
-    return out
+#: A multiplier of its own for each place of a span, so no pattern of bytes cancels out.
+_PLACES = 4096
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+
+
+_PLACE = _multipliers(_PLACES)
 
 
-def span_hash(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span of bytes, whatever its place."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, whatever its place: bytes weighted by their place in the span."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    _, inverse = _power(len(running))
-    return mix((running[end] - running[start]) * inverse[start] + (end - start).astype(np.uint64))
+    size = end - start
+    place = ranges(size)
+    longest = int(size.max())
+    weight = _PLACE if longest <= _PLACES else _multipliers(longest)
+    value = _BYTE[data[np.repeat(start, size) + place]] * weight[place]
+    upto = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, dtype=np.uint64, out=upto[1:])
+    last = np.cumsum(size)
+    return mix(upto[last] - upto[last - size] + size.astype(np.uint64) * np.uint64(_BASE))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, prefix_hash, span_hash, text_chunks, text_column, window_hash, word_spans
+from .common import mix, span_hash, text_chunks, text_column, window_hash, word_spans
 
 #: Largest share of word characters inside repeated n-grams, first occurrences included.
 COVERAGE = {5: 0.30, 7: 0.26, 10: 0.20}
@@ -64,8 +64,7 @@ def covered(words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     start, end, first = word_spans(data, offsets)
-    running = prefix_hash(data)
-    words = span_hash(running, start, end)
+    words = span_hash(data, start, end)
     owner = np.repeat(np.arange(n), np.diff(first))
     head = np.append(0, np.cumsum((data & 0xC0) != 0x80))
     chars = head[end] - head[start]
@@ -81,7 +80,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     w0, w1 = np.searchsorted(start, line_start), np.searchsorted(start, line_end)
     full = w1 > w0
     line_start, line_end, line_doc, w0, w1 = (x[full] for x in (line_start, line_end, line_doc, w0, w1))
-    line_key = span_hash(running, line_start, line_end)
+    line_key = span_hash(data, line_start, line_end)
     twice = np.flatnonzero(repeated(line_key, line_doc))
     dup_lines, dup_chars = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(twice):
