@@ -211,22 +211,48 @@ def test_loss_spans_point_into_the_rendering(spark):
 # ---- 6, 10 -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name,split", [("word_bpe_49k.json", "blank"), ("byte_bpe_50k.json", "before")])
-def test_pieces_equal_whole_texts(documents, name, split, monkeypatch):
+ODD = ["", "  a  b ", "x\n\n y", "don't stop's 'S", "<|endoftext|> a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "12ab 3.5 áé É́ ÀÉ", "a\tb\x0bc d e", "İstanbul Σας ß ﬁ", "word.\nNext.\nabc", "\nabc", "a \nb", "日本 語", "a\x1cb \x85c", "a  .b ,c", "é ñ", "trailing ", " ", "\n\nA", "x\n(y) (z)\n\n#1", "it's5 'l5 5's", "\0 a\0b"]
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_pieces_equal_whole_texts(documents, name, kind, monkeypatch):
+    import random
+
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     from voxloom.llm import tokens
 
     whole = Tokenizer.from_file(queries.tokenizer(name))
-    odd = ["", "  a  b ", "x\n\n y", "don't stop's 'S", "<|endoftext|> a<|endoftext|>b <|startoftext|>", "12ab 3.5 áé É́ ÀÉ", "a\tb\x0bc d e", "İstanbul Σας ß ﬁ", "word.\nNext.\nabc", "\nabc", "a \nb", "日本 語", "a\x1cb \x85c", "a  .b ,c", "é ñ"]
-    own = Encoder(queries.tokenizer(name), split)
-    for text in [t for _, t in documents] + odd:
+    own = Encoder(queries.tokenizer(name))
+    assert own.kind == kind
+    rng = random.Random(6)
+    fuzz = ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "Bc", "é", "́", "3", "45", ".", ",)", "-", "'", "'s", "'re", "<|", "|>", "endoftext", "日", "\x85", "\0", "²", "×"]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts = [t for _, t in documents] + ODD + fuzz + [None]
+    want = [x.ids for x in whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    ids, at = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)  # a full cache keeps what is used often, results stay
+    small = Encoder(queries.tokenizer(name))
+    for text, ids in zip(texts[:300] + ODD, want[:300] + want[len(documents) : len(documents) + len(ODD)], strict=True):
+        assert small.ids(text).tolist() == ids
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path, documents):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file:
+        told = json.load(file)
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(told, file)
+    own, whole = Encoder(path), Tokenizer.from_file(path)
+    assert own.kind is None
+    for _, text in documents[:5]:
         assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)  # a full cache starts anew, results stay
-    small = Encoder(queries.tokenizer(name), split)
-    assert [x.tolist() for x in small.ids_many([t for _, t in documents[:40]])] == [own.ids(t).tolist() for _, t in documents[:40]]
-    for _, text in documents[:20]:
-        assert small.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_shards_read_back(spark, documents):

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranges, stored, text_chunks, text_column
-from .tokens import encoder
+from .tokens import TOGETHER, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, split: str = "before", with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text, with their number among the task's pieces of equal length.
 
     (task, length, nth) names a piece; the table has to be stored before it is used.
@@ -40,32 +40,32 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, spli
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            encode = encoder(tokenizer, split).ids_many
             texts = text_column(batch.column(1))
-            rows, ids_of = [], []
-            found = (ids for lo, hi, _, _ in text_chunks(texts) for ids in encode(texts[lo:hi].to_pylist()))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                    if with_ids:
-                        ids_of.append(ids[a:b].astype(np.int32))
-            columns = [np.array(x) for x in list(zip(*rows, strict=True))[1:]]
-            lengths = columns[2]
-            order = np.argsort(lengths, kind="stable")
-            counts = np.bincount(lengths, minlength=capacity + 1)
-            nth = np.empty(len(lengths), np.int64)
-            nth[order] = seen[lengths[order]] + ranges(counts[counts > 0])
-            seen += counts
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:]), pa.array(np.full(len(rows), task), pa.int32()), pa.array(nth)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-            if with_ids:
-                out.append(pa.array(ids_of, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+            for lo, hi, _, _ in text_chunks(texts, TOGETHER):
+                flat, first = encoder(tokenizer).encode(texts[lo:hi])
+                flat = np.insert(flat, first[1:], np.uint32(end_id)).astype("<u4")
+                n = np.diff(first) + 1
+                first = np.cumsum(n) - n
+                pieces = -(-n // capacity)
+                piece = ranges(pieces)
+                rest = np.repeat(n - (pieces - 1) * capacity, pieces)  # the first piece takes what full ones leave
+                start = np.where(piece == 0, 0, rest + (piece - 1) * capacity)
+                length = np.where(piece == 0, rest, capacity)
+                at = (np.repeat(first, pieces) + start) * 4
+                raw = memoryview(flat.tobytes())
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                counts = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(length), np.int64)
+                nth[order] = seen[length[order]] + ranges(counts[counts > 0])
+                seen += counts
+                rows = pa.array(np.repeat(np.arange(hi - lo), pieces))
+                out = [batch.column(0)[lo:hi].take(rows), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(rows), task), pa.int32()), pa.array(nth)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(flat.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
 
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
@@ -147,6 +147,6 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, split: str = "before", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return place(stored(cut_pieces(docs, tokenizer, end_id, capacity, split, with_ids)), capacity)
+    return place(stored(cut_pieces(docs, tokenizer, end_id, capacity, with_ids)), capacity)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored, text_chunks, text_column
-from .tokens import encoder
+from .tokens import TOGETHER, encoder
 
 MAGIC = b"VXSST001"
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 16, 10, 7
@@ -217,7 +217,7 @@ def open_shard(uri: str) -> Shard:
     return Shard(files.open_input_file(path))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, split: str = "blank", shards: int | None = None, to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None = None, to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts and write the shards; a stored table (shard, uri, n_docs, n_ids).
 
     to: a folder all executors can write, any URI that pyarrow opens; new and below
@@ -237,16 +237,18 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, split: str = "bla
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode = encoder(tokenizer, split).ids_many
                 files, path = fs.FileSystem.from_uri(f"{to}/shard-{shard:06d}.sst")
                 files.create_dir(path.rpartition("/")[0], recursive=True)
                 part = f"{path}.{task.taskAttemptId()}"
                 out = files.open_output_stream(part)
                 writer = Writer(out, zstandard.ZstdCompressor(level=1).compress)
             texts = text_column(batch.column(1))
-            for lo, hi, _, _ in text_chunks(texts):
-                for doc_id, ids in zip(batch.column(0)[lo:hi].to_pylist(), encode(texts[lo:hi].to_pylist()), strict=True):
-                    writer.add(encode_key(doc_id), np.append(ids, np.uint32(end_id)).astype(np.uint32))
+            for lo, hi, _, _ in text_chunks(texts, TOGETHER):
+                flat, first = encoder(tokenizer).encode(texts[lo:hi])
+                flat = np.insert(flat, first[1:], np.uint32(end_id))
+                first = (first + np.arange(len(first))).tolist()
+                for doc_id, a, b in zip(batch.column(0)[lo:hi].to_pylist(), first[:-1], first[1:], strict=True):
+                    writer.add(encode_key(doc_id), flat[a:b])
             n += batch.num_rows
         if writer is not None:
             writer.close()

@@ -1,211 +1,246 @@
-"""Whole-text token ids through the tokenizers library, with a per-worker piece cache.
+"""Whole-text token ids through the tokenizers library, with a bounded per-worker cache.
 
-A text is cut into pieces at places where the tokenizer never joins two pieces; a new piece
-is cut further into runs of letters and of marks, which the tokenizer never joins either.
-Each distinct run is encoded once by the library, and the ids of a text are the
-concatenation over its pieces. tests/llm/test_tokens.py holds this against encoding
-whole texts.
+A text is cut into pieces at places where the tokenizer never joins two pieces: between
+letters, digits and marks, and at the blank before them. Each distinct piece is encoded
+once by the library, and the ids of a text are the concatenation over its pieces. Which
+places are safe follows from the tokenizer file itself; a file of another kind is used on
+whole texts. tests/llm/test_operators.py holds this against encoding whole texts.
+
+Pieces are known by a 64-bit hash of their bytes; nothing but numbers is kept, so the
+cache has a fixed size in bytes and pieces used least go first. Results don't depend on it.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
-import re
-from collections.abc import Callable
-from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
-#: Distinct pieces, and runs, that a worker keeps; beyond it rarely used pieces and all runs go (bounds memory, not results).
-CACHE_PIECES = 1_000_000
-#: Characters of text whose new pieces are learnt together.
-TOGETHER = 1 << 20
+from .common import ranges, span_hash, text_chunks, text_column
 
-_open: dict[tuple[str, str], "Encoder"] = {}
+#: Pieces that a worker keeps (some 40 bytes each: 24 MB); beyond it the rarely used ones go.
+CACHE_PIECES = 600_000
+#: Bytes of text whose new pieces are learnt together.
+TOGETHER = 1 << 20
+#: New pieces that go to the library as one text.
+JOINED = 20_000
+
+_open: dict[str, "Encoder"] = {}
+
+# Classes of bytes: letters (ASCII and the two-byte Latin ones), digits, marks other than the apostrophe.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[*range(48, 58)]] = 2
+_CLASS[[ord(c) for c in ".,;:!?*$%&#()-"]] = 3
+_LATIN = np.zeros(256, bool)  # second bytes of À to ÿ without the signs × and ÷
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of every byte, 0 for none."""
+    out = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    out[lead] = out[lead + 1] = 1
+    return out
+
+
+def cut_words(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of pieces for a tokenizer that drops white space: runs without ASCII white space, cut between classes."""
+    inside = ~_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | ((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
+    head = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[head] = inside[head]
+    start = np.flatnonzero(first)
+    # a piece ends at the next piece's start, less the white space before it
+    blank = np.append(np.flatnonzero(~inside), len(data))
+    end = np.minimum(np.append(start[1:], len(data)), blank[np.searchsorted(blank, start)])
+    return start, end
+
+
+def cut_bytes(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a tokenizer that keeps white space and draws one space to the word after it.
+
+    Cuts lie between classes, before a space that a class follows, and around a single line
+    break between classes.
+    """
+    known = kind > 0
+    first = np.zeros(len(data), bool)
+    first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    first[1:] |= (kind[1:] != kind[:-1]) & known[1:] & known[:-1]
+    spaced = (data[:-1] == 32) & known[1:]
+    spaced[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))] - 1] = False  # what follows is another text
+    first[:-1] |= spaced
+    line = (data[1:] == 10) & known[:-1]
+    first[1:] |= line
+    first[2:] |= line[:-1] & known[2:]
+    start = np.flatnonzero(first)
+    return start, np.append(start[1:], len(data))
+
+
+def _kind_of(path: str) -> str | None:
+    """words, bytes or None: how texts may be cut for this tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, before, normal = told["model"], told.get("pre_tokenizer") or {}, told.get("normalizer")
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return None
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or not (t["content"].startswith("<|") and t["content"].endswith("|>")) for t in told.get("added_tokens", ())):
+        return None
+    if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and normal is None and not model.get("end_of_word_suffix"):
+        return "bytes"
+    steps = before.get("pretokenizers", ())
+    words = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
+    plain = [s for s in steps if s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space")]
+    known = [n.get("type") in ("NFC", "Lowercase") or n.get("type") == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in (normal or {}).get("normalizers", ())]
+    if words == ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"] and len(plain) == 1 and len(steps) == 2 and known and all(known) and model.get("end_of_word_suffix"):
+        return "words"
+    return None
 
 
 class Encoder:
-    """ids(texts) for one tokenizer file; split: 'blank' or 'before'.
+    """Ids of whole texts for one tokenizer file."""
 
-    blank: pieces are maximal runs without ASCII white space, which is dropped, for
-    tokenizers that drop white space. before: a piece starts at each space that is
-    followed by a Latin letter, for byte-level tokenizers that keep the space as the
-    first character of a word.
-    """
-
-    def __init__(self, path: str, split: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cut: Callable[[str], list] = _blank if split == "blank" else _before
-        self.blank = split == "blank"
-        self.parts, self.between = (_LOWER_PARTS, " ") if self.blank else (_PARTS, "\n")
+        self.tokenizer, self.kind = Tokenizer.from_file(path), _kind_of(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # what ends a word, or the line break put between runs
+        suffix = self.tokenizer.model.end_of_word_suffix if self.kind == "words" else None
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # what ends a piece, or the line break put between pieces
         for token, k in vocabulary.items():
-            self.ends[k] = token.endswith("</w>") if self.blank else token == "Ċ"
-        self._clear()
-
-    def _clear(self) -> None:
-        self.pieces, self.runs = _Store(), _Store()
-
-    def _learn(self, pieces: list) -> None:
-        find, cut, other = self.parts.findall, [], {"\n"}
-        for x in pieces:
-            text = (x.decode().lower() if x.isascii() else x.decode()) if self.blank else _spaced(x)
-            runs = find(text)
-            if not runs or "".join(runs) != text:
-                runs = (text,)
-                other.add(text)
-            cut.append(runs)
-        flat = list(chain.from_iterable(cut))
-        if len(self.runs.index) + len(flat) > CACHE_PIECES:
-            self.runs = _Store()
-        known = self.runs.index
-        new = [run for run in dict.fromkeys(flat) if run not in known]
-        self._encode_joined([run for run in new if run not in other])
-        self._encode_each([run for run in new if run in other])
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        sizes = np.append(0, np.cumsum(self.runs.size[at].astype(np.int64)))
-        last = np.cumsum([len(runs) for runs in cut])
-        self.pieces.put(pieces, self.runs.gather(at), np.diff(sizes[np.append(0, last)]))
-
-    def _encode_each(self, runs: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
-        self.runs.put(runs, np.array([k for ids in found for k in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
-
-    def _encode_joined(self, runs: list[str]) -> None:
-        """Runs encoded together, which the library does faster, and told apart by what ends a run."""
-        for lo in range(0, len(runs), 20_000):
-            some = runs[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            end = self.ends[ids]
-            at = np.flatnonzero(end) if self.blank else np.append(np.flatnonzero(end), len(ids))
-            if len(at) != len(some):  # not every run was a word of its own
-                self._encode_each(some)
-            elif self.blank:
-                self.runs.put(some, ids, np.diff(at, prepend=-1))
-            else:
-                self.runs.put(some, ids[~end], np.diff(at, prepend=-1) - 1)
-
-    def ids_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each whole text."""
-        out: list[np.ndarray] = []
-        lo, collecting = 0, gc.isenabled()
-        gc.disable()  # the many small lists below hold no cycles
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TOGETHER):
-                size += len(texts[hi])
-                hi += 1
-            out += self._ids(texts[lo:hi])
-            lo = hi
-        if collecting:
-            gc.enable()
-        return out
+            self.ends[k] = token.endswith(suffix) if suffix else token == "Ċ"
+        self.pieces = _Store()
 
     def ids(self, text: str) -> np.ndarray:
-        return self._ids([text])[0]
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        counts = [len(x) for x in cut]
-        flat = cut[0] if len(cut) == 1 else list(chain.from_iterable(cut))
-        at = np.fromiter(map(self.pieces.index.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(at) and at.min() < 0:
-            new = list(dict.fromkeys(p for p, k in zip(flat, at.tolist(), strict=True) if k < 0))
-            if len(self.pieces.index) + len(new) > CACHE_PIECES:
+        return self.encode(pa.array([text]))[0]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and where each text's begin (one more at the end)."""
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        texts = text_column(texts)
+        for lo, hi, data, offsets in text_chunks(texts, TOGETHER):
+            if self.kind:
+                ids, n = self._pieced(data, offsets)
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[lo:hi].to_pylist(), add_special_tokens=False)]
+                ids, n = np.array([k for x in found for k in x], np.uint32), np.array([len(x) for x in found], np.int64)
+            flat.append(ids)
+            counts.append(n)
+        return np.concatenate(flat), np.append(0, np.cumsum(np.concatenate(counts)))
+
+    def _pieced(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kind = classes(data)
+        start, end = (cut_words if self.kind == "words" else cut_bytes)(data, kind, offsets)
+        keys, some, where = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+        at = self.pieces.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if self.pieces.n + len(new) > CACHE_PIECES:
                 self.pieces = self.pieces.often_used(CACHE_PIECES // 2)
-                new = [p for p in dict.fromkeys(flat) if p not in self.pieces.index]
-            self._learn(new)
-            at = np.fromiter(map(self.pieces.index.__getitem__, flat), np.int64, len(flat))
-        self.pieces.count(at)
-        ids = self.pieces.gather(at)
-        upto = np.append(0, np.cumsum(self.pieces.size[at].astype(np.int64)))[np.append(0, np.cumsum(counts)).astype(np.int64)]
-        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                new = np.flatnonzero(self.pieces.find(keys) < 0)
+            self._learn(data, kind, keys[new], start[some[new]], end[some[new]])
+            at = self.pieces.find(keys)
+        self.pieces.used[at] += np.bincount(where, minlength=len(keys)).astype(np.int32)
+        slots = at[where]
+        upto = np.append(0, np.cumsum(self.pieces.size[slots], dtype=np.int64))
+        first = np.searchsorted(start, offsets)
+        return self.pieces.gather(slots), np.diff(upto[first])
+
+    def _learn(self, data: np.ndarray, kind: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        # a piece of one class is one word to the tokenizer, but for digits where each is a word
+        odd = np.append(0, np.cumsum(kind == 0))
+        led = (data[start] == 32) & (end - start > 1) if self.kind == "bytes" else np.zeros(len(start), bool)
+        plain = (odd[end] - odd[start] == led) & ((self.kind == "bytes") | (kind[start] != 2))
+        ids, sizes = self._each([x.decode() for x, p in zip(texts, plain, strict=True) if not p])
+        order, flat, count = [np.flatnonzero(~plain)], [ids], [sizes]
+        together = np.flatnonzero(plain)
+        for lo in range(0, len(together), JOINED):
+            some = together[lo : lo + JOINED]
+            ids, sizes = self._joined([texts[k] for k in some.tolist()])
+            order.append(some)
+            flat.append(ids)
+            count.append(sizes)
+        self.pieces.put(keys[np.concatenate(order)], np.concatenate(flat), np.concatenate(count))
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+        return np.array([k for ids in found for k in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces encoded as one text, which the library does faster, and told apart by what ends a piece."""
+        words = self.kind == "words"
+        text = (b" " if words else b"\n").join(pieces).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        end = self.ends[ids]
+        at = np.flatnonzero(end) if words else np.append(np.flatnonzero(end), len(ids))
+        if len(at) != len(pieces):
+            return self._each([x.decode() for x in pieces])
+        if words:
+            return ids, np.diff(at, prepend=-1)
+        return ids[~end], np.diff(at, prepend=-1) - 1
 
 
 class _Store:
-    """Id arrays by key, one behind the other."""
+    """Id arrays under 64-bit keys: sorted keys, and the place and number of each key's ids."""
 
     def __init__(self):
-        self.index: dict = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size, self.used_times = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-
-    def count(self, at: np.ndarray) -> None:
-        uses = np.bincount(at, minlength=1)
-        self.used_times[: len(uses)] += uses.astype(np.int32)
+        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.n = self.filled = 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.size, self.used = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each of the sorted keys, -1 where it isn't held."""
+        if not self.n:
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.key, keys), self.n - 1)
+        return np.where(self.key[at] == keys, self.slot[at], np.int32(-1))
+
+    def put(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New keys, their ids in one array and how many belong to each."""
+        n = len(keys)
+        while self.n + n > len(self.start):
+            self.start, self.size, self.used = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size, self.used))
+        if self.filled + len(ids) > len(self.flat):
+            more = max(len(self.flat) // 2, len(ids))
+            self.flat = np.concatenate([self.flat, np.zeros(more, np.uint32)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.start[self.n : self.n + n], self.size[self.n : self.n + n] = self.filled + np.cumsum(sizes) - sizes, sizes
+        order = np.argsort(keys)
+        place = np.searchsorted(self.key, keys[order])
+        self.key = np.insert(self.key, place, keys[order])
+        self.slot = np.insert(self.slot, place, (self.n + order).astype(np.int32))
+        self.n, self.filled = self.n + n, self.filled + len(ids)
 
     def often_used(self, most: int) -> "_Store":
         """A store with at most so many of the keys: those used most often."""
-        n = len(self.index)
-        times = self.used_times[:n]
-        least = 2
+        times, least = self.used[: self.n], 2
         while (times >= least).sum() > most:
             least *= 2
-        keep = np.flatnonzero(times >= least)
-        keys, out = list(self.index), _Store()
-        out.put([keys[k] for k in keep.tolist()], self.gather(keep), self.size[keep].astype(np.int64))
-        out.used_times[: len(keep)] = times[keep] // 2
+        keep = times[self.slot] >= least
+        slots, out = self.slot[keep], _Store()
+        out.put(self.key[keep], self.gather(slots), self.size[slots].astype(np.int64))
+        out.used[: len(slots)] = times[slots] // 2
         return out
 
-    def put(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New keys, their ids in one array and how many belong to each."""
-        k, n = len(self.index), len(keys)
-        while k + n > len(self.start):
-            self.start, self.size, self.used_times = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.size, self.used_times))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.index.update(zip(keys, range(k, k + n), strict=True))
-        self.start[k : k + n], self.size[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        size = self.size[at].astype(np.int64)
-        upto = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - upto + size, size) + np.arange(int(size.sum()))]
-
-
-# Runs: letters (with the space before them), marks other than the apostrophe, a line break between words.
-_L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?*$%&#()\-"
-_LOWER_PARTS = re.compile(f"[{_L}]+|[{_M}]+")
-_PARTS = re.compile(f" ?[{_L}]+|[{_M}]+|\n(?=[{_L}])")
-
-
-def _blank(text: str) -> list:
-    return text.encode().split()
-
-
-_other = re.compile(f" (?![{_L}])")
-
-
-def _before(text: str) -> list:
-    """Pieces that begin at a space before a letter, without that space.
-
-    Other spaces are marked by a null character, so that splitting at a space finds the
-    places; the first piece, which has no space before it, begins with one. A text that
-    holds null characters is one piece, marked by a 1.
-    """
-    if "\0" in text:
-        return ["\1" + text]
-    first, *rest = _other.sub("\0", text).split(" ")
-    rest.insert(0, "\0" + first)
-    return rest
-
-
-def _spaced(piece: str) -> str:
-    """The text of such a piece."""
-    if piece[0] == "\1":
-        return piece[1:]
-    return (piece[1:] if piece[0] == "\0" else " " + piece).replace("\0", " ")
+    def gather(self, slots: np.ndarray) -> np.ndarray:
+        size = self.size[slots].astype(np.int64)
+        return self.flat[np.repeat(self.start[slots].astype(np.int64), size) + ranges(size)]
 
 
-def encoder(path: str, split: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for this file; made once and kept with its cache."""
-    if (path, split) not in _open:
-        _open[path, split] = Encoder(path, split)
-    return _open[path, split]
+    if path not in _open:
+        _open.clear()  # one file's cache at a time
+        _open[path] = Encoder(path)
+    return _open[path]
