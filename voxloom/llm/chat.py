@@ -15,7 +15,10 @@ appears inside and unescaping gives the exact text back. The loss mask has one s
 each assistant text.
 
 Defined results: null role or text is empty; a null conv_id is a conversation of its own;
-events of equal seq are taken in order of kind, then text; an empty log gives no row.
+a null seq comes first;
+events of equal seq are taken in order of kind, then text (equal ones each count); an event of
+unknown or null kind is a delta; a null turn is the first turn; an empty log gives no row; extra
+columns are left out.
 A conversation is one rendered row (that is the product), never more than one.
 """
 
@@ -35,18 +38,30 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def unescape_role(role: Column) -> Column:
+    """Doubled backslashes first, from left to right: what is left of a backslash then belongs to a line break or to ``<|``."""
+    parts = F.split(role, "\\\\\\\\")
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("<\\|"), F.lit("<|")), F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def messages(log: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of the final messages."""
-    restart = F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))
-    again = F.when(F.col("kind") == "regenerate", F.col("seq"))
+    """conv_id, turn, role, text of the final messages.
+
+    Events are numbered within their conversation by seq, kind and text first, so events of
+    equal seq have one order and a restart voids all that comes before it there.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    log = log.select("conv_id", F.col("turn").cast("long").alias("turn"), "seq", "kind", F.col("role").cast("string").alias("role"), text.alias("text"))
+    in_order = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_first(), F.col("kind").asc_nulls_first(), "text", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first())
+    log = log.withColumn("nth", F.row_number().over(in_order))
+    restart = F.when(F.col("kind").isin("edit", "regenerate"), F.col("nth"))
+    again = F.when(F.col("kind") == "regenerate", F.col("nth"))
     by_turn = Window.partitionBy("conv_id", "turn")
     earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("turn", F.col("turn").cast("long"))
     marked = log.withColumn("restart", F.max(restart).over(by_turn)).withColumn("void", F.max(again).over(earlier))
-    alive = marked.filter((F.col("restart").isNull() | (F.col("seq") >= F.col("restart"))) & (F.col("void").isNull() | (F.col("seq") > F.col("void"))))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", text.alias("text"))))
-    role = F.coalesce(F.max_by(F.col("role").cast("string"), F.struct(F.col("role").isNotNull(), "seq")), F.lit(""))
+    alive = marked.filter((F.col("restart").isNull() | (F.col("nth") >= F.col("restart"))) & (F.col("void").isNull() | (F.col("nth") > F.col("void"))))
+    parts = F.sort_array(F.collect_list(F.struct("nth", "text")))
+    role = F.coalesce(F.max_by("role", F.struct(F.col("role").isNotNull(), "nth")), F.lit(""))
     return alive.groupBy("conv_id", "turn").agg(role.alias("role"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 
@@ -80,7 +95,7 @@ def parse(formatted: DataFrame) -> DataFrame:
     """Read renderings back: conv_id, turns (role, text), loss_texts, formatted."""
     pieces = F.slice(F.split("formatted", "<\\|im_start\\|>"), 2, F.lit(2**31 - 1))
     cut = formatted.select("conv_id", "formatted", "loss", pieces.alias("p"))
-    role = lambda x: unescape(F.replace(F.substring_index(x, "\n", 1), F.lit("\\n"), F.lit("\n")))
+    role = lambda x: unescape_role(F.substring_index(x, "\n", 1))
     body = lambda x: F.substring(x, F.char_length(F.substring_index(x, "\n", 1)) + 2, F.char_length(x) - F.char_length(F.substring_index(x, "\n", 1)) - 1 - len(CLOSE))
     # a span is cut out of its own turn's piece: the piece follows OPEN, which the place counts
     masked = F.transform("loss", lambda s: unescape(F.substring(F.element_at("p", s["turn"] + 1), (s["at"] - len(OPEN) + 1).cast("int"), s["length"].cast("int"))))
