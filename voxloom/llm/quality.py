@@ -7,7 +7,10 @@ margin into a score. The fit takes at most ``PER_CLASS`` labelled rows of either
 the score covers every row where it lies, without a shuffle.
 
 Defined results: null and empty texts have no feature and get the score of the bias;
-with no labelled row of a class the score is the smoothed share of label 1.
+with no labelled row of a class the score is the smoothed share of label 1; a null label is no
+label; a doc_id labelled twice counts once with each different label; equal texts get
+equal scores; every row, repeated or not, is scored; a text of any length is read whole; an empty
+table gives no row; extra columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -57,20 +60,19 @@ class Model:
 
 
 def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Minimise the squared-hinge support vector problem by dual coordinate descent.
+    """Minimise the hinge-loss support vector problem by dual coordinate descent.
 
     values[f] is the value of feature f in every row that has it; one more feature of
-    value 1 is the bias.
+    value 1 is the bias; cost: the largest dual variable of each row.
     """
     rng = np.random.default_rng(seed)
     w, bias, alpha = np.zeros(len(values)), 0.0, np.zeros(len(y))
-    diagonal = 1 / (2 * cost)
-    own = np.array([values[r] @ values[r] + 1 for r in rows]) + diagonal
+    own = np.array([values[r] @ values[r] + 1 for r in rows])
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
             v = values[rows[i]]
-            slope = y[i] * (w[rows[i]] @ v + bias) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - slope / own[i], 0.0)
+            slope = y[i] * (w[rows[i]] @ v + bias) - 1
+            new = min(max(alpha[i] - slope / own[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[rows[i]] += step * v
@@ -100,11 +102,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not len(y) or abs(y.sum()) == len(y):
         p = ((y > 0).sum() + 1) / (len(y) + 2)
         return Model(np.zeros(SIZE), 0.0, 1.0, float(np.log(p / (1 - p))))
-    counts = [np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == c]), minlength=SIZE) + 1.0 for c in (1, -1)]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    ratio[counts[0] + counts[1] < 5] = 0.0  # seen in fewer than three rows: no evidence
     apart = np.arange(len(y)) % 5 == 0
     used = np.flatnonzero(~apart) if min((y[apart] > 0).sum(), (y[apart] < 0).sum()) and abs(y[~apart].sum()) < (~apart).sum() else np.arange(len(y))
+    counts = [np.bincount(np.concatenate([rows[i] for i in used if y[i] == c]), minlength=SIZE) + 1.0 for c in (1, -1)]
+    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    ratio[counts[0] + counts[1] < 5] = 0.0  # seen in fewer than three rows: no evidence
     scale = ratio / np.sqrt(np.mean([ratio[rows[i]] @ ratio[rows[i]] for i in used]) + 1e-12)
     balance = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
     w, bias = dual_descent([rows[i] for i in used], scale, y[used], balance[used])
