@@ -11,11 +11,15 @@ in training as in scoring: after rounds on whole documents, training goes on wit
 highest passage of each document (and further ones of label-0 documents, in which every
 passage has label 0).
 
-The fit takes at most ``PER_CLASS`` labelled rows of either class. In scoring, embedding
+The fit takes at most ``PER_CLASS`` labelled rows of either class and ``SAMPLE_BYTES`` of text
+(labelled.py), whole texts, which are all that reaches the driver. In scoring, embedding
 and softmax collapse to one number for each n-gram, so every row is scored where it lies.
 
 Defined results: null and blank texts score as an empty passage (the bias); with no
-labelled row of a class the score is the smoothed share of label 1.
+labelled row of a class the score is the smoothed share of label 1; a null label is no label; a
+doc_id labelled twice counts once with each different label; equal texts get equal
+scores; every row, repeated or not, is scored; a text of any length is read whole; an empty table
+gives no row; extra columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, ranges, span_hash, text_chunks, text_column, word_spans
+from .common import mix, ranges, span_hash, text_chunks, text_column, word_spans
 from .labelled import fold, sample
 from .quality import logistic_curve
 
@@ -49,7 +53,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     own = np.full(len(data) + len(lengths) + 1, 32, np.uint8)
     own[np.arange(len(data)) + np.repeat(np.arange(len(lengths)) + 1, lengths)] = _FOLD[data]
     start, end, first = word_spans(own, np.append(offsets[:-1] + np.arange(len(lengths)), len(own)))
-    bucket = [(span_hash(prefix_hash(own), start, end) >> np.uint64(64 - 17)).astype(np.int64)]
+    bucket = [(span_hash(own, start, end) >> np.uint64(64 - 17)).astype(np.int64)]
     word = [np.arange(len(start))]
     wide = own.astype(np.uint64)
     for n in GRAMS:
@@ -112,11 +116,17 @@ class Model:
     def collapsed(self) -> np.ndarray:
         return self.table @ (self.out[:, 1] - self.out[:, 0])
 
-    def step(self, bucket: np.ndarray, weight: np.ndarray, row: np.ndarray, label: np.ndarray, rate: float, importance: np.ndarray) -> None:
-        """One joint gradient step; weight: share of the subword in its row's average."""
-        n = len(label)
+    def step(self, bucket: np.ndarray, size: np.ndarray, word: np.ndarray, share: np.ndarray, row: np.ndarray, label: np.ndarray, rate: float, importance: np.ndarray) -> None:
+        """One joint gradient step.
+
+        bucket: the subwords of the words used, size of them a word, one word after the other;
+        word, share, row: which word is which share of which row's average.
+        """
+        n, m = len(label), len(size)
+        of = np.repeat(np.arange(m), size)
         vectors = self.table[bucket]
-        mean = np.stack([np.bincount(row, vectors[:, k] * weight, n) for k in range(WIDTH)], axis=1)
+        words = np.stack([np.bincount(of, vectors[:, k], m) for k in range(WIDTH)], axis=1) / size[:, None]
+        mean = np.stack([np.bincount(row, words[word, k] * share, n) for k in range(WIDTH)], axis=1)
         logits = mean @ self.out + self.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -126,9 +136,9 @@ class Model:
         slow = np.float32(SOFTMAX_RATE * rate / n)
         self.out -= slow * (mean.T @ p).astype(np.float32)
         self.bias -= slow * p.sum(axis=0).astype(np.float32)
-        change = pull[row] * weight[:, None]
+        change = np.stack([np.bincount(word, pull[row, k] * share, m) for k in range(WIDTH)], axis=1) / size[:, None]
         touched, where = np.unique(bucket, return_inverse=True)
-        moved = np.stack([np.bincount(where, change[:, k], len(touched)) for k in range(WIDTH)], axis=1)
+        moved = np.stack([np.bincount(where, change[of, k], len(touched)) for k in range(WIDTH)], axis=1)
         self.table[touched] -= (rate * moved).astype(np.float32)
 
 
@@ -159,13 +169,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (3, 10),
         docs, lo, hi = docs[keep], lo[keep], hi[keep]
         if not len(docs):
             return
-        words = np.repeat(lo, hi - lo) + ranges(hi - lo)
         row = np.repeat(np.arange(len(docs)), hi - lo)
-        words = token[words]
-        size = per_word[words]
-        at = np.repeat(begin[words], size) + ranges(size)
-        share = np.repeat(1 / (size * np.repeat(hi - lo, hi - lo)), size)
-        model.step(bucket[at], share, np.repeat(row, size), labels[docs], rate, balance[docs])
+        # a word of a row once, with its share of the row's words
+        pair, times = np.unique(row * len(vocabulary) + token[np.repeat(lo, hi - lo) + ranges(hi - lo)], return_counts=True)
+        row, words = np.divmod(pair, len(vocabulary))
+        used, which = np.unique(words, return_inverse=True)
+        size = per_word[used]
+        model.step(bucket[np.repeat(begin[used], size) + ranges(size)], size, which, times / (hi - lo)[row], row, labels[docs], rate, balance[docs])
 
     whole, single = rounds
     for turn in range(whole + single):
@@ -177,9 +187,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (3, 10),
             docs = perm[lo : lo + batch]
             a, b = first[docs], first[docs + 1]
             if turn < whole:
-                span = np.minimum(b - a, 400)  # a stretch of a long document at a time
-                a = a + (rng.random(len(docs)) * (b - a - span + 1)).astype(np.int64)
-                bags(docs, a, a + span, rate * 2)
+                bags(docs, a, b, rate * 2)
                 continue
             bags(docs, place[docs], np.minimum(place[docs] + PASSAGE, b), rate)
             calm = docs[labels[docs] == 0]
