@@ -8,9 +8,13 @@ compared with each profile by the out-of-place distance: the sum of rank differe
 Counts are summed in each task and then by Spark on (language, n-gram); only the finished
 profiles, TOP rows a language, reach the driver.
 
+Letters keep their own code points in an n-gram, so no two n-grams share a code.
+
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when
 nothing was learnt. Ties go to the n-gram with the smaller code and to the language first
-in order. Texts are used whole.
+in order. Texts are used whole, whatever their length; repeated rows count and are answered
+each; a null language isn't learnt from; an empty table gives no row and no profile; extra columns
+of any name are left out (keep_known keeps them).
 """
 
 from __future__ import annotations
@@ -22,40 +26,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import stored, text_column
 from .labelled import fold
 
 TOP, UNKNOWN = 300, "und"
 #: Largest out-of-place distance of a known language. On sf0.01 rows with letters are at most 0.55 away and pieces of two to
 #: 40 words at most 0.63; eight or more words of random letters are at least 0.68 away, Polish, Finnish and Turkish 0.74.
 FARTHEST = 0.66
+#: Languages that may be learnt: their profiles (TOP n-grams each) go to the driver and to every task.
+MOST_LANGUAGES = 10_000
 _letters: list[np.ndarray] = []
+_EDGE = 1  # the code of a word's end
 
 
 def letter_codes() -> np.ndarray:
-    """Ten-bit code of every code point, 0 for one that isn't a letter."""
+    """Each letter's own code point, 0 for a code point that isn't a letter."""
     if not _letters:
-        points = np.arange(0x110000, dtype=np.uint32)
         letter = np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)), bool, 0x110000)
-        code = np.where(points < 1024, points, (points * np.uint32(2654435761) >> np.uint32(22)) | np.uint32(1))
-        _letters.append(np.where(letter, code, 0).astype(np.uint32))
+        _letters.append(np.where(letter, np.arange(0x110000, dtype=np.uint32), np.uint32(0)))
     return _letters[0]
 
 
 def grams(text: str) -> np.ndarray:
-    """All n-grams of the text as 32-bit codes, unsorted; empty if it has no letter."""
+    """All n-grams of the text as 64-bit codes, 21 bits a letter, unsorted; empty if it has no letter."""
     a = letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    a = np.concatenate([[0], a, [0]]).astype(np.uint32)
+    a = np.concatenate([[0], a, [0]])
     keep = a != 0
     keep[1:] |= a[:-1] != 0
     a = a[keep]
-    if not len(a) or not a.any():
-        return np.zeros(0, np.uint32)
-    a = np.append(np.uint32(0), a)
-    one = a[a != 0] | np.uint32(1 << 30)
-    two = a[:-1] << np.uint32(10) | a[1:]
-    three = (two[:-1] << np.uint32(10) | a[2:])[a[1:-1] != 0]
-    return np.concatenate([one, two | np.uint32(2 << 30), three | np.uint32(3 << 30)])
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    a = np.append(0, a).astype(np.uint64)  # runs of letters, one zero between them and at either end
+    letter = a != 0
+    a[~letter] = _EDGE
+    shift = np.uint64(21)
+    two = a[:-1] << shift | a[1:]
+    three = (two[:-1] << shift | a[2:])[letter[1:-1]]
+    return np.concatenate([a[letter], two, three])
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +116,19 @@ def learn(docs: DataFrame, most: int = TOP) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[lo : lo + 50_000], pa.int64())], ["lang", "gram", "n"])
 
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = stored(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    if (n := sums.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages to learn, more than {MOST_LANGUAGES}")
     found = sums.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("lang", "rank").toPandas()
-    return {str(k): part["gram"].to_numpy().astype(np.uint32) for k, part in found.groupby("lang")}
+    return {str(k): part["gram"].to_numpy().astype(np.uint64) for k, part in found.groupby("lang")}
 
 
 class Profiles:
     def __init__(self, profiles: dict[str, np.ndarray], most: int = TOP):
         self.most, self.langs = most, sorted(profiles)
-        every = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.uint32)]))
-        self.every = np.append(every, np.uint32(0))
+        every = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.uint64)]))
+        self.every = np.append(every, np.uint64(0))
         self.rank = np.full((len(self.langs), len(every) + 1), -1, np.int64)
         for k, lang in enumerate(self.langs):
             self.rank[k, np.searchsorted(every, profiles[lang])] = np.arange(len(profiles[lang]))
