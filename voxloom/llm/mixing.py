@@ -31,6 +31,8 @@ from .common import stored
 LEVELS = ("domain", "lang", "source")
 #: Rows that a hash range of a leaf holds on average.
 RANGE_ROWS = 256
+#: Ranges of a leaf are at most two to this power, so their running sums are short.
+MOST_BITS = 16
 #: Leaves up to which the plan is broadcast (32 bytes each).
 BROADCAST_LEAVES = 50_000
 
@@ -105,44 +107,48 @@ def leaf_budgets(leaves: DataFrame, recipe: Recipe) -> DataFrame:
     return pour(low, ["domain", "lang"], "source").drop("cap", "w", "available")
 
 
-def mix(docs: DataFrame, recipe: Recipe | None = None, tokens: Column | None = None, domain: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, epochs (times taken, 0 too) for every row of docs.
+def mix(docs: DataFrame, recipe: Recipe | None = None, tokens: Column | None = None, domain: Column | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, epochs (times taken, 0 too) for every row of docs."""
+    return _decided(docs, recipe or Recipe(), tokens, domain, False).select("doc_id", *LEVELS, "n_tokens", "epochs")
 
-    carry: further columns of docs to keep (they aren't shuffled with the sums, but with the join).
-    """
+
+def take(docs: DataFrame, recipe: Recipe | None = None, tokens: Column | None = None, domain: Column | None = None) -> DataFrame:
+    """The rows of docs that are taken at least once, columns unchanged."""
+    return _decided(docs, recipe or Recipe(), tokens, domain, True).filter("epochs > 0").select("row.*")
+
+
+def _decided(docs: DataFrame, recipe: Recipe, tokens: Column | None, domain: Column | None, whole: bool) -> DataFrame:
+    """The measures and epochs of each row of docs, whole: with the row itself as ``row``; rows stay where they are."""
     c = F.col
-    recipe = recipe or Recipe()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = c("text").cast("string")
-    lang, source = c("lang").cast("string"), c("source").cast("string")
-    rows = docs.select(
-        c("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"), lang.alias("lang"), source.alias("source"),
-        (tokens if tokens is not None else word_tokens(text)).alias("n_tokens"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_md5"),
-        *([F.struct(*[docs[x] for x in carry]).alias("carried")] if carry else []),
+    text, lang, source = c("text").cast("string"), c("lang").cast("string"), c("source").cast("string")
+    measured = docs.select(
+        F.struct(*[docs[x] for x in docs.columns]).alias("row"), c("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(source)).alias("domain"), lang.alias("lang"), source.alias("source"),
+        (tokens if tokens is not None else word_tokens(text)).cast("long").alias("n_tokens"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("text_md5"),
     )
-    key = [F.coalesce(c(x), F.lit("")) for x in LEVELS]
-    rows = rows.withColumn("leaf", F.xxhash64(*key, *[c(x).isNull() for x in LEVELS]))
-    # texts are measured once; sums are taken over the narrow table
-    narrow = stored(rows.drop("carried"))
+    leaf = F.xxhash64(*[F.coalesce(c(x), F.lit("")) for x in LEVELS], *[c(x).isNull() for x in LEVELS])
+    measured = measured.withColumn("leaf", leaf)
+    # texts are measured once for the sums, which run over the narrow table
+    narrow = stored(measured.select("leaf", *LEVELS, "doc_id", "text_md5", "n_tokens"))
     leaves = narrow.groupBy(*LEVELS).agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, recipe)
-    width = F.greatest(F.ceil(F.log2(F.greatest(c("n_rows").cast("double") / RANGE_ROWS, F.lit(1.0)))), F.lit(0)).cast("int")
+    width = F.least(F.greatest(F.ceil(F.log2(F.greatest(c("n_rows").cast("double") / RANGE_ROWS, F.lit(1.0)))), F.lit(0)), F.lit(MOST_BITS)).cast("int")
     plan = budgets.select(*LEVELS, F.when(c("tokens") > 0, F.floor(c("given") / c("tokens"))).otherwise(F.lit(0)).cast("long").alias("full"), width.alias("width"), "tokens", "given")
-    leaf = F.xxhash64(*key, *[c(x).isNull() for x in LEVELS])
     plan = stored(plan.select(leaf.alias("leaf"), "full", "width", (c("given") - c("full") * c("tokens")).alias("rest")))
-    if plan.count() <= BROADCAST_LEAVES:
-        plan = F.broadcast(plan)  # beyond that a shuffle join, whose hot leaves AQE splits
-
-    def ranged(x: DataFrame) -> DataFrame:
-        drawn = F.md5(F.concat_ws("|", F.lit(recipe.seed), c("full"), F.coalesce(c("doc_id").cast("string"), F.lit("")), "text_md5").cast("binary"))
-        return x.join(plan, "leaf").withColumn("drawn", drawn).withColumn("range", F.expr("shiftright(cast(conv(substring(drawn, 1, 8), 16, 10) AS bigint), 32 - least(width, 31))"))
+    small = plan.count() <= BROADCAST_LEAVES  # beyond that a shuffle join, whose hot leaves AQE splits
+    sent = lambda x: F.broadcast(x) if small else x
+    drawn = F.md5(F.concat_ws("|", F.lit(recipe.seed), c("full"), F.coalesce(c("doc_id").cast("string"), F.lit("")), "text_md5").cast("binary"))
 
-    sums = ranged(narrow).groupBy("leaf", "range").agg(F.sum("n_tokens").alias("in_range"))
+    # the hash range in which a leaf's rest ends: one row a leaf
+    ranged = narrow.join(sent(plan.filter("rest > 0")), "leaf").withColumn("drawn", drawn).withColumn("range", F.expr("shiftright(cast(conv(substring(drawn, 1, 8), 16, 10) AS bigint), 32 - width)"))
+    sums = ranged.groupBy("leaf", "range", "rest").agg(F.sum("n_tokens").alias("in_range"))
     upto = Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(c("leaf").alias("leaf2"), c("range").alias("range2"), F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("before"))
-    # dealt by leaf and range before the join and the window, so neither gathers a leaf
-    met = ranged(rows if carry else narrow).repartition(parts, "leaf", "range")
-    placed = met.join(starts, (c("leaf") == c("leaf2")) & (c("range") == c("range2"))).drop("leaf2", "range2")
-    inside = Window.partitionBy("leaf", "range").orderBy("drawn", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    start = c("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return placed.withColumn("start", start).select("doc_id", *LEVELS, "n_tokens", (c("full") + (c("start") < c("rest")).cast("long")).alias("epochs"), *[c(f"carried.{x}").alias(x) for x in carry if x not in ("doc_id", "lang", "source")])
+    ends = sums.withColumn("before", F.coalesce(F.sum("in_range").over(upto), F.lit(0))).filter("before < rest and rest <= before + in_range")
+    ends = stored(ends.select("leaf", "range", "before"))
+    # only that range is put in order; the last row that begins before the rest is reached is the cut
+    entries = ranged.join(sent(ends), ["leaf", "range"]).groupBy("leaf", "before", "rest", "drawn").agg(F.sum("n_tokens").alias("n"))
+    inside = Window.partitionBy("leaf").orderBy("drawn").rowsBetween(Window.unboundedPreceding, -1)
+    start = c("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    cuts = entries.withColumn("start", start).filter(c("start") < c("rest")).groupBy("leaf").agg(F.max("drawn").alias("cut"))
+    cuts = stored(plan.join(cuts, "leaf", "left").select("leaf", "full", "cut"))
+    more = F.coalesce((drawn <= c("cut")).cast("long"), F.lit(0))
+    return (measured if whole else narrow).join(sent(cuts), "leaf").withColumn("epochs", c("full") + more)
