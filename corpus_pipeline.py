@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxloom.llm import langid, mixing, neardup, packing, queries, repetition
 from voxloom.llm.common import stored, table
@@ -29,8 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows that the source tree's token budget takes."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "lang", "source"))
-    return mixing.mix(docs, RECIPE, carry=carry).filter(F.col("epochs") > 0).select(*docs.columns)
+    return mixing.take(docs, RECIPE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
