@@ -70,11 +70,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: Sequence[str], size: str) -
     their rows of right are broadcast, all others meet by a shuffle.
     """
     key, parts = list(key), partitions(left.sparkSession)
-    total = right.agg(F.sum(size)).first()[0] or 0
-    least = max(HOT_ROWS, total // (4 * parts))
-    hot = right.filter(F.col(size) > least)
-    if hot.isEmpty():
+    total, most = right.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_ROWS, (total or 0) // (4 * parts))
+    if (most or 0) <= least:
         return left.join(right, key)
+    hot = right.filter(F.col(size) > least)
     names = [*key, *(c for c in left.columns if c not in key), *(c for c in right.columns if c not in key)]
     many = left.join(F.broadcast(hot), key).select(*names)
     few = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(right.filter(F.col(size) <= least), key)

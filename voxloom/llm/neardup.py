@@ -122,19 +122,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id of each connected component; edges (a, b), any direction.
 
     Alternating large-star and small-star steps on stored tables until nothing changes:
-    O(log^2) rounds of linear work; one row per edge at any time.
+    O(log^2) rounds of linear work; one row per edge at any time; hubs are met by join_hot().
     """
     both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     current, before = stored(both), None
     while True:
         # large star: neighbours larger than the node move to the node's smallest neighbour
         ways = current.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(current.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        low = stored(ways.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n"))
+        large = stored(join_hot(ways.filter("v > u"), low, ["u"], "n").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct())
         # small star: a node and its smaller neighbours move to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("x"), "a", "b")
+        least = stored(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        small = join_hot(large, least, ["b"], "n").select(F.col("m").alias("x"), "a", "b")
         now = stored(small.select(F.col("x").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
+        for done in (low, large, least):
+            forget(done)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(current)
         if state == before:
