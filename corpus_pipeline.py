@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES over documents, each stage's rows written and read again."""
+"""The corpus pipeline: STAGES over documents, each stage's rows written and read again.
+
+All stages take an empty table (and return one), texts of any length, repeated rows and extra
+columns of any name; all but the last keep the columns. What each does with nulls, empty
+texts and ties stands in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +17,48 @@ RECIPE = mixing.Recipe(budget_percent=80, max_epochs=1)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows without a letter or unlike every language learnt from the rows themselves."""
+    """Drops rows without a letter or unlike every language learnt from the rows themselves.
+
+    Null and empty texts go; a null lang isn't learnt from but its row is judged like others; equal
+    distances go to the language first in order, which doesn't change what is kept; repeated rows
+    share one verdict. Where nothing can be learnt every row goes.
+    """
     return langid.keep_known(docs, queries.learn_languages(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that break a repetition, symbol or length rule."""
+    """Drops rows that break a repetition, symbol or length rule.
+
+    Null, empty and blank texts have no word and go; repeated rows share one verdict.
+    """
     return repetition.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of copies and near copies."""
+    """Keeps the document with the smallest doc_id of each group of copies and near copies.
+
+    Texts without words (null, empty, blank) are no copies of each other and stay, as do rows
+    without a doc_id; rows repeated whole, doc_id included, stay together; a doc_id with
+    several texts keeps those whose group it is the smallest doc_id of.
+    """
     return neardup.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that the source tree's token budget takes."""
+    """Keeps the rows that the source tree's token budget takes.
+
+    Null lang or source is a node of its own; texts without words take no budget and follow their
+    leaf; ties in the drawn order are repeated rows, which are taken alike.
+    """
     return mixing.take(docs, RECIPE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents with their sequences."""
+    """Pieces of the kept documents with their sequences.
+
+    A null or empty text is its end id alone; every row is packed, repeated ones too; pieces of
+    equal length are taken in the order of the tasks that cut them.
+    """
     return packing.pack(docs, queries.tokenizer("byte_bpe_50k.json"), queries.PACK_END, queries.CAPACITY)
 
 
