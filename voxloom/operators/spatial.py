@@ -7,7 +7,6 @@ on one side only. Where a cell is hot, AQE splits the join's partitions.
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,21 +170,15 @@ def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dim
         steps, weight = [0, 1], lambda d: linear_kernel(d, 1.0)
     else:
         steps, weight = list(range(-2, 3)), lambda d: lanczos(d, 2.0)
-    corners = F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate(c)]) for c in itertools.product(steps, repeat=len(axes))])
-    sent = rows.select("*", F.explode(corners).alias("_c"))
-    total = F.lit(1.0)
-    for i, a in enumerate(axes):
+    # one axis after the other: an axis' places and weights are worked out once a sample, not once a corner
+    sent = rows
+    for a in axes:
         u = F.col(f"_u_{a}")
-        if kind == "nearest":
-            place = F.floor(u + 0.5).cast("int")
-        elif kind == "linear":
-            place = (F.floor(u) + F.col(f"_c.s{i}")).cast("int")
-        else:
-            place = (F.floor(u + 0.5) + F.col(f"_c.s{i}")).cast("int")
-        if weight is not None:
-            total = total * weight(u - place)
-        sent = sent.withColumn(f"_s_{a}", _bounded(place, dims[a], boundary))
-    sent = sent.withColumn("_w", total).filter(F.col("_w") != 0)
+        places = [((F.floor(u) if kind == "linear" else F.floor(u + 0.5)) + s).cast("int") for s in steps]
+        options = F.array(*[F.struct(p.alias("p"), (weight(u - p) if weight else F.lit(1.0)).alias("w")) for p in places])
+        sent = sent.select("*", F.explode(options).alias("_o")).filter("_o.w <> 0").select(*sent.columns, _bounded(F.col("_o.p"), dims[a], boundary).alias(f"_s_{a}"), F.col("_o.w").alias(f"_w_{a}"))
+    total = reduce(lambda x, y: x * y, [F.col(f"_w_{a}") for a in axes])
+    sent = sent.select(*keys, *[f"_s_{a}" for a in axes], total.alias("_w"))
     met = sent.join(image.select(*[F.col(a).alias(f"_s_{a}") for a in axes], F.col(value).alias("_v")), [f"_s_{a}" for a in axes], "left")
     return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_w") * F.col("_v")), F.lit(0.0)).alias(value))
 

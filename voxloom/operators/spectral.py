@@ -1,7 +1,7 @@
 """Spectral operators on packed series and grids of moderate size.
 
 A series is one row, so filters run in Arrow batches without a shuffle. For images an axis at
-a time is grouped (all lines along the axis are independent), transformed and dealt back.
+a time is packed (all lines along the axis are independent), and batches of lines transformed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def power_of_two(n: int) -> int:
@@ -44,33 +45,43 @@ def band_pass(packed: DataFrame, tr: float, cuton: float | None, cutoff: float |
     return packed.mapInPandas(run, schema)
 
 
+def _lines(voxels: DataFrame, axis: str, others: list[str], values: list[str]) -> DataFrame:
+    """One row a line along the axis: its other coordinates and its values in order, packed by one shuffle."""
+    line = F.sort_array(F.collect_list(F.struct(axis, *[F.col(v).cast("double").alias(v) for v in values])))
+    return voxels.groupBy(*others).agg(line.alias("_l")).select(*others, *[F.col(f"_l.{v}").alias(v) for v in values])
+
+
 def along_axis(voxels: DataFrame, axis: str, work: Callable[[np.ndarray, dict], np.ndarray], others: list[str], value: str = "v") -> DataFrame:
     """Apply work(line, its other coordinates) to every line along an axis; the length may change."""
     kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*others, axis]) + f", {value} double"
 
-    def run(key: tuple, line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values(axis)
-        out = work(line[value].to_numpy(float), dict(zip(others, key, strict=True)))
-        return pd.DataFrame({**dict(zip(others, key, strict=True)), axis: np.arange(len(out)), value: out})[[*others, axis, value]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = batch[others].to_dict("records")
+            yield batch[others].assign(**{value: [work(np.asarray(line, float), at) for line, at in zip(batch[value], places, strict=True)]})
 
-    return voxels.select(*others, axis, value).groupBy(*others).applyInPandas(run, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), f"{value} array<double>"])
+    out = _lines(voxels, axis, others, [value]).mapInPandas(run, schema).select(*others, F.posexplode(value).alias(axis, value))
+    return out.select(*others, F.col(axis).cast(kinds[axis]).alias(axis), value)
 
 
 def fft_axis(voxels: DataFrame, axis: str, others: list[str], inverse: bool = False, size: int | None = None) -> DataFrame:
     """One axis of an N-dimensional transform of (re, im); axes follow one another."""
     kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*others, axis]) + ", re double, im double"
-    im = "im" in voxels.columns
+    parts = ["re", "im"] if "im" in voxels.columns else ["re"]
 
-    def run(key: tuple, line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values(axis)
-        z = line["re"].to_numpy(float) + (1j * line["im"].to_numpy(float) if im else 0)
-        n = size or len(z)
-        out = np.fft.ifft(z, n) if inverse else np.fft.fft(z, n)
-        return pd.DataFrame({**dict(zip(others, key, strict=True)), axis: np.arange(n), "re": out.real, "im": out.imag})[[*others, axis, "re", "im"]]
-
-    return voxels.groupBy(*others).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, same in batch.groupby(batch["re"].map(len), sort=False):  # lines of one length are transformed together
+                z = np.stack(same["re"].to_numpy()).astype(complex)
+                if len(parts) == 2:
+                    z += 1j * np.stack(same["im"].to_numpy())
+                out = (np.fft.ifft if inverse else np.fft.fft)(z, size or z.shape[1], axis=1)
+                yield same[others].assign(re=list(out.real), im=list(out.imag))
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), "re array<double>", "im array<double>"])
+    out = _lines(voxels, axis, others, parts).mapInPandas(run, schema).select(*others, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "_c"))
+    return out.select(*others, F.col(axis).cast(kinds[axis]).alias(axis), "_c.re", "_c.im")
 
 
 def fft(voxels: DataFrame, axes: list[str], inverse: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import math
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -22,28 +22,9 @@ from ..operators import graph as G
 from ..operators import neighborhood as N
 from ..operators import regression as R
 from ..operators import spatial as S
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
+from .registry import ORACLES, QUERIES, query
+from .registry import rounded as _r
+from .registry import table as _t
 
 # ---- aggregations ------------------------------------------------------------------
 
@@ -563,3 +544,6 @@ def component_labels(spark, sf):
 def component_rank(spark, sf):
     w = _t(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
     return w.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
+
+
+from . import image_queries  # noqa: E402, F401  (registers its queries)
