@@ -27,6 +27,26 @@ def wrap(low: Column, high: Column, v: Column) -> Column:
     return F.pmod(v - low, high - low + 1) + low
 
 
+def cot(x: Column) -> Column:
+    return F.cot(_d(x))
+
+
+def csc(x: Column) -> Column:
+    return F.csc(_d(x))
+
+
+def sec(x: Column) -> Column:
+    return F.sec(_d(x))
+
+
+def radians(degrees: Column) -> Column:
+    return F.radians(_d(degrees))
+
+
+def degrees(radians: Column) -> Column:
+    return F.degrees(_d(radians))
+
+
 def _within(x: Column, a: float, inside: Column) -> Column:
     return F.when(F.abs(x) < a, inside).otherwise(F.lit(0.0))
 

@@ -133,6 +133,10 @@ def grid(spark: SparkSession, dims: Sequence[int], img_id: str = "img") -> DataF
     return out.select(F.lit(img_id).alias("img_id"), *[columns[a].alias(a) for a in AXES], "pos")
 
 
+#: Voxels that may be gathered on the driver (1 GB as doubles).
+MOST_VOXELS = 1 << 27
+
+
 def from_numpy(spark: SparkSession, array: np.ndarray, img_id: str = "img") -> DataFrame:
     """A small array as long voxels (fixtures and results of driver-side steps)."""
     import pandas as pd
@@ -144,7 +148,9 @@ def from_numpy(spark: SparkSession, array: np.ndarray, img_id: str = "img") -> D
 
 
 def to_numpy(voxels: DataFrame, dims: Sequence[int], value: str = "v") -> np.ndarray:
-    """A small image back as an array (tests, driver-side steps)."""
+    """A small image back as an array (tests, driver-side steps); an error beyond MOST_VOXELS."""
+    if np.prod(dims, dtype=float) > MOST_VOXELS:
+        raise ValueError(f"an image of {tuple(dims)} is too large for the driver")
     out = np.zeros(dims)
     rows = voxels.select(*AXES[: len(dims)], value).toPandas()
     out[tuple(rows[a].to_numpy() for a in AXES[: len(dims)])] = rows[value].to_numpy(float)

@@ -47,7 +47,8 @@ def seed_centers(points: DataFrame, k: int, p: str = "p", sample: int = 2000, se
 
 def kmeans(points: DataFrame, k: int, p: str = "p", rounds: int = 50, centers: np.ndarray | None = None, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
     """Lloyd rounds until no centre moves; an empty class keeps its centre."""
-    centers = np.array(centers if centers is not None else seed_centers(points, k, p, seed=seed), float)
+    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)))  # every round reads it
+    centers = np.array(centers if centers is not None else seed_centers(rows, k, p, seed=seed), float)
     for _ in range(rounds):
         fixed = centers.copy()
 
@@ -55,7 +56,7 @@ def kmeans(points: DataFrame, k: int, p: str = "p", rounds: int = 50, centers: n
             d = (x * x).sum(1)[:, None] - 2 * x @ fixed.T + (fixed * fixed).sum(1)
             return np.eye(len(fixed))[d.argmin(1)], 0.0
 
-        n, sums, _, _ = _moments(points, p, nearest, len(centers), centers.shape[1], second=False)
+        n, sums, _, _ = _moments(rows, p, nearest, len(centers), centers.shape[1], second=False)
         new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
         moved = np.abs(new - centers).max()
         centers = new
@@ -68,7 +69,8 @@ def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100,
     """EM with full covariances; moments are summed in each task. Returns parameters and points with ``cluster``."""
     mean, _ = kmeans(points, k, p, 10, seed=seed)
     d = mean.shape[1]
-    first = _moments(points, p, lambda x: (np.ones((len(x), 1)), 0.0), 1, d)
+    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)))  # every round reads it
+    first = _moments(rows, p, lambda x: (np.ones((len(x), 1)), 0.0), 1, d)
     n, m = first[0][0], first[1][0] / first[0][0]
     cov = np.stack([first[2][0] / n - np.outer(m, m) + 1e-6 * np.eye(d)] * k)
     weight, last = np.full(k, 1 / k), -math.inf
@@ -90,7 +92,7 @@ def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100,
             total = top + np.log(np.exp(log - top).sum(1, keepdims=True))
             return np.exp(log - total), float(total.sum())
 
-        tau, s1, s2, ll = _moments(points, p, expect, k, d)
+        tau, s1, s2, ll = _moments(rows, p, expect, k, d)
         weight = tau / tau.sum()
         mean = s1 / tau[:, None]
         cov = np.stack([s2[j] / tau[j] - np.outer(mean[j], mean[j]) + 1e-6 * np.eye(d) for j in range(k)])

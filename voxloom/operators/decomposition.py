@@ -51,11 +51,12 @@ def cross_product(rows: DataFrame, width: int, column: str = "values", other: st
 
 
 def covariance(df: DataFrame, column: str, width: int, centered: bool = True) -> np.ndarray:
-    n, sums = df.agg(F.count("*"), F.array(*[F.sum(F.get(column, F.lit(k)).cast("double")) for k in range(width)])).first()
-    cross = cross_product(df.select(F.col(column).cast("array<double>").alias("values")), width)
+    """Covariance (or cross product) of a column's coordinates, by one pass: a coordinate of ones gives sums and count."""
+    whole = cross_product(df.select(F.array_append(F.col(column).cast("array<double>"), F.lit(1.0)).alias("values")), width + 1)
+    cross, n = whole[:-1, :-1], whole[-1, -1]
     if not centered:
         return cross
-    mean = np.array(sums) / n
+    mean = whole[:-1, -1] / n
     return (cross - n * np.outer(mean, mean)) / (n - 1)
 
 
@@ -239,7 +240,7 @@ def standardized_maps(maps: DataFrame, count: int, column: str = "values") -> Da
     """(row key, comp, z): maps as z-scores over all voxels, for thresholding."""
     long = maps.select("row_id", F.posexplode(column).alias("comp", "value"))
     one = long.groupBy("comp").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    return long.join(F.broadcast(one), "comp").select("row_id", "comp", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
+    return long.join(one, "comp").select("row_id", "comp", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
 
 
 def rank_components(df: DataFrame, score: str) -> DataFrame:

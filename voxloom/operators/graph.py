@@ -39,11 +39,13 @@ def total(edges: DataFrame) -> DataFrame:
 
 
 def normalize(edges: DataFrame) -> DataFrame:
+    edges = settled(edges)  # read twice: the total and the rows
     return edges.join(F.broadcast(edges.agg(F.sum("w").alias("_t")))).withColumn("w", F.try_divide("w", "_t")).drop("_t")
 
 
 def assortativity(edges: DataFrame, weighted: bool = False) -> DataFrame:
     """Absolute correlation of the degrees (strengths) at the ends of the edges; 1 where it is 0/0."""
+    edges = settled(edges)  # read three times
     k = degrees(edges).select("id", (F.col("strength") if weighted else F.col("degree").cast("double")).alias("k"))
     e = edges.filter("w <> 0").join(k.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(k.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst")
     m = e.withColumn("_w", F.abs("w") if weighted else F.lit(1.0)).agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("_w") * (F.col("a") + F.col("b")) / 2).alias("s"), F.sum(F.col("_w") * (F.col("a") * F.col("a") + F.col("b") * F.col("b")) / 2).alias("ss"))
@@ -84,7 +86,10 @@ def betweenness(paths: DataFrame) -> DataFrame:
     return nodes.join(found, "id", "left").select("id", F.coalesce("visits", F.lit(0)).cast("long").alias("visits"))
 
 
-def to_dense(edges: DataFrame, n: int) -> np.ndarray:
+def to_dense(edges: DataFrame, n: int, most: int = 4096) -> np.ndarray:
+    """A small graph as a matrix on the driver; an error beyond ``most`` nodes."""
+    if n > most:
+        raise ValueError(f"{n} nodes are too many for a dense matrix on the driver")
     out = np.zeros((n, n))
     for r in edges.collect():
         out[r.src, r.dst] = r.w

@@ -57,15 +57,18 @@ def nearest(queries: DataFrame, points: DataFrame, dims: int, start: float, limi
         radius = min(radius * 2, limit)
 
 
-def nearest_blocked(queries: DataFrame, points: DataFrame, q_id: str = "id", p_id: str = "id", p: str = "p", blocks: int = 16) -> DataFrame:
+def nearest_blocked(queries: DataFrame, points: DataFrame, q_id: str = "id", p_id: str = "id", p: str = "p", rows: int = 2048) -> DataFrame:
     """Exact nearest other point in high dimension, where cells prune nothing.
 
     Points are packed into blocks of rows; a query meets a block (not a point) at a time and
-    keeps its best, by matrix products in Arrow batches.
+    keeps its best, by matrix products in Arrow batches. Blocks hold about ``rows`` points, so a
+    task holds two blocks of bounded size whatever the number of points; without an index
+    in this dimension every pair of blocks is a task.
     """
     import numpy as np
     import pandas as pd
 
+    blocks = max(1, -(-max(queries.count(), points.count()) // rows))
     own = queries.select(F.col(q_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = points.select(F.col(p_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.array(*[F.lit(k) for k in range(blocks)])
@@ -239,7 +242,7 @@ def select_volumes(df: DataFrame, names: DataFrame, pattern: str, on: str = "t",
     names has one row a volume; it's as long as the list of volumes.
     """
     kept = names.filter(F.col(name).rlike(f"^(?:{pattern})$")).select(on, (F.row_number().over(Window.orderBy(on)) - 1).alias("_new"))
-    return df.join(F.broadcast(kept), on).drop(on).withColumnRenamed("_new", on)
+    return df.join(kept, on).drop(on).withColumnRenamed("_new", on)
 
 
 def copy_region(df: DataFrame, start: dict[str, int], size: dict[str, int], to: dict[str, int] | None = None) -> DataFrame:

@@ -546,4 +546,14 @@ def component_rank(spark, sf):
     return w.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
 
 
-from . import image_queries  # noqa: E402, F401  (registers its queries)
+from . import image_queries, number_queries, source_queries  # noqa: E402, F401  (they register their queries)
+
+#: SQL of queries above whose statement another query shares.
+ORACLES["series_glm"] = ORACLES["fitted_series"]
+ORACLES["series_band_pass"] = ORACLES["band_passed_series"].replace("CAST(a.t AS BIGINT) AS t", "CAST(a.t AS INT) AS t")
+ORACLES["information_metrics"] = ORACLES["parzen_information"]
+ORACLES["component_rank"] = "SELECT label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS INT) AS rank FROM embeddings GROUP BY label"
+# the weights are sums of quantities, so a shortest path is unique but for ties that the tables don't have
+_DIST = ORACLES["all_pairs_shortest_all"].replace("SELECT src, dst, round(min(d), 4) AS dist FROM r GROUP BY 1, 2", ", p AS (SELECT src, dst, min(d) AS d FROM r GROUP BY 1, 2) ")
+ORACLES["betweenness"] = _DIST + """SELECT v.id, count(a.src) AS visits FROM (SELECT src AS id FROM p UNION SELECT dst FROM p) v
+LEFT JOIN (SELECT a.src, a.dst AS id, b.dst FROM p a JOIN p b ON a.dst = b.src AND a.src <> b.dst JOIN p c ON c.src = a.src AND c.dst = b.dst WHERE abs(a.d + b.d - c.d) <= 1e-9 * c.d) a USING (id) GROUP BY v.id"""

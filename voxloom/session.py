@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side of a join is broadcast by hint only when it is known to be smaller than this.
-BROADCAST_ROWS = 100_000
-
 _own: list[str] = []
 
 
@@ -25,14 +22,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir; below a local folder only where the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # tests and single machines
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="voxloom-"))
         base = f"file://{_own[0]}"
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

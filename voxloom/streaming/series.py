@@ -29,7 +29,8 @@ STATE = "s double, f double, v double, q double, mean double, t long"
 def balloon_stream(inputs: DataFrame, dt: float, learn: float = 0.0) -> DataFrame:
     """(region, t, y): Euler steps of the balloon model over streamed (region, t, u), state kept per region.
 
-    Rows of a micro-batch are taken in order of t.
+    Rows of a micro-batch are taken in order of t. A row that isn't newer than its region's last
+    step is dropped, as a watermark would drop it: the model can't go back.
     """
     tau_s, tau_f, tau_0, alpha, e0, v0 = 1.54, 2.46, 0.98, 0.33, 0.34, 0.02
     k1, k2, k3 = 7 * e0, 2.0, 2 * e0 - 0.2
@@ -37,6 +38,9 @@ def balloon_stream(inputs: DataFrame, dt: float, learn: float = 0.0) -> DataFram
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s, f, v, q, mean, last = state.get if state.exists else (0.0, 1.0, 1.0, 1.0, 0.0, -1)
         rows = pd.concat(list(batches)).sort_values("t")
+        rows = rows[rows["t"] > last]  # what comes late can't be stepped any more
+        if not len(rows):
+            return
         out = np.empty(len(rows))
         for i, u in enumerate(rows["u"].to_numpy()):
             fc, vc = max(f, 0.01), max(v, 0.01)
