@@ -378,7 +378,8 @@ def residualize(spark, sf):
 
 
 def _matrix(spark, m: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, value double").withColumn("value", _r("value"))
+    m = np.round(m, 6)  # keeps the sign of what becomes zero, as SQL does
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, value double")
 
 
 @query(f"WITH p AS ({_P}), e AS (SELECT id, unnest(p[1:8]) AS x, generate_subscripts(p[1:8], 1) - 1 AS i FROM p) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 6) AS value FROM e a JOIN e b USING (id) GROUP BY 1, 2")
@@ -553,7 +554,9 @@ ORACLES["series_glm"] = ORACLES["fitted_series"]
 ORACLES["series_band_pass"] = ORACLES["band_passed_series"].replace("CAST(a.t AS BIGINT) AS t", "CAST(a.t AS INT) AS t")
 ORACLES["information_metrics"] = ORACLES["parzen_information"]
 ORACLES["component_rank"] = "SELECT label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, label) AS INT) AS rank FROM embeddings GROUP BY label"
-# the weights are sums of quantities, so a shortest path is unique but for ties that the tables don't have
-_DIST = ORACLES["all_pairs_shortest_all"].replace("SELECT src, dst, round(min(d), 4) AS dist FROM r GROUP BY 1, 2", ", p AS (SELECT src, dst, min(d) AS d FROM r GROUP BY 1, 2) ")
-ORACLES["betweenness"] = _DIST + """SELECT v.id, count(a.src) AS visits FROM (SELECT src AS id FROM p UNION SELECT dst FROM p) v
-LEFT JOIN (SELECT a.src, a.dst AS id, b.dst FROM p a JOIN p b ON a.dst = b.src AND a.src <> b.dst JOIN p c ON c.src = a.src AND c.dst = b.dst WHERE abs(a.d + b.d - c.d) <= 1e-9 * c.d) a USING (id) GROUP BY v.id"""
+_DIST = ORACLES["all_pairs_shortest_all"].replace("SELECT src, dst, round(min(d), 4) AS dist FROM r GROUP BY 1, 2", ", p AS (SELECT src, dst, min(d) AS d FROM r GROUP BY 1, 2)")
+# of several shortest paths the one whose next node is the smallest is walked
+ORACLES["betweenness"] = _DIST + """, x AS (SELECT p.src, p.dst, min(s.dst) AS via FROM p JOIN s ON s.src = p.src LEFT JOIN p q ON q.src = s.dst AND q.dst = p.dst
+WHERE (s.dst = p.dst AND abs(s.d - p.d) <= 1e-9 * p.d) OR abs(s.d + q.d - p.d) <= 1e-9 * p.d GROUP BY 1, 2),
+w AS (SELECT src, dst, via FROM x WHERE via <> dst UNION ALL SELECT x.src, x.dst, x.via FROM w JOIN x ON x.src = w.via AND x.dst = w.dst WHERE x.via <> x.dst)
+SELECT v.id, count(w.via) AS visits FROM (SELECT src AS id FROM p UNION SELECT dst FROM p) v LEFT JOIN w ON w.via = v.id GROUP BY v.id"""
