@@ -1,9 +1,8 @@
 """Neighbourhood operators: derivatives, smoothing, rank filters, morphology, z-scores, components.
 
-Along one axis these are window frames. In N dimensions a voxel is sent to the voxels that
-see it (an offset table of bounded size), and the result is aggregated where it lands:
-one shuffle on the coordinates, no self-join. ``edge`` decides what stands outside: "clamp"
-repeats the border (done by giving border voxels more offsets), "zero" leaves it out.
+Along one axis these are window frames. In N dimensions they work on blocks of voxels with a
+halo: one shuffle of little more than the image, no self-join. ``edge`` decides what stands
+outside: "clamp" repeats the border, "zero" leaves it out.
 """
 
 from __future__ import annotations
@@ -11,10 +10,12 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .blocks import around
 
 
 # ---- along one axis ----------------------------------------------------------------
@@ -99,64 +100,67 @@ def normalize_series(df: DataFrame, value: str, by: list[str], out: str = "z") -
 # ---- in N dimensions ---------------------------------------------------------------
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _offsets(radius: int, axes: list[str], ball: float | None = None) -> list[tuple[int, ...]]:
     cube = itertools.product(range(-radius, radius + 1), repeat=len(axes))
     return [o for o in cube if ball is None or sum(k * k for k in o) < ball * ball or not any(o)]
 
 
-def neighbours(df: DataFrame, axes: list[str], dims: list[int], offsets: list[tuple[int, ...]], value: str = "v", edge: str = "clamp") -> DataFrame:
-    """(axes of the centre, k, value): what each voxel sees at offset number k.
-
-    clamp: the voxel at o + clamp stands for all places beyond the border.
-    """
-    table = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(o).alias(f"o{i}") for i, o in enumerate(off)]) for k, off in enumerate(offsets)])
-    keep = [c for c in df.columns if c not in (*axes, value)]
-    sent = df.select(*keep, *axes, value, F.explode(table).alias("o")).select(*keep, *axes, value, "o.*")
-    for i, (axis, n) in enumerate(zip(axes, dims, strict=True)):
-        place = F.col(axis) - F.col(f"o{i}")
-        if edge == "clamp":
-            # a centre c sees clamp(c + o): a border voxel is seen by every centre whose c + o lies beyond it
-            first = F.when((F.col(axis) == 0) & (F.col(f"o{i}") <= 0), F.lit(0)).otherwise(place)
-            last = F.when((F.col(axis) == n - 1) & (F.col(f"o{i}") >= 0), F.lit(n - 1)).otherwise(place)
-            first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))
-            centres = F.when(first <= last, F.sequence(first.cast("int"), F.greatest(first, last).cast("int")))
-            sent = sent.withColumn(axis, F.explode(centres))
-        else:
-            sent = sent.withColumn(axis, place).filter(F.col(axis).between(0, n - 1))
-    return sent.select(*keep, *axes, "k", value)
-
-
 def median_filter_nd(df: DataFrame, axes: list[str], dims: list[int], value: str = "v", keep: list[str] | None = None) -> DataFrame:
-    seen = neighbours(df, axes, dims, _offsets(1, axes), value)
-    n = 3 ** len(axes)
-    return seen.groupBy(*(keep or []), *axes).agg(F.element_at(F.sort_array(F.collect_list(value)), n // 2 + 1).alias(value))
+    """Median of the 3^n voxels around each."""
+    offsets = _offsets(1, axes)
+    half = len(offsets) // 2
+    return around(df, axes, dims, 1, f"{value} {_kind(df, value)}", lambda see: [np.partition(np.stack([see(o) for o in offsets]), half, axis=0)[half]], value, keep)
 
 
 def sobel(df: DataFrame, axes: list[str], dims: list[int], value: str = "v", keep: list[str] | None = None) -> DataFrame:
     """Derivative along each axis, averaged over the others: columns d_<axis>."""
-    offsets = _offsets(1, axes)
     slope, mean = {-1: -0.5, 0: 0.0, 1: 0.5}, {-1: 0.25, 0: 0.5, 1: 0.25}
-    weights = [[math.prod(slope[o] if i == j else mean[o] for i, o in enumerate(off)) for off in offsets] for j in range(len(axes))]
-    seen = neighbours(df, axes, dims, offsets, value)
-    sums = [F.sum(F.col(value) * F.element_at(F.array(*map(F.lit, w)), F.col("k") + 1)).alias(f"d_{a}") for a, w in zip(axes, weights, strict=True)]
-    return seen.groupBy(*(keep or []), *axes).agg(*sums)
+
+    def work(see):
+        sums = [0.0] * len(axes)
+        for off in _offsets(1, axes):
+            seen = see(off)
+            for j in range(len(axes)):
+                if off[j]:
+                    sums[j] = sums[j] + seen * math.prod(slope[o] if i == j else mean[o] for i, o in enumerate(off))
+        return sums
+
+    return around(df, axes, dims, 1, ", ".join(f"d_{a} double" for a in axes), work, value, keep)
 
 
 def erode(df: DataFrame, axes: list[str], dims: list[int], radius: int, value: str = "v", block: bool = False, keep: list[str] | None = None) -> DataFrame:
     """0 where any neighbour within the ball (or box) is 0, else the value."""
     offsets = _offsets(radius, axes, None if block else radius)
-    centre = offsets.index((0,) * len(axes))
-    seen = neighbours(df, axes, dims, offsets, value)
-    return seen.groupBy(*(keep or []), *axes).agg(F.when(F.min((F.col(value) != 0).cast("int")) == 1, F.max(F.when(F.col("k") == centre, F.col(value)))).otherwise(F.lit(0)).alias(value))
+
+    def work(see):
+        whole = np.logical_and.reduce([see(o) != 0 for o in offsets])
+        return [see((0,) * len(axes)) * whole]
+
+    return around(df, axes, dims, radius, f"{value} {_kind(df, value)}", work, value, keep)
 
 
 def dilate(df: DataFrame, axes: list[str], dims: list[int], radius: int, value: str = "v", block: bool = False, keep: list[str] | None = None) -> DataFrame:
     """The first (box: last) non-zero neighbour in kernel order; 0 if there is none."""
     offsets = _offsets(radius, axes, None if block else radius)
-    seen = neighbours(df, axes, dims, offsets, value)
-    filled = F.when(F.col(value) != 0, F.col("k"))
-    pick = F.max_by(value, filled) if block else F.min_by(value, filled)
-    return seen.groupBy(*(keep or []), *axes).agg(F.when(F.count(filled) > 0, pick).otherwise(F.lit(0)).alias(value))
+
+    def work(see):
+        out = np.zeros_like(see((0,) * len(axes)))
+        for off in offsets[::-1] if block else offsets:
+            out = np.where(out == 0, see(off), out)
+        return [out]
+
+    return around(df, axes, dims, radius, f"{value} {_kind(df, value)}", work, value, keep)
+
+
+def laplacian_band(df: DataFrame, axes: list[str], narrow: float, wide: float, value: str = "v", edge: str = "clamp", keep: list[str] | None = None) -> DataFrame:
+    """What a narrow Gaussian keeps and a wide one doesn't: the smoothing at one width less that at another."""
+    on = [*(keep or []), *axes]
+    low = gaussian_smooth_nd(df, axes, wide, value, edge, keep).withColumnRenamed(value, "_wide")
+    return gaussian_smooth_nd(df, axes, narrow, value, edge, keep).join(low, on).select(*on, (F.col(value) - F.col("_wide")).alias(value))
 
 
 def gaussian_smooth_nd(df: DataFrame, axes: list[str], sd: float, value: str = "v", edge: str = "clamp", keep: list[str] | None = None) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import lanczos, linear_kernel
+from .blocks import sample
 
 #: Coordinates used for cells; more of them only multiply the neighbouring cells.
 CELL_AXES = 3
@@ -65,7 +66,6 @@ def nearest_blocked(queries: DataFrame, points: DataFrame, q_id: str = "id", p_i
     task holds two blocks of bounded size whatever the number of points; without an index
     in this dimension every pair of blocks is a task.
     """
-    import numpy as np
     import pandas as pd
 
     blocks = max(1, -(-max(queries.count(), points.count()) // rows))
@@ -103,7 +103,6 @@ def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str =
     Blocks of about ``rows`` points meet each other once, by matrix products in Arrow batches;
     pairs that these put near the radius or below are measured exactly.
     """
-    import numpy as np
     import pandas as pd
 
     blocks = max(1, -(-points.count() // rows))
@@ -153,37 +152,34 @@ def paint_events(times: DataFrame, events: DataFrame, time: str = "t", onset: st
 # ---- interpolation -----------------------------------------------------------------
 
 
-def _bounded(index: Column, n: int, boundary: str) -> Column:
-    if boundary == "wrap":
-        return F.pmod(index, F.lit(n))
-    return F.least(F.greatest(index, F.lit(0)), F.lit(n - 1)) if boundary == "clamp" else index
+def _lanczos_weight(d: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(d) < 2, np.sinc(d) * np.sinc(d / 2), 0.0)
+
+
+def _cubic_weight(d: np.ndarray) -> np.ndarray:
+    """Cubic B-spline: two pieces that meet at distance 1 and end at 2."""
+    d = np.abs(d)
+    return np.where(d < 1, 2 / 3 - d * d + d**3 / 2, np.clip(2 - d, 0, None) ** 3 / 6)
+
+
+#: Voxels read along an axis, from which place on, with which weight of the distance.
+_KINDS = {
+    "nearest": ([0], lambda u: np.floor(u + 0.5), None),
+    "linear": ([0, 1], np.floor, lambda d: np.clip(1 - np.abs(d), 0, None)),
+    "lanczos": ([-2, -1, 0, 1, 2], lambda u: np.floor(u + 0.5), _lanczos_weight),
+    "bspline": ([-1, 0, 1, 2], np.floor, _cubic_weight),
+}
 
 
 def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], kind: str = "linear", boundary: str = "clamp", value: str = "v") -> DataFrame:
     """Image values at continuous index columns of samples (named by keys).
 
     nearest rounds; linear weighs 2^n corners; lanczos weighs (2r+1)^n with r = 2, not
-    renormalised. Each sample is sent to the voxels it reads: one equi-join, one sum.
+    renormalised; bspline takes the image as the knots of cubic B-splines and weighs 4^n of them.
+    Places beyond the image: "clamp" reads the border, "wrap" the other side, "zero" nothing.
     """
-    axes = list(at)
-    rows = samples.select(*keys, *[at[a].cast("double").alias(f"_u_{a}") for a in axes])
-    if kind == "nearest":
-        steps, weight = [0], None
-    elif kind == "linear":
-        steps, weight = [0, 1], lambda d: linear_kernel(d, 1.0)
-    else:
-        steps, weight = list(range(-2, 3)), lambda d: lanczos(d, 2.0)
-    # one axis after the other: an axis' places and weights are worked out once a sample, not once a corner
-    sent = rows
-    for a in axes:
-        u = F.col(f"_u_{a}")
-        places = [((F.floor(u) if kind == "linear" else F.floor(u + 0.5)) + s).cast("int") for s in steps]
-        options = F.array(*[F.struct(p.alias("p"), (weight(u - p) if weight else F.lit(1.0)).alias("w")) for p in places])
-        sent = sent.select("*", F.explode(options).alias("_o")).filter("_o.w <> 0").select(*sent.columns, _bounded(F.col("_o.p"), dims[a], boundary).alias(f"_s_{a}"), F.col("_o.w").alias(f"_w_{a}"))
-    total = reduce(lambda x, y: x * y, [F.col(f"_w_{a}") for a in axes])
-    sent = sent.select(*keys, *[f"_s_{a}" for a in axes], total.alias("_w"))
-    met = sent.join(image.select(*[F.col(a).alias(f"_s_{a}") for a in axes], F.col(value).alias("_v")), [f"_s_{a}" for a in axes], "left")
-    return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_w") * F.col("_v")), F.lit(0.0)).alias(value))
+    steps, place, weight = _KINDS[kind]
+    return sample(samples, image, at, dims, keys, steps, place, weight, boundary, value)
 
 
 def resample_to(image: DataFrame, source, target, kind: str = "linear", boundary: str = "zero") -> DataFrame:

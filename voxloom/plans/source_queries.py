@@ -98,12 +98,12 @@ def _tracks(spark, sf, encode, suffix: str) -> DataFrame:
 
 @query(f"SELECT pt_idx, x, y, z FROM ({_TRACKS})")
 def trackvis_round_trip(spark, sf):
-    return _tracks(spark, sf, tracks.encode_trackvis, ".trk").select(F.col("pt_idx").cast("long").alias("pt_idx"), rounded("x", 4).alias("x"), rounded("y").alias("y"), rounded("z").alias("z"))
+    return _tracks(spark, sf, tracks.encode_trackvis, ".trk").select(F.col("pt_idx").cast("long").alias("pt_idx"), *[rounded(F.col(a).cast("double"), 4).alias(a) for a in "xyz"])
 
 
 @query(f"SELECT pt_idx, x, y, z FROM ({_TRACKS})")
 def dft_round_trip(spark, sf):
-    return _tracks(spark, sf, tracks.encode_dft, ".dft").select(F.col("pt_idx").cast("long").alias("pt_idx"), rounded("x", 4).alias("x"), rounded("y").alias("y"), rounded("z").alias("z"))
+    return _tracks(spark, sf, tracks.encode_dft, ".dft").select(F.col("pt_idx").cast("long").alias("pt_idx"), *[rounded(F.col(a).cast("double"), 4).alias(a) for a in "xyz"])
 
 
 _NATIONS = "SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, round(sum(c_acctbal), 2) AS w FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5 GROUP BY 1, 2"
