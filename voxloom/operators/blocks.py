@@ -87,10 +87,10 @@ def around(df: DataFrame, axes: list[str], dims: list[int], radius: int, outputs
     return _to_blocks(rows, axes, dims, radius, "clamp", edge).groupBy(*keep, *blocks).applyInPandas(run, schema)
 
 
-def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weight: Callable[[np.ndarray], np.ndarray] | None, boundary: str, value: str = "v") -> DataFrame:
+def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weights: list[Callable[[np.ndarray], np.ndarray] | None], boundary: str, value: str = "v") -> DataFrame:
     """(keys, value): the weighted sum of the voxels around each sample's continuous index.
 
-    The voxels read are place(u) + steps along each axis, with the product of weight(u - voxel).
+    The voxels read are place(u) + steps along each axis, with the product of the axes' weights of u - voxel.
     Boundary: wrap, clamp (the border is repeated), anything else leaves places beyond it out.
     Samples meet the block of their voxel; a block that many samples read is copied and its
     samples are dealt over the copies. Samples without a finite index give no row.
@@ -115,12 +115,12 @@ def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: di
         block = tuple(int(rows[b].iloc[0]) for b in blocks)
         tile, places = _tile(voxels.fillna({"_v": 0.0}), axes, sizes, block, radius, boundary, edge, "_v")
         options = []
-        for u, n, p in zip((rows[u].to_numpy() for u in ats), sizes, places, strict=True):
+        for u, n, p, weight in zip((rows[u].to_numpy() for u in ats), sizes, places, weights, strict=True):
             read = [place(u).astype(np.int64) + s for s in steps]
-            weights = [weight(u - r) if weight else np.ones(len(u)) for r in read]
+            weighed = [weight(u - r) if weight else np.ones(len(u)) for r in read]
             if boundary not in ("wrap", "clamp"):
-                weights = [w * ((r >= 0) & (r < n)) for w, r in zip(weights, read, strict=True)]
-            options.append([(p[bounded_index(r, n, boundary)], w) for r, w in zip(read, weights, strict=True)])
+                weighed = [w * ((r >= 0) & (r < n)) for w, r in zip(weighed, read, strict=True)]
+            options.append([(p[bounded_index(r, n, boundary)], w) for r, w in zip(read, weighed, strict=True)])
         out = np.zeros(len(rows))
         for corner in itertools.product(*options):
             w = np.prod([w for _, w in corner], axis=0)

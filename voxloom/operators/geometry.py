@@ -15,10 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import b3
 from ..model import Geometry, grid
 from ..session import settled
-from .spatial import interpolate
+from .spatial import cubic_spline, interpolate
 from .sums import summed
 
 AXES = ["x", "y", "z"]
@@ -192,11 +191,6 @@ def correlation_metric(a: np.ndarray, b: np.ndarray) -> float:
     return -abs(float(a @ b) / d) if d else 0.0
 
 
-def _b3(x: np.ndarray) -> np.ndarray:
-    u = np.abs(x)
-    return np.where(u < 1, 2 / 3 - u * u + u**3 / 2, np.where(u < 2, (2 - u) ** 3 / 6, 0.0))
-
-
 def information_metric(kind: str = "mi", bins: int = 32, radius: int = 2) -> Metric:
     """Negated mutual (or normalised) information, or variation of information, with Parzen windows."""
 
@@ -204,7 +198,7 @@ def information_metric(kind: str = "mi", bins: int = 32, radius: int = 2) -> Met
         width = (v.max() - v.min()) / (bins - 2 * radius - 1) or 1.0
         u = (v - v.min()) / width + radius
         at = np.floor(u).astype(int)[:, None] + np.arange(-radius, radius + 1)
-        return at, _b3(at - u[:, None])
+        return at, cubic_spline(at - u[:, None])
 
     def metric(a: np.ndarray, b: np.ndarray) -> float:
         (ia, wa), (ib, wb) = spread(a), spread(b)
@@ -286,7 +280,7 @@ def spline_matrix(n: int, knots: int) -> np.ndarray:
     """Cubic B-spline weights of n places on equally spaced knots over their extent."""
     gap = (n - 1) / (knots - 3) if knots > 3 else float(n)
     u = np.arange(n)[:, None] / gap - (np.arange(knots)[None, :] - 1)
-    return _b3(u)
+    return cubic_spline(u)
 
 
 def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, knots: int = 6, metric: Metric | None = None, jacobian: float = 1e-4, bending: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -426,21 +420,37 @@ def bias_field(image: DataFrame, dims: tuple[int, int, int], knots: int = 4, rid
     return c.reshape((knots,) * 3), image.select(*AXES).mapInPandas(rebuild, "x int, y int, z int, bias double")
 
 
+def log_normalized(image: DataFrame, mask: DataFrame, axes: list[str] | None = None) -> DataFrame:
+    """log(v / mean of v inside the mask), 0 outside the mask (above one half is inside) and where v is not positive."""
+    axes = axes or AXES
+    both = image.select(*axes, "v").join(mask.select(*axes, (F.col("v") > 0.5).alias("_in")), axes, "left")
+    mean = both.agg(F.avg(F.when(F.col("_in"), F.col("v"))).alias("_mean"))  # one row
+    ratio = F.col("v") / F.col("_mean")
+    return both.crossJoin(F.broadcast(mean)).select(*axes, F.when(F.col("_in") & (ratio > 0), F.log(ratio)).otherwise(F.lit(0.0)).alias("v"))
+
+
+def bias_inputs(image: DataFrame, mask: DataFrame, geo: Geometry, spacing: float) -> tuple[DataFrame, DataFrame]:
+    """What a bias field is fitted to: the log-normalised image and its mask (0 or 1) on a coarser isotropic grid."""
+    from .spectral import resample
+
+    ratios = {a: float(s) / spacing for a, s in zip(AXES, geo.spacing, strict=False)}
+    down = resample(log_normalized(image, mask), ratios)
+    at = {a: F.col(a) / F.lit(r) for a, r in ratios.items()}
+    inside = interpolate(down.select(*AXES), mask, at, dict(zip(AXES, geo.dims, strict=False)), AXES, "linear", "zero")
+    return down, inside.withColumn("v", (F.col("v") > 0.5).cast("double"))
+
+
 def correct_bias(image: DataFrame, dims: tuple[int, int, int], knots: int = 4, ridge: float = 1e-3) -> DataFrame:
     _, field_ = bias_field(image, dims, knots, ridge)
     return image.join(field_, AXES).withColumn("v", F.col("v") / F.col("bias")).drop("bias")
 
 
 def spline_reconstruct(knots: DataFrame, cells: DataFrame, spacing: float, axes: list[str]) -> DataFrame:
-    """Cubic B-spline values of cells from knots (axes, c): each cell reads 4^n knots, one join."""
-    offsets = F.array(*[F.struct(*[F.lit(k).alias(f"k{i}") for i, k in enumerate(o)]) for o in itertools.product(range(-1, 3), repeat=len(axes))])
-    sent = cells.select(*axes, F.explode(offsets).alias("_o"))
-    weight = F.lit(1.0)
-    for i, a in enumerate(axes):
-        u = F.col(a) / F.lit(spacing)
-        place = F.floor(u).cast("int") + F.col(f"_o.k{i}")
-        sent = sent.withColumn(f"_k{a}", place)
-        weight = weight * b3(u - place)
-    sent = sent.withColumn("_w", weight)
-    met = sent.join(knots.select(*[F.col(a).alias(f"_k{a}") for a in axes], "c"), [f"_k{a}" for a in axes])
-    return met.groupBy(*axes).agg(F.sum(F.col("_w") * F.col("c")).alias("v"))
+    """Cubic B-spline values of cells from knots (axes, c), missing knots as 0: cells meet blocks of knots."""
+    ends = knots.agg(*[F.min(a) for a in axes], *[F.max(a) for a in axes]).first()
+    if ends[0] is None:
+        return cells.select(*axes, F.lit(0.0).alias("v"))
+    first = dict(zip(axes, ends[: len(axes)], strict=True))
+    sizes = {a: last - first[a] + 1 for a, last in zip(axes, ends[len(axes) :], strict=True)}
+    placed = knots.select(*[(F.col(a) - first[a]).alias(a) for a in axes], F.col("c").alias("v"))
+    return interpolate(cells, placed, {a: F.col(a) / F.lit(spacing) - first[a] for a in axes}, sizes, axes, "bspline", "zero")

@@ -156,13 +156,6 @@ def dilate(df: DataFrame, axes: list[str], dims: list[int], radius: int, value:
     return around(df, axes, dims, radius, f"{value} {_kind(df, value)}", work, value, keep)
 
 
-def laplacian_band(df: DataFrame, axes: list[str], narrow: float, wide: float, value: str = "v", edge: str = "clamp", keep: list[str] | None = None) -> DataFrame:
-    """What a narrow Gaussian keeps and a wide one doesn't: the smoothing at one width less that at another."""
-    on = [*(keep or []), *axes]
-    low = gaussian_smooth_nd(df, axes, wide, value, edge, keep).withColumnRenamed(value, "_wide")
-    return gaussian_smooth_nd(df, axes, narrow, value, edge, keep).join(low, on).select(*on, (F.col(value) - F.col("_wide")).alias(value))
-
-
 def gaussian_smooth_nd(df: DataFrame, axes: list[str], sd: float, value: str = "v", edge: str = "clamp", keep: list[str] | None = None) -> DataFrame:
     """Separable Gaussian: one windowed pass an axis."""
     for axis in axes:

@@ -156,30 +156,38 @@ def _lanczos_weight(d: np.ndarray) -> np.ndarray:
     return np.where(np.abs(d) < 2, np.sinc(d) * np.sinc(d / 2), 0.0)
 
 
-def _cubic_weight(d: np.ndarray) -> np.ndarray:
+def cubic_spline(d: np.ndarray) -> np.ndarray:
     """Cubic B-spline: two pieces that meet at distance 1 and end at 2."""
     d = np.abs(d)
     return np.where(d < 1, 2 / 3 - d * d + d**3 / 2, np.clip(2 - d, 0, None) ** 3 / 6)
 
 
+def _cubic_slope(d: np.ndarray) -> np.ndarray:
+    a = np.abs(d)
+    return np.sign(d) * np.where(a < 1, 1.5 * a * a - 2 * a, -(np.clip(2 - a, 0, None) ** 2) / 2)
+
+
 #: Voxels read along an axis, from which place on, with which weight of the distance.
 _KINDS = {
     "nearest": ([0], lambda u: np.floor(u + 0.5), None),
     "linear": ([0, 1], np.floor, lambda d: np.clip(1 - np.abs(d), 0, None)),
     "lanczos": ([-2, -1, 0, 1, 2], lambda u: np.floor(u + 0.5), _lanczos_weight),
-    "bspline": ([-1, 0, 1, 2], np.floor, _cubic_weight),
+    "bspline": ([-1, 0, 1, 2], np.floor, cubic_spline),
 }
 
 
-def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], kind: str = "linear", boundary: str = "clamp", value: str = "v") -> DataFrame:
+def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], kind: str = "linear", boundary: str = "clamp", value: str = "v", slope: str | None = None) -> DataFrame:
     """Image values at continuous index columns of samples (named by keys).
 
     nearest rounds; linear weighs 2^n corners; lanczos weighs (2r+1)^n with r = 2, not
     renormalised; bspline takes the image as the knots of cubic B-splines and weighs 4^n of them.
-    Places beyond the image: "clamp" reads the border, "wrap" the other side, "zero" nothing.
+    With slope, an axis, bspline gives the derivative along it. Places beyond the image: "clamp"
+    reads the border, "wrap" the other side, "zero" nothing.
     """
+    if slope and kind != "bspline":
+        raise ValueError("only bspline has a derivative")
     steps, place, weight = _KINDS[kind]
-    return sample(samples, image, at, dims, keys, steps, place, weight, boundary, value)
+    return sample(samples, image, at, dims, keys, steps, place, [_cubic_slope if a == slope else weight for a in at], boundary, value)
 
 
 def resample_to(image: DataFrame, source, target, kind: str = "linear", boundary: str = "zero") -> DataFrame:
@@ -192,6 +200,23 @@ def resample_to(image: DataFrame, source, target, kind: str = "linear", boundary
     return interpolate(cells, image, dict(zip(axes, index, strict=True)), dict(zip(axes, source.dims, strict=False)), axes, kind, boundary)
 
 
+def fill_linear(image: DataFrame, axes: list[str], dims: list[int], value: str = "v") -> DataFrame:
+    """The image with each voxel's flat place, the last axis running fastest."""
+    flat = reduce(lambda f, p: f * F.lit(p[1]) + F.col(p[0]).cast("long"), zip(axes, dims, strict=True), F.lit(0).cast("long"))
+    return image.withColumn(value, flat.cast("double"))
+
+
+def fill_zero(image: DataFrame, value: str = "v") -> DataFrame:
+    return image.withColumn(value, F.lit(0.0))
+
+
+def label_points(labels: DataFrame, geo, value: str = "v") -> DataFrame:
+    """(label, p) of each labelled voxel in physical space, ready for ``within_distance``."""
+    axes = ["x", "y", "z"][: geo.ndim]
+    at = geo.to_point([F.col(a).cast("double") for a in axes])
+    return labels.filter(F.col(value) != 0).select(F.col(value).cast("long").alias("label"), F.array(*at).alias("p"))
+
+
 def self_pairs(sets: DataFrame, by: str, item: str) -> DataFrame:
     """Unordered pairs (l1 <= l2) of the distinct items of each group, with the number of groups.
 

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import lanczos
+
 
 def power_of_two(n: int) -> int:
     return 1 << max(n - 1, 0).bit_length()
@@ -175,6 +177,29 @@ def smooth_downsample(voxels: DataFrame, spacing: dict[str, float], sigma: float
     return voxels
 
 
+def scale_band(voxels: DataFrame, spacing: dict[str, float], fine: float, coarse: float, new_spacing: float, keep: list[str] | None = None, value: str = "v") -> DataFrame:
+    """What smoothing at the fine width keeps and smoothing at the coarse width removes, on the new grid."""
+    on = [*(keep or []), *spacing]
+    low = smooth_downsample(voxels, spacing, coarse, new_spacing, keep, value).withColumnRenamed(value, "_low")
+    return smooth_downsample(voxels, spacing, fine, new_spacing, keep, value).join(low, on).select(*on, (F.col(value) - F.col("_low")).alias(value))
+
+
+def zoom(ts: Column, a: float, radius: int = 4) -> Column:
+    """A packed line read at a·(i − n/2) + n/2 through a Lanczos window; places beyond the line count nothing."""
+    if not -1 <= a <= 1:
+        raise ValueError("the zoom must lie between -1 and 1")
+    n = F.size(ts)
+
+    def read(_: Column, i: Column) -> Column:
+        at = (i - n / 2) * F.lit(float(a)) + n / 2
+        middle = F.round(at).cast("int")
+        first, last = F.greatest(middle - radius, F.lit(0)), F.least(middle + radius, n - 1)
+        near = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(near, F.lit(0.0), lambda s, j: s + F.get(ts, j) * lanczos(j - at, float(radius)))
+
+    return F.transform(ts, read)
+
+
 def chirp_z_direct(x: np.ndarray, alpha: float) -> np.ndarray:
     """sum over n of x[n] exp(-2 pi i alpha n k / N), indices centred; O(N²)."""
     n = len(x)

@@ -191,6 +191,67 @@ def interpolate_lanczos(spark, sf):
     return _interpolated(spark, sf, "lanczos")
 
 
+_CUBIC = "(CASE WHEN abs({0}) < 1 THEN 2 / 3::DOUBLE - {0} * {0} + pow(abs({0}), 3) / 2 WHEN abs({0}) < 2 THEN pow(2 - abs({0}), 3) / 6 ELSE 0 END)"
+_CUBIC_SLOPE = "(sign({0}) * CASE WHEN abs({0}) < 1 THEN 1.5 * {0} * {0} - 2 * abs({0}) WHEN abs({0}) < 2 THEN pow(2 - abs({0}), 2) / -2 ELSE 0 END)"
+_WRAPPED = tuple(f"((({{}}) % {n} + {n}) % {n})" for n in ("(n.m + 1)", "8", "8"))
+
+
+@query(f"WITH {_IMG}, {_AT_SQL}, {_interpolate_sql(range(-1, 3), 'floor({})', _CUBIC)}")
+def interpolate_bspline(spark, sf):
+    return _interpolated(spark, sf, "bspline")
+
+
+def _around(spark, sf, kind: str, boundary: str, slope: str | None = None):
+    rows, at = _samples(spark, sf)
+    out = S.interpolate(rows, image(spark, sf), at, dict(zip(AXES, dims(spark, sf), strict=True)), [f"o{a}" for a in AXES], kind, boundary, slope=slope)
+    return told(out.select(*[F.col(f"o{a}").alias(a) for a in AXES], "v"), "v")
+
+
+@query(f"WITH {_IMG}, {_AT_SQL}, {_interpolate_sql(range(-1, 3), 'floor({})', _CUBIC, limits=_WRAPPED)}")
+def interpolate_bspline_wrapped(spark, sf):
+    return _around(spark, sf, "bspline", "wrap")
+
+
+@query(f"WITH {_IMG}, {_AT_SQL}, {_interpolate_sql(range(-1, 3), 'floor({})', _CUBIC, limits=('{}',) * 3)}")
+def interpolate_bspline_zero(spark, sf):
+    return _around(spark, sf, "bspline", "zero")
+
+
+@query(f"WITH {_IMG}, {_AT_SQL}, {_interpolate_sql(range(-1, 3), 'floor({})', _CUBIC).replace(_CUBIC.format('(uy - py)'), _CUBIC_SLOPE.format('(uy - py)'))}")
+def bspline_slope(spark, sf):
+    return _around(spark, sf, "bspline", "clamp", "y")
+
+
+@query(f"WITH {_IMG}, {_AT_SQL}, {_interpolate_sql(range(0, 2), 'floor({})', _LINEAR, limits=_WRAPPED)}")
+def interpolate_linear_wrapped(spark, sf):
+    return _around(spark, sf, "linear", "wrap")
+
+
+@query(f"WITH {_IMG} SELECT x, y, z, (x * 64 + y * 8 + z)::DOUBLE AS v FROM img")
+def fill_linear(spark, sf):
+    return told(S.fill_linear(image(spark, sf), AXES, list(dims(spark, sf))), "v")
+
+
+@query(f"WITH {_IMG} SELECT x, y, z, 0.0::DOUBLE AS v FROM img")
+def fill_zero(spark, sf):
+    return told(S.fill_zero(image(spark, sf)), "v")
+
+
+@query(f"WITH {_IMG}, {_LABEL}, {_MASK.replace('msk', 'm2')}, u AS (SELECT avg(img.v + 1.5) AS u FROM img JOIN m2 USING (x, y, z) WHERE m2.v > 0.5) SELECT x, y, z, round(CASE WHEN m2.v > 0.5 AND img.v + 1.5 > 0 THEN ln((img.v + 1.5) / u) ELSE 0 END, 6) + 0.0 AS v FROM img JOIN m2 USING (x, y, z) CROSS JOIN u")
+def log_normalized(spark, sf):
+    return told(M.log_normalized(image(spark, sf, F.col("v") + 1.5), _labels(spark, sf, -0.2)), "v")
+
+
+_ZOOMED = 0.6
+
+
+@query(f"""WITH p AS (SELECT vec_id AS x, o.i AS t, embedding AS e, (o.i - 32) * {_ZOOMED}::DOUBLE + 32 AS u FROM embeddings, range(64) o(i)), q AS (SELECT x, t, u, j.i AS j, e[j.i + 1]::DOUBLE AS v FROM p JOIN range(64) j(i) ON j.i BETWEEN round(u) - 4 AND round(u) + 4)
+SELECT x, t, round(sum(v * CASE WHEN j = u THEN 1 WHEN abs(j - u) <= 4 THEN 4 * sin(pi() * (j - u)) * sin(pi() * (j - u) / 4) / (pi() * pi() * (j - u) * (j - u)) ELSE 0 END), 6) + 0.0 AS v FROM q GROUP BY x, t""")
+def zoom_rows(spark, sf):
+    rows = packed(spark, sf).select(F.col("x").cast("long").alias("x"), F.posexplode(P.zoom(F.col("ts"), _ZOOMED)).alias("t", "v"))
+    return rows.select("x", F.col("t").cast("long").alias("t"), rounded("v").alias("v"))
+
+
 _MOTION = M.Rigid(np.array([0.1, -0.05, 0.02]), np.array([0.4, -0.3, 0.2]), np.array([3.5, 3.5, 3.5]))
 
 
@@ -389,6 +450,18 @@ def overlap_ratio(spark, sf):
     return spark.createDataFrame([(S.overlap_ratio(spark, _OTHER, _PLACED),)], "ratio double").select(rounded("ratio").alias("ratio"))
 
 
+def _label_points_sql() -> str:
+    turned = _turned(_PLACED.direction, [f"(x * {float(_PLACED.spacing[0])!r})", f"(y * {float(_PLACED.spacing[1])!r})", f"(z * {float(_PLACED.spacing[2])!r})"])
+    at = ", ".join(f"round({e} + {float(o)!r}, 6) + 0.0 AS p{n}" for e, o, n in zip(turned, _PLACED.origin, AXES, strict=True))
+    return f"WITH {_IMG}, {_LABEL} SELECT CAST(v AS BIGINT) AS label, {at} FROM lab WHERE v <> 0"
+
+
+@query(_label_points_sql())
+def label_points(spark, sf):
+    points = S.label_points(_labels(spark, sf), _PLACED)
+    return points.select("label", *[rounded(F.get("p", F.lit(k))).alias(f"p{a}") for k, a in enumerate(AXES)])
+
+
 _TIMES = Geometry((8, 8, 7), slice_order="ALT", slice_duration=0.25)
 
 

@@ -185,7 +185,7 @@ _DET = "(({0}) * (({4}) * ({8}) - ({5}) * ({7})) - ({1}) * (({3}) * ({8}) - ({5}
 @query(f"""WITH {_SERIES}, d AS (SELECT x, t, v, sin(pi() / 2 * (lo % 4 + t)) AS a, cos(pi() / 2 * (lo % 4 + t)) AS b FROM s, r),
 q AS (SELECT x, sum(a * a) aa, sum(a * b) ab, sum(a) a1, sum(b * b) bb, sum(b) b1, count(*) n, sum(a * v) av, sum(b * v) bv, sum(v) v1 FROM d GROUP BY x),
 f AS (SELECT x, {_DET.format('av', 'ab', 'a1', 'bv', 'bb', 'b1', 'v1', 'b1', 'n')} / {_DET.format('aa', 'ab', 'a1', 'ab', 'bb', 'b1', 'a1', 'b1', 'n')} AS b0, {_DET.format('aa', 'av', 'a1', 'ab', 'bv', 'b1', 'a1', 'v1', 'n')} / {_DET.format('aa', 'ab', 'a1', 'ab', 'bb', 'b1', 'a1', 'b1', 'n')} AS b1, {_DET.format('aa', 'ab', 'av', 'ab', 'bb', 'bv', 'a1', 'b1', 'v1')} / {_DET.format('aa', 'ab', 'a1', 'ab', 'bb', 'b1', 'a1', 'b1', 'n')} AS b2 FROM q)
-SELECT x, round(any_value(b0), 6) + 0.0 AS b0, round(any_value(f.b1), 6) + 0.0 AS b1, round(any_value(b2), 6) + 0.0 AS b2, round(1 - sum((v - b0 * a - f.b1 * b - b2) * (v - b0 * a - f.b1 * b - b2)) / (var_pop(v) * count(*)), 6) + 0.0 AS rsqr FROM d JOIN f USING (x) GROUP BY x""")
+SELECT x, round(any_value(b0), 9) + 0.0 AS b0, round(any_value(f.b1), 9) + 0.0 AS b1, round(any_value(b2), 9) + 0.0 AS b2, round(1 - sum((v - b0 * a - f.b1 * b - b2) * (v - b0 * a - f.b1 * b - b2)) / (var_pop(v) * count(*)), 6) + 0.0 AS rsqr FROM d JOIN f USING (x) GROUP BY x""")
 def fitted_series(spark, sf):
     from .queries import series_glm
 

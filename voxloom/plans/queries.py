@@ -514,9 +514,10 @@ def series_band_pass(spark, sf):
 @query()
 def series_glm(spark, sf):
     series, lo, n = _series(spark, sf)
+    # means of cents often end on a 5 in the seventh place, where rounding is a toss: nine places are told
     t = lo % 4 + np.arange(n)  # a day is four bins: the same hours have the same phase on any table
     x = np.column_stack([np.sin(2 * np.pi * t / 4), np.cos(2 * np.pi * t / 4), np.ones(n)])
-    return R.glm(series, x, ["x"]).select("x", *[_r(F.get("bhat", F.lit(k))).alias(f"b{k}") for k in range(3)], _r("rsqr").alias("rsqr"))
+    return R.glm(series, x, ["x"]).select("x", *[_r(F.get("bhat", F.lit(k)), 9).alias(f"b{k}") for k in range(3)], _r("rsqr").alias("rsqr"))
 
 
 @query()
