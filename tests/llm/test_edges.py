@@ -319,3 +319,29 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError):
             common.scratch(Session())
+
+
+def test_components_of_hubs_and_chains(spark):
+    import random
+
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    hub = [(999, i) for i in range(200, 300)]  # the centre is the largest node
+    middle = [(450, i) for i in range(400, 500)]  # neighbours on both sides, a loop among them
+    bridges = [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(70)]
+    edges = [*chain, *hub, *middle, *bridges, *chain[:5], (2, 1)]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(parent)
+    assert {r.id: r.comp for r in got} == {n: root(n) for n in parent}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -121,25 +121,28 @@ def sketch(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id of each connected component; edges (a, b), any direction.
 
-    Alternating large-star and small-star steps on stored tables until nothing changes:
-    O(log^2) rounds of linear work; one row per edge at any time.
+    Alternating large-star and small-star steps on stored tables until every component is a star
+    round its smallest node: O(log^2) rounds of linear work; one row per edge at any time. The
+    smallest neighbours are stored before they are joined, so the join has two plain inputs: it is
+    a broadcast where they are few, else a shuffle whose hubs adaptive execution splits.
     """
     both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    current, before = stored(both), None
+    current = stored(both)
     while True:
-        # large star: neighbours larger than the node move to the node's smallest neighbour
         ways = current.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(current.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        low = stored(ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("down"), F.count_if(F.col("v") > F.col("u")).alias("up")))
+        if low.filter("down > 1 or down > 0 and up > 0").isEmpty():
+            forget(current)
+            return low.select(F.col("u").alias("id"), F.col("m").alias("comp"))
+        # large star: neighbours larger than the node move to the node's smallest neighbour
+        large = stored(ways.filter("v > u").join(low.filter("up > 0").select("u", "m"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct())
         # small star: a node and its smaller neighbours move to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("x"), "a", "b")
+        least = stored(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = large.join(least, "b").select(F.col("m").alias("x"), "a", "b")
         now = stored(small.select(F.col("x").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        forget(current)
-        if state == before:
-            return now.select(F.col("b").alias("id"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("comp")).distinct())
-        current, before = now, state
+        for done in (current, low, large, least):
+            forget(done)
+        current = now
 
 
 def prefix_postings(reps: DataFrame) -> DataFrame:
@@ -216,14 +219,16 @@ def _lookup(values: np.ndarray, members: np.ndarray, keys: np.ndarray, n: int) -
 
 
 def links_between(left: Block, right: Block, exact: bool) -> list[tuple[int, int]]:
-    """Links that join components, over all pairs of a left and a right member; exact: confirmed on the full sets."""
+    """Links that join components, over all pairs of a left and a right member; exact: confirmed on the full sets.
+
+    A link leads from the smallest of the joined components to another, so links form stars.
+    """
     left.tables()
     if right is not left:
         right.tables()
     every, where = np.unique(np.concatenate([left.comps, right.comps]), return_inverse=True)
     parent = np.arange(len(every))
     lc, rc = where[: len(left.ids)], where[len(left.ids) :]
-    out = []
     root = parent.copy()
     same = left is right
     for i in range(len(left.ids)):
@@ -239,16 +244,12 @@ def links_between(left: Block, right: Block, exact: bool) -> list[tuple[int, int
             own = left.value[left.at[i] : left.at[i + 1]]
             both = _lookup(right.set_value, right.set_member, own, len(right.ids))
             cand &= 100 * both >= PERCENT * (len(own) + right.size - both)
-        joined = False
-        for j in np.flatnonzero(cand).tolist():
-            if _unions(parent, int(lc[i]), int(rc[j])):
-                out.append((int(left.ids[i]), int(right.ids[j])))
-                joined = True
-        if joined:
+        if any([_unions(parent, int(lc[i]), int(rc[j])) for j in np.flatnonzero(cand)]):
             while (parent[parent] != parent).any():
                 parent = parent[parent]
             root = parent.copy()
-    return out
+    joined = np.flatnonzero(root != np.arange(len(every)))
+    return list(zip(every[root[joined]].tolist(), every[joined].tolist(), strict=True))
 
 
 def meet(tasks: DataFrame, members: DataFrame) -> DataFrame:
