@@ -242,11 +242,49 @@ def test_registration_recovers_a_motion():
     true = geometry.Rigid(np.array([0.05, -0.08, 0.1]), np.array([1.0, -0.7, 0.5]), center)
     cells = np.indices(a.shape).reshape(3, -1).T.astype(float)
     b = geometry.sample(a, true.inverse().apply(cells)).reshape(a.shape)  # a carried by the motion
-    for metric in (geometry.correlation_metric,):
+    for metric in (geometry.correlation_metric, geometry.information_metric("mi")):
         back = geometry.register_rigid(a, b, metric, (2, 0))
         assert np.abs(back.apply(true.apply(cells)) - cells)[(cells > 5).all(1) & (cells < 14).all(1)].max() < 0.3
 
 
+@pytest.mark.parametrize("metric", [geometry.correlation_metric, *[geometry.information_metric(kind, 16) for kind in ("mi", "nmi", "vi")]])
+def test_metric_slopes_by_differences(metric):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=60), rng.uniform(0.2, 0.8, 60)
+    _, slope = metric.slope(a, b, (0.0, 1.0))
+    got = geometry.numeric_gradient(lambda v: metric.slope(a, v, (0.0, 1.0))[0], b, np.full(60, 1e-5))
+    assert np.abs(slope - got).max() < 1e-6
+    assert metric(a, b) == metric.slope(a, b)[0]
+    moving = rng.uniform(0, 5, (7, 8, 6))
+    points = rng.uniform(1.5, 4.5, (50, 3))
+    at = np.array([0.02, -0.03, 0.05, 0.11, -0.2, 0.07])
+    center = np.array([3.0, 3.5, 2.5])
+    _, slope = geometry.rigid_cost(metric, moving, points, a[:50], center, at)
+    got = geometry.numeric_gradient(lambda v: geometry.rigid_cost(metric, moving, points, a[:50], center, v)[0], at, np.full(6, 1e-7))
+    assert np.abs(slope - got).max() < 1e-3 * max(1.0, np.abs(got).max())
+
+
+def test_a_metric_without_slope_registers_too():
+    i, j, k = np.indices((9, 9, 9))
+    a = np.exp(-((i - 4) ** 2 / 9 + (j - 4) ** 2 / 5 + (k - 4) ** 2 / 7))
+    m = geometry.register_rigid(a, a, lambda x, y: float(((x - y) ** 2).mean()), (0,))
+    assert np.abs(m.shift).max() < 0.05 and np.abs(m.matrix - np.eye(3)).max() < 0.02
+
+
+def test_distortion_that_varies_across_the_other_axes():
+    i, j, k = np.indices((16, 20, 12))
+    fixed = np.exp(-((j - 9.5) ** 2) / 12) * (50 + 10 * np.cos(i / 3) + 5 * np.cos(k / 2))  # fades out before the ends
+    cells = np.indices(fixed.shape).reshape(3, -1).T.astype(float)
+    cells[:, 1] -= (1.2 * np.sin(i / 5)).ravel()
+    moving = geometry.sample(fixed, cells).reshape(fixed.shape)
+    inner = np.s_[:, 5:-5, :]  # where the image has slopes
+    before = np.corrcoef(fixed[inner].ravel(), moving[inner].ravel())[0, 1]
+    field, out = geometry.correct_distortion(fixed, moving, 1, 5, geometry.correlation_metric, rounds=40)
+    after = np.corrcoef(fixed[inner].ravel(), out[inner].ravel())[0, 1]
+    assert 1 - after < (1 - before) / 5
+    assert np.corrcoef(field[inner].ravel(), (1.2 * np.sin(i / 5))[inner].ravel())[0, 1] > 0.9
+
+
 def test_deformations(spark):
     dims = (6, 6, 6)
     cells = grid(spark, dims).select(*AXES)

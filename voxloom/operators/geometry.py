@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..model import Geometry, grid
 from ..session import settled
-from .spatial import cubic_spline, interpolate
+from .spatial import cubic_slope, cubic_spline, interpolate
 from .sums import summed
 
 AXES = ["x", "y", "z"]
@@ -182,36 +182,76 @@ def numeric_gradient(f: Callable[[np.ndarray], float], x: np.ndarray, steps: np.
 
 # ---- registration ------------------------------------------------------------------
 
+#: Called with two arrays of equal length it gives a cost. A metric that also has
+#: slope(a, b, span) → (cost, its derivative by each b) spares the finite differences.
 Metric = Callable[[np.ndarray, np.ndarray], float]
+Span = tuple[float, float]
 
 
-def correlation_metric(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a - a.mean(), b - b.mean()
-    d = math.sqrt((a @ a) * (b @ b))
-    return -abs(float(a @ b) / d) if d else 0.0
+class Correlation:
+    """Negated absolute correlation."""
 
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> float:
+        return self.slope(a, b)[0]
 
-def information_metric(kind: str = "mi", bins: int = 32, radius: int = 2) -> Metric:
-    """Negated mutual (or normalised) information, or variation of information, with Parzen windows."""
+    def slope(self, a: np.ndarray, b: np.ndarray, span: Span | None = None) -> tuple[float, np.ndarray]:
+        a, b = a - a.mean(), b - b.mean()
+        d = math.sqrt((a @ a) * (b @ b))
+        if not d:
+            return 0.0, np.zeros(len(b))
+        r = float(a @ b) / d
+        return -abs(r), -np.sign(r) * (a / d - r * b / (b @ b))
 
-    def spread(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = (v.max() - v.min()) / (bins - 2 * radius - 1) or 1.0
-        u = (v - v.min()) / width + radius
-        at = np.floor(u).astype(int)[:, None] + np.arange(-radius, radius + 1)
-        return at, cubic_spline(at - u[:, None])
 
-    def metric(a: np.ndarray, b: np.ndarray) -> float:
-        (ia, wa), (ib, wb) = spread(a), spread(b)
-        joint = np.zeros((bins, bins))
-        for i in range(2 * radius + 1):
-            for j in range(2 * radius + 1):
-                np.add.at(joint, (ia[:, i].clip(0, bins - 1), ib[:, j].clip(0, bins - 1)), wa[:, i] * wb[:, j])
-        p = joint / joint.sum()
-        h = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+@dataclass
+class Information:
+    """Negated mutual (or normalised) information, or variation of information, with Parzen windows.
+
+    The bins of b cover ``span`` where it is given (it must hold all of b), else b's own range,
+    which the derivative takes as fixed.
+    """
+
+    kind: str = "mi"
+    bins: int = 32
+    radius: int = 2
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> float:
+        return self.slope(a, b)[0]
+
+    def _spread(self, v: np.ndarray, span: Span | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins that each value counts in, its weights there and their derivatives by the value."""
+        lo, hi = span or (v.min(), v.max())
+        width = (hi - lo) / (self.bins - 2 * self.radius - 1) or 1.0
+        u = (v - lo) / width + self.radius
+        at = np.floor(u).astype(int)[:, None] + np.arange(-self.radius, self.radius + 1)
+        d = at - u[:, None]
+        return at.clip(0, self.bins - 1), cubic_spline(d), -cubic_slope(d) / width
+
+    def slope(self, a: np.ndarray, b: np.ndarray, span: Span | None = None) -> tuple[float, np.ndarray]:
+        (ia, wa, _), (ib, wb, db) = self._spread(a, None), self._spread(b, span)
+        cell = ia[:, :, None] * self.bins + ib[:, None, :]
+        joint = np.bincount(cell.ravel(), (wa[:, :, None] * wb[:, None, :]).ravel(), self.bins**2)
+        whole = joint.sum()
+        p = joint.reshape(self.bins, self.bins) / whole
+        log = lambda q: np.log(np.where(q > 0, q, 1.0))
+        h = lambda q: -float((q * log(q)).sum())
         ha, hb, hj = h(p.sum(1)), h(p.sum(0)), h(p)
-        return float({"mi": -(ha + hb - hj), "nmi": -(ha + hb) / hj if hj else 0.0, "vi": 2 * hj - ha - hb}[kind])
+        # derivatives of the three entropies by a cell of the joint histogram
+        da, db_, dj = -log(p.sum(1))[:, None] - 1, -log(p.sum(0))[None, :] - 1, -log(p) - 1
+        if self.kind == "mi":
+            cost, by_cell = hj - ha - hb, dj - da - db_
+        elif self.kind == "nmi":
+            cost, by_cell = (-(ha + hb) / hj, ((ha + hb) * dj / hj - da - db_) / hj) if hj else (0.0, np.zeros_like(p))
+        else:
+            cost, by_cell = 2 * hj - ha - hb, 2 * dj - da - db_
+        return cost, (by_cell.ravel()[cell] * wa[:, :, None] * db[:, None, :]).sum((1, 2)) / whole
+
 
-    return metric
+correlation_metric = Correlation()
+
+
+def information_metric(kind: str = "mi", bins: int = 32, radius: int = 2) -> Information:
+    return Information(kind, bins, radius)
 
 
 def _smooth(a: np.ndarray, sigma: float) -> np.ndarray:
@@ -225,20 +265,50 @@ def _smooth(a: np.ndarray, sigma: float) -> np.ndarray:
     return a
 
 
-def sample(a: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Linear interpolation of a volume at points (n, 3), zero outside."""
+def sample_slope(a: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear interpolation of a volume at points (n, 3), zero outside, and its gradient by the point."""
     base = np.floor(p).astype(int)
-    out = np.zeros(len(p))
+    out, slope = np.zeros(len(p)), np.zeros((len(p), 3))
     for c in itertools.product((0, 1), repeat=3):
         at = base + c
-        w = np.prod(1 - np.abs(p - at), axis=1)
+        near = 1 - np.abs(p - at)
         ok = ((at >= 0) & (at < a.shape)).all(1)
-        out[ok] += w[ok] * a[tuple(at[ok].T)]
-    return out
+        value = np.where(ok, a[tuple(at.clip(0, np.array(a.shape) - 1).T)], 0.0)
+        out += near.prod(1) * value
+        for k in range(3):
+            slope[:, k] += (1 if c[k] else -1) * np.delete(near, k, 1).prod(1) * value
+    return out, slope
+
+
+def sample(a: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return sample_slope(a, p)[0]
+
+
+def _span(a: np.ndarray) -> Span:
+    """Values that a sample of a may take, zero outside included."""
+    return min(float(a.min()), 0.0), max(float(a.max()), 0.0)
+
+
+#: Turns by an infinitesimal angle round each axis.
+_TURNS = [np.array(m, float) for m in ([[0, 0, 0], [0, 0, -1], [0, 1, 0]], [[0, 0, 1], [0, 0, 0], [-1, 0, 0]], [[0, -1, 0], [1, 0, 0], [0, 0, 0]])]
+
+
+def rigid_cost(metric: Metric, moving: np.ndarray, points: np.ndarray, values: np.ndarray, center: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray]:
+    """Cost of a motion (three angles, three shifts) and its gradient: one look at the volume for all six."""
+    x, y, z = v[:3]
+    at, by_place = sample_slope(moving, Rigid(v[:3], v[3:], center).apply(points))
+    cost, by_value = metric.slope(values, at, _span(moving))
+    pull = by_value[:, None] * by_place
+    turned = [rotation(x, 0, 0) @ _TURNS[0] @ rotation(0, y, z), rotation(x, y, 0) @ _TURNS[1] @ rotation(0, 0, z), rotation(x, y, z) @ _TURNS[2]]
+    moment = pull.T @ (points - center)  # sum over points of pull_r (p − center)_c
+    return cost, np.array([*[(t * moment).sum() for t in turned], *pull.sum(0)])
 
 
 def register_rigid(fixed: np.ndarray, moving: np.ndarray, metric: Metric = correlation_metric, sigmas: tuple[float, ...] = (3, 1, 0), start: Rigid | None = None) -> Rigid:
-    """Motion that carries moving onto fixed, coarse to fine; volumes fit one machine (see register_series)."""
+    """Motion that carries moving onto fixed, coarse to fine; volumes fit one machine (see register_series).
+
+    The gradient is analytic where the metric has a slope, else by finite differences.
+    """
     center = (np.array(fixed.shape) - 1) / 2
     x = np.zeros(6) if start is None else np.concatenate([start.angles, start.shift])
     cells = np.indices(fixed.shape).reshape(3, -1).T.astype(float)
@@ -253,7 +323,13 @@ def register_rigid(fixed: np.ndarray, moving: np.ndarray, metric: Metric = corre
             v = u * scale
             return metric(values, sample(b, Rigid(v[:3], v[3:], center).apply(points)))
 
-        x = lbfgs(lambda u: (cost(u), numeric_gradient(cost, u, np.full(6, 0.02))), x / scale, 40, stop_gradient=1e-7, stop_x=1e-4, first_step=0.5) * scale  # noqa: B023
+        def descent(u: np.ndarray, b=b, points=points, values=values, cost=cost) -> tuple[float, np.ndarray]:
+            if not hasattr(metric, "slope"):
+                return cost(u), numeric_gradient(cost, u, np.full(6, 0.02))
+            value, slope = rigid_cost(metric, b, points, values, center, u * scale)
+            return value, slope * scale
+
+        x = lbfgs(descent, x / scale, 40, stop_gradient=1e-7, stop_x=1e-4, first_step=0.5) * scale
     return Rigid(x[:3], x[3:], center).inverse()
 
 
@@ -283,47 +359,63 @@ def spline_matrix(n: int, knots: int) -> np.ndarray:
     return cubic_spline(u)
 
 
-def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, knots: int = 6, metric: Metric | None = None, jacobian: float = 1e-4, bending: float = 1e-4, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, knots: int = 6, metric: Metric | None = None, jacobian: float = 1e-4, bending: float = 1e-4, rounds: int = 60, sigmas: tuple[float, ...] = (2, 0)) -> tuple[np.ndarray, np.ndarray]:
     """Displacement along one axis as a B-spline field that matches moving to fixed; (field, corrected).
 
     Intensities are scaled by the Jacobian of the displacement; bending and Jacobian penalties
-    keep the field smooth.
+    keep the field smooth. All knots descend together, from smoothed volumes to plain ones, at most
+    ``rounds`` steps each. The volumes fit one machine.
     """
     metric = metric or information_metric("mi")
     w = [spline_matrix(n, knots) for n in fixed.shape]
+    slopes = [np.gradient(m, axis=0) if k == axis else m for k, m in enumerate(w)]
     cells = np.indices(fixed.shape).reshape(3, -1).T.astype(float)
+    second = np.diff(np.eye(knots), 2, axis=0)
 
-    def field_of(c: np.ndarray) -> np.ndarray:
-        return np.einsum("ai,bj,ck,ijk->abc", *w, c.reshape((knots,) * 3))
+    def field_of(c: np.ndarray, by: list[np.ndarray] = w) -> np.ndarray:
+        return np.einsum("ai,bj,ck,ijk->abc", *by, c.reshape((knots,) * 3), optimize=True)
 
-    def corrected(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = field_of(c)
+    def to_knots(v: np.ndarray, by: list[np.ndarray] = w) -> np.ndarray:
+        return np.einsum("ai,bj,ck,abc->ijk", *by, v, optimize=True).ravel()
+
+    def corrected(c: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The stretched image, the plain one, its slope along the axis, and the stretch."""
         at = cells.copy()
-        at[:, axis] += d.ravel()
-        stretch = 1 + np.gradient(d, axis=axis)
-        return sample(moving, at).reshape(fixed.shape) * stretch, stretch
+        at[:, axis] += field_of(c).ravel()
+        plain, slope = sample_slope(image, at)
+        stretch = 1 + field_of(c, slopes)
+        plain = plain.reshape(fixed.shape)
+        return plain * stretch, plain, slope[:, axis].reshape(fixed.shape), stretch
 
-    def cost(c: np.ndarray) -> float:
-        image, stretch = corrected(c)
+    def penalty(c: np.ndarray, stretch: np.ndarray) -> tuple[float, np.ndarray]:
         k = c.reshape((knots,) * 3)
-        bend = sum(float((np.diff(k, 2, axis=a) ** 2).mean()) for a in range(3)) if knots > 2 else 0.0
-        return metric(fixed.ravel(), image.ravel()) + jacobian * float(((stretch - 1) ** 2).mean()) + bending * bend
+        cost, by_knot = jacobian * float(((stretch - 1) ** 2).mean()), to_knots(2 * jacobian * (stretch - 1) / stretch.size, slopes)
+        for a in range(3):
+            bend = np.tensordot(second, k, (1, a))  # second differences, that axis first
+            if bend.size:
+                cost += bending * float((bend**2).mean())
+                by_knot = by_knot + np.moveaxis(np.tensordot(second.T, 2 * bending * bend / bend.size, (1, 0)), 0, a).ravel()
+        return cost, by_knot
 
     c = np.zeros(knots**3)
-    rng = np.random.default_rng(0)
-    best = cost(c)
-    step = 1.0
-    for _ in range(rounds):  # coordinate blocks: directions of smooth fields, then single knots
-        for direction in [np.ones(len(c)), *[np.tile(np.eye(knots)[k].reshape([knots if a == axis else 1 for a in range(3)]), [1 if a == axis else knots for a in range(3)]).ravel() for k in range(knots)], *[rng.normal(size=len(c)) / 3 for _ in range(2)]]:
-            for sign in (1, -1):
-                trial = cost(c + sign * step * direction)
-                if trial < best - 1e-12:
-                    c, best = c + sign * step * direction, trial
-                    break
-        step *= 0.85
-        if step < 0.02:
-            break
-    return field_of(c), corrected(c)[0]
+    for sigma in sigmas:
+        target, image = _smooth(fixed, sigma).ravel(), _smooth(moving, sigma)
+
+        def cost(c: np.ndarray, target=target, image=image) -> float:
+            made, _, _, stretch = corrected(c, image)
+            return metric(target, made.ravel()) + penalty(c, stretch)[0]
+
+        def descent(c: np.ndarray, target=target, image=image, cost=cost) -> tuple[float, np.ndarray]:
+            if not hasattr(metric, "slope"):
+                return cost(c), numeric_gradient(cost, c, np.full(len(c), 0.02))
+            made, plain, slope, stretch = corrected(c, image)
+            value, by_value = metric.slope(target, made.ravel())
+            by_value = by_value.reshape(fixed.shape)
+            more, by_knot = penalty(c, stretch)
+            return value + more, to_knots(by_value * slope * stretch) + to_knots(by_value * plain, slopes) + by_knot
+
+        c = lbfgs(descent, c, rounds, stop_gradient=1e-7, stop_x=1e-3)
+    return field_of(c), corrected(c, moving)[0]
 
 
 # ---- deformations ------------------------------------------------------------------

@@ -162,7 +162,7 @@ def cubic_spline(d: np.ndarray) -> np.ndarray:
     return np.where(d < 1, 2 / 3 - d * d + d**3 / 2, np.clip(2 - d, 0, None) ** 3 / 6)
 
 
-def _cubic_slope(d: np.ndarray) -> np.ndarray:
+def cubic_slope(d: np.ndarray) -> np.ndarray:
     a = np.abs(d)
     return np.sign(d) * np.where(a < 1, 1.5 * a * a - 2 * a, -(np.clip(2 - a, 0, None) ** 2) / 2)
 
@@ -187,7 +187,7 @@ def interpolate(samples: DataFrame, image: DataFrame, at: dict[str, Column], dim
     if slope and kind != "bspline":
         raise ValueError("only bspline has a derivative")
     steps, place, weight = _KINDS[kind]
-    return sample(samples, image, at, dims, keys, steps, place, [_cubic_slope if a == slope else weight for a in at], boundary, value)
+    return sample(samples, image, at, dims, keys, steps, place, [cubic_slope if a == slope else weight for a in at], boundary, value)
 
 
 def resample_to(image: DataFrame, source, target, kind: str = "linear", boundary: str = "zero") -> DataFrame:
