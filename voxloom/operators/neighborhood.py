@@ -168,22 +168,23 @@ def gaussian_smooth_nd(df: DataFrame, axes: list[str], sd: float, value: str = "
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, component): smallest id reachable over edges (a, b). Hash-to-minimum rounds on stored tables."""
+    """(id, component): smallest id reachable over edges (a, b).
+
+    Rounds on stored tables until every component is a star round its smallest node. The smallest
+    neighbours are stored before they are joined, so adaptive execution may broadcast them
+    or split a hub's rows.
+    """
     current = settled(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
-    last = None
     while True:
         ways = current.unionByName(current.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = ways.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = ways.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select("m", F.explode(F.array("u", "v")).alias("v")).select("v", F.col("m").alias("u")).filter("u < v").distinct()
-        current = settled(small)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
+        low = settled(ways.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"), F.count_if(F.col("u") < F.col("v")).alias("below"), F.count_if(F.col("u") > F.col("v")).alias("above")))
+        if low.filter("below > 1 or below > 0 and above > 0").isEmpty():
+            found = low.select(F.col("v").alias("id"), F.col("m").alias("component"))
             break
-        last = state
-    found = current.select(F.col("v").alias("id"), F.col("u").alias("component"))
-    found = found.unionByName(current.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+        large = settled(ways.filter("u > v").join(low.filter("above > 0").select("v", "m"), "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct())
+        least = settled(large.groupBy("v").agg(F.min("u").alias("m")))
+        small = large.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("v"))
+        current = settled(small.select("v", F.col("m").alias("u")).filter("u < v").distinct())
     if nodes is None:
         return found
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -534,7 +534,12 @@ def pca_embeddings(spark, sf):
     return scores.select("id", *[_r(F.abs(F.get("values", F.lit(k)))).alias(f"s{k}") for k in range(4)])
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT l_orderkey, min(l_partkey) AS a FROM lineitem GROUP BY 1),
+e AS (SELECT DISTINCT a, l_partkey AS b FROM lineitem JOIN f USING (l_orderkey) WHERE a <> l_partkey),
+w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+-- only nodes without a smaller neighbour can be the smallest of a component
+r AS (SELECT a AS id, a AS c FROM w GROUP BY a HAVING min(b) > a UNION SELECT w.b, r.c FROM r JOIN w ON w.a = r.id WHERE w.b > r.c)
+SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def component_labels(spark, sf):
     """Products bought together form groups: connected components over all lines, each order's first part linked to its others."""
     lines = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
