@@ -188,6 +188,26 @@ def test_spectra(spark):
     assert np.corrcoef(np.abs(twice), np.abs(once))[0, 1] > 0.99
 
 
+def test_fractional_and_chirplet_sums_by_their_kernels():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 9, 40):
+        x = rng.normal(size=n)
+        k = (np.arange(n) - n // 2) / math.sqrt(n)
+        for order in (0.5, 0.8, 1.3):
+            phi = order * math.pi / 2
+            kernel = np.exp(1j * np.pi * ((k[:, None] ** 2 + k**2) / math.tan(phi) - 2 * np.outer(k, k) / math.sin(phi)))
+            want = np.exp(1j * (phi / 2 - math.pi / 4)) / math.sqrt(math.sin(phi)) * kernel @ x / math.sqrt(n)
+            assert np.allclose(spectral.fractional_fourier(x, order), want)
+        fine = 2 * n + 1
+        at = (np.arange(fine) - n) * n / fine
+        window = lambda d: np.where(np.abs(d) < 5, np.sinc(d) * np.sinc(d / 5), 0)
+        up = window(at[:, None] + n // 2 - np.arange(n)) @ x
+        there = np.exp(-2j * np.pi * 0.4 * np.outer(at, at) / n) @ up
+        want = window(((np.arange(n) - n // 2) * fine / n + n)[:, None] - np.arange(fine)) @ there
+        assert np.allclose(spectral.chirplet(x, 0.4), want)
+    assert len(spectral.chirplet(np.zeros(0), 0.4)) == 0
+
+
 def test_windows_in_space(spark):
     rng = np.random.default_rng(10)
     a = rng.integers(0, 3, (5, 4, 3)).astype(float)

@@ -207,31 +207,75 @@ def chirp_z_direct(x: np.ndarray, alpha: float) -> np.ndarray:
     return np.exp(-2j * np.pi * alpha * np.outer(k, k) / n) @ x
 
 
-def chirp_z(x: np.ndarray, alpha: float) -> np.ndarray:
-    """The same in O(N log N): pre-chirp, convolution with a chirp by FFT, post-chirp."""
+def _chirp_sum(x: np.ndarray, k: np.ndarray, rate: float) -> np.ndarray:
+    """sum over l of x[l] exp(-2 pi i rate k[m] k[l]) for evenly spaced k, O(N log N).
+
+    Twice a product is two squares less the square of the difference: a chirp before, a
+    convolution with a chirp by FFT, a chirp after.
+    """
     n = len(x)
-    k = np.arange(n) - (n - 1) / 2
-    chirp = np.exp(-1j * np.pi * alpha * k * k / n)
-    d = np.arange(-(n - 1), n)
+    if n < 2:
+        return x * np.exp(-2j * np.pi * rate * k * k)
+    chirp = np.exp(-1j * np.pi * rate * k * k)
+    apart = np.arange(1 - n, n) * (k[1] - k[0])
     size = power_of_two(3 * n)
-    kernel = np.exp(1j * np.pi * alpha * d * d / n)
-    conv = np.fft.ifft(np.fft.fft(x * chirp, size) * np.fft.fft(kernel, size))[n - 1 : 2 * n - 1]
-    return chirp * conv
+    conv = np.fft.ifft(np.fft.fft(x * chirp, size) * np.fft.fft(np.exp(1j * np.pi * rate * apart * apart), size))
+    return chirp * conv[n - 1 : 2 * n - 1]
 
 
-def chirp_z_rows(packed: DataFrame, alpha: float, column: str = "ts") -> DataFrame:
-    """(…, re, im) chirp-z of each packed series."""
+def chirp_z(x: np.ndarray, alpha: float) -> np.ndarray:
+    """chirp_z_direct in O(N log N)."""
+    n = len(x)
+    return _chirp_sum(np.asarray(x), np.arange(n) - (n - 1) / 2, alpha / n)
+
+
+def _read_lanczos(y: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
+    """A line at any places through a Lanczos window, zero beyond its ends."""
+    j = np.floor(at).astype(int)[:, None] + np.arange(1 - radius, radius + 1)
+    d = at[:, None] - j
+    w = np.where(np.abs(d) < radius, np.sinc(d) * np.sinc(d / radius), 0.0)
+    return (np.where((j >= 0) & (j < len(y)), w, 0.0) * y[j.clip(0, len(y) - 1)]).sum(1)
+
+
+def chirplet(x: np.ndarray, alpha: float, ratio: int = 2, radius: int = 5) -> np.ndarray:
+    """Chirplet transform: the line on a grid some ``ratio`` times as fine, whose chirps then hold
+    frequencies up to that ratio, its chirp sum of rate alpha there, and that sum on the line's own grid.
+    """
+    n = len(x)
+    if not n:
+        return np.zeros(0, complex)
+    m = ratio * n + 1 - ratio * n % 2  # odd: one place is the middle
+    fine = m / n
+    k = (np.arange(m) - m // 2) / fine
+    there = _chirp_sum(_read_lanczos(np.asarray(x), k + n // 2, radius), k, alpha / n)
+    return _read_lanczos(there, (np.arange(n) - n // 2) * fine + m // 2, radius)
+
+
+def _complex_rows(packed: DataFrame, transform: Callable[[np.ndarray], np.ndarray], column: str) -> DataFrame:
+    """(…, re, im) transform of each packed series; no shuffle."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name != column)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                z = [chirp_z(np.asarray(y, float), alpha) for y in b[column]]
+                z = [transform(np.asarray(y, float)) for y in b[column]]
                 yield b.drop(columns=[column]).assign(re=[v.real for v in z], im=[v.imag for v in z])
 
     return packed.mapInPandas(run, f"{kinds}, re array<double>, im array<double>")
 
 
+def chirp_z_rows(packed: DataFrame, alpha: float, column: str = "ts") -> DataFrame:
+    return _complex_rows(packed, lambda y: chirp_z(y, alpha), column)
+
+
+def chirplet_rows(packed: DataFrame, alpha: float, ratio: int = 2, radius: int = 5, column: str = "ts") -> DataFrame:
+    return _complex_rows(packed, lambda y: chirplet(y, alpha, ratio, radius), column)
+
+
+def fractional_fourier_rows(packed: DataFrame, order: float, column: str = "ts") -> DataFrame:
+    return _complex_rows(packed, lambda y: fractional_fourier(y, order), column)
+
+
 def fractional_fourier(x: np.ndarray, a: float) -> np.ndarray:
     """Fractional Fourier transform of order a (1 is the centred unitary transform), by chirps.
 
@@ -252,8 +296,8 @@ def fractional_fourier(x: np.ndarray, a: float) -> np.ndarray:
     k = (np.arange(n) - n // 2) / math.sqrt(n)
     cot, csc = 1 / math.tan(phi), 1 / math.sin(phi)
     scale = np.exp(-1j * (math.pi * np.sign(math.sin(phi)) / 4 - phi / 2)) / math.sqrt(abs(math.sin(phi)))
-    kernel = np.exp(1j * np.pi * (cot * (k[:, None] ** 2 + k[None, :] ** 2) - 2 * csc * np.outer(k, k)))
-    return scale * (kernel @ x) / math.sqrt(n)
+    bend = np.exp(1j * np.pi * cot * k * k)
+    return scale * bend * _chirp_sum(bend * x, k, csc) / math.sqrt(n)
 
 
 def pseudo_polar(image: np.ndarray, axis: int = 0) -> np.ndarray:

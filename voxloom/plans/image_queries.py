@@ -45,6 +45,12 @@ def told(df: DataFrame, *values: str, digits: int = 6) -> DataFrame:
     return df.select(*[F.col(a).cast("long").alias(a) for a in AXES], *[rounded(F.col(v).cast("double"), digits).alias(v) for v in values])
 
 
+def _complex(rows: DataFrame) -> DataFrame:
+    """A row for each place of each line."""
+    out = rows.select("x", F.posexplode(F.arrays_zip("re", "im")).alias("t", "c"))
+    return out.select(F.col("x").cast("long").alias("x"), F.col("t").cast("long").alias("t"), rounded("c.re").alias("re"), rounded("c.im").alias("im"))
+
+
 def _seen(offsets: str, img: str = "img") -> str:
     """seen: what each voxel sees at offsets (a, b, c) with number k, the border repeated."""
     return f"""o AS ({offsets}), seen AS (SELECT i.x, i.y, i.z, o.*, j.v FROM {img} i CROSS JOIN o CROSS JOIN n
@@ -402,8 +408,30 @@ def shear_kernel(spark, sf):
 @query(f"""WITH {_IMG}, s AS (SELECT x, y * 8 + z AS t, v FROM img) SELECT x, k.i AS t, round(sum(v * cos(2 * pi() * 0.7 * (t - 31.5) * (k.i - 31.5) / 64)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * 0.7 * (t - 31.5) * (k.i - 31.5) / 64)), 6) + 0.0 AS im
 FROM s CROSS JOIN range(64) k(i) GROUP BY x, k.i""")
 def chirp_z_rows(spark, sf):
-    out = P.chirp_z_rows(packed(spark, sf), 0.7).select("x", F.posexplode(F.arrays_zip("re", "im")).alias("t", "c"))
-    return out.select(F.col("x").cast("long").alias("x"), F.col("t").cast("long").alias("t"), rounded("c.re").alias("re"), rounded("c.im").alias("im"))
+    return _complex(P.chirp_z_rows(packed(spark, sf), 0.7))
+
+
+#: Order 0.75 of the fractional transform: its phase is 3 pi / 8, the scale's phase pi / 16.
+_TURN = "pi() * ((k * k + l * l) / tan(3 * pi() / 8) - 2 * k * l / sin(3 * pi() / 8)) + pi() * (3e0 / 16 - 1e0 / 4)"
+
+
+@query(f"""WITH {_IMG}, s AS (SELECT x, (y * 8 + z - 32) / 8e0 AS l, v FROM img), g AS (SELECT i AS t, (i - 32) / 8e0 AS k FROM range(64) r(i))
+SELECT x, t, round(sum(v * cos({_TURN})) / 8 / sqrt(sin(3 * pi() / 8)), 6) + 0.0 AS re, round(sum(v * sin({_TURN})) / 8 / sqrt(sin(3 * pi() / 8)), 6) + 0.0 AS im FROM s CROSS JOIN g GROUP BY x, t""")
+def fractional_fourier_rows(spark, sf):
+    return _complex(P.fractional_fourier_rows(packed(spark, sf), 0.75))
+
+
+def _window(d: str) -> str:
+    return f"CASE WHEN {d} = 0 THEN 1e0 WHEN abs({d}) < 5 THEN 5 * sin(pi() * {d}) * sin(pi() * {d} / 5) / (pi() * pi() * {d} * {d}) ELSE 0e0 END"
+
+
+@query(f"""WITH {_IMG}, s AS (SELECT x, y * 8 + z AS t, v FROM img), g AS (SELECT i AS j, (i - 64) * 64e0 / 129 AS k FROM range(129) r(i)),
+a AS (SELECT j, k, i AS t, {_window("(k + 32 - i)")} AS w FROM g CROSS JOIN range(64) r(i)),
+b AS (SELECT g.j, a.t, sum(w * cos(2 * pi() * 0.4 * g.k * a.k / 64)) AS re, -sum(w * sin(2 * pi() * 0.4 * g.k * a.k / 64)) AS im FROM g CROSS JOIN a GROUP BY g.j, a.t),
+c AS (SELECT i AS o, t, sum(re * {_window("((i - 32) * 129e0 / 64 + 64 - j)")}) AS re, sum(im * {_window("((i - 32) * 129e0 / 64 + 64 - j)")}) AS im FROM b CROSS JOIN range(64) r(i) GROUP BY i, t)
+SELECT x, o AS t, round(sum(v * re), 6) + 0.0 AS re, round(sum(v * im), 6) + 0.0 AS im FROM s JOIN c USING (t) GROUP BY x, o""")
+def chirplet_rows(spark, sf):
+    return _complex(P.chirplet_rows(packed(spark, sf), 0.4))
 
 
 # ---- series ------------------------------------------------------------------------
