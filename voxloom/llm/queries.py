@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, neardup, packing, quality, repetition, sstable, toxicity
+from . import chat, fingerprints, langid, mixing, neardup, packing, periodic, quality, repair, repetition, sstable, tokencount, toxicity
 from .common import table
 from .labelled import fold
 
@@ -73,11 +73,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), PACK_END, CAPACITY)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(*repair.repair(repair.damage(rows), rows))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=CAPACITY)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.detect(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_quality_rules, op3_quality_classifier, op4_chat_formatting, op5_toxicity,
         op6_token_shards, op7_mixing, op8_language_id, op9_minhash_near_dedup, op10_best_fit_packing,
+        op11_conversation_repair, op12_token_counts, op13_periodic_runs,
     )
 }
 
@@ -149,4 +163,87 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op4_chat_formatting": _CHAT_SQL, "op7_mixing": _mixing_sql(mixing.Recipe()), "op9_minhash_near_dedup": _NEAR_SQL}
+
+# crc32 of ASCII text: the table of its 256 byte steps, then a fold over the bytes
+_CRC_TABLE = """crc_(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_ WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_ WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+
+def _repair_sql() -> str:
+    def step(cost: str, letters: str, state: str) -> str:
+        return f"struct_pack(c := {cost} + {state}.c, a := '{letters}' || {state}.a)"
+
+    def edited(state: str, role: str) -> str:
+        keep = f"CASE WHEN lower(code) = '{role}' THEN {step('cut', 'K', 'f' + role)} END"
+        if state == "0":
+            keep += f", CASE WHEN lower(code) = 's' THEN {step('cut', 'K', 'fs')} END"
+        return f"list_min([{step('4', 'D', 'f' + state)}, CASE WHEN code <> '-' THEN {step('3 + cut', 'R', 'f' + role)} END, {keep}]) AS h{state}"
+
+    after = {"0": "u", "s": "u", "u": "a", "a": "u"}
+
+    def inserted(state: str) -> str:
+        one = after[state]
+        return f"list_min([h{state}, {step('3', 'I', 'h' + one)}, {step('6', 'II', 'h' + after[one])}]) AS f{state}"
+
+    def end(cost: int, letters: str) -> str:
+        return f"struct_pack(c := {cost}, a := '{letters}')"
+
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+raw_ AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT raw_.*, {_crc_sql("k")} % 20 AS f FROM raw_, crc_table),
+hurt AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER w AS nth, substring(lag(role) OVER w, 1, 1) || substring(role, 1, 1) AS pair FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 AS again FROM placed),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+                  CASE WHEN substring(role, 1, 1) IN ('s', 'u', 'a') THEN substring(role, 1, 1) ELSE 'x' END AS letter FROM seen),
+m AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(letter) ELSE letter END AS code, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM faults),
+convs AS (SELECT conv_id, max(nth) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+                 count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                 count(*) FILTER (WHERE nth > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+solve(conv_id, k, f0, fs, fu, fa) AS (
+  SELECT conv_id, n, {end(0, "")}, {end(6, "II")}, {end(3, "I")}, {end(0, "")} FROM convs
+  UNION ALL
+  SELECT conv_id, k, {", ".join(inserted(s) for s in after)} FROM (
+    SELECT solve.conv_id, k - 1 AS k, {", ".join(edited(s, r) for s, r in after.items())} FROM solve JOIN m ON m.conv_id = solve.conv_id AND m.nth = solve.k)),
+audits AS (SELECT conv_id, f0.c AS cost, f0.a AS audit FROM solve WHERE k = 0),
+letters AS (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS i, audit FROM audits),
+told AS (SELECT conv_id, i, audit[i] AS edit, sum(CASE WHEN audit[i] <> 'I' THEN 1 ELSE 0 END) OVER w AS nth, sum(CASE WHEN audit[i] <> 'D' THEN 1 ELSE 0 END) OVER w AS place
+         FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+met AS (SELECT told.*, CASE WHEN edit <> 'I' THEN m.role END AS role, CASE WHEN edit <> 'I' THEN m.text ELSE '' END AS text FROM told LEFT JOIN m ON m.conv_id = told.conv_id AND m.nth = told.nth WHERE edit <> 'D'),
+led AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS shift FROM met),
+said AS (SELECT conv_id, string_agg((CASE WHEN edit = 'K' THEN role WHEN (place - 1 - shift) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS lines FROM led GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN convs USING (conv_id) LEFT JOIN audits USING (conv_id) LEFT JOIN said USING (conv_id)
+"""
+
+
+_RUNS_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc_table),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(ws[1:a], list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1])) ELSE ws END AS ws FROM p),
+x AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM w),
+pairs AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 2),
+lined AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS line FROM pairs),
+islands AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM lined GROUP BY doc_id, q, line HAVING count(*) >= greatest(q, 12 - q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands GROUP BY doc_id, start, length),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS nth, count(*) OVER (PARTITION BY doc_id) AS n_runs FROM runs),
+told AS (SELECT doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+stays AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM w LEFT JOIN (SELECT * FROM best WHERE nth = 1) b USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN stays USING (doc_id)
+"""
+
+ORACLES = {"op4_chat_formatting": _CHAT_SQL, "op7_mixing": _mixing_sql(mixing.Recipe()), "op9_minhash_near_dedup": _NEAR_SQL, "op11_conversation_repair": _repair_sql(), "op13_periodic_runs": _RUNS_SQL}

@@ -6,8 +6,10 @@ once by the library, and the ids of a text are the concatenation over its pieces
 places are safe follows from the tokenizer file itself; a file of another kind is used on
 whole texts. tests/llm/test_operators.py holds this against encoding whole texts.
 
-Pieces are known by a 64-bit hash of their bytes; nothing but numbers is kept, so the
-cache has a fixed size in bytes and pieces used least go first. Results don't depend on it.
+Pieces are known by a 64-bit hash of their bytes; nothing but numbers is kept. The cache is
+bounded by its pieces and by their ids, so by bytes whatever the script: pieces used least go
+first, and long ones (paragraphs of a script without blanks) are encoded as they come and never
+kept. Results don't depend on it.
 """
 
 from __future__ import annotations
@@ -20,8 +22,12 @@ import pyarrow as pa
 
 from .common import ranges, span_hash, text_chunks, text_column
 
-#: Pieces that a worker keeps (some 40 bytes each: 24 MB); beyond it the rarely used ones go.
+#: Pieces that a worker keeps (24 bytes each: 15 MB); beyond it the rarely used ones go.
 CACHE_PIECES = 600_000
+#: Ids of all kept pieces (4 bytes each: 32 MB).
+CACHE_IDS = 8 << 20
+#: Longer pieces (in bytes) aren't kept.
+LONG_PIECE = 256
 #: Bytes of text whose new pieces are learnt together.
 TOGETHER = 1 << 20
 #: New pieces that go to the library as one text.
@@ -84,7 +90,7 @@ def cut_bytes(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[
     return start, np.append(start[1:], len(data))
 
 
-def _kind_of(path: str) -> str | None:
+def kind_of(path: str) -> str | None:
     """words, bytes or None: how texts may be cut for this tokenizer."""
     with open(path, encoding="utf-8") as file:
         told = json.load(file)
@@ -111,7 +117,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), _kind_of(path)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind_of(path)
         vocabulary = self.tokenizer.get_vocab()
         suffix = self.tokenizer.model.end_of_word_suffix if self.kind == "words" else None
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # what ends a piece, or the line break put between pieces
@@ -139,27 +145,57 @@ class Encoder:
     def _pieced(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = classes(data)
         start, end = (cut_words if self.kind == "words" else cut_bytes)(data, kind, offsets)
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        lo = 0
+        while lo < len(start):  # a text of any length goes by parts
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + TOGETHER)))
+            ids, n = self._part(data, kind, start[lo:hi], end[lo:hi])
+            flat.append(ids)
+            sizes.append(n)
+            lo = hi
+        upto = np.cumsum(np.concatenate(sizes))
+        return np.concatenate(flat), np.diff(upto[np.searchsorted(start, offsets)])
+
+    def _part(self, data: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pieces, one behind the other, and the number of each."""
+        long = end - start > LONG_PIECE
+        if not long.any():
+            return self._known(data, kind, start, end)
+        short = ~long
+        some, n_some = self._known(data, kind, start[short], end[short])
+        raw = [data[a:b].tobytes().decode() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        rest, n_rest = self._each(raw)
+        size = np.zeros(len(start), np.int64)
+        size[short], size[long] = n_some, n_rest
+        own = np.repeat(long, size)
+        out = np.empty(len(own), np.uint32)
+        out[own], out[~own] = rest, some
+        return out, size
+
+    def _known(self, data: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same through the cache."""
         keys, some, where = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
         at = self.pieces.find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
-            if self.pieces.n + len(new) > CACHE_PIECES:
-                self.pieces = self.pieces.often_used(CACHE_PIECES // 2)
+            most = int((end - start)[some[new]].sum())  # an id stands for a byte at least
+            if self.pieces.n + len(new) > CACHE_PIECES or self.pieces.filled + most > CACHE_IDS:
+                self.pieces = self.pieces.often_used(CACHE_PIECES // 2, CACHE_IDS // 2)
                 new = np.flatnonzero(self.pieces.find(keys) < 0)
             self._learn(data, kind, keys[new], start[some[new]], end[some[new]])
             at = self.pieces.find(keys)
         self.pieces.used[at] += np.bincount(where, minlength=len(keys)).astype(np.int32)
         slots = at[where]
-        upto = np.append(0, np.cumsum(self.pieces.size[slots], dtype=np.int64))
-        first = np.searchsorted(start, offsets)
-        return self.pieces.gather(slots), np.diff(upto[first])
+        return self.pieces.gather(slots), self.pieces.size[slots].astype(np.int64)
 
     def _learn(self, data: np.ndarray, kind: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        raw = data.tobytes()
-        texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        base = int(start.min(initial=len(data)))
+        raw = data[base : int(end.max(initial=base))].tobytes()
+        texts = [raw[a - base : b - base] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         # a piece of one class is one word to the tokenizer, but for digits where each is a word
+        kind, start, end = kind[base : base + len(raw)], start - base, end - base
         odd = np.append(0, np.cumsum(kind == 0))
-        led = (data[start] == 32) & (end - start > 1) if self.kind == "bytes" else np.zeros(len(start), bool)
+        led = (data[start + base] == 32) & (end - start > 1) if self.kind == "bytes" else np.zeros(len(start), bool)
         plain = (odd[end] - odd[start] == led) & ((self.kind == "bytes") | (kind[start] != 2))
         ids, sizes = self._each([x.decode() for x, p in zip(texts, plain, strict=True) if not p])
         order, flat, count = [np.flatnonzero(~plain)], [ids], [sizes]
@@ -222,10 +258,10 @@ class _Store:
         self.slot = np.insert(self.slot, place, (self.n + order).astype(np.int32))
         self.n, self.filled = self.n + n, self.filled + len(ids)
 
-    def often_used(self, most: int) -> "_Store":
-        """A store with at most so many of the keys: those used most often."""
-        times, least = self.used[: self.n], 2
-        while (times >= least).sum() > most:
+    def often_used(self, most: int, most_ids: int) -> "_Store":
+        """A store with at most so many of the keys and ids: those used most often."""
+        times, size, least = self.used[: self.n], self.size[: self.n], 2
+        while (times >= least).sum() > most or size[times >= least].sum(dtype=np.int64) > most_ids:
             least *= 2
         keep = times[self.slot] >= least
         slots, out = self.slot[keep], _Store()
