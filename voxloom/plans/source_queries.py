@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import Geometry
 from ..session import shared_path
-from ..sources import files, graphs, nifti, textual, tracks
+from ..sources import files, graphs, ndimage, textual, tracks
 from .image_queries import dims, image
 from .registry import query, rounded, table
 
@@ -28,6 +28,16 @@ def _geometry(spark, sf) -> Geometry:
     return Geometry((*dims(spark, sf), 1), np.array([2.0, 1.5, 3.0, 1.0]), ptype="FLOAT64")
 
 
+#: Bytes of pixels of a task: small ones, so that the small tables too are written and read by several.
+_SLICE = 1 << 16
+
+
+def _image_folder(spark, sf, version: int, suffix: str) -> str:
+    folder = shared_path(spark)
+    ndimage.write_images(_series(spark, sf), {"img": _geometry(spark, sf)}, folder, version, suffix, _SLICE)
+    return folder
+
+
 def _written(contents: DataFrame, spark) -> str:
     folder = shared_path(spark)
     files.save(contents, folder).collect()  # a row a file
@@ -40,20 +50,17 @@ def _voxels(rows: DataFrame) -> DataFrame:
 
 @query(_VOXELS)
 def nifti1_round_trip(spark, sf):
-    folder = _written(nifti.encode(_series(spark, sf), {"img": _geometry(spark, sf)}, 1, ".nii.gz"), spark)
-    return _voxels(nifti.read_voxels(spark, folder))
+    return _voxels(ndimage.images(spark, _image_folder(spark, sf, 1, ".nii.gz"), slicebytes=_SLICE))
 
 
 @query(_VOXELS)
 def nifti2_round_trip(spark, sf):
-    folder = _written(nifti.encode(_series(spark, sf), {"img": _geometry(spark, sf)}, 2, ".nii"), spark)
-    return _voxels(nifti.read_voxels(spark, folder))
+    return _voxels(ndimage.images(spark, _image_folder(spark, sf, 2, ".nii"), slicebytes=_SLICE))
 
 
 @query("SELECT max(vec_id) + 1 AS nx, CAST(8 AS BIGINT) AS ny, CAST(8 AS BIGINT) AS nz, 2.0::DOUBLE AS sx, 1.5::DOUBLE AS sy, 3.0::DOUBLE AS sz FROM embeddings")
 def nifti_header(spark, sf):
-    folder = _written(nifti.encode(_series(spark, sf), {"img": _geometry(spark, sf)}, 1, ".nii.gz"), spark)
-    meta = nifti.read_meta(spark, folder)
+    meta = ndimage.images(spark, _image_folder(spark, sf, 1, ".nii.gz"), "header")
     return meta.select(*[F.get("dims", F.lit(k)).cast("long").alias(f"n{a}") for k, a in enumerate("xyz")], *[F.get("spacing", F.lit(k)).alias(f"s{a}") for k, a in enumerate("xyz")])
 
 
@@ -64,6 +71,15 @@ def json_round_trip(spark, sf):
     return _voxels(textual.read_json_images(spark, folder))
 
 
+_BOX = {"x": "10:199", "y": "2:5", "z": "6:6"}
+
+
+@query(f"SELECT * FROM ({_VOXELS}) WHERE x BETWEEN 10 AND 199 AND y BETWEEN 2 AND 5 AND z = 6")
+def nifti_box(spark, sf):
+    """A box of an image: only the slabs that hold a part of it are read."""
+    return _voxels(ndimage.images(spark, _image_folder(spark, sf, 2, ".nii"), slicebytes=1 << 12, **_BOX))
+
+
 @query("SELECT vec_id AS x, CAST(t.k - 1 AS BIGINT) AS y, round(CAST(embedding[t.k] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) t(k)")
 def text_image_round_trip(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",").alias("value"))
@@ -124,7 +140,7 @@ def edge_list_round_trip(spark, sf):
 
 def _binary_graph(spark, sf, dense: bool) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": ["nations.npl"], "content": [graphs.encode_binary(rows[["src", "dst", "w"]].to_numpy(float), [f"nation{k}" for k in range(25)], dense)]})
+        return pd.DataFrame({"name": ["nations.graph"], "content": [graphs.encode_binary(rows[["src", "dst", "w"]].to_numpy(float), [f"nation{k}" for k in range(25)], dense)]})
 
     folder = _written(_nations(spark, sf).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "name string, content binary"), spark)  # at most 25 x 25 edges
     return graphs.read_graphs(spark, folder).filter("w <> 0").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), rounded("w", 2).alias("w"))

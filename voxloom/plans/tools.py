@@ -13,14 +13,14 @@ from ..functions import kernels
 from ..functions.expression import evaluate
 from ..model import Geometry
 from ..operators import aggregate, cluster, geometry, neighborhood, spatial, spectral
-from ..sources import files, nifti, textual
+from ..sources import files, ndimage, textual
 from . import pipelines
 
 AXES = ["x", "y", "z"]
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
-    return nifti.read_meta(spark, path)
+    return ndimage.images(spark, path, "header")
 
 
 def convert(spark: SparkSession, path: str, folder: str, version: int = 1, suffix: str = ".nii.gz", ptype: str | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def convert(spark: SparkSession, path: str, folder: str, version: int = 1, suffi
     geometries = {r.img_id: Geometry.from_row(r) for r in header(spark, path).collect()}  # a row an image
     if ptype:
         geometries = {k: replace(g, ptype=ptype) for k, g in geometries.items()}
-    return files.save(nifti.encode(nifti.read_packed(spark, path), geometries, version, suffix), folder)
+    return ndimage.write_images(ndimage.images(spark, path, "series"), geometries, folder, version, suffix)
 
 
 def write_complex(image: DataFrame, folder: str, geo: Geometry, polar: bool = True) -> DataFrame:
@@ -37,7 +37,7 @@ def write_complex(image: DataFrame, folder: str, geo: Geometry, polar: bool = Tr
     pair = {"abs": kernels.complex_abs(c), "phase": kernels.complex_phase(c)} if polar else {"re": F.col("re"), "im": F.col("im")}
     rows = image.select(*AXES, F.explode(F.array(*[F.struct(F.lit(n).alias("img_id"), v.alias("v")) for n, v in pair.items()])).alias("s"))
     packed = rows.select("s.img_id", *AXES, F.array("s.v").alias("ts"))
-    return files.save(nifti.encode(packed, dict.fromkeys(pair, geo)), folder)
+    return ndimage.write_images(packed, dict.fromkeys(pair, geo), folder)
 
 
 def math_images(images: dict[str, DataFrame], geometries: dict[str, Geometry], expression: str, kind: str = "linear") -> DataFrame:
@@ -142,7 +142,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     """(img_id, x, y, z, t, v) by suffix: NIfTI, JSON, or text."""
     name = path.removesuffix(".gz")
     if name.endswith(".nii"):
-        return nifti.read_voxels(spark, path)
+        return ndimage.images(spark, path)
     if name.endswith(".json"):
         return textual.read_json_images(spark, path)
     if name.endswith((".txt", ".csv")):

@@ -87,8 +87,8 @@ def pixels(data: bytes, header: dict, geo: Geometry, scaled: bool = False) -> np
     return out * slope + header["scl_inter"] if scaled and slope and np.isfinite(slope) else out
 
 
-def write_bytes(array: np.ndarray, geo: Geometry, version: int = 1) -> bytes:
-    """A file of either version, quaternion and affine forms both set."""
+def header_bytes(geo: Geometry, version: int = 1) -> bytes:
+    """All that comes before the pixels in a file of either version, quaternion and affine forms both set."""
     if version == 1 and max(geo.dims) > 32767:
         raise ValueError("a NIfTI-1 dimension is at most 32767")
     code = BY_NAME[geo.ptype]
@@ -126,11 +126,17 @@ def write_bytes(array: np.ndarray, geo: Geometry, version: int = 1) -> bytes:
         out[344:348] = b"n+1\0"
     else:
         out[4:12] = b"n+2\0\r\n\x1a\n"
+    return bytes(out)
+
+
+def write_bytes(array: np.ndarray, geo: Geometry, version: int = 1) -> bytes:
+    """A file of either version, whole; images of any size are written by ``ndimage.write_images``."""
+    kind = CODES[BY_NAME[geo.ptype]][1]
     if kind.startswith("V"):
         body = np.stack([array[..., c].ravel(order="F") for c in range(array.shape[-1])], axis=1).astype(np.uint8).tobytes()
     else:
         body = np.asarray(array).astype(np.dtype("<" + kind)).ravel(order="F").tobytes()
-    return bytes(out) + body
+    return header_bytes(geo, version) + body
 
 
 # ---- rows --------------------------------------------------------------------------
