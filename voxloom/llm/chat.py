@@ -123,3 +123,21 @@ def log_of(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long")
     return rows.select("conv_id", nth.alias("turn"), nth.alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+
+
+def history_of(conversations: DataFrame) -> DataFrame:
+    """Stored conversations as a log in which every message has a history that folds to it.
+
+    All turns are drafted first, by a delta each. Then they come again in order: an assistant's
+    message is regenerated (which voids the drafts of all later turns), any other is edited, with
+    the first half of its text, and a delta streams the rest.
+    """
+    rows = log_of(conversations).drop("seq", "kind")
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    half = F.floor(n / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, n)
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    event = lambda step, kind, text: F.struct((F.col("turn") * 2 + F.lit(step)).alias("seq"), kind.alias("kind"), text.alias("text"))
+    later = 1 << 40  # behind all drafts
+    events = F.array(event(0, F.lit("delta"), F.concat(F.lit("draft of "), F.coalesce("text", F.lit("")))), event(later, again, first), event(later + 1, F.lit("delta"), rest))
+    return rows.select("conv_id", "turn", "role", F.explode(events).alias("e")).select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")

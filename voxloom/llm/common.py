@@ -23,6 +23,7 @@ CHUNK_BYTES = 1 << 19
 HOT_ROWS = 1000
 
 _own_dir: list[str] = []
+_steps: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,23 +44,42 @@ def scratch(spark: SparkSession) -> str:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="voxloom-"))
         base = f"file://{_own_dir[0]}"
-    return f"{base.rstrip('/')}/voxloom-{uuid.uuid4().hex}"
+    _steps.append(f"{base.rstrip('/')}/voxloom-{uuid.uuid4().hex}")
+    return _steps[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and go on from the written table."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once to the shared folder and go on from the written table; a write that fails leaves nothing."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        remove(spark, path)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every step that this process has stored; for the end of a job, when its results are written."""
+    while _steps:
+        remove(spark, _steps.pop())
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Bytes of the rows as the optimiser estimates them from the files, None where it can't; nothing is run."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 60 else None
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
-    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
-    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        remove(df.sparkSession, folder)
 
 
 def exists(spark: SparkSession, folder: str) -> bool:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bytes of text that a fit takes at most, beside its bound on rows.
-SAMPLE_BYTES = 48 << 20
+#: Bytes of text that a fit takes at most, beside its bound on rows; a text above a quarter of it isn't fitted on.
+SAMPLE_BYTES, LARGEST_SHARE = 48 << 20, 4
 
 
 def fold(id_col: Column, of: int) -> Column:
@@ -22,7 +22,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, of: int, out: int
     At most per_class rows of either class and at most most_bytes of text in all, both taken
     by the smallest hashes, so the sample doesn't depend on the partitioning. These are the
     documented bounds of what a fit holds: only ids of that many rows are broadcast, and
-    only their texts are fetched. Rows without a label or an id are left out; of a doc_id
+    only their texts are fetched. Where the bytes are too many, texts longer than
+    most_bytes / LARGEST_SHARE are left out first, so none of them keeps the others away. Rows without a label or an id are left out; of a doc_id
     with several texts the one with the smallest hash counts.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -34,7 +35,9 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, of: int, out: int
     found = texts.join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = stored(found.select("doc_id", "text", "label"))
     whole = found.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if whole <= most_bytes:
+        return found
+    size = F.octet_length("text").cast("long")
     # a running sum over the sample: at most 2 * per_class rows
-    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sizes = found.select("doc_id", "label", "text", upto.alias("upto"))
-    return sizes.filter(F.col("upto") <= most_bytes).select("doc_id", "text", "label") if whole > most_bytes else found
+    upto = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return found.filter(size <= most_bytes // LARGEST_SHARE).select("doc_id", "label", "text", upto.alias("upto")).filter(F.col("upto") <= most_bytes).select("doc_id", "text", "label")

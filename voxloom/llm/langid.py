@@ -5,8 +5,10 @@ ends marked), counted over every learning row. A document's own most frequent n-
 compared with each profile by the out-of-place distance: the sum of rank differences,
 ``TOP`` for an n-gram that the profile lacks.
 
-Counts are summed in each task and then by Spark on (language, n-gram); only the finished
-profiles, TOP rows a language, reach the driver.
+Counts are summed in each task, within one budget of n-grams over all languages, and then by Spark
+on (language, n-gram); only the finished profiles, TOP rows a language, reach the driver. A
+document meets the profiles through lists of (language, rank) under each n-gram, so what a task
+holds is TOP entries a language: some 50 MB at MOST_LANGUAGES.
 
 Letters keep their own code points in an n-gram, so no two n-grams share a code.
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_column
+from .common import ranges, stored, text_column
 from .labelled import fold
 
 TOP, UNKNOWN = 300, "und"
@@ -35,6 +37,8 @@ TOP, UNKNOWN = 300, "und"
 FARTHEST = 0.66
 #: Languages that may be learnt: their profiles (TOP n-grams each) go to the driver and to every task.
 MOST_LANGUAGES = 10_000
+#: N-grams of all languages that a learning task buffers, and distinct ones whose sums it holds (8 and 16 bytes each).
+WAITING, SUMS = 2_000_000, 4_000_000
 _letters: list[np.ndarray] = []
 _EDGE = 1  # the code of a word's end
 
@@ -98,28 +102,36 @@ def learn(docs: DataFrame, most: int = TOP) -> dict[str, np.ndarray]:
                 keys, counts = union, total
             totals[lang] = (keys, counts)
 
-        held: dict[str, int] = {}
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang in list(waiting):
+                settle(lang)
+            for lang, (keys, counts) in totals.items():
+                for lo in range(0, len(keys), 50_000):
+                    part = keys[lo : lo + 50_000].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[lo : lo + 50_000], pa.int64())], ["lang", "gram", "n"])
+            totals.clear()
+
+        held = 0
         for batch in batches:
             for text, lang in zip(text_column(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found = grams(text.as_py())
-                if len(found):
-                    waiting.setdefault(lang, []).append(found)
-                    held[lang] = held.get(lang, 0) + len(found)
-                    if held[lang] > 2_000_000:
-                        settle(lang)
-                        held[lang] = 0
-        for lang in list(waiting):
-            settle(lang)
-        for lang, (keys, counts) in totals.items():
-            for lo in range(0, len(keys), 50_000):
-                part = keys[lo : lo + 50_000].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[lo : lo + 50_000], pa.int64())], ["lang", "gram", "n"])
+                if not len(found):
+                    continue
+                waiting.setdefault(lang, []).append(found)
+                held += len(found)
+                if held > WAITING:
+                    for key in list(waiting):
+                        settle(key)
+                    held = 0
+                    if sum(len(keys) for keys, _ in totals.values()) > SUMS:
+                        yield from told()
+        yield from told()
 
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    if (n := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages to learn, more than {MOST_LANGUAGES}")
     sums = stored(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    if (n := sums.select("lang").distinct().count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages to learn, more than {MOST_LANGUAGES}")
     found = sums.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("lang", "rank").toPandas()
     return {str(k): part["gram"].to_numpy().astype(np.uint64) for k, part in found.groupby("lang")}
 
@@ -127,11 +139,13 @@ def learn(docs: DataFrame, most: int = TOP) -> dict[str, np.ndarray]:
 class Profiles:
     def __init__(self, profiles: dict[str, np.ndarray], most: int = TOP):
         self.most, self.langs = most, sorted(profiles)
-        every = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.uint64)]))
-        self.every = np.append(every, np.uint64(0))
-        self.rank = np.full((len(self.langs), len(every) + 1), -1, np.int64)
-        for k, lang in enumerate(self.langs):
-            self.rank[k, np.searchsorted(every, profiles[lang])] = np.arange(len(profiles[lang]))
+        own = [profiles[lang] for lang in self.langs]
+        gram = np.concatenate([*own, np.zeros(0, np.uint64)])
+        order = np.argsort(gram, kind="stable")
+        self.lang = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order]
+        self.rank = np.concatenate([*[np.arange(len(x), dtype=np.int32) for x in own], np.zeros(0, np.int32)])[order]
+        self.every, self.start = np.unique(gram[order], return_index=True)
+        self.start = np.append(self.start, len(gram))
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, out-of-place distance of it from 0 to 1)."""
@@ -139,10 +153,12 @@ class Profiles:
         if not len(found) or not self.langs:
             return UNKNOWN, 0.0, 1.0
         own = top(*counted(found), self.most)
-        at = np.minimum(np.searchsorted(self.every[:-1], own), len(self.every) - 1)
-        at = np.where(self.every[at] == own, at, len(self.every) - 1)
-        ranks = self.rank[:, at]
-        far = np.where(ranks < 0, self.most, np.abs(ranks - np.arange(len(own)))).sum(axis=1) / (self.most * len(own))
+        at = np.minimum(np.searchsorted(self.every, own), len(self.every) - 1)
+        met = np.flatnonzero(self.every[at] == own)
+        first, count = self.start[at[met]], self.start[at[met] + 1] - self.start[at[met]]
+        place = np.repeat(first, count) + ranges(count)
+        gain = self.most - np.abs(self.rank[place] - np.repeat(met, count))
+        far = (self.most * len(own) - np.bincount(self.lang[place], gain, len(self.langs))) / (self.most * len(own))
         k = int(far.argmin())
         if len(far) == 1:
             return self.langs[k], float(1 - far[k]), float(far[k])

@@ -38,7 +38,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    log = chat.log_of(rows.unionByName(extra))
+    log = chat.history_of(rows.unionByName(extra))
     return chat.digests(chat.parse(chat.format_log(log)))
 
 

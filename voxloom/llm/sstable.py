@@ -29,6 +29,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, text_chunks, text_column
+from .common import estimated_bytes, partitions, scratch, stored, text_chunks, text_column
 from .tokens import TOGETHER, encoder
 
 MAGIC = b"VXSST001"
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 16, 10, 7
+#: Bytes of documents (as Spark estimates them from the files) that one shard is made of at most.
+SHARD_BYTES = 256 << 20
 FOOTER = struct.Struct("<6Q8s")
 
 
@@ -86,10 +89,14 @@ class Writer:
     def __init__(self, out, compress):
         self.out, self.compress, self.at = out, compress, 0
         self.index: list[tuple[int, int, bytes]] = []
-        self.keys: list[tuple[int, int]] = []
+        self.keys = array("I")  # two hashes of each key, 8 bytes a document
         self.n_ids = 0
         self._reset()
 
+    @property
+    def n_keys(self) -> int:
+        return len(self.keys) // 2
+
     def _reset(self) -> None:
         self.block, self.restarts, self.last, self.first, self.n = bytearray(), [], b"", None, 0
 
@@ -105,7 +112,7 @@ class Writer:
         value = (b"\x02" + ids.astype("<u2").tobytes()) if narrow else (b"\x04" + ids.astype("<u4").tobytes())
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last, self.n = key, self.n + 1
-        self.keys.append((zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1))
+        self.keys.extend((zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1))
         self.n_ids += len(ids)
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -122,14 +129,14 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = b"".join(struct.pack("<QQH", a, n, len(k)) + k for a, n, k in self.index)
-        bits = max(64, BLOOM_BITS * len(self.keys))
+        bits = max(64, BLOOM_BITS * self.n_keys)
         filled = np.zeros((bits + 7) // 8 * 8, bool)
         if self.keys:
-            a, b = np.array(self.keys, np.uint64).T
+            a, b = np.frombuffer(self.keys, np.uint32).reshape(-1, 2).T.astype(np.uint64)
             for k in range(BLOOM_HASHES):
                 filled[((a + np.uint64(k) * b) % np.uint64(bits)).astype(np.int64)] = True
         bloom = struct.pack("<QI", bits, BLOOM_HASHES) + np.packbits(filled, bitorder="little").tobytes()
-        self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.n_ids, MAGIC))
+        self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.n_keys, self.n_ids, MAGIC))
 
 
 @dataclass
@@ -220,11 +227,13 @@ def open_shard(uri: str) -> Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None = None, to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts and write the shards; a stored table (shard, uri, n_docs, n_ids).
 
+    shards: their number, by default as many as shuffle partitions, or more where one would
+    hold over SHARD_BYTES.
     to: a folder all executors can write, any URI that pyarrow opens; new and below
     spark.checkpoint.dir by default.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(partitions(spark), -(-(estimated_bytes(docs) or 0) // SHARD_BYTES))
     to = to or scratch(spark)
     to = to if ":" in to.split("/")[0] else f"file://{to}"
 
@@ -284,7 +293,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     # one row for each file: a single running sum over a table as long as the list of files
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", "uri", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long").alias("start"))
-    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(shards.sparkSession)
     return starts.repartitionByRange(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
