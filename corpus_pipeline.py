@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.llm import langid, mixing, neardup, packing, queries, repetition
-from voxloom.llm.common import stored, table
+from voxloom.llm.common import forget, stored, table
 
 #: A row is taken at most once here, so packing meets no document twice.
 RECIPE = mixing.Recipe(budget_percent=80, max_epochs=1)
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; a stage's rows are deleted when the next one's are written, its own steps by ``common.clean``."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
