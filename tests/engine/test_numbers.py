@@ -104,9 +104,9 @@ def test_distance_joins(spark):
     d = ((q[:, None] - p[None]) ** 2).sum(-1)
     pairs = {(r.left_id, r.right_id) for r in spatial.within_distance(points_of(spark, q), points_of(spark, p), 2.0, 4).collect()}
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(d < 4), strict=True)}
-    near = {r.id: r.nearest_id for r in spatial.nearest(points_of(spark, q), points_of(spark, p), 4, 1.0, 64.0).collect()}
+    near = {r.id: r.nearest_id for r in spatial.nearest(points_of(spark, q), points_of(spark, p), 64.0).collect()}
     assert near == dict(enumerate(d.argmin(1).tolist()))
-    far = spatial.nearest(points_of(spark, q + 1000), points_of(spark, p), 4, 1.0, 8.0)
+    far = spatial.nearest(points_of(spark, q + 1000), points_of(spark, p), 8.0)
     assert far.count() == 0
 
 
@@ -118,7 +118,7 @@ def test_clusters(spark):
     assert all(np.abs(centers - t).sum(1).min() < 0.3 for t in true) and found.select("cluster").distinct().count() == 4
     model, _ = cluster.gaussian_mixture(points_of(spark, p), 4, seed=3)
     assert all(np.abs(model["mean"] - t).sum(1).min() < 0.3 for t in true) and np.allclose(model["weight"], 0.25, atol=0.05)
-    peaks = cluster.density_peaks(points_of(spark, p), 0.5, 2)
+    peaks = cluster.density_peaks(points_of(spark, p), 0.5, leaf_points=50)
     n = (((p[:, None] - p[None]) ** 2).sum(-1) < 0.25).sum(1) - 1
     rows = {r.id: r for r in peaks.collect()}
     assert all(rows[k].rho == n[k] for k in range(len(p)))
@@ -309,7 +309,7 @@ def test_deformations(spark):
     dims = (6, 6, 6)
     cells = grid(spark, dims).select(*AXES)
     still = cells.select("*", F.lit(0.5).alias("dx"), F.lit(0.0).alias("dy"), (F.col("z") * 0.1).alias("dz"))
-    assert all(abs(r.det - 1.1) < 1e-9 for r in geometry.jacobian(still).collect())
+    assert all(abs(r.det - 1.1) < 1e-9 for r in geometry.jacobian(still, dims).collect())
     back = geometry.invert_deformation(still, dims).filter("x between 2 and 4 and z between 1 and 4").collect()
     assert all(abs(r.dx + 0.5) < 1e-2 and abs(r.dz + r.z * 0.1 / 1.1) < 1e-2 for r in back)
 

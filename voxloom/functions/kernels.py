@@ -206,7 +206,7 @@ def gamma_pdf_ms(mean: float, sd: float, x: Column) -> Column:
 def canonical_hrf(t: Column, rise: float = 6.0, under: float = 16.0, rise_sd: float = 1.0, under_sd: float = 1.0, ratio: float = 6.0, onset: float = 0.0, total: float = 32.0) -> Column:
     """Double-gamma response on [onset, total]."""
     u = _d(t) - onset
-    value = gamma_pdf(u, rise / rise_sd, rise_sd) - gamma_pdf(u, under / under_sd, under_sd) / ratio
+    value = gamma_pdf(u, rise / rise_sd, 1 / rise_sd) - gamma_pdf(u, under / under_sd, 1 / under_sd) / ratio
     return F.when((_d(t) < 0) | (_d(t) > total), F.lit(0.0)).otherwise(value)
 
 

@@ -7,8 +7,11 @@ is 1.2 rows a voxel, where a row for each reader would be 27. One shuffle, numpy
 
 from __future__ import annotations
 
+import inspect
 import itertools
+import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,58 +47,74 @@ def _to_blocks(df: DataFrame, axes: list[str], dims: list[int], radius: int, bou
 
 
 def _tile(rows: pd.DataFrame, axes: list[str], dims: list[int], block: tuple, radius: int, boundary: str, edge: int, value: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The block with its halo as an array, and for each axis the place in it of each index of the image."""
-    places, shape = [], []
-    for n, b in zip(dims, block, strict=True):
-        own = np.unique(bounded_index(np.arange(b * edge - radius, min((b + 1) * edge, n) + radius), n, boundary))
-        place = np.zeros(n, np.int64)
-        place[own] = np.arange(len(own))
-        places.append(place)
-        shape.append(len(own))
+    """The block with its halo as an array, and for each axis the indices of the image that its places stand for, ascending."""
+    held = [np.unique(bounded_index(np.arange(b * edge - radius, min((b + 1) * edge, n) + radius), n, boundary)) for n, b in zip(dims, block, strict=True)]
     values = rows[value].to_numpy()
-    tile = np.zeros(shape, values.dtype)
-    tile[tuple(p[rows[a].to_numpy()] for p, a in zip(places, axes, strict=True))] = values
-    return tile, places
+    tile = np.zeros([len(h) for h in held], values.dtype)
+    tile[tuple(np.searchsorted(h, rows[a].to_numpy()) for h, a in zip(held, axes, strict=True))] = values
+    return tile, held
 
 
-def around(df: DataFrame, axes: list[str], dims: list[int], radius: int, outputs: str, work: Callable, value: str = "v", keep: list[str] | None = None) -> DataFrame:
+class View:
+    """What the voxels of a block see: see(offset) is one array, padded the block with its halo."""
+
+    def __init__(self, padded: np.ndarray, radius: int):
+        self.padded, self.radius = padded, radius
+
+    def __call__(self, offset: tuple[int, ...]) -> np.ndarray:
+        return self.padded[tuple(slice(self.radius + o, n - self.radius + o) for o, n in zip(offset, self.padded.shape, strict=True))]
+
+
+def around(df: DataFrame, axes: list[str], dims: list[int], radius: int, outputs: str, work: Callable, value: str | list[str] = "v", keep: list[str] | None = None, outside: str = "clamp") -> DataFrame:
     """Rows (keep, axes, outputs) of each voxel of df, from what lies within the radius along each axis.
 
-    work(see) returns an array for each output; see(offset) is what the voxels of the block see
-    at that offset, the border repeated. A voxel without a row or with a null counts as 0.
+    work(view, …), with a View for each value, returns an array for each output; beyond the image the
+    border is repeated (or all is 0, outside="zero"). With an argument ``first`` it gets the index
+    of the block's first voxel too. A voxel without a row or with a null counts as 0.
     """
     keep, edge = keep or [], block_edge(len(axes))
+    values = [value] if isinstance(value, str) else value
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(*keep, *axes, F.coalesce(F.col(value), F.lit(0).cast(kinds[value])).alias(value))
-    names = [o.split()[0] for o in outputs.split(",")]
+    rows = df.select(*keep, *axes, *[F.coalesce(F.col(v), F.lit(0).cast(kinds[v])).alias(v) for v in values])
+    names = [o.split()[0] for o in re.split(r",(?![^<]*>)", outputs)]
     blocks = [f"_b{i}" for i in range(len(axes))]
+    placed = "first" in inspect.signature(work).parameters
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block = tuple(int(rows[b].iloc[0]) for b in blocks)
-        tile, places = _tile(rows, axes, dims, block, radius, "clamp", edge, value)
         spans = [(b * edge, min((b + 1) * edge, n)) for b, n in zip(block, dims, strict=True)]
-
-        def see(offset: tuple[int, ...]) -> np.ndarray:
-            return tile[np.ix_(*[p[np.clip(np.arange(lo, hi) + o, 0, n - 1)] for p, (lo, hi), o, n in zip(places, spans, offset, dims, strict=True)])]
-
+        reach = [np.arange(lo - radius, hi + radius) for lo, hi in spans]
+        views = []
+        for v in values:
+            tile, held = _tile(rows, axes, dims, block, radius, "clamp", edge, v)
+            padded = tile[np.ix_(*[np.searchsorted(h, np.clip(r, 0, n - 1)) for h, r, n in zip(held, reach, dims, strict=True)])]
+            if outside == "zero":
+                padded = padded * reduce(np.multiply.outer, [(r >= 0) & (r < n) for r, n in zip(reach, dims, strict=True)])
+            views.append(View(padded, radius))
         own = np.logical_and.reduce([rows[a].between(lo, hi - 1).to_numpy() for a, (lo, hi) in zip(axes, spans, strict=True)])
         rows = rows.loc[own, [*keep, *axes]]
         at = tuple(rows[a].to_numpy() - lo for a, (lo, _) in zip(axes, spans, strict=True))
-        return rows.assign(**{n: out[at] for n, out in zip(names, work(see), strict=True)})
+        found = work(*views, first=tuple(lo for lo, _ in spans)) if placed else work(*views)
+        return rows.assign(**{n: list(out[at]) if out.dtype == object else out[at] for n, out in zip(names, found, strict=True)})
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*keep, *axes)], outputs])
     return _to_blocks(rows, axes, dims, radius, "clamp", edge).groupBy(*keep, *blocks).applyInPandas(run, schema)
 
 
-def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weights: list[Callable[[np.ndarray], np.ndarray] | None], boundary: str, value: str = "v") -> DataFrame:
+Weights = list[Callable[[np.ndarray], np.ndarray] | None]
+
+
+def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weights: Weights | dict[str, Weights], boundary: str, value: str = "v") -> DataFrame:
     """(keys, value): the weighted sum of the voxels around each sample's continuous index.
 
     The voxels read are place(u) + steps along each axis, with the product of the axes' weights of u - voxel.
+    With weights by name there is a column for each of them (a value and its slopes) from one look.
     Boundary: wrap, clamp (the border is repeated), anything else leaves places beyond it out.
     Samples meet the block of their voxel; a block that many samples read is copied and its
     samples are dealt over the copies. Samples without a finite index give no row.
     """
     axes, radius, edge = list(at), max(abs(s) for s in steps), block_edge(len(at))
+    outputs = weights if isinstance(weights, dict) else {value: weights}
     sizes = [dims[a] for a in axes]
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
     blocks, ats = [f"_b{i}" for i in range(len(axes))], [f"_u{i}" for i in range(len(axes))]
@@ -111,22 +130,23 @@ def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: di
 
     def run(rows: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({c: [] for c in (*keys, value)})
+            return pd.DataFrame({c: [] for c in (*keys, *outputs)})
         block = tuple(int(rows[b].iloc[0]) for b in blocks)
         tile, places = _tile(voxels.fillna({"_v": 0.0}), axes, sizes, block, radius, boundary, edge, "_v")
-        options = []
-        for u, n, p, weight in zip((rows[u].to_numpy() for u in ats), sizes, places, weights, strict=True):
-            read = [place(u).astype(np.int64) + s for s in steps]
-            weighed = [weight(u - r) if weight else np.ones(len(u)) for r in read]
-            if boundary not in ("wrap", "clamp"):
-                weighed = [w * ((r >= 0) & (r < n)) for w, r in zip(weighed, read, strict=True)]
-            options.append([(p[bounded_index(r, n, boundary)], w) for r, w in zip(read, weighed, strict=True)])
-        out = np.zeros(len(rows))
-        for corner in itertools.product(*options):
-            w = np.prod([w for _, w in corner], axis=0)
-            out += np.where(w != 0, w * tile[tuple(p for p, _ in corner)], 0.0)
-        return rows[keys].assign(**{value: out})
-
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], f"`{value}` double"])
+        read = [[place(rows[u].to_numpy()).astype(np.int64) + s for s in steps] for u in ats]
+        found = [[np.minimum(np.searchsorted(p, bounded_index(r, n, boundary)), len(p) - 1) for r in line] for line, n, p in zip(read, sizes, places, strict=True)]
+        inside = [[np.ones(len(rows)) if boundary in ("wrap", "clamp") else ((r >= 0) & (r < n)).astype(float) for r in line] for line, n in zip(read, sizes, strict=True)]
+        seen = {corner: tile[tuple(found[k][c] for k, c in enumerate(corner))] for corner in itertools.product(range(len(steps)), repeat=len(axes))}
+        out = {}
+        for name, own in outputs.items():
+            weighed = [[(weight(rows[u].to_numpy() - r) if weight else 1.0) * ok for r, ok in zip(line, oks, strict=True)] for u, line, oks, weight in zip(ats, read, inside, own, strict=True)]
+            total = np.zeros(len(rows))
+            for corner, values in seen.items():
+                w = np.prod([weighed[k][c] for k, c in enumerate(corner)], axis=0)
+                total += np.where(w != 0, w * values, 0.0)
+            out[name] = total
+        return rows[keys].assign(**out)
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], *[f"`{c}` double" for c in outputs]])
     group = [*blocks, "_copy"]
     return dealt.groupBy(*group).cogroup(voxels.groupBy(*group)).applyInPandas(run, schema)

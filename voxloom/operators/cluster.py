@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .spatial import squared_distance, within_distance
+from . import tree
+from .spatial import squared_distance
 from .sums import summed
 
 
@@ -174,32 +175,19 @@ def gauss_gamma_mixture(df: DataFrame, value: str, mean=(-9.0, 0.0, 9.0), sd=(3.
 # ---- density peaks -----------------------------------------------------------------
 
 
-def density_peaks(points: DataFrame, radius: float, dims: int, p: str = "p") -> DataFrame:
+def density_peaks(points: DataFrame, radius: float, p: str = "p", leaf_points: int = tree.LEAF_POINTS) -> DataFrame:
     """(id, rho, delta, parent): neighbours within the radius, squared distance to the nearest point of
-    higher (rho, id), and that point; the densest point of what is reachable has parent null.
+    higher (rho, id), and that point; the densest point has neither.
 
-    The search widens: points without a denser neighbour within the radius look twice as far,
-    and only they do.
+    Both come from one tree. Its leaves carry their largest (rho, id): the search for a denser point
+    goes by distance and leaves out the leaves that hold none.
     """
-    pairs = within_distance(points, points, radius, dims, p, p).filter("left_id <> right_id")
-    rho = settled(points.select("id", p).join(pairs.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", p, F.coalesce("n", F.lit(0)).alias("rho")))
-    top = rho.agg(F.max(F.struct("rho", "id")).alias("m")).first().m
-    ends = rho.agg(*[f(F.get(p, F.lit(k))) for k in range(dims) for f in (F.min, F.max)]).first()
-    widest = math.sqrt(sum((ends[2 * k + 1] - ends[2 * k]) ** 2 for k in range(dims))) * 1.0001 + radius
-    left, reach, found = rho.filter(F.col("id") != top.id), radius, []
-    while True:
-        met = within_distance(left, rho, reach, dims, p, p).join(rho.select(F.col("id").alias("left_id"), F.col("rho").alias("lr")), "left_id").join(rho.select(F.col("id").alias("right_id"), F.col("rho").alias("rr")), "right_id")
-        higher = met.filter("rr > lr or (rr = lr and right_id > left_id)")
-        best = settled(higher.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct("dist2", "right_id")).alias("m")).select("id", F.col("m.dist2").alias("delta"), F.col("m.right_id").alias("parent")))
-        found.append(best)
-        left = settled(left.join(best.select("id"), "id", "left_anti"))
-        if reach >= widest or left.isEmpty():
-            break
-        reach *= 2
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return rho.select("id", "rho").join(out, "id", "left")
+    found = tree.build(points, "id", p, leaf_points)
+    n = tree.count_within(found, points, radius, "id", p)
+    rows = points.filter(F.col(p).isNotNull()).select("id", p).join(n, "id", "left")
+    rho = settled(rows.select("id", p, F.coalesce("n", F.lit(0)).alias("rho")))
+    up = tree.nearest(found.over(rho, "id", p, "rho"), rho, "id", p, weight="rho")
+    return rho.select("id", "rho").join(up.select("id", F.col("dist2").alias("delta"), F.col("nearest_id").alias("parent")), "id", "left")
 
 
 def peak_classes(peaks: DataFrame, threshold: float) -> DataFrame:

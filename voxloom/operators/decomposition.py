@@ -60,9 +60,61 @@ def covariance(df: DataFrame, column: str, width: int, centered: bool = True) ->
     return (cross - n * np.outer(mean, mean)) / (n - 1)
 
 
-def blocks(matrix: DataFrame, size: int) -> DataFrame:
-    """(i, j, v) entries as blocks (bi, bj, entries)."""
-    return matrix.groupBy(F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj")).agg(F.collect_list(F.struct("i", "j", "v")).alias("entries"))
+#: Rows and columns of a dense block (32 KB), and products that a task adds up before it gives them on.
+BLOCK, HELD = 64, 512
+BLOCKS = "bi long, bj long, values array<double>"
+
+
+def blocks(matrix: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(i, j, v) entries as dense blocks (bi, bj, values: the rows of a block one behind the other); entries that are absent are 0."""
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((size, size))
+        np.add.at(out, (rows["i"].to_numpy() % size, rows["j"].to_numpy() % size), rows["v"].to_numpy())
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "values": [out.ravel()]})
+
+    rows = matrix.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double"))
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    return rows.withColumns({"bi": at("i"), "bj": at("j")}).groupBy("bi", "bj").applyInPandas(fill, BLOCKS)
+
+
+def block_entries(blocked: DataFrame, n_rows: int, n_columns: int, size: int = BLOCK) -> DataFrame:
+    """(i, j, v) of every entry of the blocks that lies within the matrix."""
+    out = blocked.select("bi", "bj", F.posexplode("values").alias("k", "v"))
+    out = out.select((F.col("bi") * size + F.floor(F.col("k") / size)).cast("long").alias("i"), (F.col("bj") * size + F.col("k") % size).cast("long").alias("j"), "v")
+    return out.filter((F.col("i") < n_rows) & (F.col("j") < n_columns))
+
+
+def block_multiply(a: DataFrame, b: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Product of two matrices of dense blocks.
+
+    Blocks (i, k) and (k, j) meet by an equi-join on k (a small side is broadcast by adaptive
+    execution); a task multiplies them and adds up what belongs to one block, and these partial
+    sums, at most one a task and block, are shuffled and added up.
+    """
+    left = a.select("bi", F.col("bj").alias("bk"), F.col("values").alias("x"))
+    right = b.select(F.col("bi").alias("bk"), "bj", F.col("values").alias("y"))
+
+    def out(held: dict) -> pd.DataFrame:
+        return pd.DataFrame({"bi": [k[0] for k in held], "bj": [k[1] for k in held], "values": [v.ravel() for v in held.values()]})
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for bi, bj, x, y in zip(batch["bi"], batch["bj"], batch["x"], batch["y"], strict=True):
+                z = np.reshape(x, (size, size)) @ np.reshape(y, (size, size))
+                held[bi, bj] = held[bi, bj] + z if (bi, bj) in held else z
+                if len(held) >= HELD:
+                    yield out(held)
+                    held = {}
+        if held:
+            yield out(held)
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "values": [np.sum(np.stack(rows["values"].to_numpy()), axis=0)]})
+
+    parts = left.join(right, "bk").select("bi", "bj", "x", "y").mapInPandas(multiply, BLOCKS)
+    return parts.groupBy("bi", "bj").applyInPandas(add, BLOCKS)
 
 
 def sparse_multiply(a: DataFrame, b: DataFrame) -> DataFrame:

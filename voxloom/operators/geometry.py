@@ -12,11 +12,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Geometry, grid
 from ..session import settled
+from .blocks import around
+from .blocks import sample as sample_blocks
+from .neighborhood import gaussian_smooth_nd
 from .spatial import cubic_slope, cubic_spline, interpolate
 from .sums import summed
 
@@ -227,26 +231,46 @@ class Information:
         d = at - u[:, None]
         return at.clip(0, self.bins - 1), cubic_spline(d), -cubic_slope(d) / width
 
-    def slope(self, a: np.ndarray, b: np.ndarray, span: Span | None = None) -> tuple[float, np.ndarray]:
-        (ia, wa, _), (ib, wb, db) = self._spread(a, None), self._spread(b, span)
-        cell = ia[:, :, None] * self.bins + ib[:, None, :]
-        joint = np.bincount(cell.ravel(), (wa[:, :, None] * wb[:, None, :]).ravel(), self.bins**2)
-        whole = joint.sum()
-        p = joint.reshape(self.bins, self.bins) / whole
+    def of_joint(self, p: np.ndarray) -> tuple[float, np.ndarray]:
+        """Cost of a joint distribution and its derivative by each cell."""
         log = lambda q: np.log(np.where(q > 0, q, 1.0))
         h = lambda q: -float((q * log(q)).sum())
         ha, hb, hj = h(p.sum(1)), h(p.sum(0)), h(p)
         # derivatives of the three entropies by a cell of the joint histogram
-        da, db_, dj = -log(p.sum(1))[:, None] - 1, -log(p.sum(0))[None, :] - 1, -log(p) - 1
+        da, db, dj = -log(p.sum(1))[:, None] - 1, -log(p.sum(0))[None, :] - 1, -log(p) - 1
         if self.kind == "mi":
-            cost, by_cell = hj - ha - hb, dj - da - db_
-        elif self.kind == "nmi":
-            cost, by_cell = (-(ha + hb) / hj, ((ha + hb) * dj / hj - da - db_) / hj) if hj else (0.0, np.zeros_like(p))
-        else:
-            cost, by_cell = 2 * hj - ha - hb, 2 * dj - da - db_
+            return hj - ha - hb, dj - da - db
+        if self.kind == "nmi":
+            return (-(ha + hb) / hj, ((ha + hb) * dj / hj - da - db) / hj) if hj else (0.0, np.zeros_like(p))
+        return 2 * hj - ha - hb, 2 * dj - da - db
+
+    def slope(self, a: np.ndarray, b: np.ndarray, span: Span | None = None) -> tuple[float, np.ndarray]:
+        (ia, wa, _), (ib, wb, db) = self._spread(a, None), self._spread(b, span)
+        cell = ia[:, :, None] * self.bins + ib[:, None, :]
+        joint = np.bincount(cell.ravel(), (wa[:, :, None] * wb[:, None, :]).ravel(), self.bins**2)
+        whole = joint.sum()
+        cost, by_cell = self.of_joint(joint.reshape(self.bins, self.bins) / whole)
         return cost, (by_cell.ravel()[cell] * wa[:, :, None] * db[:, None, :]).sum((1, 2)) / whole
 
 
+@dataclass
+class ClassInformation(Information):
+    """Information between a value and class probabilities: b has a column for each class, and a voxel
+    counts in every class with its probability there; what a probability loses beyond the image isn't made up for."""
+
+    def slope(self, a: np.ndarray, b: np.ndarray, span: Span | None = None) -> tuple[float, np.ndarray]:
+        ia, wa, _ = self._spread(a, span)
+        own = np.zeros((len(a), self.bins))
+        np.add.at(own, (np.arange(len(a))[:, None], ia), wa)
+        joint = own.T @ b
+        whole = joint.sum()
+        if whole <= 0:
+            return 0.0, np.zeros_like(b)
+        p = joint / whole
+        cost, by_cell = self.of_joint(p)
+        return cost, own @ ((by_cell - (by_cell * p).sum()) / whole)
+
+
 correlation_metric = Correlation()
 
 
@@ -333,10 +357,101 @@ def register_rigid(fixed: np.ndarray, moving: np.ndarray, metric: Metric = corre
     return Rigid(x[:3], x[3:], center).inverse()
 
 
+# ---- registration of images that no machine holds ----------------------------------
+
+_UP = lambda d: np.clip(1 - np.abs(d), 0, None)
+_RISE = lambda d: np.where(d >= 0, -1.0, 1.0)  # noqa: E731  (by the place, of the voxel below and above it)
+#: Weights of a linear sample and of its slope along each axis.
+_LOOK = {"b": [_UP, _UP, _UP], **{f"g{a}": [_RISE if k == j else _UP for j in range(3)] for k, a in enumerate(AXES)}}
+
+
+def moved_samples(fixed: DataFrame, moving: DataFrame, dims: tuple[int, int, int], center: np.ndarray, v: np.ndarray) -> DataFrame:
+    """(a, b, q0 … q5): each voxel of fixed (x, y, z, v), what moving has at its moved place (0 outside), and
+    the derivatives of that by the three angles and three shifts; one look over blocks with a halo."""
+    x, y, z = v[:3]
+    names = [f"o{a}" for a in AXES]  # of their own: fixed and moving may come of one frame
+    p = [F.col(a).cast("double") for a in names]
+    moved = Rigid(v[:3], v[3:], center).columns(p)
+    points = fixed.select(*[F.col(a).alias(n) for a, n in zip(AXES, names, strict=True)], F.col("v").cast("double").alias("a"))
+    seen = sample_blocks(points, moving, dict(zip(AXES, moved, strict=True)), dict(zip(AXES, dims, strict=True)), [*names, "a"], [0, 1], np.floor, _LOOK, "zero")
+    turned = [rotation(x, 0, 0) @ _TURNS[0] @ rotation(0, y, z), rotation(x, y, 0) @ _TURNS[1] @ rotation(0, 0, z), rotation(x, y, z) @ _TURNS[2]]
+    d = [p[k] - F.lit(float(center[k])) for k in range(3)]
+    by_angle = [sum((F.col(f"g{AXES[r]}") * (d[0] * float(t[r, 0]) + d[1] * float(t[r, 1]) + d[2] * float(t[r, 2])) for r in range(3)), F.lit(0.0)) for t in turned]
+    return seen.select("a", "b", *[q.alias(f"q{k}") for k, q in enumerate([*by_angle, *[F.col(f"g{a}") for a in AXES]])])
+
+
+def rigid_cost_over(metric: Metric, fixed: DataFrame, moving: DataFrame, dims: tuple[int, int, int], center: np.ndarray, v: np.ndarray, spans: tuple[Span, Span] | None = None) -> tuple[float, np.ndarray]:
+    """rigid_cost over images of any size: the correlation and its slopes are one aggregate; an
+    information takes two over samples that are stored in between, the joint histogram and then its chain rule.
+
+    spans: the ranges of fixed's values and of moving's samples, for an information.
+    """
+    rows = moved_samples(fixed, moving, dims, center, v)
+    if isinstance(metric, Correlation):
+        a, b = F.col("a"), F.col("b")
+        parts = [F.count("*"), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b)]
+        parts += [F.sum(f(F.col(f"q{k}"))) for f in (lambda q: q, lambda q: a * q, lambda q: b * q) for k in range(6)]
+        s = np.array(rows.agg(*[c.cast("double") for c in parts]).first(), float)
+        n, sa, sb = s[:3]
+        saa, sbb, sab = s[3] - sa * sa / n, s[4] - sb * sb / n, s[5] - sa * sb / n
+        q, aq, bq = s[6:12], s[12:18] - sa / n * s[6:12], s[18:24] - sb / n * s[6:12]
+        d = math.sqrt(max(saa * sbb, 0.0))
+        if not d:
+            return 0.0, np.zeros_like(q)
+        r = sab / d
+        return -abs(r), -np.sign(r) * (aq / d - r * bq / sbb)
+    rows, (of_a, of_b) = settled(rows), spans
+    m = Information(metric.kind, metric.bins, metric.radius)
+
+    def joint(batches):
+        total = np.zeros((m.bins, m.bins))
+        for batch in batches:
+            (ia, wa, _), (ib, wb, _) = m._spread(batch["a"].to_numpy(), of_a), m._spread(batch["b"].to_numpy(), of_b)
+            cell = ia[:, :, None] * m.bins + ib[:, None, :]
+            total += np.bincount(cell.ravel(), (wa[:, :, None] * wb[:, None, :]).ravel(), m.bins**2).reshape(m.bins, m.bins)
+        yield pd.DataFrame({"i": np.arange(m.bins), "sums": list(total)})
+
+    table = summed(rows.mapInPandas(joint, "i int, sums array<double>"), m.bins)
+    whole = table.sum()
+    cost, by_cell = m.of_joint(table / whole)
+
+    def chain(batches):
+        total = np.zeros(6)
+        for batch in batches:
+            (ia, wa, _), (ib, _, db) = m._spread(batch["a"].to_numpy(), of_a), m._spread(batch["b"].to_numpy(), of_b)
+            by_value = (by_cell[ia[:, :, None], ib[:, None, :]] * wa[:, :, None] * db[:, None, :]).sum((1, 2)) / whole
+            total += by_value @ batch[[f"q{k}" for k in range(6)]].to_numpy()
+        yield pd.DataFrame({"i": [0], "sums": [total]})
+
+    slope = summed(rows.mapInPandas(chain, "i int, sums array<double>"), 6)
+    return cost, slope[0]
+
+
+def register_images(fixed: DataFrame, moving: DataFrame, dims: tuple[int, int, int], metric: Metric = correlation_metric, sigmas: tuple[float, ...] = (3, 1, 0), start: Rigid | None = None, rounds: int = 40) -> Rigid:
+    """register_rigid for images (x, y, z, v) of any size: every step of the descent is an aggregate over blocks."""
+    center = (np.array(dims) - 1) / 2
+    x = np.zeros(6) if start is None else np.concatenate([start.angles, start.shift])
+    scale = np.array([0.01] * 3 + [1.0] * 3)
+    for sigma in sigmas:
+        a, b = fixed.select(*AXES, "v"), moving.select(*AXES, "v")
+        if sigma > 0:
+            a, b = (gaussian_smooth_nd(i, AXES, list(dims), sigma, reach=max(1, int(3 * sigma))) for i in (a, b))
+        step = max(1, int(sigma))
+        b = settled(b)
+        a = settled(a.filter(" and ".join(f"{c} % {step} = 0" for c in AXES)))
+        ends = [i.agg(F.min("v"), F.max("v")).first() for i in (a, b)]
+        spans = (tuple(ends[0]), (min(ends[1][0], 0.0), max(ends[1][1], 0.0)))
+
+        def descent(u: np.ndarray, a=a, b=b, spans=spans) -> tuple[float, np.ndarray]:
+            value, slope = rigid_cost_over(metric, a, b, dims, center, u * scale, spans)
+            return value, slope * scale
+
+        x = lbfgs(descent, x / scale, rounds, stop_gradient=1e-7, stop_x=1e-4, first_step=0.5) * scale
+    return Rigid(x[:3], x[3:], center).inverse()
+
+
 def register_series(volumes: DataFrame, reference: DataFrame, dims: tuple[int, int, int], metric: Metric = correlation_metric, sigmas: tuple[float, ...] = (3, 1)) -> DataFrame:
     """(t, rx, ry, rz, sx, sy, sz): each volume of a 4-D image to a reference volume; a volume is one task."""
-    import pandas as pd
-
     from ..model import to_numpy
 
     fixed = to_numpy(reference, dims)  # one volume
@@ -365,8 +480,12 @@ def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, kno
     Intensities are scaled by the Jacobian of the displacement; bending and Jacobian penalties
     keep the field smooth. All knots descend together, from smoothed volumes to plain ones, at most
     ``rounds`` steps each. The volumes fit one machine.
+
+    moving may have a fourth dimension, the probabilities of classes (of tissues, say): then the joint
+    histogram of fixed and classes is weighted by them, and they aren't scaled.
     """
-    metric = metric or information_metric("mi")
+    classed = moving.ndim == 4
+    metric = metric or (ClassInformation("mi") if classed else information_metric("mi"))
     w = [spline_matrix(n, knots) for n in fixed.shape]
     slopes = [np.gradient(m, axis=0) if k == axis else m for k, m in enumerate(w)]
     cells = np.indices(fixed.shape).reshape(3, -1).T.astype(float)
@@ -379,13 +498,17 @@ def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, kno
         return np.einsum("ai,bj,ck,abc->ijk", *by, v, optimize=True).ravel()
 
     def corrected(c: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The stretched image, the plain one, its slope along the axis, and the stretch."""
+        """The stretched image, the plain one, its slope along the axis, and the stretch; a last axis of classes."""
         at = cells.copy()
         at[:, axis] += field_of(c).ravel()
-        plain, slope = sample_slope(image, at)
+        seen = [sample_slope(image[..., k], at) for k in range(image.shape[3])]
+        plain = np.stack([v for v, _ in seen], 1).reshape(*fixed.shape, -1)
+        slope = np.stack([g[:, axis] for _, g in seen], 1).reshape(*fixed.shape, -1)
         stretch = 1 + field_of(c, slopes)
-        plain = plain.reshape(fixed.shape)
-        return plain * stretch, plain, slope[:, axis].reshape(fixed.shape), stretch
+        return plain if classed else plain * stretch[..., None], plain, slope, stretch
+
+    def flat(made: np.ndarray) -> np.ndarray:
+        return made.reshape(-1, made.shape[3]) if classed else made.ravel()
 
     def penalty(c: np.ndarray, stretch: np.ndarray) -> tuple[float, np.ndarray]:
         k = c.reshape((knots,) * 3)
@@ -397,25 +520,32 @@ def correct_distortion(fixed: np.ndarray, moving: np.ndarray, axis: int = 1, kno
                 by_knot = by_knot + np.moveaxis(np.tensordot(second.T, 2 * bending * bend / bend.size, (1, 0)), 0, a).ravel()
         return cost, by_knot
 
-    c = np.zeros(knots**3)
+    c, planes = np.zeros(knots**3), moving if classed else moving[..., None]
     for sigma in sigmas:
-        target, image = _smooth(fixed, sigma).ravel(), _smooth(moving, sigma)
+        target, image = _smooth(fixed, sigma).ravel(), np.stack([_smooth(planes[..., k], sigma) for k in range(planes.shape[3])], 3)
 
         def cost(c: np.ndarray, target=target, image=image) -> float:
             made, _, _, stretch = corrected(c, image)
-            return metric(target, made.ravel()) + penalty(c, stretch)[0]
+            return metric(target, flat(made)) + penalty(c, stretch)[0]
 
         def descent(c: np.ndarray, target=target, image=image, cost=cost) -> tuple[float, np.ndarray]:
             if not hasattr(metric, "slope"):
                 return cost(c), numeric_gradient(cost, c, np.full(len(c), 0.02))
             made, plain, slope, stretch = corrected(c, image)
-            value, by_value = metric.slope(target, made.ravel())
-            by_value = by_value.reshape(fixed.shape)
+            value, by_value = metric.slope(target, flat(made))
+            by_value = by_value.reshape(made.shape)
             more, by_knot = penalty(c, stretch)
-            return value + more, to_knots(by_value * slope * stretch) + to_knots(by_value * plain, slopes) + by_knot
+            moved = (by_value * slope).sum(3)
+            if classed:
+                return value + more, to_knots(moved) + by_knot
+            return value + more, to_knots(moved * stretch) + to_knots((by_value * plain).sum(3), slopes) + by_knot
 
-        c = lbfgs(descent, c, rounds, stop_gradient=1e-7, stop_x=1e-3)
-    return field_of(c), corrected(c, moving)[0]
+        # at a field of 0 every sample is a voxel, where an information of interpolated classes has a low of its
+        # own: the first descent starts a little to either side, and the better one counts
+        starts = [c + s for s in (0.3, -0.3)] if classed and not c.any() else [c]
+        c = min((lbfgs(descent, s, rounds, stop_gradient=1e-7, stop_x=1e-3) for s in starts), key=cost)
+    out = corrected(c, planes)[0]
+    return field_of(c), out if classed else out[..., 0]
 
 
 # ---- deformations ------------------------------------------------------------------
@@ -432,18 +562,22 @@ def reorient_vectors(field_: DataFrame, geo: Geometry) -> DataFrame:
     return field_.select(*AXES, *[c.alias(f"d{a}") for a, c in zip(AXES, moved, strict=True)])
 
 
-def jacobian(field_: DataFrame) -> DataFrame:
-    """(x, y, z, det): determinant of identity plus the finite differences of the offsets."""
-    out = field_
-    for a in AXES:
-        w = Window.partitionBy(*[b for b in AXES if b != a]).orderBy(a)
-        for b in AXES:
-            nxt, prev = F.lead(f"d{b}").over(w), F.lag(f"d{b}").over(w)
-            n = nxt.isNotNull().cast("int") + prev.isNotNull().cast("int")
-            out = out.withColumn(f"_{b}{a}", F.coalesce(F.try_divide(F.coalesce(nxt, F.col(f"d{b}")) - F.coalesce(prev, F.col(f"d{b}")), n), F.lit(0.0)))
-    m = [[F.col(f"_{r}{c}") + (1.0 if r == c else 0.0) for c in AXES] for r in AXES]
-    det = m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
-    return out.select(*AXES, det.alias("det"))
+def jacobian(field_: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """(x, y, z, det): determinant of identity plus the finite differences of the offsets, one-sided at the border."""
+
+    def work(*views, first: tuple[int, ...]):
+        m = np.empty((*views[0]((0, 0, 0)).shape, 3, 3))
+        for c in range(3):
+            step = tuple(int(k == c) for k in range(3))
+            back = tuple(-k for k in step)
+            at = first[c] + np.arange(m.shape[c])
+            n = ((at > 0).astype(int) + (at < dims[c] - 1)).reshape([-1 if k == c else 1 for k in range(3)])
+            for r, see in enumerate(views):
+                m[..., r, c] = (see(step) - see(back)) / np.maximum(n, 1) + (r == c)
+        return [np.linalg.det(m)]
+
+    rows = field_.select(*AXES, *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES])
+    return around(rows, list(AXES), list(dims), 1, "det double", work, [f"d{a}" for a in AXES])
 
 
 def apply_deformation(image: DataFrame, field_: DataFrame, dims: tuple[int, int, int], kind: str = "lanczos", absolute: bool = False) -> DataFrame:

@@ -44,14 +44,18 @@ def normalize(edges: DataFrame) -> DataFrame:
 
 
 def assortativity(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """Absolute correlation of the degrees (strengths) at the ends of the edges; 1 where it is 0/0."""
+    """Absolute correlation over the edges, each counted once, of what leaves the source and what enters the target; 1 where it is 0/0.
+
+    Both are degrees (or strengths); the spread is that of what leaves and enters the source.
+    """
     edges = settled(edges)  # read three times
-    k = degrees(edges).select("id", (F.col("strength") if weighted else F.col("degree").cast("double")).alias("k"))
-    e = edges.filter("w <> 0").join(k.select(F.col("id").alias("src"), F.col("k").alias("a")), "src").join(k.select(F.col("id").alias("dst"), F.col("k").alias("b")), "dst")
-    m = e.withColumn("_w", F.abs("w") if weighted else F.lit(1.0)).agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("_w") * (F.col("a") + F.col("b")) / 2).alias("s"), F.sum(F.col("_w") * (F.col("a") * F.col("a") + F.col("b") * F.col("b")) / 2).alias("ss"))
-    mean = F.col("s") / F.col("n")
-    spread = F.col("ss") / F.col("n") - mean * mean
-    return m.select(F.when(F.abs(spread) <= 1e-12 * F.col("ss") / F.col("n"), F.lit(1.0)).otherwise(F.abs((F.col("ab") / F.col("n") - mean * mean) / F.when(spread == 0, F.lit(1.0)).otherwise(spread))).alias("assortativity"))
+    names = ("out_strength", "in_strength") if weighted else ("out_degree", "in_degree")
+    k = settled(degrees(edges).select("id", *[F.col(c).cast("double").alias(n) for c, n in zip(names, ("o", "i"), strict=True)]))
+    e = edges.filter("w <> 0").join(k.select(F.col("id").alias("src"), "o", "i"), "src").join(k.select(F.col("id").alias("dst"), F.col("i").alias("into")), "dst")
+    m = e.agg(F.avg(F.col("o") * F.col("into")).alias("both"), F.avg((F.col("o") + F.col("into")) / 2).alias("mean"), F.avg((F.col("o") * F.col("o") + F.col("i") * F.col("i")) / 2).alias("own"))
+    square = F.col("mean") * F.col("mean")
+    spread, joint = F.col("own") - square, F.col("both") - square
+    return m.select(F.when(F.abs(joint - spread) <= 1e-12 * F.col("own"), F.lit(1.0)).otherwise(F.abs(joint / F.when(spread == 0, F.lit(None)).otherwise(spread))).alias("assortativity"))
 
 
 def shortest_paths(edges: DataFrame, most_hops: int | None = None) -> DataFrame:

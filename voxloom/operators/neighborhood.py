@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .blocks import around
+from .blocks import around, block_edge
 
 
 # ---- along one axis ----------------------------------------------------------------
@@ -156,12 +157,20 @@ def dilate(df: DataFrame, axes: list[str], dims: list[int], radius: int, value:
     return around(df, axes, dims, radius, f"{value} {_kind(df, value)}", work, value, keep)
 
 
-def gaussian_smooth_nd(df: DataFrame, axes: list[str], sd: float, value: str = "v", edge: str = "clamp", keep: list[str] | None = None) -> DataFrame:
-    """Separable Gaussian: one windowed pass an axis."""
-    for axis in axes:
-        others = [*(keep or []), *[a for a in axes if a != axis]]
-        df = gaussian_smooth(df, value, [axis], sd, others, edge, "_s").drop(value).withColumnRenamed("_s", value)
-    return df
+def gaussian_smooth_nd(df: DataFrame, axes: list[str], dims: list[int], sd: float | list[float], value: str = "v", edge: str = "clamp", keep: list[str] | None = None, reach: int | None = None) -> DataFrame:
+    """Separable Gaussian, of one width or one for each axis; the radius (reach) is 2 sd rounded, or 3 sd where nothing is outside (edge="zero")."""
+    widths = [float(sd)] * len(axes) if isinstance(sd, int | float) else [float(x) for x in sd]
+    radii = [reach if reach is not None else int(3 * w) if edge == "zero" else int(2 * w + 0.5) for w in widths]
+    weights, most = [gaussian_weights(w, r) for w, r in zip(widths, radii, strict=True)], max(radii)
+
+    def work(see):
+        out = see.padded.astype(float)
+        for axis, (radius, own) in enumerate(zip(radii, weights, strict=True)):
+            n = out.shape[axis] - 2 * most
+            out = sum(w * out.take(np.arange(most - radius + k, most - radius + k + n), axis) for k, w in enumerate(own))
+        return [out]
+
+    return around(df.select(*(keep or []), *axes, F.col(value).cast("double").alias(value)), axes, dims, most, f"{value} double", work, value, keep, edge)
 
 
 # ---- components --------------------------------------------------------------------
@@ -190,17 +199,64 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _block_roots(same: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """The smallest place linked to each of n places: hooking of roots and pointer jumping."""
+    root = np.arange(n)
+    a = np.concatenate([x for x, _ in same])
+    b = np.concatenate([y for _, y in same])
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def relabel_connected(df: DataFrame, axes: list[str], dims: list[int], value: str = "v") -> DataFrame:
-    """Face-connected components of equal value, numbered by their first voxel (column label)."""
-    flat, stride = F.lit(0).cast("long"), 1
-    for axis, n in list(zip(axes, dims, strict=True))[::-1]:
-        flat = flat + F.col(axis).cast("long") * stride
-        stride *= n
-    cells = df.select(*axes, value, flat.alias("id"))
-    ahead = F.array(*[F.struct(F.lit(i).alias("i")) for i in range(len(axes))])
-    moved = cells.select(*[F.col(a).alias(a) for a in axes], F.col(value).alias("_other"), F.col("id").alias("b"), F.explode(ahead).alias("s")).select(*[(F.col(a) - (F.col("s.i") == i).cast("int")).alias(a) for i, a in enumerate(axes)], "_other", "b")
-    edges = cells.join(moved, axes).filter(F.col(value).eqNullSafe(F.col("_other"))).select(F.col("id").alias("a"), "b")
-    return cells.join(connected_components(edges, cells), "id").select(*axes, value, F.col("component").alias("label"))
+    """Face-connected components of equal value among the rows, numbered by their first voxel (column label).
+
+    Each block links its own voxels; only pairs of voxels on both sides of a block's face go on to
+    the rounds, as pairs of the blocks' components, so their rows grow with the faces. A null
+    value counts as 0.
+    """
+    stride = [int(np.prod(dims[k + 1 :], dtype=np.int64)) for k in range(len(dims))]
+    kind = _kind(df, value)
+
+    def work(see, here, first: tuple[int, ...]):
+        core = (0,) * len(axes)
+        v, inside = see(core), here(core) > 0
+        place = np.arange(v.size).reshape(v.shape)
+        flat = sum(np.arange(n).reshape([-1 if k == i else 1 for k in range(v.ndim)]) * s for i, (n, s) in enumerate(zip(v.shape, stride, strict=True))) + sum(f * s for f, s in zip(first, stride, strict=True))
+        flat = np.broadcast_to(flat, v.shape)
+        same, across = [(np.zeros(0, np.int64),) * 2], np.empty(v.shape, object)
+        found: dict[int, list[int]] = {}
+        for i in range(v.ndim):
+            step = tuple(int(k == i) for k in range(v.ndim))
+            linked = inside & (here(step) > 0) & (v == see(step))
+            within = tuple(slice(0, -1) if k == i else slice(None) for k in range(v.ndim))
+            behind = tuple(slice(1, None) if k == i else slice(None) for k in range(v.ndim))
+            same.append((place[within][linked[within]], place[behind][linked[within]]))
+            last = tuple(slice(-1, None) if k == i else slice(None) for k in range(v.ndim))
+            if first[i] + v.shape[i] < dims[i]:  # not the image's end, where the border repeats itself
+                for k in place[last][linked[last]].tolist():
+                    found.setdefault(k, []).append(int(flat.flat[k]) + stride[i])
+        for k, ids in found.items():
+            across.flat[k] = ids
+        roots = flat.ravel()[_block_roots(same, v.size)].reshape(v.shape)
+        return [v, flat, roots, across]
+
+    rows = df.select(*axes, value).withColumn("_here", F.lit(1))
+    cells = settled(around(rows, axes, dims, 1, f"{value} {kind}, _id long, _root long, _across array<long>", work, [value, "_here"]))
+    edge = block_edge(len(axes))
+    on_face = reduce(lambda x, y: x | y, [F.pmod(F.col(a), F.lit(edge)) == 0 for a in axes])
+    faces = cells.filter(on_face).select(F.col("_id").alias("_other"), F.col("_root").alias("b"))
+    links = cells.filter("_across is not null").select(F.col("_root").alias("a"), F.explode("_across").alias("_other"))
+    joined = connected_components(links.join(faces, "_other").select("a", "b").distinct())
+    label = F.coalesce("component", "_root").alias("label")
+    return cells.join(joined.withColumnRenamed("id", "_root"), "_root", "left").select(*axes, value, label)
 
 
 # ---- responses ---------------------------------------------------------------------
@@ -212,26 +268,46 @@ def causal_convolve(ts: Column, kernel: list[float]) -> Column:
     return F.transform(ts, lambda _, i: F.aggregate(F.sequence(F.lit(0), F.least(i, F.lit(len(kernel) - 1))), F.lit(0.0), lambda a, j: a + F.get(ts, i - j) * F.get(taps, j)))
 
 
+#: Constants of the balloon model: time constants of signal, feedback and transit, stiffness, resting
+#: extraction, gain of the input, scale of the output. Flow and volume are kept above TINY, where their powers end.
+TAU_S, TAU_F, TAU_0, ALPHA, E_0, GAIN, SCALE, TINY = 1.54, 2.46, 0.98, 0.33, 0.34, 0.7, 0.33, 1e-9
+
+
 def balloon_response(ts: Column, dt: float, learn: float = 0.0) -> Column:
     """Haemodynamic response of a packed input: Euler steps of the balloon model, one fold.
 
-    State: signal s, inflow f, volume v, deoxygenation q; learn is the rate at which the
-    input adapts to its running mean.
+    State: signal s, inflow f, volume v, deoxygenation q, and the running mean of the input, in which
+    the present input weighs ``learn``. An input below its running mean counts as none, so with
+    learn = 1 there is no habituation, nor with 0 for inputs that aren't negative.
     """
-    tau_s, tau_f, tau_0, alpha, e0, v0 = 1.54, 2.46, 0.98, 0.33, 0.34, 0.02
-    k1, k2, k3 = 7 * e0, 2.0, 2 * e0 - 0.2
     one = F.lit(1.0)
     start = F.struct(F.lit(0.0).alias("s"), one.alias("f"), one.alias("v"), one.alias("q"), F.lit(0.0).alias("mean"), F.array().cast("array<double>").alias("out"))
 
     def step(a: Column, u: Column) -> Column:
-        drive = u - a["mean"]
-        f = F.greatest(a["f"], F.lit(0.01))
-        out_flow = F.pow(F.greatest(a["v"], F.lit(0.01)), F.lit(1 / alpha))
-        extraction = (1 - F.pow(F.lit(1 - e0), 1 / f)) / e0
-        s = a["s"] + dt * (drive - a["s"] / tau_s - (a["f"] - 1) / tau_f)
-        v = a["v"] + dt * (f - out_flow) / tau_0
-        q = a["q"] + dt * (f * extraction - out_flow * a["q"] / F.greatest(a["v"], F.lit(0.01))) / tau_0
-        y = v0 * (k1 * (1 - q) + k2 * (1 - q / F.greatest(v, F.lit(0.01))) + k3 * (1 - v))
-        return F.struct(s.alias("s"), (a["f"] + dt * a["s"]).alias("f"), v.alias("v"), q.alias("q"), (a["mean"] + learn * (u - a["mean"])).alias("mean"), F.concat(a["out"], F.array(y)).alias("out"))
+        mean = learn * u + (1 - learn) * a["mean"]
+        drive = GAIN * F.when(u < mean, F.lit(0.0)).otherwise(u)
+        f, v = F.greatest(a["f"], F.lit(TINY)), F.greatest(a["v"], F.lit(TINY))
+        out_flow = F.pow(v, F.lit(1 / ALPHA))
+        taken = f / E_0 * (1 - F.pow(F.lit(1 - E_0), 1 / f))
+        new_v, new_q = a["v"] + dt * (f - out_flow) / TAU_0, a["q"] + dt * (taken - a["q"] * out_flow / v) / TAU_0
+        s = a["s"] + dt * (drive - a["s"] / TAU_S - (a["f"] - 1) / TAU_F)
+        y = SCALE * (7 * E_0 * (1 - new_q) + 2 * (1 - new_q / new_v) + (2 * E_0 - 0.2) * (1 - new_v))
+        return F.struct(s.alias("s"), (a["f"] + dt * a["s"]).alias("f"), new_v.alias("v"), new_q.alias("q"), mean.alias("mean"), F.concat(a["out"], F.array(y)).alias("out"))
 
     return F.aggregate(ts, start, step, lambda a: a["out"])
+
+
+def balloon_steps(u: np.ndarray, dt: float, learn: float = 0.0, state: tuple = (0.0, 1.0, 1.0, 1.0, 0.0)) -> tuple[np.ndarray, tuple]:
+    """balloon_response of an array from a state (s, f, v, q, mean), and the state behind it."""
+    s, f, v, q, mean = state
+    out = np.empty(len(u))
+    for i, x in enumerate(np.asarray(u, float).tolist()):
+        mean = learn * x + (1 - learn) * mean
+        drive = GAIN * (0.0 if x < mean else x)
+        held, volume = max(f, TINY), max(v, TINY)
+        flow = volume ** (1 / ALPHA)
+        ds = drive - s / TAU_S - (f - 1) / TAU_F
+        dq = (held / E_0 * (1 - (1 - E_0) ** (1 / held)) - q * flow / volume) / TAU_0
+        v, q, f, s = v + dt * (held - flow) / TAU_0, q + dt * dq, f + dt * s, s + dt * ds
+        out[i] = SCALE * (7 * E_0 * (1 - q) + 2 * (1 - q / v) + (2 * E_0 - 0.2) * (1 - v))
+    return out, (s, f, v, q, mean)

@@ -1,8 +1,9 @@
 """Distance, nearest and interval joins, interpolation and resampling.
 
-Point joins use a grid: cells as wide as the radius on the leading coordinates, an
-equi-join on cells, then the exact distance. Points are exploded to the neighbouring cells
-on one side only. Where a cell is hot, AQE splits the join's partitions.
+Point joins in up to three dimensions use a grid: cells as wide as the radius, an equi-join on
+cells, then the exact distance. Points are exploded to the neighbouring cells on one side only.
+Where a cell is hot, AQE splits the join's partitions. In more dimensions, and for the nearest
+point, a partitioned tree is searched (``operators/tree.py``).
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tree
 from .blocks import sample
 
-#: Coordinates used for cells; more of them only multiply the neighbouring cells.
+#: Coordinates that are cut into cells at most: more of them multiply the neighbouring cells.
 CELL_AXES = 3
 
 
@@ -29,110 +31,25 @@ def _cells(p: Column, width: float, axes: int) -> list[Column]:
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float, dims: int, left_p: str = "p", right_p: str = "p", left_id: str = "id", right_id: str = "id") -> DataFrame:
-    """(left_id, right_id, dist2) of all pairs with squared distance below radius squared."""
-    axes = min(dims, CELL_AXES)
-    a = left.select(F.col(left_id).alias("left_id"), F.col(left_p).alias("lp"), *[c.alias(f"c{k}") for k, c in enumerate(_cells(F.col(left_p), radius, axes))])
-    b = right.select(F.col(right_id).alias("right_id"), F.col(right_p).alias("rp"), *[c.alias(f"c{k}") for k, c in enumerate(_cells(F.col(right_p), radius, axes))])
-    for k in range(axes):
+    """(left_id, right_id, dist2) of all pairs with squared distance below radius squared: cells up to CELL_AXES coordinates, a tree beyond."""
+    if dims > CELL_AXES:
+        return tree.within(tree.build(right, right_id, right_p), left, radius, left_id, left_p)
+    a = left.select(F.col(left_id).alias("left_id"), F.col(left_p).alias("lp"), *[c.alias(f"c{k}") for k, c in enumerate(_cells(F.col(left_p), radius, dims))])
+    b = right.select(F.col(right_id).alias("right_id"), F.col(right_p).alias("rp"), *[c.alias(f"c{k}") for k, c in enumerate(_cells(F.col(right_p), radius, dims))])
+    for k in range(dims):
         b = b.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    met = a.join(b, [f"c{k}" for k in range(axes)])
+    met = a.join(b, [f"c{k}" for k in range(dims)])
     return met.select("left_id", "right_id", squared_distance(F.col("lp"), F.col("rp")).alias("dist2")).filter(F.col("dist2") < radius * radius)
 
 
-def nearest(queries: DataFrame, points: DataFrame, dims: int, start: float, limit: float, q_id: str = "id", p_id: str = "id", p: str = "p") -> DataFrame:
-    """(id, nearest_id, dist2): the nearest point of each query within ``limit``, smallest id of several.
+def nearest(queries: DataFrame, points: DataFrame, limit: float | None = None, q_id: str = "id", p_id: str = "id", p: str = "p", others_only: bool = False, leaf_points: int = tree.LEAF_POINTS) -> DataFrame:
+    """(id, nearest_id, dist2): the nearest point of each query (within ``limit``), smallest id of several."""
+    return tree.nearest(tree.build(points, p_id, p, leaf_points), queries, q_id, p, others_only, limit=limit).select("id", "nearest_id", "dist2")
 
-    The radius doubles for the queries that have found nothing yet, so near ones cost one
-    small join and only far ones go on.
-    """
-    from ..session import settled
-
-    left, radius, found = queries, start, []
-    while True:
-        pairs = within_distance(left, points, radius, dims, p, p, q_id, p_id)
-        best = settled(pairs.groupBy("left_id").agg(F.min_by(F.struct("right_id", "dist2"), F.struct("dist2", "right_id")).alias("m")).select(F.col("left_id").alias("id"), F.col("m.right_id").alias("nearest_id"), F.col("m.dist2").alias("dist2")))
-        found.append(best)
-        left = settled(left.join(best.select(F.col("id").alias(q_id)), q_id, "left_anti"))
-        if radius >= limit or left.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        radius = min(radius * 2, limit)
-
-
-def nearest_blocked(queries: DataFrame, points: DataFrame, q_id: str = "id", p_id: str = "id", p: str = "p", rows: int = 2048) -> DataFrame:
-    """Exact nearest other point in high dimension, where cells prune nothing.
-
-    Points are packed into blocks of rows; a query meets a block (not a point) at a time and
-    keeps its best, by matrix products in Arrow batches. Blocks hold about ``rows`` points, so a
-    task holds two blocks of bounded size whatever the number of points; without an index
-    in this dimension every pair of blocks is a task.
-    """
-    import pandas as pd
-
-    blocks = max(1, -(-max(queries.count(), points.count()) // rows))
-    own = queries.select(F.col(q_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = points.select(F.col(p_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.array(*[F.lit(k) for k in range(blocks)])
-    left = own.withColumn("pb", F.explode(every)).select("qb", "pb", "id", "p")
-    right = other.withColumn("qb", F.explode(every)).select("qb", "pb", "id", "p")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "nearest_id": [], "dist2": []})
-        b = b.sort_values("id", kind="stable")
-        x, y = np.stack(a["p"].to_numpy()), np.stack(b["p"].to_numpy())
-        ids = b["id"].to_numpy()
-        out = []
-        for lo in range(0, len(x), 512):
-            part = x[lo : lo + 512]
-            d = (part**2).sum(1)[:, None] - 2 * part @ y.T + (y**2).sum(1)
-            d[a["id"].to_numpy()[lo : lo + 512, None] == ids] = np.inf
-            k = d.argmin(1)
-            exact = ((part - y[k]) ** 2).sum(1)
-            exact[np.isinf(d[np.arange(len(k)), k])] = np.inf
-            out.append(pd.DataFrame({"id": a["id"].to_numpy()[lo : lo + 512], "nearest_id": ids[k], "dist2": exact}))
-        out = pd.concat(out)
-        return out[np.isfinite(out["dist2"])]
-
-    pairs = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(meet, "id long, nearest_id long, dist2 double")
-    return pairs.groupBy("id").agg(F.min_by(F.struct("nearest_id", "dist2"), F.struct("dist2", "nearest_id")).alias("m")).select("id", F.col("m.nearest_id").alias("nearest_id"), F.col("m.dist2").alias("dist2"))
-
-
-def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str = "p", rows: int = 2048) -> DataFrame:
-    """(left_id, right_id, dist2) of all pairs left_id < right_id below the radius in high dimension, over all coordinates.
-
-    Blocks of about ``rows`` points meet each other once, by matrix products in Arrow batches;
-    pairs that these put near the radius or below are measured exactly.
-    """
-    import pandas as pd
-
-    blocks = max(1, -(-points.count() // rows))
-
-    def side(block: str) -> DataFrame:  # each with columns of its own: a cogroup doesn't tell shared ones apart
-        return points.select(F.col(p_id).cast("long").alias("id"), F.col(p).cast("array<double>").alias("p")).withColumn(block, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-
-    left = side("qb").withColumn("pb", F.explode(F.sequence("qb", F.lit(blocks - 1)))).select("qb", "pb", "id", "p")
-    right = side("pb").withColumn("qb", F.explode(F.sequence(F.lit(0), "pb"))).select("qb", "pb", "id", "p")
-
-    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"left_id": np.zeros(0, np.int64), "right_id": np.zeros(0, np.int64), "dist2": np.zeros(0)})]
-        if len(a) and len(b):
-            x, y = np.stack(a["p"].to_numpy()), np.stack(b["p"].to_numpy())
-            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-            size = (y**2).sum(1)
-            for lo in range(0, len(x), 64):
-                part = x[lo : lo + 64]
-                own_size = (part**2).sum(1)[:, None]
-                near = own_size - 2 * part @ y.T + size < radius * radius + 1e-9 * (own_size + size)
-                if key[0] == key[1]:
-                    near &= ids[lo : lo + 64, None] < others
-                i, j = np.nonzero(near)
-                exact = ((part[i] - y[j]) ** 2).sum(1)
-                keep = (exact < radius * radius) & (ids[lo + i] != others[j])
-                i, j = ids[lo + i[keep]], others[j[keep]]
-                out.append(pd.DataFrame({"left_id": np.minimum(i, j), "right_id": np.maximum(i, j), "dist2": exact[keep]}))
-        return pd.concat(out)
-
-    return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(meet, "left_id long, right_id long, dist2 double")
+
+def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str = "p", rows: int = tree.LEAF_POINTS) -> DataFrame:
+    """(left_id, right_id, dist2) of all pairs left_id < right_id below the radius, over all coordinates; leaves of some ``rows`` points."""
+    return tree.within(tree.build(points, p_id, p, rows), points, radius, p_id, p, upwards=True)
 
 
 def paint_events(times: DataFrame, events: DataFrame, time: str = "t", onset: str = "onset", duration: str = "duration", value: str = "value", order: str = "row", bucket: float = 60.0) -> DataFrame:

@@ -201,32 +201,31 @@ def zoom(ts: Column, a: float, radius: int = 4) -> Column:
 
 
 def chirp_z_direct(x: np.ndarray, alpha: float) -> np.ndarray:
-    """sum over n of x[n] exp(-2 pi i alpha n k / N), indices centred; O(N²)."""
+    """sum over j of x[j] exp(-2 pi i alpha j (k - N/2) / N), j from 0; O(N²)."""
     n = len(x)
-    k = np.arange(n) - (n - 1) / 2
-    return np.exp(-2j * np.pi * alpha * np.outer(k, k) / n) @ x
+    return np.exp(-2j * np.pi * alpha * np.outer(np.arange(n) - n / 2, np.arange(n)) / n) @ x
 
 
-def _chirp_sum(x: np.ndarray, k: np.ndarray, rate: float) -> np.ndarray:
-    """sum over l of x[l] exp(-2 pi i rate k[m] k[l]) for evenly spaced k, O(N log N).
+def _chirp_sum(x: np.ndarray, k: np.ndarray, rate: float, out: np.ndarray | None = None) -> np.ndarray:
+    """sum over l of x[l] exp(-2 pi i rate out[m] k[l]) for evenly spaced k, and out with the same step (k itself by default), O(N log N).
 
     Twice a product is two squares less the square of the difference: a chirp before, a
     convolution with a chirp by FFT, a chirp after.
     """
-    n = len(x)
+    n, out = len(x), k if out is None else out
     if n < 2:
-        return x * np.exp(-2j * np.pi * rate * k * k)
-    chirp = np.exp(-1j * np.pi * rate * k * k)
-    apart = np.arange(1 - n, n) * (k[1] - k[0])
+        return x * np.exp(-2j * np.pi * rate * k * out)
+    before, after = np.exp(-1j * np.pi * rate * k * k), np.exp(-1j * np.pi * rate * out * out)
+    apart = np.arange(1 - n, n) * (k[1] - k[0]) + (out[0] - k[0])
     size = power_of_two(3 * n)
-    conv = np.fft.ifft(np.fft.fft(x * chirp, size) * np.fft.fft(np.exp(1j * np.pi * rate * apart * apart), size))
-    return chirp * conv[n - 1 : 2 * n - 1]
+    conv = np.fft.ifft(np.fft.fft(x * before, size) * np.fft.fft(np.exp(1j * np.pi * rate * apart * apart), size))
+    return after * conv[n - 1 : 2 * n - 1]
 
 
 def chirp_z(x: np.ndarray, alpha: float) -> np.ndarray:
     """chirp_z_direct in O(N log N)."""
     n = len(x)
-    return _chirp_sum(np.asarray(x), np.arange(n) - (n - 1) / 2, alpha / n)
+    return _chirp_sum(np.asarray(x), np.arange(n, dtype=float), alpha / n, np.arange(n) - n / 2) if n else np.zeros(0, complex)
 
 
 def _read_lanczos(y: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
@@ -300,14 +299,38 @@ def fractional_fourier(x: np.ndarray, a: float) -> np.ndarray:
     return scale * bend * _chirp_sum(bend * x, k, csc) / math.sqrt(n)
 
 
-def pseudo_polar(image: np.ndarray, axis: int = 0) -> np.ndarray:
-    """Spectrum on pseudo-polar lines: doubled zero padding, transform, chirp of falling slope along the others."""
-    padded = np.pad(image, [(0, s) for s in image.shape])
-    spectrum = np.fft.fftshift(np.fft.fft(padded, axis=axis), axes=axis)
-    n = spectrum.shape[axis]
-    out = np.moveaxis(spectrum, axis, 0).copy()
-    for k in range(n):
-        slope = (k - n / 2) / (n / 2)
-        for other in range(out.ndim - 1):
-            out[k] = np.apply_along_axis(chirp_z, other, out[k], slope)
-    return np.moveaxis(out, 0, axis)
+def pseudo_polar(voxels: DataFrame, axes: list[str], dims: list[int], radial: str, keep: list[str] | None = None) -> DataFrame:
+    """Spectrum (keep, axes, re, im) on pseudo-polar lines: one doubled, zero-padded transform along the radial axis, then
+    along each other axis, doubled too, a chirp-z transform whose rate is the line's slope, from -1 at the first
+    radial place to 1 at the last.
+
+    The lines of an axis are packed by one shuffle and transformed where they are.
+    """
+    size = {a: 2 * n for a, n in zip(axes, dims, strict=True)}
+    others = lambda axis: [*(keep or []), *[a for a in axes if a != axis]]
+    out = fft_axis(voxels.select(*(keep or []), *axes, F.col("v").alias("re")), radial, others(radial), size=size[radial])
+    n = size[radial]
+    shifted = F.pmod(F.col(radial) + n // 2, F.lit(n)).cast("int")  # the middle frequency stands in the middle
+    out = out.withColumn(radial, shifted)
+    for axis in axes:
+        if axis != radial:
+            out = _chirp_axis(out, axis, others(axis), radial, n, size[axis])
+    return out
+
+
+def _chirp_axis(voxels: DataFrame, axis: str, others: list[str], radial: str, n: int, size: int) -> DataFrame:
+    """The chirp-z transform of each line along the axis, padded to size, with the slope of its radial place."""
+    kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for re, im, k in zip(batch["re"], batch["im"], batch[radial], strict=True):
+                line = np.zeros(size, complex)
+                line[: len(re)] = np.asarray(re) + 1j * np.asarray(im)
+                found.append(chirp_z(line, 2 * k / (n - 1) - 1))
+            yield batch[others].assign(re=[z.real for z in found], im=[z.imag for z in found])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), "re array<double>", "im array<double>"])
+    out = _lines(voxels, axis, others, ["re", "im"]).mapInPandas(run, schema).select(*others, F.posexplode(F.arrays_zip("re", "im")).alias(axis, "_c"))
+    return out.select(*others, axis, "_c.re", "_c.im")

@@ -100,6 +100,32 @@ def dilate_block(spark, sf):
     return told(N.dilate(_labels(spark, sf), AXES, list(dims(spark, sf)), 1, block=True), "v")
 
 
+_BALL = "SELECT ra.i AS a, rb.i AS b, rc.i AS c, (ra.i + 2) * 25 + (rb.i + 2) * 5 + rc.i + 2 AS k FROM range(-2, 3) ra(i), range(-2, 3) rb(i), range(-2, 3) rc(i) WHERE ra.i * ra.i + rb.i * rb.i + rc.i * rc.i < 9"
+
+
+@query(f"WITH {_IMG}, {_MASK}, {_seen(_BALL, 'msk')} SELECT x, y, z, CAST(CASE WHEN min(CASE WHEN v <> 0 THEN 1 ELSE 0 END) = 1 THEN max(v) FILTER (k = 62) ELSE 0 END AS DOUBLE) AS v FROM seen GROUP BY x, y, z")
+def erode_ball_3(spark, sf):
+    """A radius whose ball is no cube: 81 of 125 voxels."""
+    return told(N.erode(_labels(spark, sf, -0.2), AXES, list(dims(spark, sf)), 3), "v")
+
+
+@query(f"WITH {_IMG}, {_LABEL}, {_seen(_BALL, 'lab')} SELECT x, y, z, CAST(coalesce(arg_min(v, k) FILTER (v <> 0), 0) AS DOUBLE) AS v FROM seen GROUP BY x, y, z")
+def dilate_ball_3(spark, sf):
+    return told(N.dilate(_labels(spark, sf), AXES, list(dims(spark, sf)), 3), "v")
+
+
+@query(f"""WITH RECURSIVE {_IMG}, lab AS (SELECT x, y, z, x * 64 + y * 8 + z AS id, CASE WHEN v > 0.03 THEN 1 ELSE 0 END AS v FROM img),
+e AS (SELECT a.id AS a, b.id AS b FROM lab a JOIN lab b ON a.v = b.v AND ((b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1))),
+w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+-- only voxels without a smaller neighbour can be the first of a component
+r AS (SELECT a AS id, a AS c FROM w GROUP BY a HAVING min(b) > a UNION SELECT w.b, r.c FROM r JOIN w ON w.a = r.id WHERE w.b > r.c),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT x, y, z, CAST(v AS DOUBLE) AS v, CAST(coalesce(m.c, lab.id) AS DOUBLE) AS label FROM lab LEFT JOIN m USING (id)""")
+def relabel_connected(spark, sf):
+    rows = image(spark, sf, F.when(F.col("v") > 0.03, 1).otherwise(0))
+    return told(N.relabel_connected(rows, AXES, list(dims(spark, sf))), "v", "label")
+
+
 def _gauss_sql(sd: float, radius: int, name: str) -> str:
     """One axis after the other, the border repeated."""
     w = ", ".join(f"({k}, {x!r})" for k, x in zip(range(-radius, radius + 1), N.gaussian_weights(sd, radius), strict=True))
@@ -113,7 +139,7 @@ def _gauss_sql(sd: float, radius: int, name: str) -> str:
 
 @query(f"WITH {_IMG}, {_gauss_sql(1.0, 2, 'g')} SELECT x, y, z, round(v, 6) + 0.0 AS v FROM g_z")
 def gaussian_smooth_nd(spark, sf):
-    return told(N.gaussian_smooth_nd(image(spark, sf), AXES, 1.0), "v")
+    return told(N.gaussian_smooth_nd(image(spark, sf), AXES, list(dims(spark, sf)), 1.0), "v")
 
 
 _WIDTHS = (2.4, 3.6)
@@ -136,13 +162,12 @@ def causal_convolve(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {_IMG}, u AS (SELECT x, y * 8 + z AS t, abs(v) AS u FROM img),
-r AS (SELECT x, CAST(-1 AS BIGINT) AS t, 0.0::DOUBLE AS s, 1.0::DOUBLE AS f, 1.0::DOUBLE AS v, 1.0::DOUBLE AS q, 0.0::DOUBLE AS m, 0.0::DOUBLE AS o FROM (SELECT DISTINCT x FROM img)
-UNION ALL SELECT x, t, s2, f2, v2, q2, m2, 0.02 * (7 * 0.34 * (1 - q2) + 2.0 * (1 - q2 / greatest(v2, 0.01)) + (2 * 0.34 - 0.2) * (1 - v2)) FROM (
-SELECT r.x, r.t + 1 AS t, s + 0.1 * ((u - m) - s / 1.54 - (f - 1) / 2.46) AS s2, f + 0.1 * s AS f2,
-v + 0.1 * (greatest(f, 0.01) - pow(greatest(v, 0.01), 1 / 0.33)) / 0.98 AS v2,
-q + 0.1 * (greatest(f, 0.01) * (1 - pow(1 - 0.34, 1 / greatest(f, 0.01))) / 0.34 - pow(greatest(v, 0.01), 1 / 0.33) * q / greatest(v, 0.01)) / 0.98 AS q2,
-m + 0.05 * (u - m) AS m2 FROM r JOIN u ON u.x = r.x AND u.t = r.t + 1))
-SELECT x, t, round(o, 8) + 0.0 AS v FROM r WHERE t >= 0""")
+r AS (SELECT x, CAST(-1 AS BIGINT) AS t, 0.0::DOUBLE AS st, 1.0::DOUBLE AS ft, 1.0::DOUBLE AS vt, 1.0::DOUBLE AS qt, 0.0::DOUBLE AS ma, 0.0::DOUBLE AS y FROM (SELECT DISTINCT x FROM img)
+UNION ALL SELECT x, t, st, ft, vt, qt, ma, 0.33 * (7 * 0.34 * (1 - qt) + 2 * (1 - qt / vt) + (2 * 0.34 - 0.2) * (1 - vt)) FROM (
+SELECT r.x, r.t + 1 AS t, 0.05 * u + (1 - 0.05) * ma AS ma,
+st + 0.1 * (0.7 * (CASE WHEN u < 0.05 * u + (1 - 0.05) * ma THEN 0 ELSE u END) - st / 1.54 - (ft - 1) / 2.46) AS st, ft + 0.1 * st AS ft,
+vt + 0.1 * ((ft - pow(vt, 1 / 0.33)) / 0.98) AS vt, qt + 0.1 * ((ft / 0.34) * (1 - pow(1 - 0.34, 1 / ft)) - qt / pow(vt, 1 - 1 / 0.33)) / 0.98 AS qt FROM r JOIN u ON u.x = r.x AND u.t = r.t + 1))
+SELECT x, t, round(y, 8) + 0.0 AS v FROM r WHERE t >= 0""")
 def balloon_response(spark, sf):
     ts = F.transform("ts", lambda v: F.abs(v))
     out = packed(spark, sf).select("x", F.posexplode(N.balloon_response(ts, 0.1, 0.05)).alias("t", "v"))
@@ -286,6 +311,60 @@ def apply_deformation(spark, sf):
     return told(M.apply_deformation(image(spark, sf), _field(spark, sf), dims(spark, sf), "linear"), "v")
 
 
+#: A motion: three angles and three shifts; its cost and the six slopes of the cost.
+_STEP = np.array([0.01, -0.02, 0.015, 0.3, -0.4, 0.25])
+_MOVING = "0.8 * v + 0.05 * ((x + 2 * y + 3 * z) % 5)"
+
+
+def _motion_sql() -> str:
+    from math import cos, sin
+
+    turn = {
+        "x": lambda t: np.array([[1, 0, 0], [0, cos(t), -sin(t)], [0, sin(t), cos(t)]]), "y": lambda t: np.array([[cos(t), 0, sin(t)], [0, 1, 0], [-sin(t), 0, cos(t)]]),
+        "z": lambda t: np.array([[cos(t), -sin(t), 0], [sin(t), cos(t), 0], [0, 0, 1]]),
+    }
+    slope = {"x": lambda t: np.array([[0, 0, 0], [0, -sin(t), -cos(t)], [0, cos(t), -sin(t)]]), "y": lambda t: np.array([[-sin(t), 0, cos(t)], [0, 0, 0], [-cos(t), 0, -sin(t)]]), "z": lambda t: np.array([[-sin(t), -cos(t), 0], [cos(t), -sin(t), 0], [0, 0, 0]])}
+    angle = dict(zip("xyz", _STEP[:3].tolist(), strict=True))
+
+    def product(by: str | None) -> np.ndarray:
+        m = np.eye(3)
+        for axis in "xyz":
+            m = m @ (slope if axis == by else turn)[axis](angle[axis])
+        return m
+
+    def row(m: np.ndarray, r: int) -> str:
+        return " + ".join(f"({float(m[r, k])!r}) * d{a}" for k, a in enumerate("xyz"))
+
+    m = product(None)
+    half = {"x": "n.m / 2e0", "y": "3.5", "z": "3.5"}
+    place = ", ".join(f"{row(m, r)} + {half[a]} + ({float(_STEP[3 + r])!r}) AS p{a}" for r, a in enumerate("xyz"))
+    weight = {a: f"(CASE {c} WHEN 1 THEN p{a} - floor(p{a}) ELSE 1 - (p{a} - floor(p{a})) END)" for a, c in zip("xyz", "ijk", strict=True)}
+    look = " * ".join(weight.values())
+    rise = {a: " * ".join([f"(2 * {c} - 1)", *[w for b, w in weight.items() if b != a]]) for a, c in zip("xyz", "ijk", strict=True)}
+    turned = [" + ".join(f"g{'xyz'[r]} * ({row(product(by), r)})" for r in range(3)) for by in "xyz"]
+    qs = [f"({t})" for t in turned] + [f"g{a}" for a in "xyz"]
+    each = ", ".join(f"avg(q{k}) AS m{k}, avg(a * q{k}) AS a{k}, avg(b * q{k}) AS b{k}" for k in range(6))
+    grad = ", ".join(f"-sign(r) * (((a{k} - ma * m{k}) / sqrt(vaa * vbb)) - r * (b{k} - mb * m{k}) / vbb) AS s{k}" for k in range(6))
+    return f"""WITH {_IMG}, mov AS (SELECT x, y, z, {_MOVING} AS v FROM img),
+c AS (SELECT x, y, z, v AS a, x - n.m / 2e0 AS dx, y - 3.5 AS dy, z - 3.5 AS dz FROM img, n), p AS (SELECT c.*, {place} FROM c, n),
+l AS (SELECT p.x, p.y, p.z, any_value(a) AS a, any_value(dx) AS dx, any_value(dy) AS dy, any_value(dz) AS dz, coalesce(sum(mov.v * {look}), 0) AS b, {", ".join(f"coalesce(sum(mov.v * {w}), 0) AS g{a}" for a, w in rise.items())}
+FROM p CROSS JOIN range(2) ri(i) CROSS JOIN range(2) rj(j) CROSS JOIN range(2) rk(k) LEFT JOIN mov ON mov.x = floor(px) + i AND mov.y = floor(py) + j AND mov.z = floor(pz) + k GROUP BY p.x, p.y, p.z),
+q AS (SELECT a, b, {", ".join(f"{e} AS q{k}" for k, e in enumerate(qs))} FROM l),
+s AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, corr(a, b) AS r, {each} FROM q),
+t AS (SELECT -abs(r) AS cost, {grad} FROM s) SELECT round(cost, 6) + 0.0 AS cost, {", ".join(f"round(s{k}, 6) + 0.0 AS s{k}" for k in range(6))} FROM t"""
+
+
+@query(_motion_sql())
+def rigid_cost_slopes(spark, sf):
+    fixed = image(spark, sf)
+    moving = fixed.withColumn("v", F.expr(_MOVING))
+    size = dims(spark, sf)
+    cost, slope = M.rigid_cost_over(M.correlation_metric, fixed, moving, size, (np.array(size) - 1) / 2, _STEP)
+    names = ["cost", *[f"s{k}" for k in range(6)]]
+    row = spark.createDataFrame([(float(cost), *map(float, slope))], ", ".join(f"{n} double" for n in names))  # the result itself: seven numbers
+    return row.select(*[rounded(n).alias(n) for n in names])
+
+
 def _slope_sql(value: str, axis: str) -> str:
     others = ", ".join(a for a in AXES if a != axis)
     w = f"OVER (PARTITION BY {others} ORDER BY {axis})"
@@ -297,7 +376,7 @@ _J = "j AS (SELECT x, y, z, " + ", ".join(f"{_slope_sql('d' + r, c)} + {int(r ==
 
 @query(f"WITH {_IMG}, {_FIELD_SQL}, {_J} SELECT x, y, z, round(mxx * (myy * mzz - myz * mzy) - mxy * (myx * mzz - myz * mzx) + mxz * (myx * mzy - myy * mzx), 6) + 0.0 AS det FROM j")
 def jacobian(spark, sf):
-    return told(M.jacobian(_field(spark, sf)), "det")
+    return told(M.jacobian(_field(spark, sf), dims(spark, sf)), "det")
 
 
 @query(f"WITH {_IMG}, {_FIELD_SQL} SELECT x, y, z, " + ", ".join(f"round({a} + d{a} - 1 - {a}, 6) + 0.0 AS d{a}" for a in AXES) + " FROM f")
@@ -405,12 +484,21 @@ def shear_kernel(spark, sf):
     return told(P.shear(image(spark, sf), "z", {"y": 0.15}, {"y": 3.5}, ["x", "y"]), "v")
 
 
-@query(f"""WITH {_IMG}, s AS (SELECT x, y * 8 + z AS t, v FROM img) SELECT x, k.i AS t, round(sum(v * cos(2 * pi() * 0.7 * (t - 31.5) * (k.i - 31.5) / 64)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * 0.7 * (t - 31.5) * (k.i - 31.5) / 64)), 6) + 0.0 AS im
+@query(f"""WITH {_IMG}, s AS (SELECT x, y * 8 + z AS t, v FROM img) SELECT x, k.i AS t, round(sum(v * cos(2 * pi() * 0.7 * t * (k.i - 32e0) / 64)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * 0.7 * t * (k.i - 32e0) / 64)), 6) + 0.0 AS im
 FROM s CROSS JOIN range(64) k(i) GROUP BY x, k.i""")
 def chirp_z_rows(spark, sf):
     return _complex(P.chirp_z_rows(packed(spark, sf), 0.7))
 
 
+#: Each plane of the image (one x) is a 2-d image of 8 x 8: z is the radial axis, with 16 places; y is chirped, to 16 places.
+@query(f"""WITH {_IMG}, r AS (SELECT x, y, k.i AS z, sum(v * cos(2 * pi() * img.z * (k.i - 8e0) / 16)) AS re, -sum(v * sin(2 * pi() * img.z * (k.i - 8e0) / 16)) AS im FROM img CROSS JOIN range(16) k(i) GROUP BY x, y, k.i),
+c AS (SELECT x, m.i AS y, z, re, im, 2 * pi() * (2e0 * z / 15 - 1) * y * (m.i - 8e0) / 16 AS a FROM r CROSS JOIN range(16) m(i))
+SELECT x, y, z, round(sum(re * cos(a) + im * sin(a)), 6) + 0.0 AS re, round(sum(im * cos(a) - re * sin(a)), 6) + 0.0 AS im FROM c GROUP BY x, y, z""")
+def pseudo_polar(spark, sf):
+    out = P.pseudo_polar(image(spark, sf), ["y", "z"], [8, 8], "z", keep=["x"])
+    return told(out, "re", "im")
+
+
 #: Order 0.75 of the fractional transform: its phase is 3 pi / 8, the scale's phase pi / 16.
 _TURN = "pi() * ((k * k + l * l) / tan(3 * pi() / 8) - 2 * k * l / sin(3 * pi() / 8)) + pi() * (3e0 / 16 - 1e0 / 4)"
 
@@ -506,5 +594,9 @@ def _odd_smooth_sql() -> str:
 @query(_odd_smooth_sql())
 def next_odd_smooth(spark, sf):
     sizes = table(spark, sf, "part").select(F.col("p_size").cast("int").alias("n")).distinct()
-    plan = spark.createDataFrame([(n, K.next_odd_smooth(n)) for n in range(1, 51)], "n int, size int")
-    return sizes.join(F.broadcast(plan), "n")
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(size=[K.next_odd_smooth(int(n)) for n in b["n"]])
+
+    return sizes.mapInPandas(run, "n int, size int")

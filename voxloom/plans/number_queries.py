@@ -42,10 +42,11 @@ def _low(f: str, c: float) -> str:
 @query(f"""WITH a AS (SELECT p_partkey, p_size / 10e0 AS f FROM part) SELECT p_partkey, round(1 - {_low('f', 1.5)}, 9) + 0.0 AS high, round({_low('f', 3.0)} - {_low('f', 0.7)}, 9) + 0.0 AS band, round({_low('f', 0.7)} + 1 - {_low('f', 3.0)}, 9) + 0.0 AS stop,
 round(exp(1.5 * ln(f) - f / 0.7 - lgamma(2.5) - 2.5 * ln(0.7)), 9) AS gamma,
 round(exp((2.25 - 1) * ln(f) - f / (0.64 / 1.2) - lgamma(2.25) - 2.25 * ln(0.64 / 1.2)), 9) AS gamma_ms,
-round(exp(5 * ln(f) - f - lgamma(6)) - exp(15 * ln(f) - f - lgamma(16)) / 6, 9) + 0.0 AS hrf FROM a""")
+round(exp(5 * ln(f) - f - lgamma(6)) - exp(15 * ln(f) - f - lgamma(16)) / 6, 9) + 0.0 AS hrf,
+CASE WHEN f <= 4 THEN CASE WHEN f < 0.5 THEN 0 ELSE round(CASE WHEN f > 0.5 THEN exp((6 / 0.8 - 1) * ln(f - 0.5) - (f - 0.5) * 0.8 - lgamma(6 / 0.8) + 6 / 0.8 * ln(0.8)) - exp((16 / 1.3 - 1) * ln(f - 0.5) - (f - 0.5) * 1.3 - lgamma(16 / 1.3) + 16 / 1.3 * ln(1.3)) / 4 ELSE 0 END, 9) END ELSE 0 END + 0.0 AS hrf_spread FROM a""")
 def response_kernels(spark, sf):
     f = F.col("p_size") / F.lit(10.0)
-    named = {"high": K.high_pass(f, 1.5), "band": K.band_pass(f, 3.0, 0.7), "stop": K.band_stop(f, 0.7, 3.0), "gamma": K.gamma_pdf(f, 2.5, 0.7), "gamma_ms": K.gamma_pdf_ms(1.2, 0.8, f), "hrf": K.canonical_hrf(f)}
+    named = {"high": K.high_pass(f, 1.5), "band": K.band_pass(f, 3.0, 0.7), "stop": K.band_stop(f, 0.7, 3.0), "gamma": K.gamma_pdf(f, 2.5, 0.7), "gamma_ms": K.gamma_pdf_ms(1.2, 0.8, f), "hrf": K.canonical_hrf(f), "hrf_spread": K.canonical_hrf(f, 6.0, 16.0, 0.8, 1.3, 4.0, 0.5, 4.0)}
     return table(spark, sf, "part").select("p_partkey", *[rounded(c, 9).alias(n) for n, c in named.items()])
 
 
@@ -217,14 +218,15 @@ def coxeter_totals(spark, sf):
 _PARTS = "e AS (SELECT src, dst, round(sum(w), 2) AS w FROM (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, l_quantity AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey) GROUP BY src, dst)"
 
 
-@query(f"""WITH {_PARTS}, h AS (SELECT * FROM e WHERE w < (SELECT avg(w) FROM e)), k AS (SELECT id, CAST(count(*) AS DOUBLE) AS k FROM (SELECT src AS id FROM h UNION ALL SELECT dst FROM h) GROUP BY id), p AS (SELECT a.k AS a, b.k AS b FROM h JOIN k a ON a.id = src JOIN k b ON b.id = dst),
-m AS (SELECT count(*) AS n, sum(a * b) AS ab, sum((a + b) / 2) AS s, sum((a * a + b * b) / 2) AS ss FROM p) SELECT round(abs((ab / n - (s / n) * (s / n)) / (ss / n - (s / n) * (s / n))), 6) AS assortativity FROM m""")
+@query(f"""WITH {_PARTS}, h AS (SELECT * FROM e WHERE src <> dst), o AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS o FROM h WHERE w > (SELECT avg(w) FROM e) OR src % 3 = 0 GROUP BY src), g AS (SELECT * FROM h WHERE w > (SELECT avg(w) FROM e) OR src % 3 = 0),
+i AS (SELECT dst AS id, CAST(count(*) AS DOUBLE) AS i FROM g GROUP BY dst), m AS (SELECT avg(a.o * b.i) AS num1, pow(avg(a.o + b.i) / 2, 2) AS num2, avg(a.o * a.o + coalesce(c.i, 0) * coalesce(c.i, 0)) / 2 AS den1 FROM g JOIN o a ON a.id = src JOIN i b ON b.id = dst LEFT JOIN i c ON c.id = src)
+SELECT round(abs((num1 - num2) / (den1 - num2)), 6) AS assortativity FROM m""")
 def assortativity_degree(spark, sf):
-    """Of the trade graph's edges below the mean weight."""
+    """Of the trade graph between different nations: all links of one nation in three, of the others those above the mean weight (a whole graph has equal degrees)."""
     from .queries import trade_edges
 
     edges = trade_edges(spark, sf).select("src", "dst", F.round("w", 2).alias("w"))
-    low = edges.join(F.broadcast(edges.agg(F.avg("w").alias("m")))).filter("w < m").drop("m")
+    low = edges.join(F.broadcast(edges.agg(F.avg("w").alias("m")))).filter("src <> dst and (w > m or src % 3 = 0)").drop("m")
     return G.assortativity(low).select(rounded("assortativity").alias("assortativity"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,17 +135,41 @@ def random_labels(image: DataFrame, dims: tuple[int, int, int], n: int, sd: floa
     """The largest of n smoothed random fields at each voxel, 0 where none is positive."""
     axes = ["x", "y", "z"]
     fields = image.select(*axes, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("label")).withColumn("v", F.randn(seed))
-    smooth = neighborhood.gaussian_smooth_nd(settled(fields), axes, sd, keep=["label"])
+    smooth = neighborhood.gaussian_smooth_nd(settled(fields), axes, list(dims), sd, keep=["label"])
     return smooth.groupBy(*axes).agg(F.max_by("label", "v").alias("label"), F.max("v").alias("v")).select(*axes, F.when(F.col("v") > 0, F.col("label")).otherwise(0).alias("v"))
 
 
-def simulate_series(regions: DataFrame, n: int, tr: float, rate: float, learn: float = 0.0, over: int = 10, noise: float = 0.0, seed: int = 0) -> DataFrame:
-    """(label, ts): random neural events of each region through the balloon response, sampled every tr."""
-    dt = tr / over
-    spikes = F.transform(F.sequence(F.lit(0), F.lit(n * over - 1)), lambda i: F.when(F.pmod(F.xxhash64("label", i, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(rate * dt * 1e6)), F.lit(1 / dt)).otherwise(F.lit(0.0)))
-    wave = regions.select("label").distinct().withColumn("bold", neighborhood.balloon_response(spikes, dt, learn))
-    jitter = lambda i: noise * (F.pmod(F.xxhash64("label", i, F.lit(seed + 1)), F.lit(2001)) - 1000) / 1000.0
-    return wave.select("label", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("bold", i * over) + jitter(i)).alias("ts"))
+#: Seconds that a simulation runs ahead of its first sample, so that it doesn't start at rest.
+LEAD_IN = 15.0
+
+
+def sample_response(times: np.ndarray, n: int, tr: float, step: float, learn: float = 0.0) -> np.ndarray:
+    """n samples, every tr seconds, of the response to unit events at these times (from -LEAD_IN on), simulated in steps."""
+    drive = np.zeros(int((n * tr + LEAD_IN) / step))
+    at = np.rint((np.asarray(times, float) + LEAD_IN) / step).astype(int)
+    np.add.at(drive, at[(at >= 0) & (at < len(drive))], 1 / step)
+    wave, _ = neighborhood.balloon_steps(drive, step, learn)
+    read = np.rint((np.arange(n) * tr + LEAD_IN) / step).astype(int)
+    return np.where(read < len(wave), wave[np.minimum(read, len(wave) - 1)], 0.0)
+
+
+def simulate_series(regions: DataFrame, n: int, tr: float, rate: float, learn: float = 0.0, step: float = 0.01, noise: float = 0.0, seed: int = 0, event_step: float = 1e-4) -> DataFrame:
+    """(label, ts): random unit events of each region, rate a second, through the balloon response, sampled every tr.
+
+    Events are drawn in steps of event_step seconds, over the lead-in too; each region is a row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            series = []
+            for label in b["label"]:
+                rng = np.random.default_rng([seed & 0xFFFFFFFF, int(label) & 0xFFFFFFFF])
+                times = np.flatnonzero(rng.random(int((n * tr + LEAD_IN) / event_step)) < rate * event_step) * event_step - LEAD_IN
+                series.append(sample_response(times, n, tr, step, learn) + noise * rng.normal(size=n))
+            yield b.assign(ts=series)
+
+    kind = regions.schema["label"].dataType.simpleString()
+    return regions.select("label").distinct().mapInPandas(run, f"label {kind}, ts array<double>")
 
 
 def paint_regions(labels: DataFrame, series: DataFrame) -> DataFrame:
@@ -157,7 +184,7 @@ def density_segment(image: DataFrame, weight: float, radius: float, threshold: f
     low, high = image.agg(F.min("v"), F.max("v")).first()
     p = F.array(((F.col("v") - low) / ((high - low) or 1.0) * weight), *[F.col(a).cast("double") for a in "xyz"])
     points = settled(image.select("x", "y", "z", F.xxhash64("x", "y", "z").alias("id"), p.alias("p")))
-    classes = peak_classes(density_peaks(points, radius, 4), threshold)
+    classes = peak_classes(density_peaks(points, radius), threshold)
     return points.join(classes, "id").select("x", "y", "z", "peak")
 
 

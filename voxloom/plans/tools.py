@@ -65,11 +65,8 @@ def reduce_time(packed: DataFrame, what: str) -> DataFrame:
 
 def smooth(image: DataFrame, geo: Geometry, fwhm: float) -> DataFrame:
     """Gaussian of a physical width along each axis."""
-    out = image
-    for k, axis in enumerate(AXES[: geo.ndim]):
-        sd = kernels.fwhm_to_sd(fwhm) / float(geo.spacing[k])
-        out = neighborhood.gaussian_smooth(out, "v", [axis], sd, [a for a in AXES[: geo.ndim] if a != axis], "clamp", "_s").drop("v").withColumnRenamed("_s", "v")
-    return out
+    axes = AXES[: geo.ndim]
+    return neighborhood.gaussian_smooth_nd(image, axes, list(geo.dims[: len(axes)]), [kernels.fwhm_to_sd(fwhm) / float(s) for s in geo.spacing[: len(axes)]])
 
 
 def diff_of_gauss(image: DataFrame, geo: Geometry, fwhm1: float, fwhm2: float) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.neighborhood import balloon_steps
+
 
 def windowed_reduce(events: DataFrame, time: str, by: str, value: str, width: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """(by, start, n, sum, avg, min, max) for tumbling or sliding windows; a stream drops rows later than the watermark."""
@@ -32,25 +33,14 @@ def balloon_stream(inputs: DataFrame, dt: float, learn: float = 0.0) -> DataFram
     Rows of a micro-batch are taken in order of t. A row that isn't newer than its region's last
     step is dropped, as a watermark would drop it: the model can't go back.
     """
-    tau_s, tau_f, tau_0, alpha, e0, v0 = 1.54, 2.46, 0.98, 0.33, 0.34, 0.02
-    k1, k2, k3 = 7 * e0, 2.0, 2 * e0 - 0.2
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s, f, v, q, mean, last = state.get if state.exists else (0.0, 1.0, 1.0, 1.0, 0.0, -1)
+        *now, last = state.get if state.exists else (0.0, 1.0, 1.0, 1.0, 0.0, -1)
         rows = pd.concat(list(batches)).sort_values("t")
         rows = rows[rows["t"] > last]  # what comes late can't be stepped any more
         if not len(rows):
             return
-        out = np.empty(len(rows))
-        for i, u in enumerate(rows["u"].to_numpy()):
-            fc, vc = max(f, 0.01), max(v, 0.01)
-            flow = vc ** (1 / alpha)
-            ds, df = (u - mean) - s / tau_s - (f - 1) / tau_f, s
-            dv, dq = (fc - flow) / tau_0, (fc * (1 - (1 - e0) ** (1 / fc)) / e0 - flow * q / vc) / tau_0
-            mean += learn * (u - mean)
-            s, f, v, q = s + dt * ds, f + dt * df, v + dt * dv, q + dt * dq
-            out[i] = v0 * (k1 * (1 - q) + k2 * (1 - q / max(v, 0.01)) + k3 * (1 - v))
-        state.update((s, f, v, q, mean, int(rows["t"].iloc[-1])))
+        out, now = balloon_steps(rows["u"].to_numpy(), dt, learn, tuple(now))
+        state.update((*now, int(rows["t"].iloc[-1])))
         yield pd.DataFrame({"region": key[0], "t": rows["t"].to_numpy(), "y": out})
 
     return inputs.groupBy("region").applyInPandasWithState(step, "region long, t long, y double", STATE, "append", "NoTimeout")
