@@ -47,9 +47,14 @@ def dirname(path: Column) -> Column:
     return F.when(path.rlike("/"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
 
+def is_row(column: str = "value", comment: str = "#") -> Column:
+    """Whether a line holds fields: neither blank nor a comment."""
+    return ~chomp(F.col(column)).startswith(comment) & (chomp(F.col(column)) != "")
+
+
 def sniff_delimiter(lines: DataFrame, column: str = "value", comment: str = "#") -> str:
     """The last delimiter set under which all lines have one constant width over 1; one aggregate."""
-    kept = lines.filter(~chomp(F.col(column)).startswith(comment) & (chomp(F.col(column)) != ""))
+    kept = lines.filter(is_row(column, comment))
     widths = [F.size(parse_line(F.col(column), d)) for d in DELIMITERS]
     row = kept.agg(*[F.min(w) for w in widths], *[F.max(w) for w in widths]).first()
     n = len(DELIMITERS)
@@ -60,5 +65,5 @@ def sniff_delimiter(lines: DataFrame, column: str = "value", comment: str = "#")
 def parse_table(lines: DataFrame, delimiters: str | None = None, column: str = "value", comment: str = "#") -> DataFrame:
     """lines with ``fields``, without comments and blank lines."""
     delimiters = delimiters or sniff_delimiter(lines, column, comment)
-    kept = lines.filter(~chomp(F.col(column)).startswith(comment) & (chomp(F.col(column)) != ""))
+    kept = lines.filter(is_row(column, comment))
     return kept.withColumn("fields", parse_line(F.col(column), delimiters))

@@ -104,17 +104,20 @@ def around(df: DataFrame, axes: list[str], dims: list[int], radius: int, outputs
 Weights = list[Callable[[np.ndarray], np.ndarray] | None]
 
 
-def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weights: Weights | dict[str, Weights], boundary: str, value: str = "v") -> DataFrame:
+def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: dict[str, int], keys: list[str], steps: list[int], place: Callable[[np.ndarray], np.ndarray], weights: Weights | dict[str, Weights | tuple[str, Weights]], boundary: str, value: str = "v") -> DataFrame:
     """(keys, value): the weighted sum of the voxels around each sample's continuous index.
 
     The voxels read are place(u) + steps along each axis, with the product of the axes' weights of u - voxel.
-    With weights by name there is a column for each of them (a value and its slopes) from one look.
+    With weights by name there is a column for each of them (a value and its slopes) from one look, of
+    the image's column that a pair (column, weights) names.
     Boundary: wrap, clamp (the border is repeated), anything else leaves places beyond it out.
     Samples meet the block of their voxel; a block that many samples read is copied and its
     samples are dealt over the copies. Samples without a finite index give no row.
     """
     axes, radius, edge = list(at), max(abs(s) for s in steps), block_edge(len(at))
-    outputs = weights if isinstance(weights, dict) else {value: weights}
+    named = weights if isinstance(weights, dict) else {value: weights}
+    outputs = {n: w if isinstance(w, tuple) else (value, w) for n, w in named.items()}
+    columns = list(dict.fromkeys(c for c, _ in outputs.values()))
     sizes = [dims[a] for a in axes]
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
     blocks, ats = [f"_b{i}" for i in range(len(axes))], [f"_u{i}" for i in range(len(axes))]
@@ -125,23 +128,25 @@ def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: di
         rows = rows.withColumn(b, F.floor(bounded(home, n, boundary) / edge).cast("long"))
     copies = rows.groupBy(*blocks).agg(F.ceil(F.count("*") / BLOCK_SAMPLES).cast("int").alias("_copies"))
     dealt = rows.join(copies, blocks).withColumn("_copy", F.pmod(F.xxhash64(*keys, *ats), F.col("_copies")).cast("int")).drop("_copies")
-    voxels = _to_blocks(image.select(*axes, F.col(value).cast("double").alias("_v")), axes, sizes, radius, boundary, edge)
+    voxels = _to_blocks(image.select(*axes, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_v{k}") for k, c in enumerate(columns)]), axes, sizes, radius, boundary, edge)
     voxels = voxels.join(copies, blocks).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
     def run(rows: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({c: [] for c in (*keys, *outputs)})
         block = tuple(int(rows[b].iloc[0]) for b in blocks)
-        tile, places = _tile(voxels.fillna({"_v": 0.0}), axes, sizes, block, radius, boundary, edge, "_v")
+        tiles = [_tile(voxels, axes, sizes, block, radius, boundary, edge, f"_v{k}") for k in range(len(columns))]
+        places = tiles[0][1]
         read = [[place(rows[u].to_numpy()).astype(np.int64) + s for s in steps] for u in ats]
         found = [[np.minimum(np.searchsorted(p, bounded_index(r, n, boundary)), len(p) - 1) for r in line] for line, n, p in zip(read, sizes, places, strict=True)]
         inside = [[np.ones(len(rows)) if boundary in ("wrap", "clamp") else ((r >= 0) & (r < n)).astype(float) for r in line] for line, n in zip(read, sizes, strict=True)]
-        seen = {corner: tile[tuple(found[k][c] for k, c in enumerate(corner))] for corner in itertools.product(range(len(steps)), repeat=len(axes))}
+        corners = list(itertools.product(range(len(steps)), repeat=len(axes)))
+        seen = {c: {corner: tile[tuple(found[k][i] for k, i in enumerate(corner))] for corner in corners} for c, (tile, _) in zip(columns, tiles, strict=True)}
         out = {}
-        for name, own in outputs.items():
+        for name, (column, own) in outputs.items():
             weighed = [[(weight(rows[u].to_numpy() - r) if weight else 1.0) * ok for r, ok in zip(line, oks, strict=True)] for u, line, oks, weight in zip(ats, read, inside, own, strict=True)]
             total = np.zeros(len(rows))
-            for corner, values in seen.items():
+            for corner, values in seen[column].items():
                 w = np.prod([weighed[k][c] for k, c in enumerate(corner)], axis=0)
                 total += np.where(w != 0, w * values, 0.0)
             out[name] = total

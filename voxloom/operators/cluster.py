@@ -7,6 +7,7 @@ shipped code, never a join side that grows. Each round is one aggregate over the
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,11 +47,9 @@ def seed_centers(points: DataFrame, k: int, p: str = "p", sample: int = 2000, se
     return np.array(found)
 
 
-def kmeans(points: DataFrame, k: int, p: str = "p", rounds: int = 50, centers: np.ndarray | None = None, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
-    """Lloyd rounds until no centre moves; an empty class keeps its centre."""
-    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)))  # every round reads it
-    centers = np.array(centers if centers is not None else seed_centers(rows, k, p, seed=seed), float)
-    for _ in range(rounds):
+def lloyd(rows: DataFrame, centers: np.ndarray, p: str = "p", rounds: int = 50) -> tuple[np.ndarray, int, bool]:
+    """Lloyd rounds over stored rows: the centres, how many rounds there were, and whether no centre moved in the last."""
+    for turn in range(rounds):
         fixed = centers.copy()
 
         def nearest(x: np.ndarray, fixed=fixed) -> tuple[np.ndarray, float]:
@@ -58,23 +57,47 @@ def kmeans(points: DataFrame, k: int, p: str = "p", rounds: int = 50, centers: n
             return np.eye(len(fixed))[d.argmin(1)], 0.0
 
         n, sums, _, _ = _moments(rows, p, nearest, len(centers), centers.shape[1], second=False)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
-        moved = np.abs(new - centers).max()
-        centers = new
-        if moved < 1e-9:
-            break
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], fixed)
+        if np.abs(centers - fixed).max() < 1e-9:
+            return centers, turn + 1, True
+    return centers, rounds, False
+
+
+def kmeans(points: DataFrame, k: int, p: str = "p", rounds: int = 50, centers: np.ndarray | None = None, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
+    """Lloyd rounds until no centre moves, with a warning if some still do after the last; an empty class keeps its centre.
+
+    No point: no centre and no row.
+    """
+    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)).filter(F.col(p).isNotNull()))  # every round reads it
+    if rows.isEmpty():
+        return np.zeros((0, 0)), points.limit(0).withColumns({"cluster": F.lit(0), "dist2": F.lit(0.0)})
+    centers, _, done = lloyd(rows, np.array(centers if centers is not None else seed_centers(rows, k, p, seed=seed), float), p, rounds)
+    if not done:
+        warnings.warn(f"centres still move after {rounds} rounds", stacklevel=2)
     return centers, assign(points, centers, p)
 
 
-def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100, tolerance: float = 1e-4, seed: int = 7) -> tuple[dict, DataFrame]:
-    """EM with full covariances; moments are summed in each task. Returns parameters and points with ``cluster``."""
-    mean, _ = kmeans(points, k, p, 10, seed=seed)
-    d = mean.shape[1]
-    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)))  # every round reads it
-    first = _moments(rows, p, lambda x: (np.ones((len(x), 1)), 0.0), 1, d)
-    n, m = first[0][0], first[1][0] / first[0][0]
-    cov = np.stack([first[2][0] / n - np.outer(m, m) + 1e-6 * np.eye(d)] * k)
-    weight, last = np.full(k, 1 / k), -math.inf
+def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100, tolerance: float = 1e-4, seed: int = 7, start: tuple | None = None) -> tuple[dict, DataFrame]:
+    """EM with full covariances; moments are summed in each task. Returns parameters and points with ``cluster``.
+
+    start: (means, covariances, weights) to begin with, else centres of ten Lloyd rounds, the whole
+    covariance and equal weights. The parameters say under ``converged`` whether the likelihood came to
+    rest. No point: empty parameters and no row.
+    """
+    rows = settled(points.select(F.col(p).cast("array<double>").alias(p)).filter(F.col(p).isNotNull()))  # every round reads it
+    if rows.isEmpty():
+        return {"mean": np.zeros((0, 0)), "cov": np.zeros((0, 0, 0)), "weight": np.zeros(0), "converged": True}, points.limit(0).withColumn("cluster", F.lit(0))
+    if start:
+        mean, cov, weight = (np.array(x, float) for x in start)
+        d = mean.shape[1]
+    else:
+        mean, _, _ = lloyd(rows, seed_centers(rows, k, p, seed=seed), p, 10)
+        d = mean.shape[1]
+        first = _moments(rows, p, lambda x: (np.ones((len(x), 1)), 0.0), 1, d)
+        n, m = first[0][0], first[1][0] / first[0][0]
+        cov = np.stack([first[2][0] / n - np.outer(m, m) + 1e-6 * np.eye(d)] * k)
+        weight = np.full(k, 1 / k)
+    last, done = -math.inf, False
 
     def densities(x: np.ndarray, mean, cov, weight) -> np.ndarray:
         out = np.empty((len(x), k))
@@ -97,7 +120,8 @@ def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100,
         weight = tau / tau.sum()
         mean = s1 / tau[:, None]
         cov = np.stack([s2[j] / tau[j] - np.outer(mean[j], mean[j]) + 1e-6 * np.eye(d) for j in range(k)])
-        if abs(ll - last) <= tolerance * max(1.0, abs(ll)):
+        done = abs(ll - last) <= tolerance * max(1.0, abs(ll))
+        if done:
             break
         last = ll
     fixed = (mean, cov, weight)
@@ -108,7 +132,7 @@ def gaussian_mixture(points: DataFrame, k: int, p: str = "p", rounds: int = 100,
                 yield b.assign(cluster=densities(np.stack(b[p].to_numpy()).astype(float), *fixed).argmax(1).astype(np.int32))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    return {"mean": mean, "cov": cov, "weight": weight}, points.mapInPandas(classify, f"{schema}, cluster int")
+    return {"mean": mean, "cov": cov, "weight": weight, "converged": done}, points.mapInPandas(classify, f"{schema}, cluster int")
 
 
 def _moments(points: DataFrame, p: str, expect: Callable, k: int, d: int, second: bool = True):
@@ -159,7 +183,7 @@ def mixture_1d(df: DataFrame, value: str, densities: list[Density], mean: list[f
     return mu, sigma, pi
 
 
-def gauss_gamma_mixture(df: DataFrame, value: str, mean=(-9.0, 0.0, 9.0), sd=(3.0, 2.0, 3.0), prior=(1 / 3, 1 / 3, 1 / 3)):
+def gauss_gamma_mixture(df: DataFrame, value: str, mean=(-9.0, 0.0, 9.0), sd=(3.0, 2.0, 3.0), prior=(1 / 3, 1 / 3, 1 / 3), rounds: int = 300):
     """Negative gamma, Gaussian, positive gamma; gammas keep shape >= 3."""
     from ..functions.kernels import gamma_pdf_ms, gaussian_pdf
 
@@ -169,7 +193,7 @@ def gauss_gamma_mixture(df: DataFrame, value: str, mean=(-9.0, 0.0, 9.0), sd=(3.
             sigma[j] = min(sigma[j], abs(mu[j]) / math.sqrt(3))
         return mu, sigma
 
-    return mixture_1d(df, value, [gamma_pdf_ms, gaussian_pdf, gamma_pdf_ms], list(mean), list(sd), list(prior), clamp=clamp)
+    return mixture_1d(df, value, [gamma_pdf_ms, gaussian_pdf, gamma_pdf_ms], list(mean), list(sd), list(prior), rounds, clamp)
 
 
 # ---- density peaks -----------------------------------------------------------------

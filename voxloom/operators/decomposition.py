@@ -47,7 +47,7 @@ def cross_product(rows: DataFrame, width: int, column: str = "values", other: st
         yield pd.DataFrame({"i": np.arange(width), "sums": list(total)})
 
     parts = rows.select(*dict.fromkeys((column, second))).mapInPandas(run, "i int, sums array<double>")
-    return summed(parts, w2)
+    return summed(parts, w2, width)
 
 
 def covariance(df: DataFrame, column: str, width: int, centered: bool = True) -> np.ndarray:
@@ -215,6 +215,72 @@ def deflation_ica(x: np.ndarray, rounds: int = 2000, tolerance: float = 1e-8, se
     return white @ found, (v.T / s * np.sqrt(n)) @ found
 
 
+def whiten(rows: DataFrame, width: int, most: int | None = None, column: str = "values") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Rows as uncorrelated columns of unit variance (populations), the matrix that makes them of centred rows, and the mean."""
+    whole = cross_product(rows.select(F.array_append(F.col(column).cast("array<double>"), F.lit(1.0)).alias("values")), width + 1)
+    n, mean = whole[-1, -1], whole[:-1, -1] / max(whole[-1, -1], 1.0)
+    value, vector = np.linalg.eigh(whole[:-1, :-1] / max(n, 1.0) - np.outer(mean, mean))
+    value, vector = value[::-1], vector[:, ::-1]
+    k = min(most or width, int((value > max(value[0], 0.0) * 1e-12).sum()))
+    m = vector[:, :k] / np.sqrt(value[:k])
+    shifted = rows.withColumn(column, F.zip_with(F.col(column).cast("array<double>"), F.lit([float(x) for x in mean]), lambda x, c: x - c))
+    return right_multiply(shifted, m, column), m, mean
+
+
+def independent_components(rows: DataFrame, width: int, most: int | None = None, rounds: int = 200, tolerance: float = 1e-6, symmetric: bool = True, column: str = "values", seed: int = 1) -> tuple[DataFrame, np.ndarray, np.ndarray, bool]:
+    """(rows as components, unmixing matrix, mean, whether it converged): FastICA over rows of any number.
+
+    A round is one aggregate of k x k sums over the stored white rows; symmetric turns all
+    components together, otherwise they follow one another, each held apart from those found.
+    """
+    white, m, mean = whiten(rows, width, most, column)
+    white, k = settled(white), m.shape[1]
+    rng = np.random.default_rng(seed)
+
+    def turned(w: np.ndarray) -> np.ndarray:
+        """Mean of z g(w'z) less w times the mean of g'(w'z), for each column of w."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k + 2, w.shape[1]))
+            for batch in batches:
+                if len(batch):
+                    z = _stack(batch, column)
+                    g, dg = _contrast(z @ w)
+                    total += np.vstack([z.T @ g, dg.sum(0), np.full(w.shape[1], len(z))])
+            yield pd.DataFrame({"i": np.arange(k + 2), "sums": list(total)})
+
+        s = summed(white.select(column).mapInPandas(run, "i int, sums array<double>"), w.shape[1])
+        return (s[:k] - w * s[k]) / np.maximum(s[k + 1], 1.0)
+
+    w, done = np.linalg.qr(rng.normal(size=(k, k)))[0] if k else np.zeros((0, 0)), not k
+    if symmetric and k:
+        for _ in range(rounds):
+            a, _, b = np.linalg.svd(turned(w))
+            new = a @ b
+            done = np.abs(np.abs((new * w).sum(0)) - 1).max() < tolerance
+            w = new
+            if done:
+                break
+    elif k:
+        found, done = np.zeros((k, 0)), True
+        for j in range(k):
+            one = w[:, j]
+            for _ in range(rounds):
+                one = one - found @ (found.T @ one)
+                one /= np.linalg.norm(one)
+                new = turned(one[:, None])[:, 0]
+                new -= found @ (found.T @ new)
+                new /= np.linalg.norm(new)
+                close = abs(abs(new @ one) - 1) < tolerance
+                one = new
+                if close:
+                    break
+            done &= close
+            found = np.column_stack([found, one])
+        w = found
+    return right_multiply(white, w, column), m @ w, mean, bool(done)
+
+
 # ---- group ICA: three stages with stored tables between them -----------------------
 
 

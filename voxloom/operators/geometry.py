@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import Geometry, grid
 from ..session import settled
+from . import tree
 from .blocks import around
 from .blocks import sample as sample_blocks
 from .neighborhood import gaussian_smooth_nd
@@ -588,21 +589,54 @@ def apply_deformation(image: DataFrame, field_: DataFrame, dims: tuple[int, int,
     return out.select(*[F.col(f"o{a}").alias(a) for a in AXES], "v")
 
 
-def invert_deformation(field_: DataFrame, dims: tuple[int, int, int], rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
-    """Offsets of the inverse: fixed-point steps rev(p) = −fwd(p + rev(p)), one join a round."""
-    rev = settled(field_.select(*AXES, *[(-F.col(f"d{a}")).alias(f"d{a}") for a in AXES]))
-    for _ in range(rounds):
-        seen = None
-        for a in AXES:
-            moved = rev.select(*[F.col(b).alias(f"o{b}") for b in AXES], *[(F.col(b) + F.col(f"d{b}")).alias(f"u{b}") for b in AXES])
-            part = interpolate(moved, field_.select(*AXES, F.col(f"d{a}").alias("v")), {b: F.col(f"u{b}") for b in AXES}, dict(zip(AXES, dims, strict=True)), [f"o{b}" for b in AXES], "linear", "clamp").withColumnRenamed("v", f"f{a}")
-            seen = part if seen is None else seen.join(part, [f"o{b}" for b in AXES])
-        new = settled(seen.select(*[F.col(f"o{a}").alias(a) for a in AXES], *[(-F.col(f"f{a}")).alias(f"d{a}") for a in AXES]))
-        change = new.alias("n").join(rev.alias("r"), AXES).agg(F.max(F.greatest(*[F.abs(F.col(f"n.d{a}") - F.col(f"r.d{a}")) for a in AXES]))).first()[0]
-        rev = new
-        if change is None or change <= tolerance:
+def invert_deformation(field_: DataFrame, dims: tuple[int, int, int], rounds: int = 30, tolerance: float = 1e-3) -> DataFrame:
+    """(x, y, z, dx, dy, dz, residual): offsets of the inverse, and how far forward of them misses the voxel.
+
+    The displaced voxels are indexed by a tree; each voxel starts at the one that comes to lie nearest to
+    it and goes on by Newton steps of the interpolated field, halved where they lead away. Only what
+    isn't within the tolerance goes into the next round. A residual above it says that no place was
+    found: none comes to lie there, or the field folds.
+    """
+    index = sum((F.col(a).cast("long") * int(np.prod(dims[k + 1 :])) for k, a in enumerate(AXES)), F.lit(0).cast("long"))
+    field_ = settled(field_.select(*AXES, *[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES]))
+    moved = field_.select(index.alias("id"), F.array(*[F.col(a) + F.col(f"d{a}") for a in AXES]).alias("p"))
+    targets = field_.select(index.alias("id"), F.array(*[F.col(a).cast("double") for a in AXES]).alias("p"))
+    near = tree.nearest(tree.build(moved), targets)
+    at = lambda c, k: F.pmod(F.floor(F.col(c) / int(np.prod(dims[k + 1 :]))), F.lit(dims[k])).cast("double")
+    zero = F.lit(0.0)
+    state = near.select(*[at("id", k).alias(f"o{a}") for k, a in enumerate(AXES)], *[at("nearest_id", k).alias(f"u{a}") for k, a in enumerate(AXES)], *[at("nearest_id", k).alias(f"b{a}") for k, a in enumerate(AXES)], *[zero.alias(f"s{a}") for a in AXES], F.lit(math.inf).alias("residual"))
+    names = state.columns
+    look = {f"f{a}": (f"d{a}", [_UP] * 3) for a in AXES} | {f"f{a}{b}": (f"d{a}", [_RISE if k == j else _UP for j in range(3)]) for a in AXES for k, b in enumerate(AXES)}
+
+    def step(batches):
+        for b in batches:
+            o, u, best, last = (b[[f"{c}{a}" for a in AXES]].to_numpy() for c in "oubs")
+            miss = u + b[[f"f{a}" for a in AXES]].to_numpy() - o
+            far, held = np.sqrt((miss * miss).sum(1)), b["residual"].to_numpy()
+            slope = np.eye(3) + b[[f"f{r}{c}" for r in AXES for c in AXES]].to_numpy().reshape(-1, 3, 3)
+            flat = np.abs(np.linalg.det(slope)) < 1e-6
+            slope[flat] = np.eye(3)
+            newton = -np.linalg.solve(slope, miss[..., None])[..., 0]
+            newton /= np.maximum(np.sqrt((newton * newton).sum(1, keepdims=True)) / 2, 1.0)  # two voxels at most
+            better = (far < held)[:, None]
+            best, last = np.where(better, u, best), np.where(better, newton, last / 2)
+            found = np.hstack([o, best + last, best, last, np.minimum(far, held)[:, None]])
+            yield pd.DataFrame(found, columns=names)
+
+    kinds, done, sizes = ", ".join(f"{n} double" for n in names), [], dict(zip(AXES, dims, strict=True))
+    state = settled(state)
+    for turn in range(rounds):
+        seen = sample_blocks(state, field_, {a: F.col(f"u{a}") for a in AXES}, sizes, names, [0, 1], np.floor, look, "clamp")
+        now = settled(seen.mapInPandas(step, kinds))
+        late = turn + 1 == rounds
+        done.append(now if late else now.filter(F.col("residual") <= tolerance))
+        state = now.filter(F.col("residual") > tolerance)
+        if late or state.isEmpty():
             break
-    return rev
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(*[F.col(f"o{a}").cast("int").alias(a) for a in AXES], *[(F.col(f"b{a}") - F.col(f"o{a}")).alias(f"d{a}") for a in AXES], "residual")
 
 
 # ---- bias fields -------------------------------------------------------------------

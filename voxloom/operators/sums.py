@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Rows (i, sums array<double>) of every task added up by i; as many rows come back as there are i."""
+def summed(parts: DataFrame, width: int, n: int | None = None) -> np.ndarray:
+    """Rows (i, sums array<double>) of every task added up by i; as many rows come back as there are i, or n of zeros if there is no task."""
     rows = parts.groupBy("i").agg(F.expr("array(" + ", ".join(f"sum(sums[{k}])" for k in range(width)) + ") AS s")).collect()
+    if n is not None and not rows:
+        return np.zeros((n, width))
     return np.array([r.s for r in sorted(rows, key=lambda r: r.i)], float).reshape(len(rows), width)

@@ -379,6 +379,21 @@ def jacobian(spark, sf):
     return told(M.jacobian(_field(spark, sf), dims(spark, sf)), "det")
 
 
+#: A field that no fixed-point step inverts: along z it rises by 1.5 a voxel, along y it falls by half, x is shifted by y.
+_STRONG = {"x": "0.25 * y", "y": "-0.5 * (y - 3.5)", "z": "1.5 * (z - 3.5)"}
+
+
+@query(f"""WITH {_IMG} SELECT x, y, z, round(-0.25 * w, 3) + 0.0 AS dx, round(w - y, 3) + 0.0 AS dy, round((z - 3.5e0) / 2.5e0 - (z - 3.5e0), 3) + 0.0 AS dz FROM (SELECT *, (y - 3.5e0) / 0.5e0 + 3.5e0 AS w FROM img)
+WHERE w BETWEEN 0 AND 7 AND x - 0.25 * w BETWEEN 0 AND (SELECT m FROM n)""")
+def inverted_field(spark, sf):
+    """The inverse of a strong field, at the voxels that it reaches from inside of the image."""
+    field = image(spark, sf).select(*AXES, *[F.expr(e).cast("double").alias(f"d{a}") for a, e in _STRONG.items()])
+    size = dims(spark, sf)
+    out = M.invert_deformation(field, size)
+    inside = [(F.col(a) + F.col(f"d{a}")).between(-1e-6, n - 1 + 1e-6) for a, n in zip(AXES, size, strict=True)]
+    return told(out.filter(inside[0] & inside[1] & inside[2] & (F.col("residual") < 1e-3)), "dx", "dy", "dz", digits=3)
+
+
 @query(f"WITH {_IMG}, {_FIELD_SQL} SELECT x, y, z, " + ", ".join(f"round({a} + d{a} - 1 - {a}, 6) + 0.0 AS d{a}" for a in AXES) + " FROM f")
 def index_map_offsets(spark, sf):
     absolute = _field(spark, sf).select(*AXES, *[(F.col(a) + F.col(f"d{a}")).alias(f"i{a}") for a in AXES])

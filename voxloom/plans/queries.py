@@ -21,6 +21,7 @@ from ..operators import graph as G
 from ..operators import neighborhood as N
 from ..operators import regression as R
 from ..operators import spatial as S
+from ..session import settled
 from .registry import ORACLES, QUERIES, query
 from .registry import rounded as _r
 from .registry import table as _t
@@ -508,11 +509,96 @@ def series_glm(spark, sf):
     return R.glm(series, x, ["x"]).select("x", *[_r(F.get("bhat", F.lit(k)), 9).alias(f"b{k}") for k in range(3)], _r("rsqr").alias("rsqr"))
 
 
-@query()
+#: Classes and rounds of the fit; it starts from the vectors with the smallest ids.
+_CLASSES, _ROUNDS = 10, 20
+_CLOSEST = f"list_position(ds, list_min(ds)) FROM (SELECT r.n, r.c, p.id, p.label, p.p, list_transform(r.c, lambda m: list_sum(list_transform(list_zip(p.p, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS ds FROM {{r}} r, p)"
+
+
+@query(f"""WITH RECURSIVE p AS ({_P}), r(n, c) AS (SELECT 0, list(p ORDER BY id) FROM (SELECT * FROM p ORDER BY id LIMIT {_CLASSES}) UNION ALL
+SELECT n + 1, list(m ORDER BY k) FROM (SELECT n, k, list(v ORDER BY j) AS m FROM (SELECT n, k, j, avg(q[j]) AS v FROM (SELECT n, p AS q, {_CLOSEST.format(r='r').replace(' FROM (SELECT', ' AS k FROM (SELECT', 1)}), range(1, 65) t(j) GROUP BY n, k, j) GROUP BY n, k) WHERE n < {_ROUNDS} GROUP BY n),
+last AS (SELECT * FROM r WHERE n = {_ROUNDS})
+SELECT CAST(k - 1 AS INT) AS cluster, label, count(*) AS n FROM (SELECT label, {_CLOSEST.format(r='last').replace(' FROM (SELECT', ' AS k FROM (SELECT', 1)}) GROUP BY 1, 2""")
 def kmeans_fit(spark, sf):
-    centers, found = C.kmeans(_points(spark, sf), 10, rounds=20)
-    del centers
-    return found.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    points = _points(spark, sf)
+    starts = np.array([r.p for r in points.orderBy("id").limit(_CLASSES).collect()])
+    centers, _, _ = C.lloyd(settled(points.select("p")), starts, "p", _ROUNDS)
+    return C.assign(points, centers).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+_STARTS = ([100_000.0, 250_000.0], [60_000.0, 80_000.0], [0.4, 0.6])
+
+
+@query(f"""WITH d AS (SELECT o_totalprice AS x, {", ".join(f"{w!r} * exp(-(o_totalprice - {m!r}) * (o_totalprice - {m!r}) / (2 * {s!r} * {s!r})) / {s!r} AS p{j}" for j, (m, s, w) in enumerate(zip(*_STARTS, strict=True)))} FROM orders),
+r AS (SELECT x, unnest([0, 1]) AS j, unnest([p0, p1]) / (p0 + p1) AS r FROM d)
+SELECT CAST(j AS INT) AS j, round(sum(r * x) / sum(r), 3) AS mean, round(sqrt(sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2)), 3) AS sd, round(sum(r) / (SELECT count(*) FROM orders), 9) AS prior FROM r GROUP BY j""")
+def mixture_1d_step(spark, sf):
+    """One EM step of two Gaussians from fixed starts."""
+    mean, sd, prior = C.mixture_1d(_t(spark, sf, "orders"), "o_totalprice", [K.gaussian_pdf] * 2, *_STARTS, rounds=1)
+    rows = spark.createDataFrame([(j, *map(float, x)) for j, x in enumerate(zip(mean, sd, prior, strict=True))], "j int, mean double, sd double, prior double")
+    return rows.select("j", _r("mean", 3).alias("mean"), _r("sd", 3).alias("sd"), _r("prior", 9).alias("prior"))
+
+
+_GAMMA = "exp((({m}) * ({m}) / ({s} * {s}) - 1) * ln(abs(x)) - abs(x) / ({s} * {s} / abs({m})) - lgamma(({m}) * ({m}) / ({s} * {s})) - (({m}) * ({m}) / ({s} * {s})) * ln({s} * {s} / abs({m})))"
+
+
+@query(f"""WITH v AS (SELECT l_quantity - 25.5 AS x FROM lineitem),
+d AS (SELECT x, CASE WHEN x < 0 THEN {_GAMMA.format(m='-9e0', s='3e0')} ELSE 0 END AS p0, exp(-x * x / 8) / (2 * sqrt(2 * pi())) AS p1, CASE WHEN x > 0 THEN {_GAMMA.format(m='9e0', s='3e0')} ELSE 0 END AS p2 FROM v),
+r AS (SELECT x, unnest([0, 1, 2]) AS j, unnest([p0, p1, p2]) / (p0 + p1 + p2) AS r FROM d WHERE p0 + p1 + p2 > 0),
+m AS (SELECT j, sum(r) AS n, sum(r * x) / sum(r) AS mu, sqrt(sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2)) AS sd FROM r GROUP BY j)
+SELECT CAST(j AS INT) AS j, round(mu, 6) AS mean, round(CASE WHEN j = 1 THEN sd ELSE least(sd, abs(mu) / sqrt(3)) END, 6) AS sd, round(n / (SELECT sum(n) FROM m), 9) AS prior FROM m""")
+def gauss_gamma_step(spark, sf):
+    """One EM step of a negative gamma, a Gaussian and a gamma."""
+    rows = _t(spark, sf, "lineitem").select((F.col("l_quantity") - 25.5).alias("x"))
+    found = C.gauss_gamma_mixture(rows, "x", rounds=1)
+    out = spark.createDataFrame([(j, *map(float, x)) for j, x in enumerate(zip(*found, strict=True))], "j int, mean double, sd double, prior double")
+    return out.select("j", _r("mean").alias("mean"), _r("sd").alias("sd"), _r("prior", 9).alias("prior"))
+
+
+#: Means, covariances and weights from which a step over quantities and discounts (in per cent) starts.
+_EM = ([[15.0, 3.0], [35.0, 7.0]], [[[120.0, 5.0], [5.0, 8.0]], [[90.0, -4.0], [-4.0, 6.0]]], [0.45, 0.55])
+
+
+def _gauss_2d(j: int) -> str:
+    (m0, m1), ((a, b), (_, d)), w = (x[j] for x in _EM)
+    det = a * d - b * b
+    return f"{w!r} / sqrt({det!r}) * exp(-0.5 * ({d!r} * (x - {m0!r}) * (x - {m0!r}) - 2 * ({b!r}) * (x - {m0!r}) * (y - {m1!r}) + {a!r} * (y - {m1!r}) * (y - {m1!r})) / {det!r})"
+
+
+@query(f"""WITH v AS (SELECT l_quantity AS x, l_discount * 100 AS y FROM lineitem), d AS (SELECT x, y, {_gauss_2d(0)} AS p0, {_gauss_2d(1)} AS p1 FROM v),
+r AS (SELECT x, y, unnest([0, 1]) AS j, unnest([p0, p1]) / (p0 + p1) AS r FROM d),
+m AS (SELECT j, sum(r) AS n, sum(r * x) / sum(r) AS m0, sum(r * y) / sum(r) AS m1, sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy FROM r GROUP BY j)
+SELECT CAST(j AS INT) AS j, round(n / (SELECT count(*) FROM v), 8) AS weight, round(m0, 6) AS m0, round(m1, 6) AS m1, round(xx - m0 * m0 + 1e-6, 5) AS c00, round(xy - m0 * m1, 5) + 0.0 AS c01, round(yy - m1 * m1 + 1e-6, 5) AS c11 FROM m""")
+def mixture_step(spark, sf):
+    """One EM step of two Gaussians with full covariances."""
+    rows = _t(spark, sf, "lineitem").select(F.array("l_quantity", F.col("l_discount") * 100).alias("p"))
+    g, _ = C.gaussian_mixture(rows, 2, rounds=1, start=_EM)
+    out = spark.createDataFrame([(j, float(g["weight"][j]), *map(float, g["mean"][j]), float(g["cov"][j, 0, 0]), float(g["cov"][j, 0, 1]), float(g["cov"][j, 1, 1])) for j in range(2)], "j int, weight double, m0 double, m1 double, c00 double, c01 double, c11 double")
+    return out.select("j", _r("weight", 8).alias("weight"), _r("m0").alias("m0"), _r("m1").alias("m1"), *[_r(c, 5).alias(c) for c in ("c00", "c01", "c11")])
+
+
+@query(f"""WITH p AS ({_P}), e AS (SELECT id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p), g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM e a JOIN e b USING (id) GROUP BY 1, 2),
+g2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2)
+SELECT 1 AS power, round(sum(v), 4) AS trace FROM g WHERE i = j UNION ALL SELECT 2, round(sum(v), 4) FROM g2 WHERE i = j UNION ALL SELECT 3, round(sum(a.v * b.v), 4) FROM g a JOIN g2 b ON a.i = b.j AND a.j = b.i UNION ALL SELECT 4, round(sum(a.v * b.v), 4) FROM g2 a JOIN g2 b ON a.i = b.j AND a.j = b.i""")
+def pca_spectrum(spark, sf):
+    """Sums of powers of the squared singular values: the traces of the powers of the cross product."""
+    s, _, _ = D.pca(_points(spark, sf).select("id", F.col("p").alias("values")), 64)
+    return spark.createDataFrame([(k, float((s ** (2 * k)).sum())) for k in (1, 2, 3, 4)], "power int, trace double").select("power", _r("trace", 4).alias("trace"))
+
+
+#: How the sources are mixed, and the powers of the cross product after which SQL has its leading vector.
+_MIX = [[1.0, 0.4, -0.3], [0.2, 1.0, 0.5], [-0.4, 0.3, 1.0]]
+
+
+@query("""SELECT CAST(s AS INT) AS source, 1.0::DOUBLE AS correlation, CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS n FROM range(3) t(s)""")
+def ica_unmixed(spark, sf):
+    """Three independent columns, mixed by a known matrix and unmixed again: each is one component, up to sign and scale."""
+    columns = [F.col("l_quantity") / 14.4, F.col("l_discount") * 31.6, F.col("l_tax") * 38.7]  # about unit spread
+    rows = _t(spark, sf, "lineitem").select(F.array(*columns).alias("source"))
+    mixed = rows.withColumn("values", F.array(*[sum((F.get("source", F.lit(k)) * m for k, m in enumerate(row)), F.lit(0.0)) for row in _MIX]))
+    found, _, _, _ = D.independent_components(mixed, 3)
+    best = [F.greatest(*[F.abs(F.corr(F.get("source", F.lit(k)), F.get("values", F.lit(j)))) for j in range(3)]).alias(f"c{k}") for k in range(3)]
+    one = found.agg(*best, F.count("*").alias("n"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("source"), F.round(f"c{k}", 2).alias("correlation"), F.col("n")) for k in range(3)])))
 
 
 @query()

@@ -67,8 +67,9 @@ def nifti_header(spark, sf):
 @query(_VOXELS)
 def json_round_trip(spark, sf):
     voxels = image(spark, sf).select(F.lit("img").alias("img_id"), "x", "y", "z", F.lit(0).alias("t"), "v")
-    folder = _written(textual.encode_json(voxels, {"img": _geometry(spark, sf)}), spark)
-    return _voxels(textual.read_json_images(spark, folder))
+    folder = shared_path(spark)
+    textual.write_json_images(voxels, {"img": _geometry(spark, sf)}, folder)
+    return _voxels(textual.read_json_images(spark, folder, _SLICE))
 
 
 _BOX = {"x": "10:199", "y": "2:5", "z": "6:6"}
@@ -84,7 +85,7 @@ def nifti_box(spark, sf):
 def text_image_round_trip(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",").alias("value"))
     folder = shared_path(spark)
-    rows.coalesce(1).sortWithinPartitions("vec_id").select("value").write.text(folder)  # lines in order are what the format means
+    rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("value").write.text(folder)  # files in order of their names hold lines in order
     return textual.read_text_image(spark, folder).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), rounded("v").alias("v"))
 
 

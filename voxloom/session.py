@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_steps: list[str] = []
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -26,16 +27,32 @@ def shared_path(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; below a local folder only where the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # tests and single machines
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="voxloom-"))
         base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    _steps.append(f"{base.rstrip('/')}/step-{uuid.uuid4().hex}")
+    return _steps[-1]
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the shared checkpoint folder: cuts lineage, survives lost executors; a write that fails leaves nothing."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        remove(spark, path)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every step and file that this process has put below the shared folder; for the end of a job, when its results are written."""
+    while _steps:
+        remove(spark, _steps.pop())

@@ -9,7 +9,8 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +27,30 @@ def base_name(path: str) -> str:
     return path.rpartition("/")[2].removesuffix(".gz")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, nth): the lines of one file in order; nth is the place of the line's row in the scan."""
-    return spark.read.text(path).withColumn("nth", F.monotonically_increasing_id())
+def lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(value, nth): lines (those to keep) with their number from 0, over the file or over a folder's files in order of their names.
+
+    A task numbers the lines of its ranges of files; the ranges' line counts, one row each, are
+    summed up in order and broadcast. So a file of any size is numbered by many tasks.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = rows if keep is None else rows.filter(keep)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            at = []
+            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = n + 1 if key == last else 0
+                last = key
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["value", "_path", "_start", "_at"])
+
+    numbered = rows.mapInArrow(number, "value string, _path string, _start long, _at long")
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of a file
+    counts = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"))
+    base = counts.select("_path", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return numbered.join(F.broadcast(base), ["_path", "_start"]).select("value", (F.col("_base") + F.col("_at")).alias("nth"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

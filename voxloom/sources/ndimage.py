@@ -53,13 +53,13 @@ VOXELS = "img_id string, x int, y int, z int, t int, v double"
 SERIES = "img_id string, x int, y int, z int, ts array<double>"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if re.match(r"^[a-z0-9+.-]+:", path) else f"file://{path}")
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the file, of all files right below a folder, or of those a last part with ``*`` names."""
-    files, base = _open(path)
+    files, base = open_path(path)
     prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
     head, _, tail = base.rpartition("/")
     if "*" in tail:
@@ -75,7 +75,7 @@ def list_files(path: str) -> list[tuple[str, int]]:
 
 
 def _head(path: str) -> dict:
-    files, base = _open(path)
+    files, base = open_path(path)
     with files.open_input_stream(base, compression=None) as file:
         start = file.read(HEADER_BYTES)
         if start[:2] == b"\x1f\x8b":
@@ -115,7 +115,7 @@ class _Ranges:
     """read(at, n) of an open file; a compressed one is read as a stream, forward only."""
 
     def __init__(self, path: str, packed: bool):
-        files, base = _open(path)
+        files, base = open_path(path)
         self.packed, self.at = packed, 0
         self.file = gzip.GzipFile(fileobj=files.open_input_file(base)) if packed else files.open_input_file(base)
 
@@ -236,7 +236,7 @@ class SlabWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        files, base = _open(self.path)
+        files, base = open_path(self.path)
         attempt, done, now, slab = TaskContext.get().taskAttemptId(), [], None, None
 
         def close() -> None:
@@ -271,7 +271,7 @@ class SlabWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """The slabs that count, by name; what attempts that don't count left is deleted."""
-        files, base = _open(self.path)
+        files, base = open_path(self.path)
         good = {name for m in messages if m for name in m.names}
         for info in files.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
             if info.type == fs.FileType.File and info.path[len(base) + 1 :] not in good:
@@ -281,7 +281,7 @@ class SlabWriter(DataSourceArrowWriter):
             out.write("\n".join(sorted(good)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, base = _open(self.path)
+        files, base = open_path(self.path)
         if files.get_file_info(base).type == fs.FileType.Directory:
             files.delete_dir(base)
 
@@ -345,10 +345,10 @@ def write_images(series: DataFrame, geometries: dict[str, Geometry], folder: str
         rows.write.format("ndimage").mode("append").option("images", json.dumps(told)).save(aside)
         return _join_all(spark, plan, aside, len(plans))
     finally:  # what a failed job or a lost attempt wrote aside goes too
-        files, base = _open(aside)
+        files, base = open_path(aside)
         if files.get_file_info(base).type == fs.FileType.Directory:
             files.delete_dir(base)
-        files, base = _open(folder)
+        files, base = open_path(folder)
         for info in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
             if re.search(r"\.nii(\.gz)?\.\d+\Z", info.path):
                 files.delete_file(info.path)
@@ -369,11 +369,11 @@ def _join(row: dict, aside: str) -> dict:
     """One image's slabs behind its header, streamed into a file that then takes its name."""
     from pyspark import TaskContext
 
-    files, base = _open(aside)
+    files, base = open_path(aside)
     with files.open_input_stream(f"{base}/_slabs", compression=None) as file:
         names = [n for n in file.read().decode().splitlines() if n.rpartition("/")[0] == row["img_id"]]
     slabs = {int(n.rpartition("/")[2].split(".")[0]): f"{base}/{n}" for n in names}
-    _, path = _open(row["uri"])
+    _, path = open_path(row["uri"])
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part, voxels = f"{path}.{TaskContext.get().taskAttemptId()}", row["nx"] * row["ny"] * row["nz"]
     with files.open_output_stream(part, compression=None) as raw:
@@ -392,3 +392,36 @@ def _join(row: dict, aside: str) -> dict:
             out.close()
     files.move(part, path)
     return {"uri": row["uri"], "bytes": files.get_file_info(path).size}
+
+
+def join_files(plan: DataFrame, aside: str, n: int) -> DataFrame:
+    """(uri, bytes): for each row (img_id, head, tail, uri) the files below aside/img_id=… in order of their names, as one file between head and tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([_stream(row, aside)], pa.schema([("uri", pa.string()), ("bytes", pa.int64())]))
+
+    done = plan.repartition(max(1, min(n, 1024)), "img_id").mapInArrow(run, "uri string, bytes long").collect()  # a row an image
+    return plan.sparkSession.createDataFrame(done, "uri string, bytes long")
+
+
+def _stream(row: dict, aside: str) -> dict:
+    from urllib.parse import quote
+
+    from pyspark import TaskContext
+
+    files, base = open_path(f"{aside}/img_id={quote(row['img_id'], safe=' ._-')}")
+    parts = [f for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("part-")]
+    _, path = open_path(row["uri"])
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{TaskContext.get().taskAttemptId()}"
+    with files.open_output_stream(part, compression=None) as out:
+        out.write(row["head"])
+        for found in sorted(parts, key=lambda f: f.base_name):
+            with files.open_input_stream(found.path, compression=None) as file:
+                while data := file.read(1 << 20):
+                    out.write(data)
+        out.write(row["tail"])
+    files.move(part, path)
+    return {"uri": row["uri"], "bytes": files.get_file_info(path).size}
