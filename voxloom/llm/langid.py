@@ -128,7 +128,8 @@ def learn(docs: DataFrame, most: int = TOP) -> dict[str, np.ndarray]:
         yield from told()
 
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    if (n := rows.select("lang").distinct().count()) > MOST_LANGUAGES:
+    named = docs.select(F.col("lang").cast("string").alias("lang")).filter("lang is not null").distinct()  # no text is read for it
+    if (n := named.count()) > MOST_LANGUAGES:
         raise ValueError(f"{n} languages to learn, more than {MOST_LANGUAGES}")
     sums = stored(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
