@@ -1,5 +1,6 @@
 """Formulas held against plain loops: the balloon model, assortativity, responses, pseudo-polar lines, components, block products."""
 
+import itertools
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import kernels as K
 from voxloom.model import from_numpy, to_numpy
-from voxloom.operators import blocks, decomposition, graph, neighborhood, spectral
+from voxloom.operators import blocks, decomposition, geometry, graph, neighborhood, spectral
 from voxloom.plans import pipelines
 
 AXES = ["x", "y", "z"]
@@ -166,3 +167,22 @@ def test_block_products(spark):
         assert len(got) == 37 * 11 and all(abs(got[i, j] - (a @ b)[i, j]) < 1e-9 for i, j in got)
     none = entries(np.zeros((2, 2)))
     assert decomposition.block_multiply(decomposition.blocks(none), decomposition.blocks(entries(b))).count() == 0
+
+
+@pytest.mark.parametrize("angles", [(10, 0, 0), (0, 20, 0), (0, 0, 30), (10, -15, 20), (25, 10, -5)])
+def test_shears_of_every_order_make_the_rotation(angles):
+    r = geometry.rotation(*np.radians(angles))
+    single = sum(a != 0 for a in angles) == 1
+    held = 0
+    for n in (3, 4):
+        for order in itertools.product(range(3), repeat=n):
+            if all(a != b for a, b in zip(order, order[1:])):
+                found = geometry.shear_decompose(r, orders=[order])
+                if found is not None:
+                    held += 1
+                    assert len(found) == n and np.abs(np.linalg.multi_dot(found) - r).max() < 1e-4
+                    assert all(np.count_nonzero(np.abs(m - np.eye(3)).sum(1) > 1e-12) <= 1 for m in found)
+                elif single and n == 3:
+                    around = [abs(a) > 0 for a in angles].index(True)
+                    assert around in order  # only chains that turn about another axis fail
+    assert held

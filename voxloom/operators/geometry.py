@@ -89,14 +89,14 @@ def shear_matrix(axis: int, a: float, b: float) -> np.ndarray:
     return m
 
 
-def shear_decompose(r: np.ndarray, limit: float = 1.0, tolerance: float = 1e-4) -> list[np.ndarray] | None:
+def shear_decompose(r: np.ndarray, limit: float = 1.0, tolerance: float = 1e-4, orders: list[tuple[int, ...]] | None = None) -> list[np.ndarray] | None:
     """Four (or three) axis shears whose product is the rotation, with the smallest largest shear.
 
     For each order of axes the shears solve polynomial equations; Newton steps from zero find
-    them for the moderate angles at which shears are of use.
+    them for the moderate angles at which shears are of use. orders: the orders of axes to try.
     """
     best, least = None, math.inf
-    for order in [o for n in (3, 4) for o in itertools.product(range(3), repeat=n) if all(a != b for a, b in zip(o, o[1:], strict=False)) and len(set(o)) > 1]:
+    for order in orders or [o for n in (3, 4) for o in itertools.product(range(3), repeat=n) if all(a != b for a, b in zip(o, o[1:], strict=False)) and len(set(o)) > 1]:
         x = np.zeros(2 * len(order))
 
         def product(v: np.ndarray, order=order) -> np.ndarray:
@@ -118,13 +118,13 @@ def shear_decompose(r: np.ndarray, limit: float = 1.0, tolerance: float = 1e-4)
     return best
 
 
-def rotate_by_shears(image: DataFrame, dims: tuple[int, int, int], rx: float, ry: float, rz: float, kernel: bool = True) -> DataFrame:
+def rotate_by_shears(image: DataFrame, dims: tuple[int, int, int], rx: float, ry: float, rz: float, kernel: bool = True, orders: list[tuple[int, ...]] | None = None) -> DataFrame:
     """Rotation about the centre as a chain of shears; angles up to 45 degrees."""
     from .spectral import shear
 
     if max(abs(rx), abs(ry), abs(rz)) > math.pi / 4:
         raise ValueError("an angle is larger than 45 degrees")
-    shears = shear_decompose(rotation(rx, ry, rz))
+    shears = shear_decompose(rotation(rx, ry, rz), orders=orders)
     if shears is None:
         raise ValueError("no chain of small shears makes this rotation")
     centers = {a: (n - 1) / 2 for a, n in zip(AXES, dims, strict=True)}

@@ -505,6 +505,32 @@ def chirp_z_rows(spark, sf):
     return _complex(P.chirp_z_rows(packed(spark, sf), 0.7))
 
 
+_DEGREES = (10, 20, 30)
+
+
+def _shear_rotation_sql() -> str:
+    """Rotation about x: y, z and again y sheared by the tangent of half the angle and its sine."""
+    parts, out = [], []
+    for angle in _DEGREES:
+        last, t = "img", f"radians({angle}e0)"
+        for k, (axis, other, slope) in enumerate([("y", "z", f"(-tan({t} / 2))"), ("z", "y", f"sin({t})"), ("y", "z", f"(-tan({t} / 2))")]):
+            name, same = f"r{angle}_{k}", " AND ".join(f"j.{a} = i.{a}" for a in AXES if a != axis)
+            d = f"({axis}_at - j.{axis})"
+            w = f"CASE WHEN {d} = 0 THEN 1 WHEN abs({d}) < 5 THEN 5 * sin(pi() * {d}) * sin(pi() * {d} / 5) / (pi() * pi() * {d} * {d}) ELSE 0 END"
+            parts.append(f"{name} AS (SELECT i.x, i.y, i.z, coalesce(sum(j.v * {w}), 0) AS v FROM (SELECT x, y, z, {axis} - {slope} * ({other} - 3.5e0) AS {axis}_at FROM {last}) i LEFT JOIN {last} j ON {same} AND j.{axis} BETWEEN floor({axis}_at) - 4 AND floor({axis}_at) + 5 GROUP BY i.x, i.y, i.z)")
+            last = name
+        out.append(f"SELECT {angle} AS degrees, x, y, z, round(v, 6) + 0.0 AS v FROM {last}")
+    return f"WITH {_IMG}, {', '.join(parts)} " + " UNION ALL ".join(out)
+
+
+@query(_shear_rotation_sql())
+def rotate_by_shears(spark, sf):
+    rows, size = image(spark, sf), dims(spark, sf)
+    turned = [M.rotate_by_shears(rows, size, float(np.radians(angle)), 0.0, 0.0, orders=[(1, 2, 1)]).select(F.lit(angle).alias("degrees"), *AXES, "v") for angle in _DEGREES]
+    out = turned[0].unionByName(turned[1]).unionByName(turned[2])
+    return out.select("degrees", *[F.col(a).cast("long").alias(a) for a in AXES], rounded("v").alias("v"))
+
+
 #: Each plane of the image (one x) is a 2-d image of 8 x 8: z is the radial axis, with 16 places; y is chirped, to 16 places.
 @query(f"""WITH {_IMG}, r AS (SELECT x, y, k.i AS z, sum(v * cos(2 * pi() * img.z * (k.i - 8e0) / 16)) AS re, -sum(v * sin(2 * pi() * img.z * (k.i - 8e0) / 16)) AS im FROM img CROSS JOIN range(16) k(i) GROUP BY x, y, k.i),
 c AS (SELECT x, m.i AS y, z, re, im, 2 * pi() * (2e0 * z / 15 - 1) * y * (m.i - 8e0) / 16 AS a FROM r CROSS JOIN range(16) m(i))

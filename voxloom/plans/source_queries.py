@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import Geometry
 from ..session import shared_path
-from ..sources import files, graphs, ndimage, textual, tracks
+from ..sources import files, graphs, ndimage, textual, tiles, tracks
 from .image_queries import dims, image
 from .registry import query, rounded, table
 
@@ -81,6 +81,15 @@ def nifti_box(spark, sf):
     return _voxels(ndimage.images(spark, _image_folder(spark, sf, 2, ".nii"), slicebytes=1 << 12, **_BOX))
 
 
+@query(f"SELECT * EXCLUDE (t) FROM ({_VOXELS}) WHERE x BETWEEN 100 AND 139 AND y BETWEEN 0 AND 5 AND z BETWEEN 3 AND 7")
+def tile_box(spark, sf):
+    """A box of an image stored as tiles on a space-filling order."""
+    path = shared_path(spark)
+    tiles.write_tiles(image(spark, sf), path, ["x", "y", "z"], 8)
+    out = tiles.read_box(spark, path, {"x": (100, 139), "y": (0, 5), "z": (3, 7)})
+    return out.select(*[F.col(a).cast("long").alias(a) for a in "xyz"], rounded("v").alias("v"))
+
+
 @query("SELECT vec_id AS x, CAST(t.k - 1 AS BIGINT) AS y, round(CAST(embedding[t.k] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) t(k)")
 def text_image_round_trip(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",").alias("value"))
