@@ -7,6 +7,7 @@ that the driver and all executors share, so a lost executor costs a re-read only
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -22,6 +23,7 @@ CHUNK_BYTES = 1 << 19
 #: Rows that a key must hold before join_hot() treats it as hot, whatever the number of rows.
 HOT_ROWS = 1000
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 _own_dir: list[str] = []
 _steps: list[str] = []
 
@@ -111,8 +113,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: Sequence[str], size: str) -
     return many.unionByName(few.select(*names))
 
 
+def relieve() -> None:
+    """Give back to the system what this worker has freed since its last batch: a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as one large_string array; null becomes the empty text."""
+    """The column as one large_string array; null becomes the empty text. Called once a batch, it gives freed memory back."""
+    relieve()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, text_column
+from .common import ranges, relieve, stored, text_column
 from .labelled import fold
 
 TOP, UNKNOWN = 300, "und"
@@ -190,6 +190,7 @@ def keep_known(docs: DataFrame, profiles: dict[str, np.ndarray], farthest: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(profiles)
         for batch in batches:
+            relieve()
             found = [own.predict(x.as_py()) for x in batch.column(at)]
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[2] <= farthest for x in found], pa.bool_()))
 
