@@ -4,7 +4,18 @@ import numpy as np
 import pytest
 
 from voxloom.model import Geometry
-from voxloom.sources import ndimage
+from voxloom.sources import ndimage, nifti
+
+
+def test_nifti1_header_of_a_long_axis():
+    geo = Geometry((102_564, 8, 8, 1), np.array([2.0, 1.5, 3.0, 1.0]), ptype="FLOAT64")
+    head = nifti.read_header(nifti.header_bytes(geo, 1))
+    assert nifti.geometry(head).dims == geo.dims
+    assert head["dim"][1] == -1 and head["glmin"] == 102_564
+    short = nifti.read_header(nifti.header_bytes(Geometry((32_767, 2)), 1))
+    assert short["dim"][1] == 32_767 and short["glmin"] == 0
+    with pytest.raises(ValueError):
+        nifti.header_bytes(Geometry((2, 40_000)), 1)
 
 
 @pytest.mark.parametrize("suffix", [".nii", ".nii.gz"])
@@ -17,3 +28,4 @@ def test_nifti1_image_of_a_long_axis(spark, tmp_path, suffix):
     read = ndimage.images(spark, str(tmp_path), slicebytes=1 << 16)
     assert read.count() == 4 * n
     assert {(r.x, r.y, r.z): r.v for r in read.filter("v <> 0").collect()} == {c: k + 1.5 for k, c in enumerate(cells)}
+    assert ndimage.images(spark, str(tmp_path), "header").first().dims == [n, 2, 2, 1]
