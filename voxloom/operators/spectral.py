@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,32 @@ def along_axis(voxels: DataFrame, axis: str, work: Callable[[np.ndarray, dict],
     return out.select(*others, F.col(axis).cast(kinds[axis]).alias(axis), value)
 
 
+#: Values of lines that are moved together.
+LINE_VALUES = 1 << 18
+
+
+def along_lines(voxels: DataFrame, axis: str, work: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], others: list[str], value: str = "v") -> DataFrame:
+    """Like ``along_axis``, for work(lines of one length as rows, their other coordinates as columns): no call for each line."""
+    kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, length = batch.column(len(others)), batch.column(len(others)).value_lengths().to_numpy()
+            for n in np.unique(length):
+                row, step = np.flatnonzero(length == n), max(1, LINE_VALUES // max(int(n), 1))
+                for lo in range(0, len(row), step):
+                    part = pa.array(row[lo : lo + step])
+                    y = lines.take(part).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                    places = [batch.column(k).take(part) for k in range(len(others))]
+                    out = work(y, {a: c.to_numpy() for a, c in zip(others, places, strict=True)})
+                    ends = pa.array(np.arange(len(part) + 1) * out.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*places, pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*others, value])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), f"{value} array<double>"])
+    out = _lines(voxels, axis, others, [value]).mapInArrow(run, schema).select(*others, F.posexplode(value).alias(axis, value))
+    return out.select(*others, F.col(axis).cast(kinds[axis]).alias(axis), value)
+
+
 def fft_axis(voxels: DataFrame, axis: str, others: list[str], inverse: bool = False, size: int | None = None) -> DataFrame:
     """One axis of an N-dimensional transform of (re, im); axes follow one another."""
     kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
@@ -103,25 +130,28 @@ def flat(f: np.ndarray, a: float) -> np.ndarray:
     return (np.abs(f) <= a).astype(float)
 
 
-def shift_line(y: np.ndarray, distance: float, window: Window1D = flat) -> np.ndarray:
-    """A line moved by a real distance: zero-padded transform, phase ramp, window."""
-    n = power_of_two(2 * len(y))
+def shift_line(y: np.ndarray, distance: float | np.ndarray, window: Window1D = flat) -> np.ndarray:
+    """A line (or each row of lines by its own distance) moved by a real distance: zero-padded transform, phase ramp, window."""
+    n = power_of_two(2 * y.shape[-1])
     f = np.fft.fftfreq(n)
-    return np.fft.ifft(np.fft.fft(y, n) * window(f, 0.5) * np.exp(-2j * np.pi * distance * f)).real[: len(y)]
+    return np.fft.ifft(np.fft.fft(y, n) * window(f, 0.5) * np.exp(-2j * np.pi * np.asarray(distance)[..., None] * f)).real[..., : y.shape[-1]]
 
 
 def lanczos_weights(x: np.ndarray, a: float) -> np.ndarray:
     return np.where(np.abs(x) < a, np.sinc(x) * np.sinc(x / a), 0.0)
 
 
-def shift_line_kernel(y: np.ndarray, distance: float, radius: int = 3) -> np.ndarray:
-    out = np.zeros(len(y))
-    at = np.arange(len(y)) - distance
+def shift_line_kernel(y: np.ndarray, distance: float | np.ndarray, radius: int = 3) -> np.ndarray:
+    """A line (or each row of lines by its own distance) moved by a real distance: windowed sinc weights."""
+    n = y.shape[-1]
+    out = np.zeros(y.shape)
+    at = np.arange(n) - np.asarray(distance)[..., None]
     base = np.floor(at).astype(int)
     for k in range(-radius + 1, radius + 1):
         place = base + k
-        ok = (place >= 0) & (place < len(y))
-        out[ok] += y[place[ok]] * lanczos_weights(at[ok] - place[ok], radius)
+        ok = (place >= 0) & (place < n)
+        seen = np.take_along_axis(y, np.clip(place, 0, n - 1), -1)
+        out += np.where(ok, seen * lanczos_weights(at - place, radius), 0.0)
     return out
 
 
@@ -133,7 +163,7 @@ def shift(voxels: DataFrame, axis: str, distance: float, others: list[str], kern
 def shear(voxels: DataFrame, axis: str, slopes: dict[str, float], centers: dict[str, float], others: list[str], kernel: bool = True, value: str = "v") -> DataFrame:
     """Each line moved by the sum of slope · (coordinate − centre) over the other axes."""
     move = (lambda y, d: shift_line_kernel(y, d, 5)) if kernel else shift_line
-    return along_axis(voxels, axis, lambda y, at: move(y, sum(s * (at[a] - centers[a]) for a, s in slopes.items())), others, value)
+    return along_lines(voxels, axis, lambda y, at: move(y, sum(s * (at[a] - centers[a]) for a, s in slopes.items())), others, value)
 
 
 def resample_line(y: np.ndarray, ratio: float, window: Window1D = flat) -> np.ndarray:
