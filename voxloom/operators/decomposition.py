@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +23,51 @@ def _stack(batch: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack(batch[column].to_numpy()).astype(float)
 
 
+def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of arrays of one length as the rows of a matrix, without an object for each row."""
+    values = batch.column(batch.schema.get_field_index(column))
+    length = values.value_lengths().to_numpy(zero_copy_only=False)
+    if values.null_count or (length != length[0]).any():
+        raise ValueError(f"arrays of one length are expected in {column}")
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(values), -1)
+
+
+def _arrays(rows: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """The rows of a matrix as a column of arrays."""
+    out = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+    return out.cast(kind) if kind else out
+
+
+def _sums(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), _arrays(total)], ["i", "sums"])
+
+
 def right_multiply(rows: DataFrame, m: np.ndarray, column: str = "values") -> DataFrame:
     """Each row times a small matrix."""
-    schema = rows.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield batch.assign(**{column: list(_stack(batch, column) @ m)})
+            if batch.num_rows:
+                k = batch.schema.get_field_index(column)
+                product = _arrays(_matrix(batch, column) @ m, batch.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays([product if j == k else c for j, c in enumerate(batch.columns)], batch.schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def cross_product(rows: DataFrame, width: int, column: str = "values", other: str | None = None, other_width: int | None = None) -> np.ndarray:
     """Sum over rows of outer products (A'A, or A'B with a second column), summed in tasks, then by Spark."""
     second, w2 = other or column, other_width or width
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, w2))
         for batch in batches:
-            if len(batch):
-                a = _stack(batch, column)
-                total += a.T @ (a if other is None else _stack(batch, second))
-        yield pd.DataFrame({"i": np.arange(width), "sums": list(total)})
+            if batch.num_rows:
+                a = _matrix(batch, column)
+                total += a.T @ (a if other is None else _matrix(batch, second))
+        yield _sums(total)
 
-    parts = rows.select(*dict.fromkeys((column, second))).mapInPandas(run, "i int, sums array<double>")
+    parts = rows.select(*dict.fromkeys((column, second))).mapInArrow(run, "i int, sums array<double>")
     return summed(parts, w2, width)
 
 
@@ -240,16 +261,16 @@ def independent_components(rows: DataFrame, width: int, most: int | None = None,
     def turned(w: np.ndarray) -> np.ndarray:
         """Mean of z g(w'z) less w times the mean of g'(w'z), for each column of w."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((k + 2, w.shape[1]))
             for batch in batches:
-                if len(batch):
-                    z = _stack(batch, column)
+                if batch.num_rows:
+                    z = _matrix(batch, column)
                     g, dg = _contrast(z @ w)
                     total += np.vstack([z.T @ g, dg.sum(0), np.full(w.shape[1], len(z))])
-            yield pd.DataFrame({"i": np.arange(k + 2), "sums": list(total)})
+            yield _sums(total)
 
-        s = summed(white.select(column).mapInPandas(run, "i int, sums array<double>"), w.shape[1])
+        s = summed(white.select(column).mapInArrow(run, "i int, sums array<double>"), w.shape[1])
         return (s[:k] - w * s[k]) / np.maximum(s[k + 1], 1.0)
 
     w, done = np.linalg.qr(rng.normal(size=(k, k)))[0] if k else np.zeros((0, 0)), not k
