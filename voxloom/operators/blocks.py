@@ -126,10 +126,12 @@ def sample(samples: DataFrame, image: DataFrame, at: dict[str, Column], dims: di
         rows = rows.filter(F.abs(u) < F.lit(2.0**52))
         home = F.floor(F.col(u) + F.lit(float(place(np.array([0.5]))[0]) / 2))  # place rounds down (0) or to the nearest (1)
         rows = rows.withColumn(b, F.floor(bounded(home, n, boundary) / edge).cast("long"))
+    # voxels that compress well look small to the planner: only joins that can broadcast nothing but the list of blocks
     copies = rows.groupBy(*blocks).agg(F.ceil(F.count("*") / BLOCK_SAMPLES).cast("int").alias("_copies"))
-    dealt = rows.join(copies, blocks).withColumn("_copy", F.pmod(F.xxhash64(*keys, *ats), F.col("_copies")).cast("int")).drop("_copies")
+    hot, several = F.broadcast(copies.filter("_copies > 1")), F.coalesce("_copies", F.lit(1))  # a row for BLOCK_SAMPLES samples at most
+    dealt = rows.join(hot, blocks, "left").withColumn("_copy", F.pmod(F.xxhash64(*keys, *ats), several).cast("int")).drop("_copies")
     voxels = _to_blocks(image.select(*axes, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_v{k}") for k, c in enumerate(columns)]), axes, sizes, radius, boundary, edge)
-    voxels = voxels.join(copies, blocks).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    voxels = voxels.join(copies.select(*blocks), blocks, "left_semi").join(hot, blocks, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), several - 1))).drop("_copies")
 
     def run(rows: pd.DataFrame, voxels: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
