@@ -29,3 +29,12 @@ def test_nifti1_image_of_a_long_axis(spark, tmp_path, suffix):
     assert read.count() == 4 * n
     assert {(r.x, r.y, r.z): r.v for r in read.filter("v <> 0").collect()} == {c: k + 1.5 for k, c in enumerate(cells)}
     assert ndimage.images(spark, str(tmp_path), "header").first().dims == [n, 2, 2, 1]
+
+
+def test_images_are_not_compressed_at_the_slowest_level(spark, tmp_path):
+    rows = spark.createDataFrame([("img", 0, 0, 0, [1.0])], "img_id string, x int, y int, z int, ts array<double>")
+    geo = Geometry((4, 2, 2, 1), np.array([2.0, 1.5, 3.0, 1.0]), ptype="FLOAT64")
+    ndimage.write_images(rows, {"img": geo}, str(tmp_path), 1, ".nii.gz")
+    told = (tmp_path / "img.nii.gz").read_bytes()
+    assert told[:2] == b"\x1f\x8b" and told[8] != 2  # 2: level 9
+    assert ndimage.images(spark, str(tmp_path), "header").first().dims == [4, 2, 2, 1]

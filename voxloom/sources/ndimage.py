@@ -45,6 +45,8 @@ from .nifti import BY_NAME, CODES, geometry, header_bytes, read_header
 
 #: Bytes of pixels of one partition, and voxels of one batch that it gives.
 SLICE_BYTES, BATCH = 32 << 20, 1 << 16
+#: Level of compressed files: 9 takes ten times as long for 2 % less of such pixels, in the one task of an image.
+GZIP = 6
 #: Headers that one task reads.
 HEADERS = 256
 HEADER_BYTES = 544
@@ -377,7 +379,7 @@ def _join(row: dict, aside: str) -> dict:
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part, voxels = f"{path}.{TaskContext.get().taskAttemptId()}", row["nx"] * row["ny"] * row["nz"]
     with files.open_output_stream(part, compression=None) as raw:
-        out = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) if row["uri"].endswith(".gz") else raw
+        out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=GZIP, mtime=0) if row["uri"].endswith(".gz") else raw
         out.write(row["head"])
         for t in range(row["times"]):
             for k in range(-(-voxels // row["step"])):
