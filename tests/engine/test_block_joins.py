@@ -92,3 +92,17 @@ def test_inverse_of_a_strong_field(spark):
             assert np.allclose([r.dx, r.dy, r.dz], [-0.25 * w, w - r.y, (r.z - 3.5) / 2.5 - (r.z - 3.5)], atol=3e-3)
             met += 1
     assert met > 500
+
+
+def test_a_cell_is_not_tried_by_leaves_again_at_once(monkeypatch):
+    """Where leaves rule nothing out, most blocks of queries skip their boxes; what is found stays the same."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(2000, 16))
+    cell = tree._Cell(np.arange(2000), np.zeros(2000, np.int64), np.repeat(np.arange(20), 100), y)
+    tried, far = [], tree._Cell.far
+    monkeypatch.setattr(tree._Cell, "far", lambda self, x: tried.append(len(x)) or far(self, x))
+    for lo in range(0, 2000, 100):
+        found = {(lo + a, b) for i, j, _ in tree._near(cell, y[lo : lo + 100], 5.0) for a, b in zip(i, j, strict=True)}
+        d = ((y[lo : lo + 100, None] - y) ** 2).sum(2)
+        assert found == {(lo + a, b) for a, b in np.argwhere(d < 25.0)}
+    assert 0 < len(tried) < 5
