@@ -207,7 +207,7 @@ def density_peaks(points: DataFrame, radius: float, p: str = "p", leaf_points: i
     goes by distance and leaves out the leaves that hold none.
     """
     found = tree.build(points, "id", p, leaf_points)
-    n = tree.count_within(found, points, radius, "id", p)
+    n = tree.count_within(found, points, radius, "id", p, same=True)
     rows = points.filter(F.col(p).isNotNull()).select("id", p).join(n, "id", "left")
     rho = settled(rows.select("id", p, F.coalesce("n", F.lit(0)).alias("rho")))
     up = tree.nearest(found.over(rho, "id", p, "rho"), rho, "id", p, weight="rho")

@@ -49,7 +49,7 @@ def nearest(queries: DataFrame, points: DataFrame, limit: float | None = None, q
 
 def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str = "p", rows: int = tree.LEAF_POINTS) -> DataFrame:
     """(left_id, right_id, dist2) of all pairs left_id < right_id below the radius, over all coordinates; leaves of some ``rows`` points."""
-    return tree.within(tree.build(points, p_id, p, rows), points, radius, p_id, p, upwards=True)
+    return tree.within(tree.build(points, p_id, p, rows), points, radius, p_id, p, upwards=True, same=True)
 
 
 def paint_events(times: DataFrame, events: DataFrame, time: str = "t", onset: str = "onset", duration: str = "duration", value: str = "value", order: str = "row", bucket: float = 60.0) -> DataFrame:
