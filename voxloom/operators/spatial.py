@@ -44,7 +44,8 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, dims: int,
 
 def nearest(queries: DataFrame, points: DataFrame, limit: float | None = None, q_id: str = "id", p_id: str = "id", p: str = "p", others_only: bool = False, leaf_points: int = tree.LEAF_POINTS) -> DataFrame:
     """(id, nearest_id, dist2): the nearest point of each query (within ``limit``), smallest id of several."""
-    return tree.nearest(tree.build(points, p_id, p, leaf_points), queries, q_id, p, others_only, limit=limit).select("id", "nearest_id", "dist2")
+    same = others_only and queries is points and q_id == p_id
+    return tree.nearest(tree.build(points, p_id, p, leaf_points), queries, q_id, p, others_only, limit=limit, same=same).select("id", "nearest_id", "dist2")
 
 
 def within_blocked(points: DataFrame, radius: float, p_id: str = "id", p: str = "p", rows: int = tree.LEAF_POINTS) -> DataFrame:
